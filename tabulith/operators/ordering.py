@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from tabulith.session import cut_lineage
@@ -21,8 +22,15 @@ Order = Sequence[str | Column]
 
 _POS_BITS = 33  # monotonically_increasing_id keeps the row position in its lower 33 bits
 _POS_MASK = (1 << _POS_BITS) - 1
-_BEFORE_PART = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-_IN_PART = W.partitionBy("_part").orderBy("_pos")
+
+
+def _before_part() -> WindowSpec:
+    """Earlier partitions, in the table that has one row per partition."""
+    return W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+
+
+def _in_part() -> WindowSpec:
+    return W.partitionBy("_part").orderBy("_pos")
 
 
 def lay_out(df: DataFrame, order_by: Order) -> DataFrame:
@@ -45,7 +53,7 @@ def number_rows(laid: DataFrame, name: str = "ordinal") -> DataFrame:
     """The 0-based global position of every laid-out row."""
     parts = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = parts.select(
-        "_part", F.coalesce(F.sum("_n").over(_BEFORE_PART), F.lit(0)).alias("_offset"))
+        "_part", F.coalesce(F.sum("_n").over(_before_part()), F.lit(0)).alias("_offset"))
     return with_parts(laid, offsets).withColumn(name, F.col("_offset") + F.col("_pos")).drop("_offset")
 
 
@@ -57,8 +65,8 @@ def running_total(laid: DataFrame, value: str, name: str) -> DataFrame:
     """Inclusive running sum of ``value`` in global order."""
     sums = laid.groupBy("_part").agg(F.sum(value).alias("_sum"))
     carried = sums.select(
-        "_part", F.coalesce(F.sum("_sum").over(_BEFORE_PART), F.lit(0)).alias("_carry"))
-    inside = F.coalesce(F.sum(value).over(_IN_PART.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+        "_part", F.coalesce(F.sum("_sum").over(_before_part()), F.lit(0)).alias("_carry"))
+    inside = F.coalesce(F.sum(value).over(_in_part().rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
     return with_parts(laid, carried).withColumn(name, F.col("_carry") + inside).drop("_carry")
 
 
@@ -66,7 +74,7 @@ def previous_value(laid: DataFrame, value: str, name: str) -> DataFrame:
     """``value`` of the row before, across partition borders."""
     ends = laid.groupBy("_part").agg(F.max_by(F.struct(value), "_pos").alias("_end"))
     carried = ends.select("_part", F.lag("_end").over(W.orderBy("_part")).alias("_carry"))
-    inside = F.lag(F.struct(value)).over(_IN_PART)
+    inside = F.lag(F.struct(value)).over(_in_part())
     return (with_parts(laid, carried)
             .withColumn(name, F.coalesce(inside, F.col("_carry")).getField(value)).drop("_carry"))
 
@@ -80,10 +88,10 @@ def fill_both_ways(laid: DataFrame, columns: Sequence[str]) -> DataFrame:
     everything = W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     carried = ends.select("_part", *[
         col for i in range(len(columns)) for col in (
-            F.last(f"_last{i}", ignorenulls=True).over(_BEFORE_PART).alias(f"_carry{i}"),
+            F.last(f"_last{i}", ignorenulls=True).over(_before_part()).alias(f"_carry{i}"),
             F.first(f"_first{i}", ignorenulls=True).over(everything).alias(f"_start{i}"))
     ])
-    upto = _IN_PART.rowsBetween(W.unboundedPreceding, 0)
+    upto = _in_part().rowsBetween(W.unboundedPreceding, 0)
     joined = with_parts(laid, carried)
     filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_carry{i}"),
                             F.col(f"_start{i}")) for i, c in enumerate(columns)}
