@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_FAMILIES = ("aggregation", "selection", "windows", "finance", "compliance", "files", "cleaning", "profiling", "joins")
+_FAMILIES = ("aggregation", "selection", "windows", "finance", "compliance", "files", "cleaning", "profiling", "joins",
+             "tests", "charts", "anomalies")
 
 
 
