@@ -3,6 +3,8 @@
 from tabulith.catalog import query, table
 from tabulith.catalog.aggregation import each, rounded
 from tabulith.operators import anomalies as A
+from tabulith.operators.forest import isolation_forest
+from tabulith.operators.neighbours import lof
 
 _LINE_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                  "l_discount", "l_tax")
@@ -61,3 +63,31 @@ def _(spark, sf):
 def _(spark, sf):
     events = table(spark, sf, "events")
     return A.flag_anomalies(events, A.column_bounds(events, "zscore", 2.0, ["value"])).select("event_id", "value_anomaly")
+
+
+@query("isolation_forest")
+def _(spark, sf):
+    return isolation_forest(table(spark, sf, "lineitem"))
+
+
+def lof_sql(tab: str, key: str, columns, k: int, contamination: float) -> str:
+    z = ", ".join(f"(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ())::DOUBLE AS z{i}" for i, c in enumerate(columns))
+    d = " + ".join(f"pow(a.z{i} - b.z{i}, 2)" for i in range(len(columns)))
+    return f"""WITH p AS (SELECT {key} AS k, {z} FROM {tab}),
+ d AS (SELECT a.k, b.k AS o, sqrt({d}) AS d FROM p a JOIN p b ON a.k <> b.k),
+ n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, o) AS i FROM d) WHERE i <= {k}),
+ r AS (SELECT k AS o, max(d) AS kd FROM n GROUP BY 1), l AS (SELECT k, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM n JOIN r USING (o) GROUP BY 1),
+ f AS (SELECT n.k, -avg(x.lrd) / any_value(y.lrd) AS s FROM n JOIN l x ON x.k = n.o JOIN l y ON y.k = n.k GROUP BY 1)
+ SELECT k AS {key}, round(s, 6) AS lof_score, s < (SELECT quantile_cont(s, {contamination}) FROM f) AS is_anomaly FROM f"""
+
+
+@query("lof", lof_sql("supplier", "s_suppkey", ("s_suppkey", "s_nationkey", "s_acctbal"), 20, 0.05))
+def _(spark, sf):
+    out = lof(table(spark, sf, "supplier"))
+    return rounded(out.select("s_suppkey", "lof_score", "is_anomaly"), "lof_score", digits=6)
+
+
+@query("lof_customers", lof_sql("customer", "c_custkey", ("c_custkey", "c_nationkey", "c_acctbal"), 20, 0.1))
+def _(spark, sf):
+    out = lof(table(spark, sf, "customer"), contamination=0.1, leaf_rows=250)
+    return rounded(out.select("c_custkey", "lof_score", "is_anomaly"), "lof_score", digits=6)
