@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 _FAMILIES = ("aggregation", "selection", "windows", "finance", "compliance", "files", "cleaning", "profiling", "joins",
-             "tests", "charts", "anomalies")
+             "tests", "charts", "anomalies", "insights")
 
 
 
