@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,8 +54,8 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
 
 def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Counts per column and non-null value, as text: column, value, cnt."""
-    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
-    return (df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("value IS NOT NULL")
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    return (texts.unpivot([], list(columns), "column", "value").where("value IS NOT NULL")
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")))
 
 
@@ -211,17 +213,42 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson r over the rows where both columns are present, all pairs in one aggregate.
+    """Pearson r over the rows where both columns are present: col1, col2, r; null for a constant.
 
-    The built-in ``corr`` raises on a constant column; here r is null for it.
+    All pairs together would make an aggregate too large to compile, so each partition reduces its
+    Arrow batches to the cross products of the centred columns (a few matrix products), and Spark
+    adds up one row per partition and pair.
     """
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = number(a), number(b)
-        sx, sy = F.stddev_pop(F.when(y.isNotNull(), x)), F.stddev_pop(F.when(x.isNotNull(), y))
-        r = F.covar_pop(x, y) / F.nullif(sx * sy, F.lit(0.0))
-        aggs.append(F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), r.alias("r")).alias(f"_p{i}"))
-    return df.agg(*aggs).select(F.explode(F.array(*[f"_p{i}" for i in range(len(pairs))])).alias("p")).select("p.*")
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    at = {c: i for i, c in enumerate(names)}
+    first, second = [at[a] for a, _ in pairs], [at[b] for _, b in pairs]
+    wide = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(names)])
+    centre = [m or 0.0 for m in wide.agg(*[F.avg(c) for c in wide.columns]).first()]
+    fields = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def cross_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, len(first)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - centre
+            there = ~np.isnan(x)
+            x = np.where(there, x, 0.0)
+            mark = there.astype("float64")
+            own, squares = x.T @ mark, (x * x).T @ mark
+            sums += np.stack([(mark.T @ mark)[first, second], own[first, second], own[second, first],
+                              squares[first, second], squares[second, first], (x.T @ x)[first, second]])
+        columns = [pa.array(range(len(first)), pa.int32()), *[pa.array(s) for s in sums]]
+        yield pa.RecordBatch.from_arrays(columns, ["pair", *fields])
+
+    parts = wide.mapInArrow(cross_products, "pair int, " + ", ".join(f"{f} double" for f in fields))
+    t = parts.groupBy("pair").agg(*[F.sum(f).alias(f) for f in fields])
+    n = F.nullif("n", F.lit(0.0))
+    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
+    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
+    # what rounding leaves of a constant column's variance is not variance
+    flat = (vx <= F.col("sxx") * 1e-14) | (vy <= F.col("syy") * 1e-14)
+    r = F.when(~flat, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.nullif(F.sqrt(vx * vy), F.lit(0.0)))
+    labels = [F.array(*[F.lit(p[side]) for p in pairs]) for side in (0, 1)]
+    return t.select(F.get(labels[0], "pair").alias("col1"), F.get(labels[1], "pair").alias("col2"), r.alias("r"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -178,7 +178,10 @@ def numeric_fill_values(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 def impute_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Gaps take the rounded median or mean; a filled column is a double."""
-    fills = numeric_fill_values(df, columns)
+    return fill_numeric(df, numeric_fill_values(df, columns))
+
+
+def fill_numeric(df: DataFrame, fills: Mapping[str, tuple[str, float]]) -> DataFrame:
     if not fills:
         return df
     return df.withColumns({

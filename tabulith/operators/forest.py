@@ -139,7 +139,10 @@ def isolation_forest(df: DataFrame, columns: Sequence[str] | None = None, contam
         return df.withColumns({"anomaly_score": nothing, "is_anomaly": F.lit(False)}).where(F.lit(False))
     forest, size = fit_forest(complete, list(cells.values()), seed=seed)
     score = _scorer(df.sparkSession, forest, size)
-    # scoring is the costly step: its result is kept before the cut point is looked up
+    # scoring is the costly step: it gets every core, and its result is kept for the cut point
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if complete.rdd.getNumPartitions() < cores:
+        complete = complete.repartition(cores)
     scored = cut_lineage(complete.withColumn("_s", score(F.struct(*cells.values()))).select(*df.columns, "_s"))
     cut = quantiles(scored, ["_s"], [contamination]).first()["q"][0]
     out = scored.withColumn("anomaly_score", F.col("_s") - F.lit(cut)).withColumn(

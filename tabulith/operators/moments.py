@@ -12,71 +12,57 @@ from pyspark.sql import functions as F
 from tabulith.functions.columns import number
 from tabulith.session import cut_lineage
 
-_COLUMNS_PER_AGG = 60          # keeps the generated aggregate code within bounds
-SMALL_CELLS = 6_000_000        # up to this many values the built-in percentile buffer is small
-EDGES = 1_000                  # buckets per column beyond that
+SMALL_CELLS = 2_000_000        # up to this many values the built-in percentile buffer is small
+ROWS_PER_BUCKET = 500_000      # beyond that, values are cut into buckets of about this size ...
+MIN_EDGES, MAX_EDGES = 200, 10_000  # ... within these limits
+_SAMPLE_PER_EDGE = 100
 BROADCAST_ROWS = 200_000
 
 
-def _moments(name: str) -> Column:
-    x = number(name)
-    n = F.count(x).cast("double")
-    var = F.var_samp(x)
-    # Spark gives the population shape; reports use the bias-corrected sample shape
-    g1, g2 = F.skewness(x), F.kurtosis(x)
-    skew = F.when(n < 3, None).when(var == 0, 0.0).otherwise(g1 * F.sqrt(n * (n - 1)) / (n - 2))
-    kurt = F.when(n < 4, None).when(var == 0, 0.0).otherwise(
-        (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
-    return F.struct(
-        F.lit(name).alias("column"),
-        F.count(x).alias("n"),
-        (F.count(F.lit(1)) - F.count(x)).alias("nulls"),
-        F.coalesce(F.sum(x), F.lit(0.0)).alias("total"),
-        F.avg(x).alias("mean"),
-        F.sqrt(var).alias("std"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-        skew.alias("skew"),
-        kurt.alias("kurt"),
-        F.count_if(x == 0).alias("zeros"),
-        F.count_if(x < 0).alias("negatives"),
-    )
+def melt(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """keys, column, value (double): one row per cell, built by a generated Expand."""
+    wide = df.select(*keys, *[number(c).alias(c) for c in columns])
+    return wide.unpivot(list(keys), list(columns), "column", "value")
 
 
 def moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Long table: keys, column, n, nulls, total, mean, std, min, max, skew, kurt, zeros, negatives."""
-    out = None
-    for start in range(0, len(columns), _COLUMNS_PER_AGG):
-        chunk = columns[start:start + _COLUMNS_PER_AGG]
-        aggs = [_moments(c).alias(f"_m{i}") for i, c in enumerate(chunk)]
-        rows = (df.groupBy(*keys).agg(*aggs)
-                .select(*keys, F.explode(F.array(*[f"_m{i}" for i in range(len(chunk))])).alias("m"))
-                .select(*keys, "m.*"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def _melt(df: DataFrame, keys: Sequence[str], columns: Sequence[str], weight: str | None,
-          buckets: dict[str, str] | None = None) -> DataFrame:
-    cells = []
-    for c in columns:
-        fields = [F.lit(c).alias("column"), F.col(c).alias("value")]
-        if buckets:
-            fields.append(F.col(buckets[c]).alias("bucket"))
-        cells.append(F.struct(*fields))
-    extra = [weight] if weight else []
-    return (df.select(*keys, *extra, F.explode(F.array(*cells)).alias("c"))
-            .select(*keys, *extra, "c.*").where("value IS NOT NULL"))
+    """Long table: keys, column, n, nulls, total, mean, std, min, max, skew, kurt, zeros, negatives.
+
+    Cells are melted first: one short aggregate per (keys, column) stays compiled however many
+    columns there are, and is combined before the shuffle.
+    """
+    x = F.col("value")
+    raw = melt(df, columns, keys).groupBy(*keys, "column").agg(
+        F.count(x).alias("n"), (F.count(F.lit(1)) - F.count(x)).alias("nulls"),
+        F.coalesce(F.sum(x), F.lit(0.0)).alias("total"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"),
+        F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
+        F.count_if(x == 0).alias("zeros"), F.count_if(x < 0).alias("negatives"))
+    # Spark gives the population shape; reports use the bias-corrected sample shape
+    n, var = F.col("n").cast("double"), F.col("var")
+    skew = F.when(n < 3, None).when(var == 0, 0.0).otherwise(
+        F.col("g1") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
+    spread = F.nullif((n - 2) * (n - 3), F.lit(0.0))
+    kurt = F.when(n < 4, None).when(var == 0, 0.0).otherwise((n - 1) / spread * ((n + 1) * F.col("g2") + 6))
+    return raw.select(*keys, "column", "n", "nulls", "total", "mean", F.sqrt(var).alias("std"), "min", "max",
+                      skew.alias("skew"), kurt.alias("kurt"), "zeros", "negatives")
 
 
-def quantile_buckets(df: DataFrame, columns: Sequence[str], edges: int = EDGES) -> tuple[DataFrame, dict]:
-    """Adds one order-preserving bucket number per column, cut at approximate quantiles.
+def edges_for(rows: int) -> int:
+    return min(MAX_EDGES, max(MIN_EDGES, -(-rows // ROWS_PER_BUCKET)))
+
+
+def quantile_buckets(df: DataFrame, columns: Sequence[str], rows: int,
+                     edges: int | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """Adds one order-preserving bucket number per column, cut at the quantiles of a sample.
 
     The cut points only balance the work; results that use the buckets stay exact.
     """
+    edges = edges or edges_for(rows)
     probs = [i / edges for i in range(1, edges)]
-    row = df.agg(*[F.percentile_approx(c, probs, 10 * edges).alias(f"_e{i}")
-                   for i, c in enumerate(columns)]).first()
+    share = min(1.0, _SAMPLE_PER_EDGE * edges / max(rows, 1))
+    sample = df if share >= 1.0 else df.sample(share, seed=7)
+    row = sample.agg(*[F.percentile_approx(c, probs, 10 * edges).alias(f"_e{i}")
+                       for i, c in enumerate(columns)]).first()
     inner = [sorted({float(v) for v in (row[i] or [])}) or [0.0] for i in range(len(columns))]
     splits = [[float("-inf"), *points, float("inf")] for points in inner]
     names = {c: f"_bucket{i}" for i, c in enumerate(columns)}
@@ -85,6 +71,15 @@ def quantile_buckets(df: DataFrame, columns: Sequence[str], edges: int = EDGES)
     return cutter.transform(df), names
 
 
+def _melt_buckets(df: DataFrame, keys: Sequence[str], columns: Sequence[str], weight: str | None,
+                  buckets: dict[str, str]) -> DataFrame:
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), F.col(buckets[c]).alias("bucket"))
+             for c in columns]
+    extra = [weight] if weight else []
+    return (df.select(*keys, *extra, F.explode(F.array(*cells)).alias("c"))
+            .select(*keys, *extra, "c.*").where("value IS NOT NULL"))
+
+
 def _weighted_count(weight: str | None) -> Column:
     return F.sum(weight) if weight else F.count(F.lit(1))
 
@@ -98,9 +93,9 @@ def _bucket_totals(long: DataFrame, group: Sequence[str], weight: str | None) ->
 
 
 def _quantiles_by_selection(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                            keys: Sequence[str], weight: str | None, edges: int) -> DataFrame:
-    bucketed, names = quantile_buckets(df, columns, edges)
-    long = _melt(bucketed, keys, columns, weight, names)
+                            keys: Sequence[str], weight: str | None, rows: int, edges: int | None) -> DataFrame:
+    bucketed, names = quantile_buckets(df, columns, rows, edges)
+    long = _melt_buckets(bucketed, keys, columns, weight, names)
     group = [*keys, "column"]
     totals = _bucket_totals(long, group, weight)
 
@@ -135,7 +130,7 @@ def _quantiles_by_selection(df: DataFrame, columns: Sequence[str], probs: Sequen
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (),
-              weight: str | None = None, small_cells: int = SMALL_CELLS, edges: int = EDGES) -> DataFrame:
+              weight: str | None = None, small_cells: int = SMALL_CELLS, edges: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles: keys, column, ``q`` (array in the order of ``probs``).
 
     Up to ``small_cells`` values the built-in aggregate is used. Beyond, values are counted in
@@ -144,8 +139,9 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], key
     """
     extra = [weight] if weight else []
     df = df.select(*keys, *extra, *[number(c).alias(c) for c in columns])
-    if df.count() * len(columns) > small_cells:
-        return _quantiles_by_selection(df, columns, probs, keys, weight, edges)
+    rows = df.count()
+    if rows * len(columns) > small_cells:
+        return _quantiles_by_selection(df, columns, probs, keys, weight, rows, edges)
     times = [F.col(weight)] if weight else []
     aggs = [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in probs]), *times).alias(f"_q{i}")
             for i, c in enumerate(columns)]
@@ -161,14 +157,14 @@ def with_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
         *keys, "column", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
-def value_positions(df: DataFrame, column: str, keys: Sequence[str] = (), edges: int = EDGES) -> DataFrame:
+def value_positions(df: DataFrame, column: str, keys: Sequence[str] = (), edges: int | None = None) -> DataFrame:
     """Distinct values with their count and rank: keys, value, cnt, before, n.
 
     ``before`` counts the smaller values of the group and ``n`` all of them. Copies of a value are
     counted before the shuffle and every window stays inside one quantile bucket.
     """
     plain = df.select(*keys, number(column).alias("value")).where("value IS NOT NULL")
-    bucketed, names = quantile_buckets(plain, ["value"], edges)
+    bucketed, names = quantile_buckets(plain, ["value"], plain.count(), edges)
     bucketed = bucketed.withColumnRenamed(names["value"], "bucket")
     values = bucketed.groupBy(*keys, "bucket", "value").agg(F.count(F.lit(1)).alias("cnt"))
     counts = values.groupBy(*keys, "bucket").agg(F.sum("cnt").alias("bucket_cnt"))

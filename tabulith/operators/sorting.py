@@ -48,7 +48,7 @@ def first_rows(df: DataFrame, order_by: Order, n: int, keys: Sequence[str] = ())
     """The first n rows of every group. Salted first, so that a hot group is cut down in many
     tasks before the last ranking sees at most ``n`` rows per salt."""
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)))
-    rough = (salted.withColumn("_row", F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order_by)))
-             .where(F.col("_row") <= n))
-    return (rough.withColumn("_row", F.row_number().over(W.partitionBy(*keys).orderBy(*order_by)))
-            .where(F.col("_row") <= n).drop("_salt"))
+    rough = (salted.withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order_by)))
+             .where(F.col("_rank") <= n))
+    return (rough.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order_by)))
+            .where(F.col("_rank") <= n).drop("_salt", "_rank"))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tabulith.functions.kinds import datetime_columns, is_numeric, text_columns
 from tabulith.operators import cleaning as C
-from tabulith.operators.ordering import lay_out, number_rows
+from tabulith.operators.ordering import fill_both_ways, lay_out, number_rows
 from tabulith.operators.profiling import null_counts
-from tabulith.session import cut_lineage
+from tabulith.operators.sorting import first_rows
 
 REPORT = "column string, metric string, value string"
 
@@ -30,49 +30,50 @@ class Cleaned:
 
 def clean_table(df: DataFrame, order_by: Sequence[str], sample_types: bool = False) -> Cleaned:
     """Clean a table whose row order is given by ``order_by`` (columns as they are named before
-    cleaning). ``sample_types`` decides types from the first 20 values instead of all."""
+    cleaning). ``sample_types`` decides types from the first 20 values instead of all.
+
+    The distinct rows are put in order and written once; types, gaps, fill values, row numbers and
+    the forward fill all read that layout.
+    """
     width = len(df.columns)
     names = C.standard_names(df.columns)
     order = [names[df.columns.index(c)] for c in order_by]
-    rows_before = df.count()
-    markers = {r["column"]: r["markers"] for r in C.marker_counts(df).collect()} if text_columns(df) else {}
+    rows_before, markers = _markers(df)
 
     marked = C.standardize_names(C.null_markers(df))
-    unique = C.drop_duplicate_rows(marked)
-    kinds = C.inferred_kinds(unique, order if sample_types else None)
-    # the typed rows feed several aggregates, the fill and the report
-    typed = cut_lineage(C.convert_kinds(unique, kinds))
-    rows = typed.count()
-
-    gaps = {r["column"]: r["missing"] for r in null_counts(typed).collect() if r["missing"]}
-    fills = C.numeric_fill_values(typed, [c for c in gaps if is_numeric(typed, c)])
-    out = C.impute_numeric(typed, list(fills)) if fills else typed
-    out = C.impute_datetime(out, order, [c for c in datetime_columns(typed) if c in gaps])
-    out = C.impute_categorical(out, [c for c in text_columns(typed) if c in gaps])
-    out = out.select(*names)
+    laid = lay_out(C.drop_duplicate_rows(marked), order)
+    kinds = C.inferred_kinds(laid.select(*names), order if sample_types else None)
+    typed = C.convert_kinds(laid, kinds)
+
+    found = null_counts(typed.select(*names)).collect()
+    rows = found[0]["rows"]
+    gaps = {r["column"]: r["missing"] for r in found if r["missing"]}
+    dates = [c for c in datetime_columns(typed) if c in gaps]
+    numbers = [c for c in gaps if is_numeric(typed, c)]
+    fills = C.numeric_fill_values(typed, numbers) if numbers else {}
+    out = fill_both_ways(typed, dates) if dates else typed
+    out = C.fill_numeric(out.select(*names), fills)
+    out = C.impute_categorical(out, [c for c in text_columns(out) if c in gaps])
 
     full, simple = C.completeness(sum(gaps.values()), sum(markers.values()), rows_before, width)
-    first = _first_gaps(typed, order, list(gaps))
     facts: list[tuple[str | None, str, str]] = [
         (None, "original_rows", str(rows_before)), (None, "original_columns", str(width)),
         (None, "cleaned_rows", str(rows)), (None, "cleaned_columns", str(len(names))),
         (None, "rows_removed", str(rows_before - rows)), (None, "duplicates_removed", str(rows_before - rows)),
         (None, "data_completeness", str(full)), (None, "completeness_simple", str(simple)),
     ]
-    for old, new in zip(df.columns, names):
-        if old != new:
-            facts.append((old, "renamed_to", new))
+    facts += [(old, "renamed_to", new) for old, new in zip(df.columns, names) if old != new]
     facts += [(c, "markers_replaced", str(n)) for c, n in markers.items() if n]
     facts += [(c, "converted_to", k) for c, k in kinds.items() if k != "text"]
+    first = _first_gaps(typed, list(gaps)) if gaps else {}
     for c, n in gaps.items():
         facts.append((c, "missing_before", str(n)))
-        facts.append((c, "missing_rows", ", ".join(map(str, first.get(c, []))) + ("..." if n > 10 else "")))
+        facts.append((c, "missing_rows", ", ".join(map(str, first[c])) + ("..." if n > len(first[c]) else "")))
         if c in fills:
-            how, value = fills[c]
-            action = f"filled {n} with {how} {value}"
-        elif c in datetime_columns(typed):
+            action = f"filled {n} with {fills[c][0]} {fills[c][1]}"
+        elif c in dates:
             action = f"filled {n} forward, then backward"
-        elif is_numeric(typed, c):
+        elif c in numbers:
             action = f"left {n}: the column has no value"
         else:
             action = f"filled {n} with '{C.UNKNOWN}'"
@@ -81,14 +82,18 @@ def clean_table(df: DataFrame, order_by: Sequence[str], sample_types: bool = Fal
     return Cleaned(out, report, rows_before - rows, full, simple)
 
 
-def _first_gaps(df: DataFrame, order_by: Sequence[str], columns: Sequence[str], n: int = 10) -> dict[str, list[int]]:
+def _markers(df: DataFrame) -> tuple[int, dict[str, int]]:
+    """Row count and markers per text column, in one pass."""
+    texts = text_columns(df)
+    row = df.agg(F.count(F.lit(1)), *[F.count_if(C.is_marker(F.col(c))) for c in texts]).first()
+    return row[0], dict(zip(texts, row[1:]))
+
+
+def _first_gaps(typed: DataFrame, columns: Sequence[str], n: int = 10) -> dict[str, list[int]]:
     """The 1-based numbers of the first ``n`` rows without a value, per column."""
-    if not columns:
-        return {}
-    found = {}
-    marks = df.select(*[c for c in order_by], *[F.col(c).isNull().alias(f"_gap{i}") for i, c in enumerate(columns)])
-    numbered = number_rows(lay_out(marks, order_by), "_row")
-    for i, c in enumerate(columns):  # n rows per column reach the driver
-        rows = numbered.where(F.col(f"_gap{i}")).select("_row").orderBy("_row").limit(n).collect()
-        found[c] = [r["_row"] + 1 for r in rows]
+    holes = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]))
+    rows = number_rows(typed, "_row").select("_row", F.explode(holes).alias("column"))
+    found: dict[str, list[int]] = {c: [] for c in columns}
+    for r in first_rows(rows, ["_row"], n, ["column"]).orderBy("_row").collect():
+        found[r["column"]].append(r["_row"] + 1)
     return found
