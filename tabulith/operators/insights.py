@@ -100,14 +100,14 @@ def _group_rules(out: _Findings, df: DataFrame, groups: dict[str, int], values:
     """Pareto pattern and group effect over the first two categories and numbers."""
     if not groups or not values:
         return
-    cells = [F.struct(F.lit(g).alias("g"), F.col(g).alias("v")) for g in groups]
+    cells = [F.struct(F.lit(g).alias("_g"), F.col(g).alias("_k")) for g in groups]
     aggs = [a for i, v in enumerate(values)
             for a in (simple_agg("sum", v).alias(f"s{i}"), simple_agg("mean", v).alias(f"m{i}"))]
     # only categories with at most 20 values come here
-    found = (df.select(F.explode(F.array(*cells)).alias("c"), *values).select("c.*", *values)
-             .where("v IS NOT NULL").groupBy("g", "v").agg(*aggs).collect())
+    found = (df.select(F.explode(F.array(*cells)).alias("_c"), *values).select("_c.*", *values)
+             .where("_k IS NOT NULL").groupBy("_g", "_k").agg(*aggs).collect())
     for g, distinct in groups.items():
-        rows = [r for r in found if r["g"] == g]
+        rows = [r for r in found if r["_g"] == g]
         for i, v in enumerate(values):
             sums = sorted((r[f"s{i}"] for r in rows), reverse=True)
             whole = sum(sums)
@@ -120,10 +120,10 @@ def _group_rules(out: _Findings, df: DataFrame, groups: dict[str, int], values:
                     out.note("Pareto Pattern", f"{g} & {v}", "info", needed,
                              f"{needed} of {distinct} values of {g} bring about 80% of {v}")
     for g, distinct in groups.items():
-        rows = [r for r in found if r["g"] == g]
+        rows = [r for r in found if r["_g"] == g]
         for i, v in enumerate(values):
             overall = stats[v]["mean"]
-            means = [(r[f"m{i}"], r["v"]) for r in rows if r[f"m{i}"] is not None]
+            means = [(r[f"m{i}"], r["_k"]) for r in rows if r[f"m{i}"] is not None]
             if 2 <= distinct <= 10 and means and overall is not None and abs(overall) > 1e-10:
                 best = max(m for m, _ in means)
                 who = min(k for m, k in means if m == best)

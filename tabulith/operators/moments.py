@@ -137,8 +137,17 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], key
     quantile buckets and only the buckets that hold a wanted rank are looked into, so no task
     ever holds one group's values. ``weight`` counts a row that many times.
     """
-    extra = [weight] if weight else []
-    df = df.select(*keys, *extra, *[number(c).alias(c) for c in columns])
+    shown = [F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]
+    extra = [F.col(weight).alias("_w")] if weight else []
+    df = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *extra,
+                   *[number(c).alias(c) for c in columns])
+    found = _quantiles(df, columns, probs, [f"_k{i}" for i in range(len(keys))], "_w" if weight else None,
+                       small_cells, edges)
+    return found.select(*shown, "column", "q")
+
+
+def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str],
+               weight: str | None, small_cells: int, edges: int | None) -> DataFrame:
     rows = df.count()
     if rows * len(columns) > small_cells:
         return _quantiles_by_selection(df, columns, probs, keys, weight, rows, edges)
@@ -163,7 +172,10 @@ def value_positions(df: DataFrame, column: str, keys: Sequence[str] = (), edges:
     ``before`` counts the smaller values of the group and ``n`` all of them. Copies of a value are
     counted before the shuffle and every window stays inside one quantile bucket.
     """
-    plain = df.select(*keys, number(column).alias("value")).where("value IS NOT NULL")
+    shown = [F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]
+    plain = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], number(column).alias("value"))
+    plain = plain.where("value IS NOT NULL")
+    keys = [f"_k{i}" for i in range(len(keys))]
     bucketed, names = quantile_buckets(plain, ["value"], plain.count(), edges)
     bucketed = bucketed.withColumnRenamed(names["value"], "bucket")
     values = bucketed.groupBy(*keys, "bucket", "value").agg(F.count(F.lit(1)).alias("cnt"))
@@ -173,5 +185,5 @@ def value_positions(df: DataFrame, column: str, keys: Sequence[str] = (), edges:
               .withColumn("n", F.sum("bucket_cnt").over(W.partitionBy(*keys))).drop("bucket_cnt"))
     inside = F.sum("cnt").over(W.partitionBy(*keys, "bucket").orderBy("value"))
     return (values.withColumn("inside", inside).join(totals, [*keys, "bucket"])
-            .select(*keys, "value", "cnt",
+            .select(*shown, "value", "cnt",
                     (F.col("skipped") + F.col("inside") - F.col("cnt")).alias("before"), "n"))

@@ -47,7 +47,8 @@ def bin_number(x: Column, lo: float, hi: float, bins: int) -> Column:
     # the division may land one bin off; compare with the edges themselves
     settled = (F.when(x <= lo + (guess - 1) * F.lit(width), guess - 1)
                .when(x > lo + guess * F.lit(width), guess + 1).otherwise(guess))
-    return F.greatest(F.lit(1), F.least(F.lit(bins), settled)).cast("int")
+    # greatest and least skip nulls, a missing value has no bin
+    return F.when(x.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(bins), settled))).cast("int")
 
 
 def bin_range(df: DataFrame, column: str) -> tuple[float, float] | None:
@@ -77,7 +78,7 @@ def bin_equal_width(df: DataFrame, column: str, bins: int = 5,
     out = out.withColumn(f"{column}_bin_lo", F.when(i == 1, F.lit(low_end)).otherwise(lo + (i - 1) * width))
     out = out.withColumn(f"{column}_bin_hi", F.when(i == bins, F.lit(hi)).otherwise(lo + i * width))
     if labels is not None and len(labels) == bins:
-        text = F.element_at(F.array(*[F.lit(x) for x in labels]), i)
+        text = F.get(F.array(*[F.lit(x) for x in labels]), i - 1)
     else:
         text = F.when(i.isNotNull(), F.format_string("(%.3f, %.3f]", f"{column}_bin_lo", f"{column}_bin_hi"))
     return out.withColumn(f"{column}_binned", text)
