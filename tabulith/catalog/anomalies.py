@@ -78,7 +78,8 @@ def lof_sql(tab: str, key: str, columns, k: int, contamination: float) -> str:
  n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, o) AS i FROM d) WHERE i <= {k}),
  r AS (SELECT k AS o, max(d) AS kd FROM n GROUP BY 1), l AS (SELECT k, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM n JOIN r USING (o) GROUP BY 1),
  f AS (SELECT n.k, -avg(x.lrd) / any_value(y.lrd) AS s FROM n JOIN l x ON x.k = n.o JOIN l y ON y.k = n.k GROUP BY 1)
- SELECT k AS {key}, round(s, 6) AS lof_score, s < (SELECT quantile_cont(s, {contamination}) FROM f) AS is_anomaly FROM f"""
+ SELECT k AS {key}, round(s, 6) AS lof_score, s < (SELECT quantile_cont(s, {contamination}) FROM f) AS is_anomaly FROM f
+ WHERE (SELECT count(*) FROM {tab}) > {k}"""
 
 
 @query("lof", lof_sql("supplier", "s_suppkey", ("s_suppkey", "s_nationkey", "s_acctbal"), 20, 0.05))

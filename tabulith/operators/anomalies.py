@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabulith.functions.columns import half_even, number
 from tabulith.functions.kinds import numeric_columns, require_numeric
 from tabulith.operators.moments import moments, quantiles
+from tabulith.session import lookup
 
 _MIN_VALUES = 5
 
@@ -85,7 +86,7 @@ def zscore_outliers_by_group(df: DataFrame, column: str, group: str, threshold:
     stats = moments(df.dropna(subset=[group]), [column], [group]).where(
         (F.col("n") >= _MIN_VALUES) & (F.col("std") > 0)).select(group, "mean", "std")
     z = F.abs((number(column) - F.col("mean")) / F.col("std"))
-    return (df.join(stats, group).withColumn("zscore", z).where(F.col("zscore") > threshold)
+    return (df.join(lookup(stats), group).withColumn("zscore", z).where(F.col("zscore") > threshold)
             .select(*df.columns, "zscore"))
 
 

@@ -18,6 +18,7 @@ from tabulith.operators.profiling import missing_matrix
 from tabulith.operators.selection import bin_number, bin_range
 from tabulith.operators.sorting import systematic_sample
 from tabulith.operators.windows import pareto_curve
+from tabulith.session import lookup
 
 MAX_SCATTER_COLUMNS = 5
 RADAR_COLUMNS = 8
@@ -43,8 +44,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def _fences(df: DataFrame, column: str, group: str) -> DataFrame:
     quart = with_quantiles(df.dropna(subset=[group]), [column], (0.25, 0.5, 0.75), ("q1", "median", "q3"), [group])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    return quart.select(group, "q1", "median", "q3", (F.col("q1") - reach).alias("_lo"),
-                        (F.col("q3") + reach).alias("_hi"))
+    return lookup(quart.select(group, "q1", "median", "q3", (F.col("q1") - reach).alias("_lo"),
+                               (F.col("q3") + reach).alias("_hi")))
 
 
 def box_stats(df: DataFrame, column: str, group: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabulith.functions.columns import number, percent, strip
 from tabulith.functions.kinds import is_numeric, require_columns, resolve_column
 from tabulith.operators.windows import sequence_gaps
+from tabulith.session import lookup
 
 # Column names looked for, in this order.
 ITEM_NAMES = ("item", "product", "service", "description", "name", "particular")
@@ -102,8 +103,8 @@ def duplicate_amounts(df: DataFrame, amount: str | None = None) -> DataFrame | N
     if amount is None or not is_numeric(df, amount):
         return None
     x = number(amount)
-    repeated = (df.select(x.alias("_amount")).groupBy("_amount").agg(F.count(F.lit(1)).alias("_n"))
-                .where("_n > 1").select("_amount"))
+    repeated = lookup(df.select(x.alias("_amount")).groupBy("_amount").agg(F.count(F.lit(1)).alias("_n"))
+                      .where("_n > 1").select("_amount"))
     rows = df.withColumn("_x", x)
     return (rows.join(repeated, rows["_x"].eqNullSafe(repeated["_amount"]), "left_semi").drop("_x")
             .orderBy(F.col(amount).asc_nulls_last()))

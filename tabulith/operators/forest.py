@@ -61,13 +61,13 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list
     return nodes
 
 
-def fit_forest(data: DataFrame, columns: Sequence[str], trees: int = TREES, seed: int = SEED) -> tuple[list, int]:
+def fit_forest(data: DataFrame, columns: Sequence[str], n: int, trees: int = TREES,
+               seed: int = SEED) -> tuple[list, int]:
     """The trees (at most ``trees`` x 511 nodes) and the subsample size.
 
     Rows are first thinned to a pool of some ten thousand; every tree then draws its rows from the
     pool by a hash, so only a few hundred rows per tree are shuffled.
     """
-    n = data.count()
     size = min(SUBSAMPLE, n)
     share = min(1.0, 1.2 * trees * SUBSAMPLE / n)
     pool = data.select(*columns) if share >= 1.0 else data.select(*columns).where(F.rand(seed) < share)
@@ -135,13 +135,16 @@ def isolation_forest(df: DataFrame, columns: Sequence[str] | None = None, contam
     wide = df.withColumns({alias: number(c) for c, alias in cells.items()})
     complete = wide.dropna(subset=list(cells.values()))
     nothing = F.lit(None).cast("double")
-    if complete.select(F.lit(1)).limit(MIN_ROWS).count() < MIN_ROWS:
+    pieces = complete.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    n, busy = pieces.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    if n < MIN_ROWS:
         return df.withColumns({"anomaly_score": nothing, "is_anomaly": F.lit(False)}).where(F.lit(False))
-    forest, size = fit_forest(complete, list(cells.values()), seed=seed)
+    forest, size = fit_forest(complete, list(cells.values()), n, seed=seed)
     score = _scorer(df.sparkSession, forest, size)
-    # scoring is the costly step: it gets every core, and its result is kept for the cut point
+    # scoring is the costly step: a table in too few pieces is spread over the cores, and the
+    # result is kept for the cut point
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if complete.rdd.getNumPartitions() < cores:
+    if busy < cores:
         complete = complete.repartition(cores)
     scored = cut_lineage(complete.withColumn("_s", score(F.struct(*cells.values()))).select(*df.columns, "_s"))
     cut = quantiles(scored, ["_s"], [contamination]).first()["q"][0]

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import number
-from tabulith.session import cut_lineage
+from tabulith.session import BROADCAST_ROWS, cut_lineage
 
-SMALL_CELLS = 2_000_000        # up to this many values the built-in percentile buffer is small
+SMALL_CELLS = 1_000_000        # up to this many values the built-in percentile buffer is small
 ROWS_PER_BUCKET = 500_000      # beyond that, values are cut into buckets of about this size ...
 MIN_EDGES, MAX_EDGES = 200, 10_000  # ... within these limits
 _SAMPLE_PER_EDGE = 100
-BROADCAST_ROWS = 200_000
+_BRACKET_SAMPLE = 50_000
+_MAX_PIECES = 64               # sub-regions of one bracket
 
 
 def melt(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -129,13 +133,113 @@ def _quantiles_by_selection(df: DataFrame, columns: Sequence[str], probs: Sequen
     return each.groupBy(*group).agg(F.array(*picks).alias("q"))
 
 
+def _bracket_edges(sample: DataFrame, columns: Sequence[str], probs: Sequence[float], rows: int,
+                   size: int) -> dict[str, tuple[list[float], list[bool]]]:
+    """Per column the cut points around the wanted quantiles, and which of the regions between
+    them lie inside a bracket. Brackets reach six standard errors of a sample rank to each side."""
+    grids = []
+    for p in probs:
+        reach = 6.0 * math.sqrt(p * (1.0 - p) / size) + 3.0 / size + 4e-4
+        pieces = min(_MAX_PIECES, max(1, math.ceil(2 * reach * rows / ROWS_PER_BUCKET)))
+        grids.append([p - reach + 2 * reach * i / pieces for i in range(pieces + 1)])
+    flat = [min(1.0, max(0.0, q)) for grid in grids for q in grid]
+    row = sample.agg(*[F.percentile_approx(c, flat, 5_000).alias(f"_e{i}") for i, c in enumerate(columns)]).first()
+    out = {}
+    for i, c in enumerate(columns):
+        values = iter([float(v) for v in row[i]] if row[i] else [0.0] * len(flat))
+        spans, cuts = [], set()
+        for grid in grids:
+            points = [next(values) for _ in grid]
+            # a value equal to the upper end belongs to the bracket
+            points[-1] = math.nextafter(points[-1], math.inf)
+            low = -math.inf if grid[0] <= 0.0 else points[0]
+            high = math.inf if grid[-1] >= 1.0 else points[-1]
+            spans.append((low, high))
+            cuts.update(points)
+        edges = sorted(cuts)
+        ends = [-math.inf, *edges, math.inf]
+        inner = [any(low <= a and b <= high for low, high in spans) for a, b in zip(ends, ends[1:])]
+        out[c] = (edges, inner)
+    return out
+
+
+def _quantiles_by_brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                           rows: int) -> DataFrame | None:
+    """One pass for whole columns: values inside the brackets are counted one by one, all others
+    only by region. None if a wanted rank fell outside its bracket."""
+    size = min(rows, _BRACKET_SAMPLE)
+    sample = df if size == rows else df.sample(size / rows, seed=7)
+    brackets = _bracket_edges(sample, columns, probs, rows, size)
+    edges = [np.array(brackets[c][0]) for c in columns]
+    inner = [np.array(brackets[c][1]) for c in columns]
+
+    def count_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(c: int, region: np.ndarray, value: pa.Array, cnt: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(cnt), c, dtype="int32")), pa.array(region.astype("int32")), value,
+                 pa.array(cnt.astype("int64"))], ["c", "region", "value", "cnt"])
+
+        outside = [np.zeros(len(e) + 1, dtype="int64") for e in edges]
+        for batch in batches:
+            for c, cells in enumerate(batch.columns):
+                x = cells.to_numpy(zero_copy_only=False)
+                x = x[~np.isnan(x)]
+                region = np.searchsorted(edges[c], x, side="right")
+                near = inner[c][region]
+                outside[c] += np.bincount(region[~near], minlength=len(edges[c]) + 1)
+                if near.any():
+                    value, cnt = np.unique(x[near], return_counts=True)
+                    yield rows(c, np.searchsorted(edges[c], value, side="right"), pa.array(value), cnt)
+        for c, cnt in enumerate(outside):
+            region = np.flatnonzero(cnt)
+            yield rows(c, region, pa.nulls(len(region), pa.float64()), cnt[region])
+
+    counts = (df.select(*columns).mapInArrow(count_regions, "c int, region int, value double, cnt long")
+              .groupBy("c", "region", "value").agg(F.sum("cnt").alias("cnt")))
+    counts = cut_lineage(counts)
+
+    # a few regions per column
+    totals = counts.groupBy("c", "region").agg(F.sum("cnt").alias("cnt")).orderBy("c", "region").collect()
+    wanted = []
+    for i, c in enumerate(columns):
+        mine = [(r["region"], r["cnt"]) for r in totals if r["c"] == i]
+        n = sum(k for _, k in mine)
+        for j, p in enumerate(probs if n else ()):
+            h = p * (n - 1)
+            for rank in {math.floor(h), math.ceil(h)}:
+                before = 0
+                for at, k in mine:
+                    if rank < before + k:
+                        break
+                    before += k
+                if not brackets[c][1][at]:
+                    return None
+                wanted.append((i, at, j, rank - before, h - math.floor(h)))
+    spark = df.sparkSession
+    if not wanted:
+        return spark.createDataFrame([], "column string, q array<double>")
+    spots = F.broadcast(spark.createDataFrame(wanted, "c int, region int, i int, skip long, frac double"))
+    reached = F.sum("cnt").over(W.partitionBy("c", "region").orderBy("value"))
+    cells_wanted = spots.select("c", "region").distinct()
+    values = counts.join(F.broadcast(cells_wanted), ["c", "region"], "left_semi").withColumn("end", reached)
+    hits = (values.join(spots, ["c", "region"])
+            .where((F.col("skip") < F.col("end")) & (F.col("skip") >= F.col("end") - F.col("cnt"))))
+    each = hits.groupBy("c", "i").agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
+                                      F.max("frac").alias("frac"))
+    each = each.withColumn("v", F.col("lo") + F.col("frac") * (F.col("hi") - F.col("lo")))
+    picks = [F.max(F.when(F.col("i") == j, F.col("v"))) for j in range(len(probs))]
+    names = F.array(*[F.lit(c) for c in columns])
+    return each.groupBy("c").agg(F.array(*picks).alias("q")).select(F.get(names, F.col("c")).alias("column"), "q")
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (),
               weight: str | None = None, small_cells: int = SMALL_CELLS, edges: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles: keys, column, ``q`` (array in the order of ``probs``).
 
-    Up to ``small_cells`` values the built-in aggregate is used. Beyond, values are counted in
-    quantile buckets and only the buckets that hold a wanted rank are looked into, so no task
-    ever holds one group's values. ``weight`` counts a row that many times.
+    Up to ``small_cells`` values the built-in aggregate is used. Beyond, whole columns are counted
+    around the quantiles of a sample, and groups in quantile buckets of which only those with a
+    wanted rank are looked into; so no task ever holds one group's values. ``weight`` counts a row
+    that many times.
     """
     shown = [F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]
     extra = [F.col(weight).alias("_w")] if weight else []
@@ -150,6 +254,10 @@ def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], ke
                weight: str | None, small_cells: int, edges: int | None) -> DataFrame:
     rows = df.count()
     if rows * len(columns) > small_cells:
+        if not keys and weight is None and edges is None and rows:
+            found = _quantiles_by_brackets(df, columns, probs, rows)
+            if found is not None:
+                return found
         return _quantiles_by_selection(df, columns, probs, keys, weight, rows, edges)
     times = [F.col(weight)] if weight else []
     aggs = [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in probs]), *times).alias(f"_q{i}")

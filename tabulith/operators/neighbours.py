@@ -157,10 +157,11 @@ def _neighbour_candidates(points: DataFrame, dims: int, k: int, leaf_rows: int)
         for pdf in batches:
             if pdf.empty:
                 continue
-            x = _matrix(pdf["vec"], dims)
-            rows, leaves_hit = _touched(tree.value, x, pdf["radius"].to_numpy())
-            hit = pdf.iloc[rows].assign(target=leaves_hit)
-            yield hit[hit["target"] != hit["leaf"]][["id", "vec", "radius", "target"]]
+            for start in range(0, len(pdf), _BLOCK):
+                part = pdf.iloc[start:start + _BLOCK]
+                rows, found = _touched(tree.value, _matrix(part["vec"], dims), part["radius"].to_numpy())
+                hit = part.iloc[rows].assign(target=found)
+                yield hit[hit["target"] != hit["leaf"]][["id", "vec", "radius", "target"]]
 
     queries = (full.select("id", "vec", "leaf", radius.alias("radius")).where("radius > 0")
                .mapInPandas(visits, "id long, vec array<double>, radius double, target long"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,11 +38,18 @@ def sort_by(df: DataFrame, column: str, ascending: bool = False) -> DataFrame:
     return df.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last())
 
 
-def systematic_sample(df: DataFrame, order_by: Order, size: int = 100) -> DataFrame:
-    """Every ⌊n / size⌋-th row in the given order, with its ``ordinal``."""
-    numbered = with_ordinal(df, order_by)
-    step = max(1, numbered.count() // size)
-    return numbered.where(F.col("ordinal") % step == 0)
+def systematic_sample(df: DataFrame, order_by: Sequence[str], size: int = 100) -> DataFrame:
+    """Every ⌊n / size⌋-th row in the given order, with its ``ordinal``.
+
+    Only the order columns are put in order; being unique, the picked ones (fewer than twice
+    ``size``, or all of a small table) fetch their rows.
+    """
+    numbered = with_ordinal(df.select(*order_by), order_by)
+    n = numbered.count()
+    picked = numbered.where(F.col("ordinal") % max(1, n // size) == 0)
+    picked = F.broadcast(picked.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(order_by)], "ordinal"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(order_by)])
+    return df.join(picked, same).select(*df.columns, "ordinal")
 
 
 def first_rows(df: DataFrame, order_by: Order, n: int, keys: Sequence[str] = ()) -> DataFrame:

@@ -20,6 +20,7 @@ from tabulith.operators.aggregation import simple_agg
 from tabulith.operators.moments import quantiles, value_positions
 from tabulith.operators.ordering import (
     head_tail_means, lay_out, number_rows, previous_value, running_total, with_ordinal)
+from tabulith.session import lookup
 
 _CHUNK = 50_000  # rows per window in the moving average, plus the overlap
 
@@ -46,11 +47,10 @@ def moving_average(df: DataFrame, order_by: Sequence[str], value: str, window: i
     x = number(value)
     mean = F.when(F.count(x).over(near) == window, F.avg(x).over(near))
     out = spread.withColumn(f"SMA_{window}", half_even(mean)).where("_own")
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < window)
+    short = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < window)
     if keys:
-        # null-free keys of the short series; AQE picks the join
-        out = out.join(sizes, list(keys), "left_anti")
-    elif not sizes.isEmpty():
+        out = out.join(lookup(short.select(*keys)), list(keys), "left_anti")
+    elif not short.isEmpty():
         out = out.where(F.lit(False))
     return out.select(*cols, f"SMA_{window}")
 
@@ -185,7 +185,7 @@ def percentile_rank(df: DataFrame, column: str, category: str | None = None) ->
     ranks = value_positions(rows, column, keys).select(
         *keys, F.col("value").alias("_v"),
         (half_even((F.col("before") + (F.col("cnt") + 1) / 2.0) / F.col("n"), 3) * 100.0).alias(f"{column}_percentile"))
-    return (df.withColumn("_v", number(column)).join(ranks, [*keys, "_v"], "left")
+    return (df.withColumn("_v", number(column)).join(lookup(ranks), [*keys, "_v"], "left")
             .select(*df.columns, f"{column}_percentile"))
 
 

@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
 
 
 def build_session(master: str | None = None, name: str = "tabulith", **conf: str) -> SparkSession:
@@ -18,6 +21,7 @@ def build_session(master: str | None = None, name: str = "tabulith", **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -44,6 +48,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def lookup(df: DataFrame) -> DataFrame:
+    """A reduced table to join a big one with: computed first, and broadcast if it turns out small.
+
+    Left to the adaptive planner alone, the big side is shuffled while the small side's size is
+    still unknown.
+    """
+    fixed = cut_lineage(df)
+    return F.broadcast(fixed) if fixed.count() <= BROADCAST_ROWS else fixed
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there, safe against lost executors."""
     shared_dir(df.sparkSession)

@@ -81,10 +81,9 @@ def test_head_and_tail_means(spark, skewed, many_partitions, divisor):
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 
 
-@pytest.mark.parametrize("small", [10**9, 0])
-def test_quantiles_of_columns(spark, skewed, small):
-    got = {r["column"]: r["q"] for r in
-           M.quantiles(spread(spark, skewed), ["v", "t"], PROBS, small_cells=small, edges=50).collect()}
+@pytest.mark.parametrize("how", [{}, {"small_cells": 0}, {"small_cells": 0, "edges": 50}])
+def test_quantiles_of_columns(spark, skewed, how):
+    got = {r["column"]: r["q"] for r in M.quantiles(spread(spark, skewed), ["v", "t"], PROBS, **how).collect()}
     for c in ("v", "t"):
         assert np.allclose(got[c], np.quantile(skewed[c], PROBS))
 
@@ -97,6 +96,23 @@ def test_quantiles_of_groups(spark, skewed, small):
         assert np.allclose(r["q"], np.quantile(skewed.loc[skewed.k == r["k"], "v"], PROBS))
 
 
+def test_brackets_from_a_small_sample(spark, skewed, monkeypatch):
+    """Few sampled rows and many pieces per bracket; and a sample that misleads ends in the other
+    method, not in a wrong value."""
+    monkeypatch.setattr(M, "_BRACKET_SAMPLE", 2_000)
+    monkeypatch.setattr(M, "ROWS_PER_BUCKET", 500)
+    df = spread(spark, skewed).select("v", F.when(F.col("id") % 3 > 0, F.col("t")).alias("t"))
+    want = {"v": np.quantile(skewed["v"], PROBS), "t": np.quantile(skewed.loc[skewed.id % 3 > 0, "t"], PROBS)}
+    assert M._quantiles_by_brackets(df, ["v", "t"], PROBS, len(skewed)) is not None
+    for r in M.quantiles(df, ["v", "t"], PROBS, small_cells=0).collect():
+        assert np.allclose(r["q"], want[r["column"]])
+    edges = M._bracket_edges
+    monkeypatch.setattr(M, "_bracket_edges", lambda sample, *a: edges(sample.select(*[(F.col(c) - 500).alias(c) for c in sample.columns]), *a))
+    assert M._quantiles_by_brackets(df, ["v", "t"], [0.5], len(skewed)) is None
+    for r in M.quantiles(df, ["v", "t"], [0.5], small_cells=0).collect():
+        assert r["q"] == [pytest.approx(want[r["column"]][3])]
+
+
 @pytest.mark.parametrize("small", [10**9, 0])
 def test_weighted_quantiles(spark, small):
     df = spark.createDataFrame([(1.0, 5), (2.0, 1), (10.0, 4)], "x double, w long")
