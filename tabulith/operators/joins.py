@@ -13,11 +13,13 @@ from tabulith.functions.columns import half_even, strip
 from tabulith.functions.kinds import is_numeric, is_text, require_columns
 from tabulith.operators.profiling import distinct_counts, null_counts
 from tabulith.operators.sorting import first_rows
+from tabulith.session import cut_lineage
 
 # Name parts that mark a key column; the first hit is reported.
 KEY_WORDS = ("id", "key", "code", "number", "no", "num", "pk", "uuid", "ref", "reference", "index", "identifier")
 JOIN_TYPES = ("left", "right", "inner", "outer")
 MIN_NAME_SIMILARITY = 0.3
+_BITS = 62  # columns per mask
 
 
 def join_key(df: DataFrame, column: str) -> Column:
@@ -167,24 +169,44 @@ def _as_text(df: DataFrame, column: str) -> Column:
     return F.lower(strip(c.cast("string")))
 
 
-def _texts(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias(name), _as_text(df, c).alias("value")) for c in columns]
-    return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("value IS NOT NULL").distinct()
+def _marked_values(df: DataFrame, columns: Sequence[str], side: int) -> DataFrame:
+    """Melted cells as text; ``_i`` is the position of the column on its side."""
+    wide = df.select(*[_as_text(df, c).alias(str(i)) for i, c in enumerate(columns)])
+    long = wide.unpivot([], wide.columns, "_i", "value").where("value IS NOT NULL")
+    return long.select("value", F.lit(side).alias("_side"), F.col("_i").cast("int").alias("_i"))
 
 
 def value_overlap(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """Shared distinct values / the smaller number of distinct values, for all wanted column pairs
-    at once: col1, col2, distinct1, distinct2, shared, overlap. A value meets at most one row per
-    column of the other table, so the join stays small however often the value is repeated."""
+    at once: col1, col2, distinct1, distinct2, shared, overlap.
+
+    One grouping by value marks, as bits, the columns of either side that hold it; the bits are
+    combined before the shuffle, so repeated values cost nothing. Counting equal bit patterns then
+    leaves a small table from which pairs and margins follow.
+    """
     if pairs is None:
         pairs = [(a, b) for a in left.columns for b in right.columns]
-    a = _texts(left, list(dict.fromkeys(p[0] for p in pairs)), "col1")
-    b = _texts(right, list(dict.fromkeys(p[1] for p in pairs)), "col2")
+    names = [list(dict.fromkeys(p[side] for p in pairs)) for side in (0, 1)]
+    cells = _marked_values(left, names[0], 0).unionAll(_marked_values(right, names[1], 1))
+    words = [(side, k) for side in (0, 1) for k in range(-(-len(names[side]) // _BITS))]
+    masks = [F.expr(f"coalesce(bit_or(CASE WHEN _side = {side} AND _i div {_BITS} = {k} "
+                    f"THEN shiftleft(1L, _i % {_BITS}) END), 0L)").alias(f"m{side}_{k}") for side, k in words]
+    patterns = (cells.groupBy("value").agg(*masks)
+                .groupBy(*[f"m{side}_{k}" for side, k in words]).agg(F.count(F.lit(1)).alias("k")))
+
+    def holders(side: int) -> Column:
+        """The columns of a side in the pattern, and null for "any column"."""
+        found = [F.when(F.col(f"m{side}_{i // _BITS}").bitwiseAND(F.lit(1 << i % _BITS)) != 0, F.lit(c))
+                 for i, c in enumerate(names[side])]
+        return F.concat(F.array_compact(F.array(*found)), F.array(F.lit(None).cast("string")))
+
+    counts = (patterns.select(F.explode(holders(0)).alias("a"), holders(1).alias("bs"), "k")
+              .select("a", F.explode("bs").alias("b"), "k").groupBy("a", "b").agg(F.sum("k").alias("k")))
+    counts = cut_lineage(counts)  # at most one row per pair of columns and per column
     wanted = left.sparkSession.createDataFrame(list(pairs), "col1 string, col2 string")
-    shared = a.join(b, "value").groupBy("col1", "col2").agg(F.count(F.lit(1)).alias("shared"))
-    d1 = a.groupBy("col1").agg(F.count(F.lit(1)).alias("distinct1"))
-    d2 = b.groupBy("col2").agg(F.count(F.lit(1)).alias("distinct2"))
-    # every table here has at most one row per column or column pair
+    shared = counts.where("a IS NOT NULL AND b IS NOT NULL").toDF("col1", "col2", "shared")
+    d1 = counts.where("a IS NOT NULL AND b IS NULL").select(F.col("a").alias("col1"), F.col("k").alias("distinct1"))
+    d2 = counts.where("a IS NULL AND b IS NOT NULL").select(F.col("b").alias("col2"), F.col("k").alias("distinct2"))
     out = (wanted.join(F.broadcast(shared), ["col1", "col2"], "left").join(F.broadcast(d1), "col1", "left")
            .join(F.broadcast(d2), "col2", "left").fillna(0, ["shared", "distinct1", "distinct2"]))
     smaller = F.least("distinct1", "distinct2")

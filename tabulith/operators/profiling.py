@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import wraps
+from functools import reduce, wraps
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulith.functions.columns import half_even, number, percent
 from tabulith.functions.kinds import (
@@ -35,11 +36,26 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False)
     if approx:
         cells = [F.struct(F.lit(c).alias("column"), F.approx_count_distinct(c).alias("unique")) for c in columns]
         return df.agg(F.array(*cells).alias("a")).select(F.explode("a").alias("c")).select("c.*")
-    names = F.array(*[F.struct(F.lit(c).alias("column")) for c in columns])
-    found = value_frequencies(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+    listed = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+    found = reduce(DataFrame.unionByName, [
+        df.select(*[(number(c) if kind == "double" else F.col(c).cast(kind)).alias(c) for c in names]).unpivot([], names, "column", "value")
+        .where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+        for kind, names in _by_plain_type(df, columns).items()])
     # a column without any value must still be listed
-    listed = df.sparkSession.range(1).select(F.explode(names).alias("c")).select("c.*")
-    return listed.join(found, "column", "left").select("column", F.coalesce("unique", F.lit(0)).alias("unique"))
+    return listed.join(F.broadcast(found), "column", "left").select(
+        "column", F.coalesce("unique", F.lit(0)).alias("unique"))
+
+
+def _by_plain_type(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Columns by the type their values are compared in; only other types are turned into text."""
+    out: dict[str, list[str]] = {}
+    for c in columns:
+        t = df.schema[c].dataType
+        kind = ("bigint" if isinstance(t, T.IntegralType) else "double" if isinstance(t, T.FractionalType)
+                and not isinstance(t, T.DecimalType) else "string")
+        out.setdefault(kind, []).append(c)
+    return out
 
 
 def null_counts(df: DataFrame) -> DataFrame:

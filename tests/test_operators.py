@@ -191,6 +191,9 @@ def test_column_matching(spark):
     whole = spark.createDataFrame([(1,), (2,)], "n long")
     overlap = {r["col1"]: r["shared"] for r in J.value_overlap(mixed, whole).collect()}
     assert overlap == {"d": 2, "s": 1}
+    wide = whole.select(*[(F.col("n") + i).alias(f"c{i}") for i in range(70)])
+    many = {(r["col1"], r["col2"]): r["shared"] for r in J.value_overlap(wide, wide).collect()}
+    assert len(many) == 4900 and many["c3", "c3"] == 2 and many["c3", "c4"] == 1 and many["c3", "c69"] == 0 and many["c69", "c68"] == 1
 
 
 def test_profiles_of_edge_tables(spark):
