@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Words that mark a column name as financial.
@@ -83,3 +84,12 @@ def require_numeric(df: DataFrame, *names: str) -> None:
     other = [n for n in names if not is_numeric(df, n)]
     if other:
         raise ValueError(f"column(s) must be numeric: {other}")
+
+
+def present(df: DataFrame, *names: str) -> DataFrame:
+    """Rows where none of the columns is missing, in tests that reach the file scan."""
+    for name in dict.fromkeys(names):
+        df = df.where(F.col(name).isNotNull())
+        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+            df = df.where(~F.isnan(name))
+    return df

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabulith.functions.columns import half_even, number, relative_change
 from tabulith.functions.kinds import (
-    columns_by_kind, numeric_columns, require_columns, require_numeric, text_columns)
+    columns_by_kind, numeric_columns, present, require_columns, require_numeric, text_columns)
 from tabulith.operators.moments import moments, quantiles, with_quantiles
 from tabulith.operators.ordering import head_tail_means
 from tabulith.operators.selection import sorted_values
@@ -38,7 +38,7 @@ def simple_agg(func: str, value: str) -> Column:
 
 def _keyed(df: DataFrame, *keys: str) -> DataFrame:
     """Rows whose group keys are all present; grouping ignores the others."""
-    return df.dropna(subset=list(keys))
+    return present(df, *keys)
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,

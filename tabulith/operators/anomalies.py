@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import half_even, number
-from tabulith.functions.kinds import numeric_columns, require_numeric
+from tabulith.functions.kinds import numeric_columns, present, require_numeric
 from tabulith.operators.moments import moments, quantiles
 from tabulith.session import lookup
 
@@ -83,7 +83,7 @@ def zscore_outliers(df: DataFrame, column: str, threshold: float = 2.0) -> DataF
 def zscore_outliers_by_group(df: DataFrame, column: str, group: str, threshold: float = 2.0) -> DataFrame:
     """The z-score rule inside each group of at least 5 values."""
     require_numeric(df, column)
-    stats = moments(df.dropna(subset=[group]), [column], [group]).where(
+    stats = moments(df.transform(present, group), [column], [group]).where(
         (F.col("n") >= _MIN_VALUES) & (F.col("std") > 0)).select(group, "mean", "std")
     z = F.abs((number(column) - F.col("mean")) / F.col("std"))
     return (df.join(lookup(stats), group).withColumn("zscore", z).where(F.col("zscore") > threshold)

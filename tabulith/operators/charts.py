@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import number, ratio
-from tabulith.functions.kinds import numeric_columns, require_columns, require_numeric
+from tabulith.functions.kinds import numeric_columns, present, require_columns, require_numeric
 from tabulith.operators.aggregation import simple_agg
 from tabulith.operators.anomalies import column_bounds
 from tabulith.operators.hypothesis import linear_regression
 from tabulith.operators.moments import with_quantiles
-from tabulith.operators.ordering import lay_out, running_total
+from tabulith.operators.ordering import lay_out, running_total, sorted_rows
 from tabulith.operators.profiling import missing_matrix
 from tabulith.operators.selection import bin_number, bin_range
 from tabulith.operators.sorting import systematic_sample
@@ -42,7 +42,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def _fences(df: DataFrame, column: str, group: str) -> DataFrame:
-    quart = with_quantiles(df.dropna(subset=[group]), [column], (0.25, 0.5, 0.75), ("q1", "median", "q3"), [group])
+    quart = with_quantiles(df.transform(present, group), [column], (0.25, 0.5, 0.75), ("q1", "median", "q3"), [group])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return lookup(quart.select(group, "q1", "median", "q3", (F.col("q1") - reach).alias("_lo"),
                                (F.col("q3") + reach).alias("_hi")))
@@ -68,7 +68,7 @@ def box_outliers(df: DataFrame, column: str, group: str) -> DataFrame:
 
 def category_share(df: DataFrame, category: str, value: str) -> DataFrame:
     """Sum per category and its share of the total in percent."""
-    sums = df.dropna(subset=[category]).groupBy(category).agg(simple_agg("sum", value).alias("total"))
+    sums = df.transform(present, category).groupBy(category).agg(simple_agg("sum", value).alias("total"))
     whole = sums.agg(F.sum("total")).first()[0] or 0.0
     return sums.withColumn("share_pct", ratio(F.col("total"), F.lit(whole)) * 100.0)
 
@@ -85,7 +85,7 @@ def radar_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 def waterfall(df: DataFrame, step: str, value: str) -> DataFrame:
     """Signed steps in order with where each starts and ends, then the total."""
-    sums = df.dropna(subset=[step]).groupBy(F.col(step).alias("step")).agg(simple_agg("sum", value).alias("value"))
+    sums = df.transform(present, step).groupBy(F.col(step).alias("step")).agg(simple_agg("sum", value).alias("value"))
     laid = running_total(lay_out(sums, ["step"]), "value", "end")
     steps = laid.select(F.col("step").cast("string").alias("step"), F.lit("relative").alias("measure"), "value",
                         (F.col("end") - F.col("value")).alias("start"), "end")
@@ -97,7 +97,7 @@ def waterfall(df: DataFrame, step: str, value: str) -> DataFrame:
 
 def funnel(df: DataFrame, stage: str, value: str, stages: Sequence[str] | None = None) -> DataFrame:
     """Value per stage and its share of the first stage: the first of ``stages``, or the largest."""
-    sums = df.dropna(subset=[stage]).groupBy(stage).agg(simple_agg("sum", value).alias("value"))
+    sums = df.transform(present, stage).groupBy(stage).agg(simple_agg("sum", value).alias("value"))
     if stages:
         sums = sums.where(F.col(stage).isin(*stages))
         first = sums.where(F.col(stage) == stages[0]).agg(F.max("value")).first()[0] or 0.0
@@ -109,7 +109,7 @@ def funnel(df: DataFrame, stage: str, value: str, stages: Sequence[str] | None =
 def hierarchy_rollup(df: DataFrame, path: Sequence[str], value: str) -> DataFrame:
     """Sums at every level of the path; ``level`` counts the path columns in use."""
     require_columns(df, *path)
-    rows = df.dropna(subset=list(path))
+    rows = df.transform(present, *path)
     depth = sum((1 - F.grouping(c).cast("int") for c in path), F.lit(0))
     return rows.rollup(*path).agg(depth.alias("level"), simple_agg("sum", value).alias("total")).where("level > 0")
 
@@ -128,7 +128,7 @@ def scatter_sample(df: DataFrame, key: Sequence[str], columns: Sequence[str] | N
 
 def composition_over_time(df: DataFrame, date: str, category: str, value: str, unit: str = "month") -> DataFrame:
     """Sum per period and category, with the share of the period."""
-    cells = df.dropna(subset=[date, category]).groupBy(
+    cells = df.transform(present, date, category).groupBy(
         F.date_trunc(unit, date).cast("timestamp_ntz").alias("period"), category).agg(
         simple_agg("sum", value).alias("total"))
     whole = cells.groupBy("period").agg(F.sum("total").alias("_whole"))
@@ -172,7 +172,7 @@ def time_series_line(df: DataFrame, date: str, value: str, unit: str | None = No
     require_numeric(df, value)
     rows = df.select(date, value).where(F.col(date).isNotNull() & number(value).isNotNull())
     if unit is None:
-        return rows.orderBy(date)
+        return sorted_rows(rows, date)
     x = number(value)
     return (rows.groupBy(F.date_trunc(unit, date).cast("timestamp_ntz").alias("period"))
             .agg(F.avg(x).alias("mean"), F.min(x).alias("low"), F.max(x).alias("high"), F.count(x).alias("n"))

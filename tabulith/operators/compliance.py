@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import number, percent, strip
-from tabulith.functions.kinds import is_numeric, require_columns, resolve_column
+from tabulith.functions.kinds import is_numeric, present, require_columns, resolve_column
+from tabulith.operators.ordering import sorted_rows
 from tabulith.operators.windows import sequence_gaps
 from tabulith.session import lookup
 
@@ -24,7 +25,7 @@ AMOUNT_NAMES = ("amount", "total", "value", "invoice_amount", "net_amount")
 def _rates(df: DataFrame, item: str, tax: str) -> DataFrame:
     """Per item: distinct rates, mean, min, max. Rates are counted before items are grouped."""
     x = number(tax)
-    counts = (df.select(item, x.alias("rate")).dropna(subset=[item])
+    counts = (df.select(item, x.alias("rate")).transform(present, item)
               .groupBy(item, "rate").agg(F.count("rate").alias("n")))
     return counts.groupBy(item).agg(
         F.count("rate").alias("distinct_rates"),
@@ -43,7 +44,7 @@ def tax_consistency(df: DataFrame, item: str | None = None, tax: str | None = No
 
 def tax_consistency_rates(df: DataFrame, item: str, tax: str) -> DataFrame:
     """All rates of the inconsistent items, as rows (item, rate, n) rather than one list per item."""
-    counts = (df.select(item, number(tax).alias("rate")).dropna(subset=[item])
+    counts = (df.select(item, number(tax).alias("rate")).transform(present, item)
               .groupBy(item, "rate").agg(F.count(F.lit(1)).alias("n")))
     mixed = tax_consistency(df, item, tax).select(item)
     return counts.join(mixed, item, "left_semi")
@@ -106,8 +107,8 @@ def duplicate_amounts(df: DataFrame, amount: str | None = None) -> DataFrame | N
     repeated = lookup(df.select(x.alias("_amount")).groupBy("_amount").agg(F.count(F.lit(1)).alias("_n"))
                       .where("_n > 1").select("_amount"))
     rows = df.withColumn("_x", x)
-    return (rows.join(repeated, rows["_x"].eqNullSafe(repeated["_amount"]), "left_semi").drop("_x")
-            .orderBy(F.col(amount).asc_nulls_last()))
+    found = rows.join(repeated, rows["_x"].eqNullSafe(repeated["_amount"]), "left_semi").drop("_x")
+    return sorted_rows(found, F.col(amount).asc_nulls_last())
 
 
 def compliance_summary(df: DataFrame, as_of: datetime | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import half_even, number, ratio, total
-from tabulith.functions.kinds import require_numeric
+from tabulith.functions.kinds import present, require_numeric
 from tabulith.operators.moments import quantiles
 from tabulith.operators.windows import cumulative_share
 
@@ -50,7 +50,7 @@ def budget_by_category(df: DataFrame, budget: str, actual: str, category: str) -
     """Sums per category, largest variance first; the percentage uses the rounded sums."""
     require_numeric(df, budget, actual)
     gap = number(actual) - number(budget)
-    sums = df.dropna(subset=[category]).groupBy(category).agg(
+    sums = df.transform(present, category).groupBy(category).agg(
         half_even(total(number(budget))).alias("budget"), half_even(total(number(actual))).alias("actual"),
         half_even(total(gap)).alias("variance"))
     pct = ratio(F.col("actual") - F.col("budget"), F.col("budget")) * 100.0
@@ -61,7 +61,7 @@ def expense_breakdown(df: DataFrame, amount: str, category: str) -> DataFrame:
     """Per category total, average, count, min, max, share of the rounded total and running share."""
     require_numeric(df, amount)
     x = number(amount)
-    groups = df.dropna(subset=[category]).groupBy(category).agg(
+    groups = df.transform(present, category).groupBy(category).agg(
         half_even(total(x)).alias("total"), half_even(F.avg(x)).alias("average"), F.count(x).alias("count"),
         half_even(F.min(x)).alias("min"), half_even(F.max(x)).alias("max"))
     whole = groups.agg(F.sum("total")).first()[0] or 0.0
@@ -105,7 +105,7 @@ def effective_rates(df: DataFrame, amount: str, tax: str) -> DataFrame:
 
 def tax_rate_detail(df: DataFrame, amount: str, tax: str, item: str) -> DataFrame:
     """Every effective rate of every item with its row count."""
-    return (effective_rates(df, amount, tax).dropna(subset=[item])
+    return (effective_rates(df, amount, tax).transform(present, item)
             .groupBy(item, "effective_rate").agg(F.count(F.lit(1)).alias("n")))
 
 

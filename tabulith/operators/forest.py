@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import number
-from tabulith.functions.kinds import numeric_columns, require_numeric
+from tabulith.functions.kinds import numeric_columns, present, require_numeric
 from tabulith.operators.moments import quantiles
 from tabulith.session import cut_lineage
 
@@ -133,7 +133,7 @@ def isolation_forest(df: DataFrame, columns: Sequence[str] | None = None, contam
     require_numeric(df, *names)
     cells = {c: f"_f{i}" for i, c in enumerate(names)}
     wide = df.withColumns({alias: number(c) for c, alias in cells.items()})
-    complete = wide.dropna(subset=list(cells.values()))
+    complete = wide.transform(present, *cells.values())
     nothing = F.lit(None).cast("double")
     pieces = complete.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
     n, busy = pieces.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import half_even, number
-from tabulith.functions.kinds import numeric_columns, require_columns, require_numeric
+from tabulith.functions.kinds import numeric_columns, present, require_columns, require_numeric
 from tabulith.functions.tails import chi2_upper, f_upper, log_normal_cdf, t_two_sided
 from tabulith.operators.moments import value_positions
 from tabulith.operators.sorting import first_rows
@@ -119,7 +119,7 @@ def shapiro_wilk_by_group(df: DataFrame, column: str, group: str, order_by: Sequ
     """One W test per group over its first ``rows`` non-null values; groups below 8 values have none."""
     require_numeric(df, column)
     order = [c for c in order_by if c not in (group, column)]
-    sample = first_rows(df.select(group, *order, number(column).alias("_x")).dropna(subset=[group, "_x"]),
+    sample = first_rows(df.select(group, *order, number(column).alias("_x")).transform(present, group, "_x"),
                         [*order, "_x"], rows, [group])
     key = df.schema[group].dataType.simpleString()
 
@@ -210,7 +210,7 @@ def chi_square(df: DataFrame, first: str, second: str) -> DataFrame:
     """
     require_columns(df, first, second)
     schema = "chi2_statistic double, p_value double, dof long, significant boolean"
-    cells = df.dropna(subset=[first, second]).groupBy(first, second).agg(F.count(F.lit(1)).alias("o"))
+    cells = df.transform(present, first, second).groupBy(first, second).agg(F.count(F.lit(1)).alias("o"))
     rows = cells.groupBy(first).agg(F.sum("o").alias("r"))
     cols = cells.groupBy(second).agg(F.sum("o").alias("c"))
     k1, n = rows.agg(F.count(F.lit(1)), F.sum("r")).first()

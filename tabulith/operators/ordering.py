@@ -33,6 +33,12 @@ def _in_part() -> WindowSpec:
     return W.partitionBy("_part").orderBy("_pos")
 
 
+def sorted_rows(df: DataFrame, *order: str | Column) -> DataFrame:
+    """The whole table sorted; rows that tie are told apart by a hash, so that a hot value does not
+    end up in one partition."""
+    return df.orderBy(*order, F.xxhash64(*df.columns))
+
+
 def lay_out(df: DataFrame, order_by: Order) -> DataFrame:
     """The rows with ``_part`` and ``_pos``, fixed on disk in the given order."""
     ordered = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import half_even, number, ratio
-from tabulith.functions.kinds import is_numeric, is_text, require_columns, require_numeric
+from tabulith.functions.kinds import is_numeric, is_text, present, require_columns, require_numeric
 
 MAX_WIDE_VALUES = 1_000
 
@@ -128,7 +128,10 @@ def filter_compare(df: DataFrame, column: str, operator: str, value) -> DataFram
     require_columns(df, column)
     operator = {"equals": "=="}.get(operator, operator)
     if is_numeric(df, column):
-        left, right = number(column), F.lit(float(value))
+        # the bare column, so that the test reaches the file scan
+        left, right = F.col(column), F.lit(float(value))
+        if operator in (">", ">="):
+            df = present(df, column)  # NaN is no large number
     else:
         left, right = F.lower(F.col(column).cast("string")), F.lit(str(value).lower())
     if operator == "==":
@@ -152,7 +155,7 @@ def filter_contains(df: DataFrame, column: str, pattern: str, negate: bool = Fal
 
 def filter_between(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     require_numeric(df, column)
-    return df.where(number(column).between(low, high))
+    return df.where(F.col(column).between(float(low), float(high)))
 
 
 def filter_auto(df: DataFrame, column: str, value: str) -> DataFrame:

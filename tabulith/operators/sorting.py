@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulith.functions.kinds import require_columns, require_numeric
-from tabulith.operators.ordering import Order, with_ordinal
+from tabulith.operators.ordering import Order, sorted_rows, with_ordinal
 
 _SALTS = 64
 
@@ -35,7 +35,7 @@ def top_bottom_n(df: DataFrame, column: str, n: int = 5, ties: Sequence[str] = (
 def sort_by(df: DataFrame, column: str, ascending: bool = False) -> DataFrame:
     require_columns(df, column)
     c = F.col(column)
-    return df.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last())
+    return sorted_rows(df, c.asc_nulls_last() if ascending else c.desc_nulls_last())
 
 
 def systematic_sample(df: DataFrame, order_by: Sequence[str], size: int = 100) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulith.functions.columns import half_even, number, relative_change
-from tabulith.functions.kinds import require_columns, require_numeric
+from tabulith.functions.kinds import present, require_columns, require_numeric
 from tabulith.operators.aggregation import simple_agg
 from tabulith.operators.moments import quantiles, value_positions
 from tabulith.operators.ordering import (
@@ -35,7 +35,7 @@ def moving_average(df: DataFrame, order_by: Sequence[str], value: str, window: i
     """
     require_numeric(df, value)
     cols = list(dict.fromkeys([*keys, *order_by, value]))
-    rows = df.select(*cols).dropna(subset=cols)
+    rows = df.select(*cols).transform(present, *cols)
     numbered = with_ordinal(rows, [*keys, *order_by], "_ord")
     size = max(_CHUNK, 10 * window)
     chunk = F.expr(f"_ord div {size}")
@@ -73,7 +73,7 @@ def ema(df: DataFrame, order_by: Sequence[str], value: str, span: int = 7,
     """
     require_numeric(df, value)
     cols = list(dict.fromkeys([*keys, *order_by, value]))
-    rows = df.select(*cols).dropna(subset=cols).withColumn(value, number(value))
+    rows = df.select(*cols).transform(present, *cols).withColumn(value, number(value))
     laid = lay_out(rows, [*keys, *order_by])
     alpha = 2.0 / (span + 1.0)
     names = list(keys)
@@ -181,7 +181,7 @@ def percentile_rank(df: DataFrame, column: str, category: str | None = None) ->
     """Adds ``{column}_percentile``: average rank / count within the category, times 100."""
     require_numeric(df, column)
     keys = [category] if category else []
-    rows = _present(df, [*keys, column])
+    rows = present(df, *keys, column)
     ranks = value_positions(rows, column, keys).select(
         *keys, F.col("value").alias("_v"),
         (half_even((F.col("before") + (F.col("cnt") + 1) / 2.0) / F.col("n"), 3) * 100.0).alias(f"{column}_percentile"))
@@ -189,15 +189,11 @@ def percentile_rank(df: DataFrame, column: str, category: str | None = None) ->
             .select(*df.columns, f"{column}_percentile"))
 
 
-def _present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(columns))
-
-
 def _ranked_groups(df: DataFrame, category: str, value: str, agg: Column) -> tuple[DataFrame, float]:
     """Grouped values laid out largest first with their running sum, and the grand total."""
     require_columns(df, category)
     require_numeric(df, value)
-    grouped = _present(df, [category]).groupBy(category).agg(agg.alias("value")).where("value IS NOT NULL")
+    grouped = present(df, category).groupBy(category).agg(agg.alias("value")).where("value IS NOT NULL")
     laid = lay_out(grouped, [F.col("value").desc(), F.col(category)])
     total = laid.agg(F.sum("value")).first()[0]
     return number_rows(running_total(laid, "value", "running"), "position"), total
