@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabulith.functions.columns import number
 from tabulith.functions.kinds import numeric_columns, present, require_numeric
 from tabulith.operators.moments import quantiles
-from tabulith.session import cut_lineage
+from tabulith.session import cut_lineage, written_once
 
 TREES = 100
 SUBSAMPLE = 256
@@ -146,7 +146,8 @@ def isolation_forest(df: DataFrame, columns: Sequence[str] | None = None, contam
     cores = df.sparkSession.sparkContext.defaultParallelism
     if busy < cores:
         complete = complete.repartition(cores)
-    scored = cut_lineage(complete.withColumn("_s", score(F.struct(*cells.values()))).select(*df.columns, "_s"))
+    scored = written_once(complete.withColumn("_s", score(F.struct(*cells.values()))).select(*df.columns, "_s"),
+                          "scored")
     cut = quantiles(scored, ["_s"], [contamination]).first()["q"][0]
     out = scored.withColumn("anomaly_score", F.col("_s") - F.lit(cut)).withColumn(
         "is_anomaly", F.col("anomaly_score") < 0).drop("_s")

@@ -13,6 +13,7 @@ from tabulith.operators import aggregation, anomalies, insights, joins, profilin
 from tabulith.operators.forest import isolation_forest
 from tabulith.operators.neighbours import lof
 from tabulith.plans.cleaning import Cleaned
+from tabulith.session import written_once
 from tabulith.sources.report import column_profile
 
 
@@ -37,9 +38,11 @@ def run_analysis(df: DataFrame, order_by: Sequence[str]) -> dict[str, DataFrame]
 
 
 def run_insights(cleaned: Cleaned, order_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(findings, one-row summary) for a cleaned table and its report."""
-    found = insights.insights(cleaned.table, order_by, cleaned.data_completeness, cleaned.duplicates_removed)
-    return found, insights.insight_summary(cleaned.table, order_by, found)
+    """(findings, one-row summary) for a cleaned table and its report. The rules read the table many
+    times, so the cleaning is done once and kept."""
+    table = written_once(cleaned.table, "cleaned")
+    found = insights.insights(table, order_by, cleaned.data_completeness, cleaned.duplicates_removed)
+    return found, insights.insight_summary(table, order_by, found)
 
 
 @dataclass

@@ -22,6 +22,7 @@ def build_session(master: str | None = None, name: str = "tabulith", **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.checkpoint.compress": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -48,6 +49,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written_once(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, for wide tables that several passes read a
+    few columns of."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def lookup(df: DataFrame) -> DataFrame:
     """A reduced table to join a big one with: computed first, and broadcast if it turns out small.
 
