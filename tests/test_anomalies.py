@@ -53,11 +53,11 @@ def test_isolation_forest_finds_planted_rows(spark):
     x[:20] = rng.normal(12, 1, (20, 3))
     pdf = pd.DataFrame(x, columns=list("abc")).assign(id=range(len(x)))
     df = spark.createDataFrame(pdf).withColumn("c", F.when(F.col("id") != 100, F.col("c")))
-    out = isolation_forest(df, list("abc"), 0.02).toPandas().set_index("id")
+    out = isolation_forest(df, list("abc"), 0.02).toPandas().set_index("id").sort_index()
     assert out["is_anomaly"].loc[:19].all()
     assert out["is_anomaly"].sum() == pytest.approx(0.02 * 2999, abs=2)
     assert np.isnan(out.loc[100, "anomaly_score"]) and not out.loc[100, "is_anomaly"]
-    again = isolation_forest(df, list("abc"), 0.02).toPandas().set_index("id")
+    again = isolation_forest(df, list("abc"), 0.02).toPandas().set_index("id").sort_index()
     assert np.allclose(out["anomaly_score"].drop(100), again["anomaly_score"].drop(100).loc[out.index.drop(100)])
     assert isolation_forest(df.limit(5), list("abc")).count() == 0
 
