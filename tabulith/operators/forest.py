@@ -78,7 +78,7 @@ def fit_forest(data: DataFrame, columns: Sequence[str], n: int, trees: int = TRE
              .withColumn("_draw", F.pmod(F.xxhash64("_id", "tree", F.lit(seed)), F.lit(slots)))
              .where(F.col("_draw") < int(wanted * slots)))
     names = list(columns)
-    limit = max(1, math.ceil(math.log2(max(size, 2))))
+    limit = _height(size)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # about 1.5 x 256 rows of one tree
@@ -88,32 +88,40 @@ def fit_forest(data: DataFrame, columns: Sequence[str], n: int, trees: int = TRE
         return pd.DataFrame({"tree": [int(key[0])], **{k: [v] for k, v in nodes.items()}})
 
     # a few hundred rows per tree would be merged into one task; the trees should grow side by side
-    spread = draws.repartition(trees, "tree")
+    spread = draws.repartition(min(trees, data.sparkSession.sparkContext.defaultParallelism), "tree")
     return spread.groupBy("tree").applyInPandas(fit, _TREE).orderBy("tree").collect(), size
 
 
+def _height(size: int) -> int:
+    return max(1, math.ceil(math.log2(max(size, 2))))
+
+
+def _flat(tree) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A tree in which leaves lead to themselves, so that every row takes the same number of steps:
+    feature, threshold, child (two slots per node, upper and lower) and path length."""
+    feature = np.asarray(tree["feature"])
+    leaf, me = feature < 0, np.arange(len(feature))
+    child = np.stack([np.where(leaf, me, tree["upper"]), np.where(leaf, me, tree["lower"])], axis=1)
+    return (np.where(leaf, 0, feature), np.where(leaf, np.inf, tree["threshold"]), child.ravel(),
+            np.asarray(tree["path"]))
+
+
 def _scorer(spark, forest: list, size: int):
     """A vectorized function from feature columns to the score (the lower, the more unusual)."""
-    trees = spark.sparkContext.broadcast([
-        tuple(np.asarray(t[k]) for k in ("feature", "threshold", "lower", "upper", "path")) for t in forest])
-    scale = average_path(size) or 1.0
+    trees = spark.sparkContext.broadcast([_flat(t) for t in forest])
+    scale, height = average_path(size) or 1.0, _height(size)
 
     @F.pandas_udf("double")
     def score(features: pd.DataFrame) -> pd.Series:
         x = features.to_numpy(dtype="float64")
-        rows = np.arange(len(x))
+        cells, start = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
         depth = np.zeros(len(x))
-        for feature, threshold, lower, upper, path in trees.value:
+        for feature, threshold, child, path in trees.value:
             at = np.zeros(len(x), dtype=np.int64)
-            moving = rows
-            while len(moving):
-                f = feature[at[moving]]
-                inner = f >= 0
-                moving, f = moving[inner], f[inner]
-                if len(moving):
-                    here = at[moving]
-                    at[moving] = np.where(x[moving, f] <= threshold[here], lower[here], upper[here])
-            depth += path[at]
+            for _ in range(height):
+                is_low = cells.take(start + feature.take(at)) <= threshold.take(at)
+                at = child.take(2 * at + is_low)
+            depth += path.take(at)
         return pd.Series(-np.exp2(-depth / len(trees.value) / scale))
 
     return score
