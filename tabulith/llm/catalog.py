@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("language",)
+MODULES = ("language", "forest", "decontam", "packing", "topk")
 
 for _name in MODULES:
     import_module(f"{__package__}.{_name}")

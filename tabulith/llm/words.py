@@ -18,6 +18,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(1, 257, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
+#: separators of ``bare`` words: all ASCII but letters and digits
+_NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -61,12 +63,15 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np.
         row = last
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and for each row the number of the first word at or after it."""
+def spans(data: np.ndarray, offsets: np.ndarray, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and for each row the number of the first word at or after it.
+
+    ``bare``: words are runs of letters, digits and non-ASCII bytes, so punctuation doesn't count.
+    """
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    solid = ~_SPACE[data]
+    solid = ~(_NOT_ALNUM if bare else _SPACE)[data]
     before = np.empty(n, bool)
     before[:1] = False
     before[1:] = solid[:-1]
@@ -78,9 +83,9 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and word offsets of the rows."""
-    starts, ends, first = spans(data, offsets)
+    starts, ends, first = spans(data, offsets, bare)
     return mix(span_hashes(data, starts, ends)), first
 
 
