@@ -7,7 +7,7 @@ reach the driver, a node with very many links is pre-aggregated, and its join is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.session import cut_lineage
@@ -16,11 +16,12 @@ from tabulith.session import cut_lineage
 BROADCAST_BYTES = 32 << 20
 
 
-def sized(rows: DataFrame, wide: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A table of ids, and of one ``wide`` column, for a join: broadcast up to ``limit`` bytes, else left to a
-    shuffle."""
+def sized(rows: DataFrame, wide: str | Column | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A table of ids, and of one ``wide`` text or binary column (or the number of bytes of what is wide), for a join:
+    broadcast up to ``limit`` bytes, else left to a shuffle."""
     fixed = cut_lineage(rows)
-    size = F.lit(32) + (F.coalesce(F.octet_length(wide), F.lit(0)) if wide else F.lit(0))
+    width = F.octet_length(wide) if isinstance(wide, str) else F.lit(0) if wide is None else wide
+    size = F.lit(32) + F.coalesce(width, F.lit(0))
     return F.broadcast(fixed) if (fixed.agg(F.sum(size)).first()[0] or 0) <= limit else fixed
 
 
