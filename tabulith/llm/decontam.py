@@ -6,9 +6,9 @@ every hit the two texts are compared word by word along the hit's diagonal, and
 overlap if at least ``IDENTITY`` percent of its words agree and it has ``MIN_WORDS`` words, or the whole item
 where that is shorter. Words are runs of letters and digits, lower-cased; punctuation does not count.
 
-The corpus is read once: a task keeps the stretches of text around positions whose seed may be a test seed,
-told by a bit table of the test seeds. The table only saves work: beyond ``TABLE_SEEDS`` seeds, where it would no
-longer be small, all positions are joined.
+The corpus is read once: a task keeps the stretches of text around positions whose seed is a test seed, told by a bit
+table and the sorted test seeds. They only save work: beyond ``TABLE_SEEDS`` seeds, where they would no longer be
+small, all positions are joined.
 
 Null or word-free texts and items overlap with nothing. Repeated items are separate items, repeated rows give
 repeated overlaps only once per ``doc_id`` and ``item_id``. Rows without an id are not compared.
@@ -33,8 +33,8 @@ from .registry import query, table
 MASKS = ("110110010111", "1110010110011", "1101010011011", "11111111")
 MIN_WORDS = 13
 IDENTITY = 80
-#: test seeds that a bit table is made of: at 16 bits a seed, 32 MB
-TABLE_SEEDS = 1 << 24
+#: test seeds that tasks look up by themselves: at 8 bytes and 64 to 128 bits a seed, 96 MB at most
+TABLE_SEEDS = 1 << 22
 
 
 def _mask_seeds(words: np.ndarray, offsets: np.ndarray, number: int, total: int) -> np.ndarray:
@@ -60,6 +60,11 @@ def _seeds(words: np.ndarray, first: np.ndarray, masks: list[np.ndarray]):
         yield np.flatnonzero(inside), seeds[inside]
 
 
+def _short(words: np.ndarray) -> bytes:
+    """Half of each word's hash, enough to compare two texts."""
+    return (words >> np.uint64(32)).astype("<u4").tobytes()
+
+
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out, sizes = [], []
@@ -89,12 +94,12 @@ def _item_seeds(masks: tuple[str, ...]):
     return run
 
 
-def _stretches(masks: tuple[str, ...], margin: int, bits, shift: int):
+def _stretches(masks: tuple[str, ...], margin: int, tables, shift: int):
     """Runs of words around possible hits, with the hits' places in the run and seeds."""
     offsets = _offsets(masks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if bits is None else bits.value
+        bits, ordered = (None, None) if tables is None else tables.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             rows = []
@@ -102,10 +107,12 @@ def _stretches(masks: tuple[str, ...], margin: int, bits, shift: int):
                 words, first = W.word_hashes(data, edges, bare=True)
                 starts, seeds = [], []
                 for s, x in _seeds(words, first, offsets):
-                    if known is not None:
+                    if bits is not None:
                         slot = x >> np.uint64(shift)
-                        hit = (known[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                        s, x = s[hit], x[hit]
+                        maybe = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                        s, x = s[maybe], x[maybe]
+                        real = ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+                        s, x = s[real], x[real]
                     starts.append(s)
                     seeds.append(x)
                 starts, seeds = np.concatenate(starts), np.concatenate(seeds)
@@ -118,7 +125,7 @@ def _stretches(masks: tuple[str, ...], margin: int, bits, shift: int):
                 for lo, hi in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(starts)]))):
                     k = owner[lo]
                     begin, end = max(first[k], starts[lo] - margin), min(first[k + 1], starts[hi - 1] + margin)
-                    rows.append((int(ids[row + k]), int(begin - first[k]), words[begin:end].tobytes(),
+                    rows.append((int(ids[row + k]), int(begin - first[k]), _short(words[begin:end]),
                                  (starts[lo:hi] - begin).tolist(), seeds[lo:hi].view(np.int64).tolist()))
             columns = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
@@ -141,7 +148,7 @@ def _verify(min_words: int, identity: int):
         for batch in batches:
             rows = []
             for doc, at, stretch, item, diagonal, test in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = np.frombuffer(stretch, np.uint64), np.frombuffer(test, np.uint64)
+                x, y = np.frombuffer(stretch, "<u4"), np.frombuffer(_short(np.frombuffer(test, np.uint64)), "<u4")
                 lo, hi = max(0, -diagonal), min(len(y), len(x) - diagonal)
                 if hi <= lo:
                     continue
@@ -170,17 +177,17 @@ def overlaps(docs: DataFrame, tests: DataFrame, masks: tuple[str, ...] = MASKS,
     seeds = cut_lineage(items.mapInArrow(_item_seeds(masks), "seed long, item_id long, item_at int"))
     margin = max(longest, sizes[0] or 0)
     count = seeds.count()
-    bits, shift = None, 0
+    tables, shift = None, 0
     if count <= TABLE_SEEDS:
-        size = max(16, (16 * count).bit_length())
+        size = max(22, (64 * count).bit_length())
         shift = 64 - size
         marks = np.zeros(1 << (size - 3), np.uint8)
-        for batch in seeds.select("seed").toArrow().to_batches():
-            slot = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(shift)
-            np.bitwise_or.at(marks, slot >> np.uint64(3), np.left_shift(1, slot & np.uint64(7)).astype(np.uint8))
-        bits = spark.sparkContext.broadcast(marks)
+        ordered = np.sort(np.append(seeds.select("seed").distinct().toArrow().column(0).to_numpy().view(np.uint64), np.uint64(0)))
+        slot = ordered >> np.uint64(shift)
+        np.bitwise_or.at(marks, slot >> np.uint64(3), np.left_shift(1, slot & np.uint64(7)).astype(np.uint8))
+        tables = spark.sparkContext.broadcast((marks, ordered))
     found = cut_lineage(texts.mapInArrow(
-        _stretches(masks, margin, bits, shift),
+        _stretches(masks, margin, tables, shift),
         "doc_id long, doc_at int, stretch binary, places array<int>, seeds array<long>"))
     hits = found.select("doc_id", "doc_at", F.explode(F.arrays_zip("places", "seeds")).alias("hit")).select(
         "doc_id", "doc_at", F.col("hit.places").alias("place"), F.col("hit.seeds").alias("seed"))
