@@ -2,8 +2,8 @@
 
 A seed hashes the words at the set positions of a fixed mask and ignores the others, so a copied passage still
 shares seeds where words were replaced. Seeds of the corpus are joined with seeds of the test items; around
-every hit the two texts are compared word by word along the hit's diagonal, and the best stretch counts as an
-overlap if at least ``IDENTITY`` percent of its words agree and it has ``MIN_WORDS`` words, or the whole item
+every hit the two texts are compared word by word along the hit's diagonal. The longest stretch that begins and ends
+with equal words and has ``IDENTITY`` percent of them is an overlap if it has ``MIN_WORDS`` words, or as many as the item
 where that is shorter. Words are runs of letters and digits, lower-cased; punctuation does not count.
 
 The corpus is read once: a task keeps the stretches of text around positions whose seed is a test seed, told by a bit
@@ -29,8 +29,10 @@ from . import words as W
 from .components import sized
 from .registry import query, table
 
-#: 1: the word counts. Every mask takes eight of at most thirteen words.
-MASKS = ("110110010111", "1110010110011", "1101010011011", "11111111")
+#: 1: the word counts. Together they find any 13 words of which at most two are replaced, wherever these are.
+MASKS = ("111001011", "10110110001", "10000111011")
+#: for items that have fewer words than that; where an item is shorter still, the whole of it is a seed
+SHORT_MASK = "111111"
 MIN_WORDS = 13
 IDENTITY = 80
 #: test seeds that tasks look up by themselves: at 8 bytes and 64 to 128 bits a seed, 96 MB at most
@@ -136,11 +138,15 @@ def _stretches(masks: tuple[str, ...], margin: int, tables, shift: int):
 
 
 def _best(equal: np.ndarray, identity: int) -> tuple[int, int]:
-    """The stretch with most agreement over the required share: start and end."""
+    """The longest stretch that begins and ends with equal words and has the required share of them: start and end."""
+    at = np.flatnonzero(equal)
+    if not len(at):
+        return 0, 0
     gains = np.concatenate(([0], np.cumsum(np.where(equal, 100 - identity, -identity))))
-    floor = np.minimum.accumulate(gains)
-    end = int((gains - floor).argmax())
-    return int(gains[:end + 1].argmin()), end
+    low = np.minimum.accumulate(gains[at])
+    starts = at[np.searchsorted(-low, -gains[at + 1])]  # the first start that an end can have
+    longest = int((at - starts).argmax())
+    return int(starts[longest]), int(at[longest]) + 1
 
 
 def _verify(min_words: int, identity: int):
@@ -171,9 +177,10 @@ def overlaps(docs: DataFrame, tests: DataFrame, masks: tuple[str, ...] = MASKS,
     items = cut_lineage(tests.select(F.col("item_id").cast("long").alias("item_id"), "text").where(
         "item_id is not null and text is not null").mapInArrow(_items, "item_id long, item binary, item_words int"))
     longest = max(len(m) for m in masks)
-    sizes = items.agg(F.max("item_words"), F.collect_set(F.when(F.col("item_words") < min(map(len, masks)), F.col("item_words")))).first()
-    # items shorter than every mask are seeds as a whole
-    masks = (*masks, *("1" * n for n in sorted(sizes[1]) if n))
+    sizes = items.agg(F.max("item_words"), F.min("item_words"), F.collect_set(
+        F.when(F.col("item_words") < len(SHORT_MASK), F.col("item_words")))).first()
+    if sizes[1] is not None and sizes[1] < min_words:
+        masks = (*masks, SHORT_MASK, *("1" * n for n in sorted(sizes[2]) if n))
     seeds = cut_lineage(items.mapInArrow(_item_seeds(masks), "seed long, item_id long, item_at int"))
     margin = max(longest, sizes[0] or 0)
     count = seeds.count()
