@@ -32,8 +32,9 @@ from .urls import host_and_path
 #: labelled rows that the classifier is fitted on at most, buckets of hashed words
 SAMPLE_ROWS = 8000
 BUCKETS = 1 << 18
-#: steps and strength of the penalty of the fit
-STEPS, RIDGE = 150, 1e-3
+#: steps and strength of the penalty of the fit; least chi-square with a label that a word needs to be used
+STEPS, RIDGE = 300, 1e-4
+LEAST_CHI_SQUARE, LEAST_ROWS = 20.0, 5
 #: weight of a document without a label in its site's counts
 SOFT_WEIGHT = 0.1
 #: a prior counts as so many documents at least and at most
@@ -89,6 +90,15 @@ def _logistic(dense: np.ndarray, owner: np.ndarray, column: np.ndarray, width: i
     return params[:cut], params[cut:-1], params[-1]
 
 
+def _telling(column: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Buckets that go with the label by a chi-square test; the many others would only let a fit learn rows by heart."""
+    seen, good = np.bincount(column, minlength=BUCKETS), np.bincount(column, y, BUCKETS)
+    rate = rows.mean()
+    spread = seen * rate * (1 - rate) * (1 - seen / len(rows))
+    off = np.maximum(np.abs(good - seen * rate) - 0.5, 0)
+    return (seen >= LEAST_ROWS) & (off ** 2 >= LEAST_CHI_SQUARE * np.maximum(spread, 1e-9))
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict | None:
     """A classifier for each label, from at most about ``rows`` labelled documents that are not held out, drawn by a
     hash of ``doc_id``."""
@@ -106,10 +116,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict | N
     sizes = np.array([len(b) // 4 for b in sample["buckets"].to_pylist()])
     column = np.frombuffer(b"".join(sample["buckets"].to_pylist()), np.int32)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    often = np.bincount(column, minlength=BUCKETS) >= 2  # a word seen once tells nothing about others
-    place = np.cumsum(often) - 1
-    use = often[column]
-    owner, column = owner[use], place[column[use]]
     mean, spread = dense.mean(axis=0), dense.std(axis=0)
     dense = (dense - mean) / np.where(spread > 1e-9, spread, 1)
     heads = {}
@@ -117,11 +123,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict | N
         y = sample[name].to_numpy().astype(float)
         known = np.isfinite(y)
         if known.any() and 0 < y[known].mean() < 1:
-            pick = known[owner]
+            use = known[owner]
+            use[use] = _telling(column[use], y[owner[use]], y[known])[column[use]]
+            chosen = np.unique(column[use])
             rank = np.cumsum(known) - 1
-            a, b, c = _logistic(dense[known], rank[owner[pick]], column[pick], int(often.sum()), y[known])
+            a, b, c = _logistic(dense[known], rank[owner[use]], np.searchsorted(chosen, column[use]), len(chosen), y[known])
             words = np.zeros(BUCKETS, np.float32)
-            words[often] = b
+            words[chosen] = b
             heads[name] = (a, words, c)
     return {"mean": mean, "spread": np.where(spread > 1e-9, spread, 1), "heads": heads}
 
@@ -162,7 +170,7 @@ def _log_odds(p):
 
 
 def _sigmoid(z):
-    return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+    return F.when(z.isNotNull(), 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0)))))
 
 
 def assess(docs: DataFrame, labels: DataFrame, model: dict | None) -> DataFrame:
