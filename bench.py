@@ -8,12 +8,13 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tabulith import catalog  # noqa: E402
-from tabulith.session import build_session  # noqa: E402
+from tabulith.session import build_session, discard_scratch  # noqa: E402
 
 HEADLINE = (
     "group_agg_sum", "group_agg_median", "multi_agg", "pivot_table", "describe_numeric", "describe_categorical", "kpis",
@@ -30,7 +31,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(f"local[{cpus}]", "bench", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")})
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"), "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")})
     spark.sparkContext.setLogLevel("ERROR")
     catalog.load()
     names = sys.argv[1:] or HEADLINE
@@ -42,6 +43,7 @@ def main() -> None:
         start = time.perf_counter()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        discard_scratch(spark)
         print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf_dir.rstrip("/"))}))

@@ -1,5 +1,7 @@
 """Outlier queries."""
 
+from pyspark.sql import functions as F
+
 from tabulith.catalog import query, table
 from tabulith.catalog.aggregation import each, rounded
 from tabulith.operators import anomalies as A
@@ -65,9 +67,34 @@ def _(spark, sf):
     return A.flag_anomalies(events, A.column_bounds(events, "zscore", 2.0, ["value"])).select("event_id", "value_anomaly")
 
 
-@query("isolation_forest")
+#: columns that are planted with extreme values, and one in which a gap is planted
+FOREST_COLUMNS = {"lineitem": ("l_quantity", "l_extendedprice", "l_tax"), "customer": ("c_custkey", "c_acctbal", "c_acctbal")}
+
+
+def forest_report(spark, sf, name, search, contamination):
+    """A forest's random trees have no SQL twin, but its promises have: with ten extreme rows and ten rows with a gap added
+    to the whole table, all extreme rows are flagged, no row with a gap has a score, and the flagged share is right."""
+    first, second, gap = FOREST_COLUMNS[name]
+    rows = table(spark, sf, name).withColumn("_planted", F.lit("no"))
+    some = rows.orderBy(*rows.columns).limit(10)
+    far = some.withColumns({first: F.col(first) * 0 + 10 ** 7, second: F.col(second) * 0 + 10.0 ** 9, "_planted": F.lit("far")})
+    gaps = some.withColumns({gap: F.lit(None).cast("double"), "_planted": F.lit("gap")})
+    found = search(rows.unionByName(far).unionByName(gaps))
+    share = F.count_if("is_anomaly") / F.count("anomaly_score")
+    return found.agg(F.count("*").alias("n_rows"), F.count("anomaly_score").alias("scored"),
+                     F.count_if(F.col("is_anomaly") & (F.col("_planted") == "far")).alias("planted_flagged"),
+                     F.count_if(F.col("is_anomaly") & (F.col("_planted") == "gap")).alias("gaps_flagged"),
+                     (F.abs(share - contamination) < 0.02).alias("share_is_right"))
+
+
+def forest_sql(name):
+    return f"""SELECT count(*) + 20 AS n_rows, count(*) + 10 AS scored, 10::BIGINT AS planted_flagged, 0::BIGINT AS gaps_flagged,
+ true AS share_is_right FROM {name}"""
+
+
+@query("isolation_forest", forest_sql("lineitem"))
 def _(spark, sf):
-    return isolation_forest(table(spark, sf, "lineitem"))
+    return forest_report(spark, sf, "lineitem", isolation_forest, 0.05)
 
 
 def lof_sql(tab: str, key: str, columns, k: int, contamination: float) -> str:

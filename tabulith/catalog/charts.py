@@ -79,9 +79,12 @@ def _(spark, sf):
     return rounded(C.hierarchy_rollup(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice"), "total")
 
 
-@query("scatter_sample")
+@query("scatter_sample", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
+ WHERE ('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber)), 1, 7))::BIGINT
+  < floor(least(1, 2000::DOUBLE / (SELECT count(*) FROM lineitem)) * 268435456)""")
 def _(spark, sf):
-    return C.scatter_sample(table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey"], points=2000)
+    return C.scatter_sample(table(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+                            ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"], points=2000)
 
 
 @query("composition_over_time", """WITH c AS (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS period, o_orderstatus, sum(o_totalprice) AS total FROM orders GROUP BY 1, 2)

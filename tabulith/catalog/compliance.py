@@ -74,8 +74,8 @@ def _(spark, sf):
     return C.duplicate_amounts(table(spark, sf, "orders"), "o_totalprice")
 
 
-_BILLS = """(SELECT o_orderkey AS invoice_no, o_orderdate AS invoice_date, o_totalprice AS amount FROM orders
- WHERE o_orderpriority = '1-URGENT')"""
+# invoice numbers are moved up by 10 after every 50, which plants the gaps
+_BILLS = """(SELECT o_orderkey + 10 * (o_orderkey // 50) AS invoice_no, o_orderdate AS invoice_date, o_totalprice AS amount FROM orders)"""
 
 
 @query("compliance_summary", f"""WITH b AS (SELECT * FROM {_BILLS}),
@@ -84,10 +84,10 @@ _BILLS = """(SELECT o_orderkey AS invoice_no, o_orderdate AS invoice_date, o_tot
    count(*) FILTER (invoice_date < TIMESTAMP '2000-01-01' - INTERVAL 730 DAYS) AS aged,
    (SELECT count(*) FROM g WHERE gap > 3 * (SELECT quantile_cont(gap, 0.5) FROM g)) AS sequence_gaps, 0::BIGINT AS missing_tax_ids,
    (SELECT count(*) FROM b WHERE amount IN (SELECT amount FROM b GROUP BY 1 HAVING count(*) > 1)) AS duplicate_amount_rows FROM b)
- SELECT 4::INT AS total_checks, 1::INT AS checks_with_issues, future_dated + aged + sequence_gaps AS total_issues,
+ SELECT 4::INT AS total_checks, (future_dated + aged + sequence_gaps > 0)::INT AS checks_with_issues, future_dated + aged + sequence_gaps AS total_issues,
   CASE WHEN future_dated + aged + sequence_gaps = 0 THEN 'Clean' WHEN future_dated + aged + sequence_gaps < 5 THEN 'Minor Issues'
    ELSE 'Needs Review' END AS overall_status, * FROM n""")
 def _(spark, sf):
-    bills = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").selectExpr(
-        "o_orderkey AS invoice_no", "o_orderdate AS invoice_date", "o_totalprice AS amount")
+    bills = table(spark, sf, "orders").selectExpr(
+        "o_orderkey + 10 * (o_orderkey div 50) AS invoice_no", "o_orderdate AS invoice_date", "o_totalprice AS amount")
     return C.compliance_summary(bills, _AS_OF)

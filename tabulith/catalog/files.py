@@ -63,6 +63,27 @@ def _(spark, sf):
     return spark.read.parquet(written["anomalies"])
 
 
+_ORDER_NUMBERS = ("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("report_sections", f"""SELECT * FROM (SELECT 'cleaned_data' AS section, count(*) AS n_rows, 6::INT AS n_columns FROM orders
+ UNION ALL SELECT 'column_totals', 6, 9 UNION ALL SELECT 'dashboard', 3, NULL UNION ALL SELECT 'statistics', 3, NULL
+ UNION ALL SELECT 'anomalies', count(*), 8 FROM ({hits_sql(_ORDER_NUMBERS, "orders", 1.7, _ZHITS)})
+ UNION ALL SELECT 'data_profile', 6, NULL)""")
+def _(spark, sf):
+    from pyspark.sql import functions as F
+    orders = table(spark, sf, "orders")
+    written = report.report_sink(report.report_sections(orders, ["o_orderkey"], threshold=1.7), scratch_path(spark, "report"))
+    counted = {"cleaned_data", "column_totals", "anomalies"}
+    out = None
+    for name, path in written.items():
+        rows = spark.read.parquet(path)
+        row = rows.agg(F.lit(name).alias("section"), F.count("*").alias("n_rows"),
+                       F.lit(len(rows.columns) if name in counted else None).cast("int").alias("n_columns"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 _TOTALS = """SELECT '{c}' AS "column", round(sum({c})::DOUBLE, 4) AS sum, round(avg({c}), 4) AS average, count({c})::DOUBLE AS count,
  min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(stddev_samp({c}), 4) AS stdev, NULL::DOUBLE AS counta, NULL::DOUBLE AS countblank FROM lineitem"""
 _FILLED = """SELECT '{c}', NULL, NULL, NULL, NULL, NULL, NULL, count({c})::DOUBLE,
@@ -72,3 +93,11 @@ _FILLED = """SELECT '{c}', NULL, NULL, NULL, NULL, NULL, NULL, count({c})::DOUBL
 @query("column_totals", each(_LINE_NUMBERS, _TOTALS) + " UNION ALL " + each(("l_returnflag", "l_linestatus", "l_shipdate"), _FILLED))
 def _(spark, sf):
     return rounded(files.column_totals(table(spark, sf, "lineitem")), "sum", "average", "stdev")
+
+
+@query("report_totals", each(_ORDER_NUMBERS, _TOTALS.replace("lineitem", "orders"))
+       + " UNION ALL " + each(("o_orderstatus", "o_orderpriority", "o_orderdate"), _FILLED.replace("lineitem", "orders")))
+def _(spark, sf):
+    sections = {"column_totals": report.report_sections(table(spark, sf, "orders"), ["o_orderkey"])["column_totals"]}
+    written = report.report_sink(sections, scratch_path(spark, "totals"))
+    return rounded(spark.read.parquet(written["column_totals"]), "sum", "average", "stdev")

@@ -2,7 +2,8 @@
 
 from tabulith.catalog import query, table
 from tabulith.operators.insights import insight_summary, insights
-from tabulith.plans.overview import detect_run, ml_anomaly_summary
+from tabulith.catalog.anomalies import forest_report, forest_sql, lof_sql
+from tabulith.plans.overview import anomaly_flow, flagged_summary
 
 _VIEW = """o_orderkey, o_custkey, o_orderkey * 3 + o_custkey * 0.5 AS score,
  CASE WHEN o_custkey < 20 THEN o_totalprice * 100 ELSE o_totalprice END AS amount,
@@ -57,10 +58,10 @@ def _group_rules(g: str, c: str) -> str:
 def _insight_sql() -> str:
     pairs = [(a, b) for i, a in enumerate(_NUMBERS) for b in _NUMBERS[i + 1:]]
     rules = [*map(_column_rules, _NUMBERS), *map(_text_rules, _TEXTS),
-             *[_group_rules(g, c) for g in _TEXTS[:2] for c in _NUMBERS[:2]],
+             *[_group_rules(g, c) for g in _TEXTS for c in _NUMBERS],
              "SELECT 'Correlation', subject, 'info', r FROM (SELECT *, row_number() OVER (ORDER BY i) AS k FROM ("
              + " UNION ALL ".join(f"SELECT {i} AS i, '{a} & {b}' AS subject, corr({a}, {b}) AS r FROM v" for i, (a, b) in enumerate(pairs))
-             + ") WHERE abs(r) > 0.8 AND NOT isnan(r)) WHERE k <= 3",
+             + ") WHERE abs(r) > 0.8 AND NOT isnan(r))",
              "SELECT 'Sample Size', 'rows', 'warning', count(*) FROM v HAVING count(*) < 30",
              "SELECT 'Dataset', 'rows', 'positive', count(*) FROM v HAVING count(*) > 10000"]
     return (f"WITH v AS (SELECT {_VIEW} FROM orders), f AS (" + " UNION ALL ".join(rules) + """),
@@ -97,15 +98,17 @@ _ZROWS = """SELECT '{c}' AS "column", 'Z-Score' AS method, count(*) FILTER (abs(
 
 @query("detect_run", "SELECT * FROM (" + " UNION ALL ".join(_ZROWS.format(c=c) for c in ("event_id", "user_id", "value")) + ") WHERE count > 0")
 def _(spark, sf):
-    return detect_run(table(spark, sf, "events"), "Z-Score", 2.0).columns
+    return anomaly_flow(table(spark, sf, "events"), "zscore", 2.0).columns
 
 
-@query("detect_run_forest")
+@query("detect_run_forest", forest_sql("customer"))
 def _(spark, sf):
-    return detect_run(table(spark, sf, "customer"), "Isolation Forest (ML)", 2.0).rows
+    return forest_report(spark, sf, "customer", lambda df: anomaly_flow(df, "isolation_forest", 2.0).rows, 0.3)
 
 
-@query("ml_anomaly_summary")
+@query("ml_anomaly_summary", f"""SELECT 'Local Outlier Factor' AS method, 3::INT AS columns_used, count(*) FILTER (is_anomaly) AS count,
+ 'Local Outlier Factor: ' || count(*) FILTER (is_anomaly) || ' unusual row(s) over 3 column(s)' AS summary
+ FROM ({lof_sql("supplier", "s_suppkey", ("s_suppkey", "s_nationkey", "s_acctbal"), 20, 0.3)})""")
 def _(spark, sf):
-    run = detect_run(table(spark, sf, "supplier"), "Local Outlier Factor (ML)", 2.0)
-    return ml_anomaly_summary(run.rows, "Local Outlier Factor", ["s_suppkey", "s_nationkey", "s_acctbal"])
+    run = anomaly_flow(table(spark, sf, "supplier"), "lof", 2.0)
+    return flagged_summary(run.rows, "Local Outlier Factor", ["s_suppkey", "s_nationkey", "s_acctbal"])

@@ -1,18 +1,29 @@
-"""Join queries; one segment of the customers is left out, so that orders without a customer exist."""
+"""Join queries over whole tables; some keys on both sides are rewritten, so that rows without a partner exist."""
 
 from tabulith.catalog import query, table
 from tabulith.operators import joins as J
 
-_SOME = "(SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING')"
-_SOME_ORDERS = "(SELECT * FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_totalprice > 400000)"
+# the same text in both engines
+ORDER_KEY = "CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 100000000 ELSE o_custkey END"
+CUSTOMER_KEY = "CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END"
+PART_KEY = "CASE WHEN p_size <= 10 THEN -p_partkey ELSE p_partkey END"
+LINE_KEY = "CASE WHEN l_quantity > 45 THEN l_partkey + 10000000 ELSE l_partkey END"
+_SOME = f"(SELECT * REPLACE ({CUSTOMER_KEY} AS c_custkey) FROM customer)"
+_SOME_ORDERS = f"(SELECT * REPLACE ({ORDER_KEY} AS o_custkey) FROM orders)"
+
+
+def rekeyed(spark, sf, name, column, key):
+    """The whole table with ``column`` rewritten."""
+    from pyspark.sql import functions as F
+    return table(spark, sf, name).withColumn(column, F.expr(key))
 
 
 def _some_customers(spark, sf):
-    return table(spark, sf, "customer").where("c_mktsegment <> 'BUILDING'")
+    return rekeyed(spark, sf, "customer", "c_custkey", CUSTOMER_KEY)
 
 
 def _some_orders(spark, sf):
-    return table(spark, sf, "orders").where("o_orderpriority <> '1-URGENT' AND o_totalprice > 400000")
+    return rekeyed(spark, sf, "orders", "o_custkey", ORDER_KEY)
 
 
 _SQL_TYPES = {"left": "LEFT", "right": "RIGHT", "inner": "INNER", "outer": "FULL"}
@@ -28,6 +39,23 @@ for _how in _SQL_TYPES:
     _join_query(_how)
 
 
+_GAP_ORDERS = f"(SELECT * REPLACE (CASE WHEN o_orderkey % 500 = 0 THEN NULL ELSE {ORDER_KEY} END AS o_custkey) FROM orders)"
+_GAP_CUSTOMERS = f"(SELECT * REPLACE (CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE {CUSTOMER_KEY} END AS c_custkey) FROM customer)"
+
+
+def _null_match_query(how: str):
+    @query(f"smart_join_null_keys_{how}",
+           f"SELECT * FROM {_GAP_ORDERS} o {_SQL_TYPES[how]} JOIN {_GAP_CUSTOMERS} c ON o_custkey IS NOT DISTINCT FROM c_custkey")
+    def _(spark, sf):
+        orders = rekeyed(spark, sf, "orders", "o_custkey", f"CASE WHEN o_orderkey % 500 = 0 THEN NULL ELSE {ORDER_KEY} END")
+        customers = rekeyed(spark, sf, "customer", "c_custkey", f"CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE {CUSTOMER_KEY} END")
+        return J.smart_join(orders, customers, "o_custkey", "c_custkey", how, null_match=True)
+
+
+for _how in ("left", "outer"):
+    _null_match_query(_how)
+
+
 @query("smart_join_text", """SELECT l.n_nationkey, l.n_name, l.n_regionkey, r.n_nationkey AS n_nationkey_joined, r.n_name AS n_name_joined,
  r.n_regionkey AS n_regionkey_joined FROM nation l LEFT JOIN nation r ON lower(l.n_name) = lower(r.n_name)""")
 def _(spark, sf):
@@ -72,24 +100,24 @@ def quality_sql(a: str, b: str, k1: str, k2: str) -> str:
   WHEN quality_score > 50 THEN 'Partial Match' ELSE 'Poor Match' END AS quality_label FROM s"""
 
 
-@query("join_quality", quality_sql("orders", _SOME, "o_custkey", "c_custkey"))
+@query("join_quality", quality_sql(_SOME_ORDERS, _SOME, "o_custkey", "c_custkey"))
 def _(spark, sf):
-    return J.join_quality(table(spark, sf, "orders"), _some_customers(spark, sf), "o_custkey", "c_custkey")
+    return J.join_quality(_some_orders(spark, sf), _some_customers(spark, sf), "o_custkey", "c_custkey")
 
 
-@query("join_quality_one_to_many", quality_sql(_SOME, "orders", "c_custkey", "o_custkey"))
+@query("join_quality_one_to_many", quality_sql(_SOME, _SOME_ORDERS, "c_custkey", "o_custkey"))
 def _(spark, sf):
-    return J.join_quality(_some_customers(spark, sf), table(spark, sf, "orders"), "c_custkey", "o_custkey")
+    return J.join_quality(_some_customers(spark, sf), _some_orders(spark, sf), "c_custkey", "o_custkey")
 
 
-@query("join_preview", """WITH a AS (SELECT DISTINCT p_partkey AS k FROM part WHERE p_size > 10), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 45),
+@query("join_preview", f"""WITH a AS (SELECT DISTINCT {PART_KEY} AS k FROM part), b AS (SELECT DISTINCT {LINE_KEY} AS k FROM lineitem),
  s AS (SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'matched' WHEN a.k IS NOT NULL THEN 'left_only'
    ELSE 'right_only' END AS status FROM a FULL JOIN b ON a.k = b.k),
  r AS (SELECT status, k, count(*) OVER (PARTITION BY status) AS total, row_number() OVER (PARTITION BY status ORDER BY k) AS i FROM s)
  SELECT status, total, k::VARCHAR AS key FROM r WHERE i <= 5""")
 def _(spark, sf):
-    return J.join_preview(table(spark, sf, "part").where("p_size > 10"), table(spark, sf, "lineitem").where("l_quantity > 45"),
-                          "p_partkey", "l_partkey", 5)
+    return J.join_preview(rekeyed(spark, sf, "part", "p_partkey", PART_KEY),
+                          rekeyed(spark, sf, "lineitem", "l_partkey", LINE_KEY), "p_partkey", "l_partkey", 5)
 
 
 def keys_sql(tab: str, columns: dict) -> str:

@@ -125,3 +125,12 @@ def _(spark, sf):
 def _(spark, sf):
     orders = P.expectations(table(spark, sf, "orders"), ["o_orderkey", "o_orderstatus"], ["o_totalprice"], 5)
     return orders.groupBy("o_orderstatus").agg({"*": "count"}).withColumnRenamed("count(1)", "n")
+
+
+@query("expectation_report", """SELECT * FROM (VALUES ('rows', 'nations', true, NULL), ('column', 'n_name', true, NULL),
+ ('column', 'n_code', false, 'nations: missing column(s) [''n_code'']'), ('numeric', 'n_regionkey', true, NULL),
+ ('numeric', 'n_name', false, 'nations: not numeric: [''n_name'']')) v("check", subject, passed, message)
+ UNION ALL SELECT 'min_rows', '30', n >= 30, CASE WHEN n < 30 THEN 'nations: ' || n || ' row(s), at least 30 needed' END
+ FROM (SELECT count(*) AS n FROM nation)""")
+def _(spark, sf):
+    return P.expectation_report(table(spark, sf, "nation"), ["n_name", "n_code"], ["n_regionkey", "n_name"], 30, "nations")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tabulith.catalog.joins import CUSTOMER_KEY, LINE_KEY, PART_KEY, rekeyed
 from tabulith.catalog import query, table
 from tabulith.catalog.aggregation import rounded
 from tabulith.operators import selection as P
@@ -173,23 +174,18 @@ def _(spark, sf):
                    "total")
 
 
-def _rich(spark, sf):
-    return table(spark, sf, "customer").where("c_mktsegment <> 'BUILDING'")
-
-
-@query("key_intersect", """SELECT o_custkey AS value FROM orders INTERSECT
- SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'""")
+@query("key_intersect", f"""SELECT o_custkey AS value FROM orders INTERSECT SELECT {CUSTOMER_KEY} FROM customer""")
 def _(spark, sf):
-    return U.key_intersect(table(spark, sf, "orders"), _rich(spark, sf), "o_custkey", "c_custkey")
+    return U.key_intersect(table(spark, sf, "orders"), rekeyed(spark, sf, "customer", "c_custkey", CUSTOMER_KEY),
+                           "o_custkey", "c_custkey")
 
 
-@query("key_except", """SELECT value, 'left' AS side FROM (SELECT p_partkey AS value FROM part WHERE p_size > 10 EXCEPT
-  SELECT l_partkey FROM lineitem WHERE l_quantity > 45)
- UNION ALL SELECT value, 'right' FROM (SELECT l_partkey AS value FROM lineitem WHERE l_quantity > 45 EXCEPT
-  SELECT p_partkey FROM part WHERE p_size > 10)""")
+@query("key_except", f"""WITH p AS (SELECT {PART_KEY} AS value FROM part), l AS (SELECT {LINE_KEY} AS value FROM lineitem)
+ SELECT value, 'left' AS side FROM (SELECT value FROM p EXCEPT SELECT value FROM l)
+ UNION ALL SELECT value, 'right' FROM (SELECT value FROM l EXCEPT SELECT value FROM p)""")
 def _(spark, sf):
-    return U.key_except(table(spark, sf, "part").where("p_size > 10"),
-                        table(spark, sf, "lineitem").where("l_quantity > 45"), "p_partkey", "l_partkey")
+    return U.key_except(rekeyed(spark, sf, "part", "p_partkey", PART_KEY),
+                        rekeyed(spark, sf, "lineitem", "l_partkey", LINE_KEY), "p_partkey", "l_partkey")
 
 
 @query("union_rows", """SELECT 'customer' AS source, c_custkey, c_name AS name, NULL::BIGINT AS s_suppkey FROM customer

@@ -2,12 +2,9 @@
 
 from tabulith.catalog import query, table
 from tabulith.catalog.aggregation import rounded
+from tabulith.functions.tails import QUANTILE_CENTRE, QUANTILE_FAR, QUANTILE_TAIL
 from tabulith.operators import hypothesis as H
 
-_LINE_ORDER = ["l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount",
-               "l_tax", "l_linestatus", "l_quantity"]
-
-
 def anderson_sql(tab: str, x: str) -> str:
     """The textbook pairing of the i-th smallest with the i-th largest value; the normal cdf by its
     power series 0.5 + pdf(z) * sum z^(2k+1) / (2k+1)!!, good for the moderate z of bounded data."""
@@ -49,14 +46,37 @@ def _(spark, sf):
     return rounded(H.anderson_darling(table(spark, sf, "lineitem"), "l_extendedprice"), "statistic", digits=2)
 
 
-@query("shapiro_wilk_by_group")
+def _poly(coefficients, x: str) -> str:
+    return " + ".join(f"{c!r} * pow({x}, {len(coefficients) - 1 - i})" for i, c in enumerate(coefficients))
+
+
+def shapiro_sql(rows: str, key: str) -> str:
+    """W by its definition: weights of all ranks by name, the outer two on each side replaced; ``rows`` gives key and v."""
+    ratio = lambda pair, x: f"({_poly(pair[0], x)}) / ({_poly(pair[1], x)})"
+    z = f"""CASE WHEN abs(p - 0.5) <= 0.425 THEN (p - 0.5) * {ratio(QUANTILE_CENTRE, '(0.180625 - (p - 0.5) * (p - 0.5))')}
+   WHEN sqrt(-ln(least(p, 1 - p))) <= 5 THEN sign(p - 0.5) * {ratio(QUANTILE_TAIL, '(sqrt(-ln(least(p, 1 - p))) - 1.6)')}
+   ELSE sign(p - 0.5) * {ratio(QUANTILE_FAR, '(sqrt(-ln(least(p, 1 - p))) - 5)')} END"""
+    return f"""WITH v AS (SELECT key, v, row_number() OVER (PARTITION BY key ORDER BY v) AS i, count(*) OVER (PARTITION BY key) AS n
+  FROM ({rows}) WHERE v IS NOT NULL AND key IS NOT NULL),
+ m AS (SELECT *, {z} AS m FROM (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM v WHERE n >= 8)),
+ s AS (SELECT *, sum(m * m) OVER (PARTITION BY key) AS ss, 1 / sqrt(n::DOUBLE) AS u, max(m) OVER (PARTITION BY key) AS top,
+   max(CASE WHEN i = n - 1 THEN m END) OVER (PARTITION BY key) AS next FROM m),
+ a AS (SELECT *, {_poly(H._A_LAST, 'u')} + top / sqrt(ss) AS last, {_poly(H._A_SECOND, 'u')} + next / sqrt(ss) AS second FROM s),
+ w AS (SELECT *, CASE WHEN i = n THEN last WHEN i = 1 THEN -last WHEN i = n - 1 THEN second WHEN i = 2 THEN -second
+   ELSE m / sqrt((ss - 2 * top * top - 2 * next * next) / (1 - 2 * last * last - 2 * second * second)) END AS weight FROM a)
+ SELECT key AS {{}}, n, round_even(pow(sum(weight * v), 2) / (var_samp(v) * (n - 1)), 4) AS statistic, n <= 5000 AS p_valid
+ FROM w GROUP BY key, n""".format(f'"{key}"')
+
+
+@query("shapiro_wilk_by_group", shapiro_sql("SELECT l_returnflag AS key, l_quantity::DOUBLE AS v FROM lineitem", "l_returnflag"))
 def _(spark, sf):
-    return H.shapiro_wilk_by_group(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag", _LINE_ORDER)
+    return H.shapiro_wilk_by_group(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag").drop("p_value", "is_normal")
 
 
-@query("normality_all")
+@query("normality_all", shapiro_sql(" UNION ALL ".join(f"SELECT '{c}' AS key, {c}::DOUBLE AS v FROM orders" for c in (
+    "o_orderkey", "o_custkey", "o_totalprice")), "column"))
 def _(spark, sf):
-    return H.normality_all(table(spark, sf, "orders"), ["o_orderkey"])
+    return H.normality_all(table(spark, sf, "orders")).drop("p_value", "is_normal")
 
 
 _WELCH = """SELECT 'A' AS group1, round_even(m1, 2) AS group1_mean, n1 AS group1_n, 'R' AS group2, round_even(m2, 2) AS group2_mean,

@@ -31,6 +31,15 @@ def _(spark, sf):
     return X.ema(table(spark, sf, "events"), _EVENT, "value", 6, ["user_id"])
 
 
+# the recursion unrolled: weights below 1e-16 are left out
+@query("ema_global", """WITH s AS (SELECT event_id, ts, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events),
+ y AS (SELECT a.i, sum(CASE WHEN b.i = 0 THEN 1 ELSE 2.0::DOUBLE / 7 END * pow(5.0::DOUBLE / 7, a.i - b.i) * b.value) AS y
+  FROM s a JOIN range(0, 120) r(j) ON j <= a.i JOIN s b ON b.i = a.i - j GROUP BY 1)
+ SELECT ts, event_id, value, round_even(y, 2) AS "EMA_6" FROM s JOIN y USING (i)""")
+def _(spark, sf):
+    return X.ema(table(spark, sf, "events"), _EVENT, "value", 6)
+
+
 @query("trend", """WITH s AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i,
   count(*) OVER () AS n FROM orders),
  a AS (SELECT regr_slope(v, i) AS slope, avg(CASE WHEN i < n // 2 THEN v END) AS f, avg(CASE WHEN i >= n // 2 THEN v END) AS l,
@@ -80,22 +89,22 @@ def _(spark, sf):
     return X.pareto_summary(table(spark, sf, "lineitem"), "l_suppkey", "l_extendedprice")
 
 
-_OPEN = "SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'"
+_GAPS = """WITH s AS (SELECT v::DOUBLE AS value, lag(v) OVER (ORDER BY v)::DOUBLE AS previous FROM (SELECT {key} AS v FROM {tab})),
+ g AS (SELECT *, value - previous AS gap FROM s WHERE previous IS NOT NULL)
+ SELECT previous, value, gap FROM g WHERE gap > 3 * (SELECT quantile_cont(gap, 0.5) FROM g)"""
 
 
-@query("sequence_gaps", f"""WITH s AS (SELECT o_orderkey::DOUBLE AS value, lag(o_orderkey) OVER (ORDER BY o_orderkey)::DOUBLE AS previous
-  FROM ({_OPEN})), g AS (SELECT *, value - previous AS gap FROM s WHERE previous IS NOT NULL)
- SELECT previous, value, gap FROM g WHERE gap > 3 * (SELECT quantile_cont(gap, 0.5) FROM g)""")
+# all keys, moved up by 10 after every 50, which plants the gaps
+@query("sequence_gaps", _GAPS.format(tab="orders", key="o_orderkey + 10 * (o_orderkey // 50)"))
 def _(spark, sf):
-    orders = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey + 10 * (o_orderkey div 50) AS o_orderkey")
     return X.sequence_gaps(orders, "o_orderkey")
 
 
-@query("sequence_gaps_repeated", """WITH s AS (SELECT l_orderkey::DOUBLE AS value, lag(l_orderkey) OVER (ORDER BY l_orderkey)::DOUBLE AS previous
-  FROM lineitem WHERE l_quantity > 48), g AS (SELECT *, value - previous AS gap FROM s WHERE previous IS NOT NULL)
- SELECT previous, value, gap FROM g WHERE gap > 3 * (SELECT quantile_cont(gap, 0.5) FROM g)""")
+@query("sequence_gaps_repeated", _GAPS.format(tab="lineitem", key="(l_orderkey * 16 + l_linenumber) // 2"))
 def _(spark, sf):
-    return X.sequence_gaps(table(spark, sf, "lineitem").where("l_quantity > 48"), "l_orderkey")
+    lines = table(spark, sf, "lineitem").selectExpr("(l_orderkey * 16 + l_linenumber) div 2 AS number")
+    return X.sequence_gaps(lines, "number")
 
 
 HEAD_TAIL = """SELECT '{c}' AS "column", n, round(h, 4) AS head_mean, round(t, 4) AS tail_mean, round((t - h) / abs(h) * 100, 4) AS change_pct

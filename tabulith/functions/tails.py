@@ -1,12 +1,18 @@
 """Upper tails of the t, F and chi-square distributions and the normal log-cdf.
 
-They are evaluated on the driver for one result row, so plain Python is enough. The incomplete
+Most are evaluated on the driver for one result row, so plain Python is enough. The incomplete
 beta and gamma functions use their textbook continued fractions (modified Lentz) and power series.
+What is needed for every value is written for whole arrays or as a column expression.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _TINY = 1e-300
 _EPS = 1e-16
@@ -84,10 +90,58 @@ def chi2_upper(x: float, dof: float) -> float:
     return upper_gamma(dof / 2.0, x / 2.0)
 
 
-def log_normal_cdf(z: float) -> float:
-    """ln of the standard normal cdf, by its asymptotic series far out in the left tail."""
-    if z > -30.0:
-        return math.log(0.5 * math.erfc(-z / math.sqrt(2.0))) if z < 5.0 \
-            else math.log1p(-0.5 * math.erfc(z / math.sqrt(2.0)))
-    r = 1.0 / (z * z)
-    return -0.5 * z * z - math.log(-z) - 0.5 * math.log(2.0 * math.pi) + math.log1p(-r + 3 * r * r)
+def log_normal_cdf(z: np.ndarray) -> np.ndarray:
+    """ln of the standard normal cdf of every element."""
+    z = np.asarray(z, dtype=float)
+    out = np.empty_like(z)
+    near = np.abs(z) <= 2.5
+    x = z[near]
+    # the power series around 0: 0.5 + pdf(x) * (x + x^3 / 3 + x^5 / 15 + ...)
+    term, total = x.copy(), x.copy()
+    for k in range(3, 90, 2):
+        term *= x * x / k
+        total += term
+    out[near] = np.log(0.5 + total * np.exp(-0.5 * x * x) / math.sqrt(2.0 * math.pi))
+    x = np.abs(z[~near])
+    # the continued fraction of the tail: pdf(x) / (x + 1 / (x + 2 / (x + 3 / ...)))
+    fraction = x.copy()
+    for k in range(150, 0, -1):
+        fraction = x + k / fraction
+    tail = -0.5 * x * x - 0.5 * math.log(2.0 * math.pi) - np.log(fraction)
+    out[~near] = np.where(z[~near] < 0, tail, np.log1p(-np.exp(tail)))
+    return out
+
+
+# Coefficients, highest power first, of the normal quantile (Wichura 1988, AS 241): numerator and
+# denominator near the centre, in the tails and far out.
+QUANTILE_CENTRE = (
+    (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125,
+     1971.5909503065514427, 133.14166789178437745, 3.3871328727963666080),
+    (5226.4952788528545610, 28729.085735721942674, 39307.895800092710610, 21213.794301586595867, 5394.1960214247511077,
+     687.18700749205790830, 42.313330701600911252, 1.0))
+QUANTILE_TAIL = (
+    (7.7454501427834140764e-4, 0.0227238449892691845833, 0.24178072517745061177, 1.27045825245236838258,
+     3.64784832476320460504, 5.7694972214606914055, 4.6303378461565452959, 1.42343711074968357734),
+    (1.05075007164441684324e-9, 5.475938084995344946e-4, 0.0151986665636164571966, 0.14810397642748007459,
+     0.68976733498510000455, 1.6763848301838038494, 2.05319162663775882187, 1.0))
+QUANTILE_FAR = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 0.0012426609473880784386, 0.026532189526576123093,
+     0.29656057182850489123, 1.7848265399172913358, 5.4637849111641143699, 6.6579046435011037772),
+    (2.04426310338993978564e-15, 1.4215117583164458887e-7, 1.8463183175100546818e-5, 7.868691311456132591e-4,
+     0.0148753612908506148525, 0.13692988092273580531, 0.59983220655588793769, 1.0))
+
+
+def _horner(coefficients: Sequence[float], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + F.lit(c)
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal quantile of a probability column."""
+    q = p - 0.5
+    centre, r = F.lit(0.180625) - q * q, F.sqrt(-F.log(F.least(p, F.lit(1.0) - p)))
+    ratio = lambda pair, x: _horner(pair[0], x) / _horner(pair[1], x)
+    outer = F.when(r <= 5.0, ratio(QUANTILE_TAIL, r - 1.6)).otherwise(ratio(QUANTILE_FAR, r - 5.0))
+    return F.when(F.abs(q) <= 0.425, q * ratio(QUANTILE_CENTRE, centre)).otherwise(F.signum(q) * outer)

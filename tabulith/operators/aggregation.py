@@ -20,7 +20,6 @@ from tabulith.operators.selection import sorted_values
 
 _QUARTILES = (0.25, 0.5, 0.75)
 _QUARTILE_NAMES = ("q25", "median", "q75")
-_MAX_PIVOT_VALUES = 10_000
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
 
@@ -106,10 +105,11 @@ def group_agg(df: DataFrame, group: str, value: str, func: str = "sum") -> DataF
     return out.orderBy(F.col(name).desc_nulls_last(), group)
 
 
-def auto_group(df: DataFrame, max_groups: int = 20) -> DataFrame:
-    """Sums of the first three numeric columns by each of the first three text columns that has
-    2 to ``max_groups`` values, in one scan: group_col, group_value, value_col, total."""
-    groups, values = text_columns(df)[:3], numeric_columns(df)[:3]
+def auto_group(df: DataFrame, max_groups: int = 20, groups: Sequence[str] | None = None,
+               values: Sequence[str] | None = None) -> DataFrame:
+    """Sums of the numeric columns by each of the text columns that has 2 to ``max_groups`` values (or of the named
+    ones), in one scan: group_col, group_value, value_col, total."""
+    groups, values = list(groups or text_columns(df)), list(values or numeric_columns(df))
     cells = [F.struct(F.lit(g).alias("group_col"), F.col(g).alias("group_value")) for g in groups]
     sums = (df.select(F.explode(F.array(*cells)).alias("g"), *values).select("g.*", *values)
             .where("group_value IS NOT NULL").groupBy("group_col", "group_value")
@@ -163,8 +163,12 @@ def multi_agg(df: DataFrame, group: str, values: Sequence[str], funcs: Sequence[
 
 
 def pivot_table(df: DataFrame, index: str, value: str, func: str = "mean", columns: str | None = None,
-                pivot_values: Sequence | None = None) -> DataFrame:
-    """One row per index value, one column per value of ``columns``; empty cells are 0."""
+                pivot_values: Sequence | None = None, long: bool = False) -> DataFrame:
+    """One row per index value, one column per value of ``columns``; empty cells are 0.
+
+    ``long`` gives index, ``columns`` and the value as rows instead, which holds for any number of values; a missing row
+    is an empty cell.
+    """
     require_columns(df, index, value)
     agg = simple_agg(func, value)
     if func != "count":
@@ -172,11 +176,11 @@ def pivot_table(df: DataFrame, index: str, value: str, func: str = "mean", colum
     if columns is None:
         rows = _keyed(df, index).where(F.col(value).isNotNull())
         return rows.groupBy(index).agg(agg.alias(value))
-    if pivot_values is None:
-        pivot_values = sorted_values(df, columns, _MAX_PIVOT_VALUES)
-        if pivot_values is None:
-            raise ValueError(f"{columns!r} has more than {_MAX_PIVOT_VALUES} values; group by it instead")
     rows = _keyed(df, index, columns).where(F.col(value).isNotNull())
+    if long:
+        return rows.groupBy(index, columns).agg(agg.alias(value))
+    if pivot_values is None:
+        pivot_values = sorted_values(df, columns)
     return rows.groupBy(index).pivot(columns, list(pivot_values)).agg(agg).na.fill(0)
 
 

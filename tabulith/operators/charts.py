@@ -20,7 +20,7 @@ from tabulith.operators.sorting import systematic_sample
 from tabulith.operators.windows import pareto_curve
 from tabulith.session import lookup
 
-MAX_SCATTER_COLUMNS = 5
+SCATTER_COLUMNS = 5
 RADAR_COLUMNS = 8
 
 
@@ -74,8 +74,8 @@ def category_share(df: DataFrame, category: str, value: str) -> DataFrame:
 
 
 def radar_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Means of the first 8 numeric columns, scaled so that the largest has size 100."""
-    names = list(columns or numeric_columns(df))[:RADAR_COLUMNS]
+    """Means of the named columns, or else of the first 8 numeric ones, scaled so that the largest has size 100."""
+    names = list(columns or numeric_columns(df)[:RADAR_COLUMNS])
     means = df.agg(*[F.avg(number(c)).alias(f"_m{i}") for i, c in enumerate(names)])
     size = F.array_max(F.transform(F.array(*[f"_m{i}" for i in range(len(names))]), F.abs))
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"_m{i}").alias("mean"),
@@ -116,14 +116,14 @@ def hierarchy_rollup(df: DataFrame, path: Sequence[str], value: str) -> DataFram
 
 def scatter_sample(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None,
                    points: int = 5_000) -> DataFrame:
-    """Up to 5 numeric columns of about ``points`` rows, picked by a hash of the key, so the same
-    rows come back on every run."""
-    names = list(columns or numeric_columns(df))[:MAX_SCATTER_COLUMNS]
+    """The named columns, or else the first 5 numeric ones, of about ``points`` rows, picked by the first digits of the
+    key text's md5, so the same rows come back on every run and in other engines."""
+    names = list(columns or numeric_columns(df)[:SCATTER_COLUMNS])
     n = df.count()
+    slots = 16 ** 7
     share = min(1.0, points / n) if n else 1.0
-    slots = 1_000_000
-    hit = F.pmod(F.xxhash64(*key), F.lit(slots)) < int(share * slots)
-    return df.where(hit).select(*names)
+    digits = F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key])), 1, 7)
+    return df.where(F.conv(digits, 16, 10).cast("long") < int(share * slots)).select(*names)
 
 
 def composition_over_time(df: DataFrame, date: str, category: str, value: str, unit: str = "month") -> DataFrame:

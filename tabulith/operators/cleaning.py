@@ -12,7 +12,6 @@ from tabulith.functions.columns import strip
 from tabulith.functions.kinds import datetime_columns, numeric_columns, text_columns
 from tabulith.operators.moments import moments, with_quantiles
 from tabulith.operators.ordering import fill_both_ways, lay_out
-from tabulith.operators.sorting import first_rows
 
 # Texts that mean "missing", compared after stripping, case matters.
 MARKERS = (
@@ -109,37 +108,26 @@ def as_number(col: Column) -> Column:
     return F.nanvl(plain, F.lit(None).cast("double"))
 
 
-def inferred_kinds(df: DataFrame, order_by: Sequence[str] | None = None, sample: int = 20) -> dict[str, str]:
+def kind_of(values: int, dates: int, numbers: int) -> str:
+    """The kind of a text column from its non-null texts and those that parse."""
+    return "datetime" if values and dates / values > 0.7 else "numeric" if values and numbers / values > 0.8 else "text"
+
+
+def inferred_kinds(df: DataFrame) -> dict[str, str]:
     """datetime (> 70 % of the non-null texts parse), numeric (> 80 %) or text, per text column.
 
-    One aggregate over all rows decides. With ``order_by`` only the first ``sample`` non-null
-    values of each column count.
+    One aggregate over all rows decides.
     """
     names = text_columns(df)
     if not names:
         return {}
-    if order_by:
-        cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in names]
-        keys = [F.col(o).alias(f"_o{i}") for i, o in enumerate(order_by)]
-        long = df.select(*keys, F.explode(F.array(*cells)).alias("c")).select(
-            *[f"_o{i}" for i in range(len(keys))], "c.*").where("value IS NOT NULL")
-        heads = first_rows(long, [f"_o{i}" for i in range(len(keys))], sample, ["column"])
-        v = F.col("value")
-        rows = heads.groupBy("column").agg(F.count(v).alias("n"), F.count(as_timestamp(v)).alias("dates"),
-                                           F.count(as_number(v)).alias("numbers")).collect()
-        counts = {r["column"]: (r["n"], r["dates"], r["numbers"]) for r in rows}
-    else:
-        aggs = []
-        for i, c in enumerate(names):
-            aggs += [F.count(F.col(c)).alias(f"n{i}"), F.count(as_timestamp(F.col(c))).alias(f"d{i}"),
-                     F.count(as_number(F.col(c))).alias(f"x{i}")]
-        row = df.agg(*aggs).first()
-        counts = {c: (row[f"n{i}"], row[f"d{i}"], row[f"x{i}"]) for i, c in enumerate(names)}
-    kinds = {}
-    for c in names:
-        n, dates, numbers = counts.get(c, (0, 0, 0))
-        kinds[c] = "datetime" if n and dates / n > 0.7 else "numeric" if n and numbers / n > 0.8 else "text"
-    return kinds
+    aggs = []
+    for i, c in enumerate(names):
+        aggs += [F.count(F.col(c)).alias(f"n{i}"), F.count(as_timestamp(F.col(c))).alias(f"d{i}"),
+                 F.count(as_number(F.col(c))).alias(f"x{i}")]
+    row = df.agg(*aggs).first()
+    counts = {c: (row[f"n{i}"], row[f"d{i}"], row[f"x{i}"]) for i, c in enumerate(names)}
+    return {c: kind_of(*counts[c]) for c in names}
 
 
 def convert_kinds(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
@@ -148,8 +136,8 @@ def convert_kinds(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: convert[k](F.col(c)) for c, k in kinds.items()}) if kinds else df
 
 
-def infer_types(df: DataFrame, order_by: Sequence[str] | None = None, sample: int = 20) -> DataFrame:
-    return convert_kinds(df, inferred_kinds(df, order_by, sample))
+def infer_types(df: DataFrame) -> DataFrame:
+    return convert_kinds(df, inferred_kinds(df))
 
 
 def trim_strings(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

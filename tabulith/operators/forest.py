@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabulith.functions.columns import number
 from tabulith.functions.kinds import numeric_columns, present, require_numeric
 from tabulith.operators.moments import quantiles
-from tabulith.session import cut_lineage, written_once
+from tabulith.session import cut_lineage, lookup
 
 TREES = 100
 SUBSAMPLE = 256
@@ -61,6 +61,19 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list
     return nodes
 
 
+def _pool(data: DataFrame, columns: Sequence[str], share: float, seed: int) -> DataFrame:
+    """About ``share`` of the rows with an ``_id``, drawn by their contents, so the same rows come back however the
+    table is laid out. Copies of a row are counted, and the row is drawn about ``share`` times as often."""
+    slots = float(1 << 31)
+    content = F.xxhash64(*columns)
+    draw = F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(1 << 31)) / slots
+    picked = lookup(data.select(content.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+                    .withColumn("_times", F.floor(F.col("_n") * F.lit(share) + draw).cast("int")).where("_times > 0").drop("_n"))
+    found = (data.select(*columns, content.alias("_h")).join(picked, "_h").groupBy("_h", "_times", *columns).agg(F.count(F.lit(1))))
+    copies = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return copies.select(*columns, F.xxhash64("_h", "_copy").alias("_id"))
+
+
 def fit_forest(data: DataFrame, columns: Sequence[str], n: int, trees: int = TREES,
                seed: int = SEED) -> tuple[list, int]:
     """The trees (at most ``trees`` x 511 nodes) and the subsample size.
@@ -69,9 +82,7 @@ def fit_forest(data: DataFrame, columns: Sequence[str], n: int, trees: int = TRE
     pool by a hash, so only a few hundred rows per tree are shuffled.
     """
     size = min(SUBSAMPLE, n)
-    share = min(1.0, 1.2 * trees * SUBSAMPLE / n)
-    pool = data.select(*columns) if share >= 1.0 else data.select(*columns).where(F.rand(seed) < share)
-    pool = cut_lineage(pool.withColumn("_id", F.monotonically_increasing_id()))
+    pool = cut_lineage(_pool(data, columns, min(1.0, 1.2 * trees * SUBSAMPLE / n), seed))
     wanted = min(1.0, 1.5 * size / max(pool.count(), 1))
     slots = 1 << 31
     draws = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
@@ -149,16 +160,15 @@ def isolation_forest(df: DataFrame, columns: Sequence[str] | None = None, contam
         return df.withColumns({"anomaly_score": nothing, "is_anomaly": F.lit(False)}).where(F.lit(False))
     forest, size = fit_forest(complete, list(cells.values()), n, seed=seed)
     score = _scorer(df.sparkSession, forest, size)
-    # scoring is the costly step: a table in too few pieces is spread over the cores, and the
-    # result is kept for the cut point
+    # a table in too few pieces is spread over the cores
     cores = df.sparkSession.sparkContext.defaultParallelism
     if busy < cores:
         complete = complete.repartition(cores)
-    scored = written_once(complete.withColumn("_s", score(F.struct(*cells.values()))).select(*df.columns, "_s"),
-                          "scored")
-    cut = quantiles(scored, ["_s"], [contamination]).first()["q"][0]
-    out = scored.withColumn("anomaly_score", F.col("_s") - F.lit(cut)).withColumn(
-        "is_anomaly", F.col("anomaly_score") < 0).drop("_s")
+    found = complete.withColumn("_s", score(F.struct(*cells.values())))
+    # only the scores are kept for the cut point; the rows are scored again where they are read
+    cut = quantiles(cut_lineage(found.select("_s")), ["_s"], [contamination]).first()["q"][0]
+    out = found.withColumn("anomaly_score", F.col("_s") - F.lit(cut)).withColumn(
+        "is_anomaly", F.col("anomaly_score") < 0).select(*df.columns, "anomaly_score", "is_anomaly")
     gaps = wide.where(" OR ".join(f"{c} IS NULL" for c in cells.values())).select(
         *df.columns, nothing.alias("anomaly_score"), F.lit(False).alias("is_anomaly"))
     return out.unionByName(gaps)

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulith.functions.columns import half_even, number
 from tabulith.functions.kinds import numeric_columns, present, require_columns, require_numeric
-from tabulith.functions.tails import chi2_upper, f_upper, log_normal_cdf, t_two_sided
+from tabulith.functions.tails import chi2_upper, f_upper, log_normal_cdf, normal_quantile, t_two_sided
 from tabulith.operators.moments import value_positions
-from tabulith.operators.sorting import first_rows
 
 ALPHA = 0.05
-SHAPIRO_ROWS = 5_000
+SHAPIRO_P_ROWS = 5_000  # the approximation of p is published up to this size
+_RANKS = 1 << 16
 _MIN_NORMALITY = 8
 
 # Anderson-Darling critical values for 15, 10, 5, 2.5 and 1 % with estimated mean
@@ -55,103 +55,95 @@ def anderson_darling(df: DataFrame, column: str) -> DataFrame:
     if n < _MIN_NORMALITY or not std:
         return _row(df, schema, None)
 
-    @F.pandas_udf("double")
-    def log_cdf(z: pd.Series) -> pd.Series:
-        return pd.Series([log_normal_cdf(v) for v in z.to_numpy()], dtype="float64")
+    @F.pandas_udf("lo double, hi double")
+    def log_cdf(z: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"lo": log_normal_cdf(z.to_numpy()), "hi": log_normal_cdf(-z.to_numpy())})
 
     ranked = value_positions(df, column)
     z = (F.col("value") - mean) / std
     a, c, total = F.col("before").cast("double"), F.col("cnt").cast("double"), F.lit(float(n))
     low = (a + c) * (a + c) - a * a
     high = (total - a) * (total - a) - (total - a - c) * (total - a - c)
-    s = ranked.withColumns({"lo": log_cdf(z), "hi": log_cdf(-z)}).agg(
-        F.sum(low * F.col("lo") + high * F.col("hi"))).first()[0]
+    s = ranked.withColumn("log", log_cdf(z)).agg(
+        F.sum(low * F.col("log.lo") + high * F.col("log.hi"))).first()[0]
     stat = -n - s / n
     critical = round(dict(STEPHENS)[5.0] / (1.0 + 4.0 / n - 25.0 / n / n), 3)
     return _row(df, schema, (column, n, round(stat, 4), critical, stat < critical))
 
 
-def _shapiro(x: np.ndarray) -> tuple[float, float]:
-    """W and p of a sample in any order (Royston 1995)."""
-    x = np.sort(x)
-    n = len(x)
-    quantile = NormalDist().inv_cdf
-    # expected order statistics are antisymmetric, so half of them suffices
-    m = np.array([quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    ss = float(m @ m)
-    u = 1.0 / math.sqrt(n)
-    a = m / math.sqrt(ss)
-    if n == 3:
-        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    else:
-        last = np.polyval(_A_LAST, u) + a[-1]
-        if n > 5:
-            second = np.polyval(_A_SECOND, u) + a[-2]
-            phi = (ss - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last ** 2 - 2 * second ** 2)
-            a = m / math.sqrt(phi)
-            a[-2], a[1] = second, -second
-        else:
-            phi = (ss - 2 * m[-1] ** 2) / (1 - 2 * last ** 2)
-            a = m / math.sqrt(phi)
-        a[-1], a[0] = last, -last
-    centred = x - x.mean()
-    spread = float(centred @ centred)
-    if spread == 0:
-        return 1.0, 1.0
-    w = min(float(a @ x) ** 2 / spread, 1.0)
-    if n == 3:
-        p = 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return w, max(p, 0.0)
-    y = math.log(max(1.0 - w, 1e-300))
-    if n <= 11:
-        gap = np.polyval(_SMALL_SHIFT, n)
-        if y >= gap:
-            return w, 1e-99
-        y, mu, sd = -math.log(gap - y), np.polyval(_SMALL_MEAN, n), math.exp(np.polyval(_SMALL_LOG_SD, n))
-    else:
-        ln = math.log(n)
-        mu, sd = np.polyval(_LARGE_MEAN, ln), math.exp(np.polyval(_LARGE_LOG_SD, ln))
-    return w, 0.5 * math.erfc((y - mu) / sd / math.sqrt(2.0))
+def _polynomial(coefficients: Sequence[float], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + F.lit(c)
+    return out
+
 
+@F.pandas_udf(T.DoubleType())
+def _shapiro_p(w: pd.Series, n: pd.Series) -> pd.Series:
+    """p of W for samples of 8 values or more (Royston 1995)."""
+    y, size = np.log(np.maximum(1.0 - w.to_numpy(), 1e-300)), n.to_numpy(dtype="float64")
+    small, log_n = size <= 11, np.log(size)
+    gap = np.polyval(_SMALL_SHIFT, size)
+    beyond = small & (y >= gap)
+    turned = -np.log(np.where(small & ~beyond, gap - y, 1.0))
+    mean = np.where(small, np.polyval(_SMALL_MEAN, size), np.polyval(_LARGE_MEAN, log_n))
+    spread = np.exp(np.where(small, np.polyval(_SMALL_LOG_SD, size), np.polyval(_LARGE_LOG_SD, log_n)))
+    p = np.exp(log_normal_cdf(-(np.where(small, turned, y) - mean) / spread))
+    return pd.Series(np.where(beyond, 1e-99, p))
 
-def shapiro_wilk_by_group(df: DataFrame, column: str, group: str, order_by: Sequence[str],
-                          rows: int = SHAPIRO_ROWS) -> DataFrame:
-    """One W test per group over its first ``rows`` non-null values; groups below 8 values have none."""
+
+def shapiro_wilk(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, n, statistic, p_value, p_valid: one W test per group over all its values, for groups of 8 or more.
+
+    W is a ratio of sums over ranks, so it is one aggregate over the ranked values; equal values share a rank range that
+    is unrolled piece by piece. ``p_value`` is null and ``p_valid`` false beyond the size that its approximation is for.
+    """
     require_numeric(df, column)
-    order = [c for c in order_by if c not in (group, column)]
-    sample = first_rows(df.select(group, *order, number(column).alias("_x")).transform(present, group, "_x"),
-                        [*order, "_x"], rows, [group])
-    key = df.schema[group].dataType.simpleString()
-
-    def test(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        # at most ``rows`` values of one group
-        if len(pdf) < _MIN_NORMALITY:
-            return pd.DataFrame({group: [], "n": [], "statistic": [], "p_value": []})
-        w, p = _shapiro(pdf["_x"].to_numpy(dtype="float64"))
-        return pd.DataFrame({group: [keys[0]], "n": [len(pdf)], "statistic": [w], "p_value": [p]})
-
-    out = sample.select(group, "_x").groupBy(group).applyInPandas(
-        test, f"`{group}` {key}, n long, statistic double, p_value double")
+    ranked = value_positions(df, column, keys).where(F.col("n") >= _MIN_NORMALITY)
+    pieces = ranked.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(cnt - 1) div {_RANKS}"))))
+    low = F.col("before") + F.col("piece") * _RANKS + 1
+    rows = pieces.withColumn("i", F.explode(F.sequence(low, F.least(F.col("before") + F.col("cnt"), low + (_RANKS - 1)))))
+    m = normal_quantile((F.col("i") - 0.375) / (F.col("n") + 0.25))
+    x, i, n = F.col("value"), F.col("i"), F.col("n")
+    at = lambda place, what: F.max(F.when(i == place, what))
+    sums = rows.withColumn("m", m).groupBy(*keys, "n").agg(
+        F.sum(F.col("m") * F.col("m")).alias("ss"), F.sum(F.col("m") * x).alias("mx"), F.var_samp(x).alias("var"),
+        at(1, x).alias("x1"), at(2, x).alias("x2"), at(n - 1, x).alias("x3"), at(n, x).alias("x4"),
+        at(n - 1, F.col("m")).alias("m3"), at(n, F.col("m")).alias("m4"))
+    u = 1.0 / F.sqrt(n.cast("double"))
+    last = _polynomial(_A_LAST, u) + F.col("m4") / F.sqrt("ss")
+    second = _polynomial(_A_SECOND, u) + F.col("m3") / F.sqrt("ss")
+    wide, narrow = F.col("x4") - F.col("x1"), F.col("x3") - F.col("x2")
+    m3, m4 = F.col("m3"), F.col("m4")
+    phi = (F.col("ss") - 2 * m4 * m4 - 2 * m3 * m3) / (1.0 - 2 * last * last - 2 * second * second)
+    inner = (F.col("mx") - m4 * wide - m3 * narrow) / F.sqrt(phi) + last * wide + second * narrow
+    w = F.when(F.col("var") > 0, F.least(inner * inner / (F.col("var") * (n - 1)), F.lit(1.0))).otherwise(1.0)
+    valid = n <= SHAPIRO_P_ROWS
+    out = sums.select(*keys, "n", w.alias("statistic"), F.col("var"), valid.alias("p_valid"))
+    p = F.when(F.col("p_valid"), F.when(F.col("var") > 0, _shapiro_p("statistic", "n")).otherwise(1.0))
+    return out.withColumn("p_value", p).select(*keys, "n", "statistic", "p_value", "p_valid")
+
+
+def shapiro_wilk_by_group(df: DataFrame, column: str, group: str) -> DataFrame:
+    """One W test per group over all its values; groups below 8 values and null groups have none."""
+    out = shapiro_wilk(df.transform(present, group), column, [group])
     return out.select(group, "n", half_even(F.col("statistic"), 4).alias("statistic"),
-                      half_even(F.col("p_value"), 4).alias("p_value"), (F.col("p_value") > ALPHA).alias("is_normal"))
+                      half_even(F.col("p_value"), 4).alias("p_value"), "p_valid", (F.col("p_value") > ALPHA).alias("is_normal"))
 
 
-def normality_all(df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+def normality_all(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The W test for every numeric column: the columns are the groups of a melted table."""
     names = list(columns or numeric_columns(df))
     cells = [F.struct(F.lit(c).alias("column"), number(c).alias("value")) for c in names]
-    keys = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)]
-    long = df.select(*keys, F.explode(F.array(*cells)).alias("c")).select(
-        *[f"_o{i}" for i in range(len(keys))], "c.*")
-    return shapiro_wilk_by_group(long, "value", "column", [f"_o{i}" for i in range(len(keys))])
+    return shapiro_wilk_by_group(df.select(F.explode(F.array(*cells)).alias("c")).select("c.*"), "value", "column")
 
 
-def normality_test(df: DataFrame, column: str, test: str = "shapiro", order_by: Sequence[str] = ()) -> DataFrame:
+def normality_test(df: DataFrame, column: str, test: str = "shapiro") -> DataFrame:
     if test == "anderson":
         return anderson_darling(df, column)
     if test != "shapiro":
         raise ValueError(f"unknown test {test!r}; use shapiro or anderson")
-    return normality_all(df, order_by, [column])
+    return normality_all(df, [column])
 
 
 def welch_t(df: DataFrame, value: str, group: str, first, second) -> DataFrame:
@@ -257,6 +249,7 @@ def linear_regression(df: DataFrame, x: str, y: str) -> DataFrame:
     rest = max(1.0 - r * r, 0.0)
     error = math.sqrt(rest * syy / sxx / (n - 2))
     p = t_two_sided(r * math.sqrt((n - 2) / rest), n - 2) if rest else 0.0
+    # fixed output texts
     label = ("Strong linear relationship" if r * r > 0.5 else "Weak linear relationship" if r * r > 0.1
              else "No meaningful linear relationship")
     return _row(df, schema, (

@@ -21,8 +21,6 @@ from tabulith.operators.windows import head_tail_change
 
 SCHEMA = "position int, category string, subject string, severity string, value double, insight string"
 
-_NUMERIC = 6
-_CATEGORICAL = 4
 _MAX_GROUPS = 20
 
 
@@ -97,7 +95,7 @@ def _category_rules(out: _Findings, modes: dict, columns: Sequence[str], rows: i
 
 
 def _group_rules(out: _Findings, df: DataFrame, groups: dict[str, int], values: Sequence[str], stats: dict) -> None:
-    """Pareto pattern and group effect over the first two categories and numbers."""
+    """Pareto pattern and group effect over the categories and numbers."""
     if not groups or not values:
         return
     cells = [F.struct(F.lit(g).alias("_g"), F.col(g).alias("_k")) for g in groups]
@@ -133,33 +131,38 @@ def _group_rules(out: _Findings, df: DataFrame, groups: dict[str, int], values:
                              f"{v} is {off:+.0f}% against the average where {g} is '{who}'")
 
 
-def insights(df: DataFrame, order_by: Sequence[str], completeness: float | None = None,
-             duplicates: int = 0) -> DataFrame:
-    """All findings in order: position, category, subject, severity, value, insight."""
+def insights(df: DataFrame, order_by: Sequence[str], completeness: float | None = None, duplicates: int = 0,
+             numbers: Sequence[str] | None = None, texts: Sequence[str] | None = None,
+             group_by: Sequence[str] | None = None, group_values: Sequence[str] | None = None) -> DataFrame:
+    """All findings in order: position, category, subject, severity, value, insight.
+
+    The rules look at all numeric and text columns, or at the named ones; the group rules at all pairs of
+    ``group_by`` and ``group_values``, by default all of them too.
+    """
     out = _Findings()
     if completeness is not None:
         _quality(out, completeness, duplicates)
-    numbers, texts = numeric_columns(df), text_columns(df)
+    numbers, texts = list(numbers or numeric_columns(df)), list(texts or text_columns(df))
     gaps = null_counts(df).collect()
     rows = gaps[0]["rows"]
-    stats = _numeric_rules(out, df, numbers[:_NUMERIC], order_by) if numbers else {}
+    stats = _numeric_rules(out, df, numbers, order_by) if numbers else {}
 
-    modes = {r["column"]: r for r in mode_summary(value_frequencies(df, texts[:_CATEGORICAL])).collect()} \
+    modes = {r["column"]: r for r in mode_summary(value_frequencies(df, texts)).collect()} \
         if texts else {}
-    _category_rules(out, modes, texts[:_CATEGORICAL], max(rows, 1))
+    _category_rules(out, modes, texts, max(rows, 1))
 
     if len(numbers) >= 2:
         pairs = list(combinations(numbers, 2))
         strong = {(r["col1"], r["col2"]): r["r"] for r in
                   pair_correlations(df, pairs).where(F.abs("r") > 0.8).collect()}
-        for a, b in [p for p in pairs if p in strong][:3]:
+        for a, b in [p for p in pairs if p in strong]:
             r = strong[a, b]
             out.note("Correlation", f"{a} & {b}", "info", r,
                      f"{a} and {b} correlate {'positively' if r > 0 else 'negatively'} ({r:.2f})")
 
-    groups = {c: modes[c]["unique_values"] for c in texts[:2]
+    groups = {c: modes[c]["unique_values"] for c in group_by or texts
               if c in modes and 2 <= modes[c]["unique_values"] <= _MAX_GROUPS}
-    _group_rules(out, df, groups, numbers[:2], stats)
+    _group_rules(out, df, groups, [v for v in group_values or numbers if v in stats], stats)
 
     if rows < 30:
         out.note("Sample Size", "rows", "warning", rows, f"Only {rows} rows")
@@ -174,7 +177,7 @@ def insights(df: DataFrame, order_by: Sequence[str], completeness: float | None
         found = sorted(((r["col1"], r["col2"]) for r in missing_correlation(df.select(*holes)).collect()),
                        key=lambda p: (order[p[0]], order[p[1]]))
         if found:
-            shown = ", ".join(f"{a} & {b}" for a, b in found[:2])
+            shown = ", ".join(f"{a} & {b}" for a, b in found)
             out.note("Missing Data Pattern", shown, "info", len(found), f"Gaps fall on the same rows in {shown}")
     return df.sparkSession.createDataFrame(list(out), SCHEMA)
 

@@ -19,6 +19,7 @@ from tabulith.session import cut_lineage
 KEY_WORDS = ("id", "key", "code", "number", "no", "num", "pk", "uuid", "ref", "reference", "index", "identifier")
 JOIN_TYPES = ("left", "right", "inner", "outer")
 MIN_NAME_SIMILARITY = 0.3
+HOT_PERCENT = 5  # of a side's rows, from which a key is hot
 _BITS = 62  # columns per mask
 
 
@@ -36,14 +37,21 @@ def _check(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how:
         raise ValueError(f"cannot join text with another type: {left_on!r}, {right_on!r}")
 
 
+def _has_hot_key(df: DataFrame, key: str) -> bool:
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    most, rows = counts.agg(F.max("n"), F.sum("n")).first()
+    return bool(rows) and most * 100 > rows * HOT_PERCENT
+
+
 def smart_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str = "left",
-               null_match: bool = False, split_sides: bool = False) -> DataFrame:
+               null_match: bool = False, split_sides: bool | None = None) -> DataFrame:
     """Equi-join keeping both key columns; names the right side shares get ``_joined``.
 
     ``null_match`` lets missing keys match each other. Hot keys are split by the adaptive skew
-    join, which cannot split the optional side of an outer join; so a full outer join is built
-    from a left join and an anti join, and ``split_sides`` builds one-sided joins as inner plus
-    anti join for a hot key on the optional side.
+    join, which cannot split the optional side of an outer join. So joins that keep a side are built as an inner
+    join and an anti join (``split_sides``), by default where one key has more than ``HOT_PERCENT`` of the optional side's
+    rows, which a count of that side's keys tells. A plain join reads both sides once, so ``split_sides=False`` is cheaper
+    where no key is known to be hot.
     """
     _check(left, right, left_on, right_on, how)
     a = left.withColumn("_lk", join_key(left, left_on))
@@ -56,14 +64,17 @@ def smart_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, h
         # only distinct keys of the other side matter
         return rows.join(other.select(other_key).distinct(), same, "left_anti")
 
-    if how == "outer":
-        both = a.join(b, same, "left")
-        rest = without(b, "_rk", a, "_lk")
-        return both.select(*columns).unionByName(rest.drop("_rk"), allowMissingColumns=True).select(*columns)
-    if how != "inner" and split_sides:
-        both = a.join(b, same, "inner").select(*columns)
-        rest = without(a, "_lk", b, "_rk").drop("_lk") if how == "left" else without(b, "_rk", a, "_lk").drop("_rk")
-        return both.unionByName(rest, allowMissingColumns=True).select(*columns)
+    if how == "inner":
+        return a.join(b, same, "inner").select(*columns)
+    if split_sides is None:
+        split_sides = (how != "right" and _has_hot_key(b, "_rk")) or (how != "left" and _has_hot_key(a, "_lk"))
+    if split_sides:
+        found = a.join(b, same, "inner").select(*columns)
+        if how != "right":
+            found = found.unionByName(without(a, "_lk", b, "_rk").drop("_lk"), allowMissingColumns=True)
+        if how != "left":
+            found = found.unionByName(without(b, "_rk", a, "_lk").drop("_rk"), allowMissingColumns=True)
+        return found.select(*columns)
     return a.join(b, same, how).select(*columns)
 
 

@@ -13,14 +13,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import number
-from tabulith.session import BROADCAST_ROWS, cut_lineage
+from tabulith.session import cut_lineage, lookup
 
-SMALL_CELLS = 1_000_000        # up to this many values the built-in percentile buffer is small
-ROWS_PER_BUCKET = 500_000      # beyond that, values are cut into buckets of about this size ...
-MIN_EDGES, MAX_EDGES = 200, 10_000  # ... within these limits
+ROWS_PER_BUCKET = 500_000  # values are cut into buckets of about this size at most
+MIN_EDGES = 50
 _SAMPLE_PER_EDGE = 100
-_BRACKET_SAMPLE = 50_000
-_MAX_PIECES = 64               # sub-regions of one bracket
+_BRACKET_SAMPLE = 50_000   # rows of a sample at least; it grows with the table, so that it tells the pieces of a bracket apart
+_ROWS_PER_SAMPLED = 50_000
 
 
 def melt(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -52,7 +51,7 @@ def moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
 
 
 def edges_for(rows: int) -> int:
-    return min(MAX_EDGES, max(MIN_EDGES, -(-rows // ROWS_PER_BUCKET)))
+    return max(MIN_EDGES, -(-rows // ROWS_PER_BUCKET))
 
 
 def quantile_buckets(df: DataFrame, columns: Sequence[str], rows: int,
@@ -113,11 +112,9 @@ def _quantiles_by_selection(df: DataFrame, columns: Sequence[str], probs: Sequen
               .select(*group, "bucket", "before", "spot.*", "cnt")
               .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("cnt")))
               .select(*group, "bucket", "i", "side", "frac", (F.col("rank") - F.col("before")).alias("skip")))
-    wanted = cut_lineage(wanted)
+    wanted = lookup(wanted)
     cell = [*group, "bucket"]
-    cells = wanted.select(*cell).distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        cells, wanted = F.broadcast(cells), F.broadcast(wanted)
+    cells = lookup(wanted.select(*cell).distinct())
 
     values = (long.join(cells, cell, "left_semi")
               .groupBy(*cell, "value").agg(_weighted_count(weight).alias("cnt")))
@@ -140,10 +137,10 @@ def _bracket_edges(sample: DataFrame, columns: Sequence[str], probs: Sequence[fl
     grids = []
     for p in probs:
         reach = 6.0 * math.sqrt(p * (1.0 - p) / size) + 3.0 / size + 4e-4
-        pieces = min(_MAX_PIECES, max(1, math.ceil(2 * reach * rows / ROWS_PER_BUCKET)))
+        pieces = max(1, math.ceil(2 * reach * rows / ROWS_PER_BUCKET))
         grids.append([p - reach + 2 * reach * i / pieces for i in range(pieces + 1)])
     flat = [min(1.0, max(0.0, q)) for grid in grids for q in grid]
-    row = sample.agg(*[F.percentile_approx(c, flat, 5_000).alias(f"_e{i}") for i, c in enumerate(columns)]).first()
+    row = sample.agg(*[F.percentile_approx(c, flat, max(5_000, 10 * len(flat))).alias(f"_e{i}") for i, c in enumerate(columns)]).first()
     out = {}
     for i, c in enumerate(columns):
         values = iter([float(v) for v in row[i]] if row[i] else [0.0] * len(flat))
@@ -167,7 +164,7 @@ def _quantiles_by_brackets(df: DataFrame, columns: Sequence[str], probs: Sequenc
                            rows: int) -> DataFrame | None:
     """One pass for whole columns: values inside the brackets are counted one by one, all others
     only by region. None if a wanted rank fell outside its bracket."""
-    size = min(rows, _BRACKET_SAMPLE)
+    size = min(rows, max(_BRACKET_SAMPLE, rows // _ROWS_PER_SAMPLED))
     sample = df if size == rows else df.sample(size / rows, seed=7)
     brackets = _bracket_edges(sample, columns, probs, rows, size)
     edges = [np.array(brackets[c][0]) for c in columns]
@@ -233,38 +230,25 @@ def _quantiles_by_brackets(df: DataFrame, columns: Sequence[str], probs: Sequenc
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (),
-              weight: str | None = None, small_cells: int = SMALL_CELLS, edges: int | None = None) -> DataFrame:
+              weight: str | None = None, edges: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles: keys, column, ``q`` (array in the order of ``probs``).
 
-    Up to ``small_cells`` values the built-in aggregate is used. Beyond, whole columns are counted
-    around the quantiles of a sample, and groups in quantile buckets of which only those with a
-    wanted rank are looked into; so no task ever holds one group's values. ``weight`` counts a row
-    that many times.
+    Whole columns are counted around the quantiles of a sample, and groups in quantile buckets of
+    which only those with a wanted rank are looked into; so no task ever holds one group's values.
+    The number of rows only sets how many buckets there are. ``weight`` counts a row that many times.
     """
     shown = [F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]
     extra = [F.col(weight).alias("_w")] if weight else []
     df = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *extra,
                    *[number(c).alias(c) for c in columns])
-    found = _quantiles(df, columns, probs, [f"_k{i}" for i in range(len(keys))], "_w" if weight else None,
-                       small_cells, edges)
-    return found.select(*shown, "column", "q")
-
-
-def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str],
-               weight: str | None, small_cells: int, edges: int | None) -> DataFrame:
     rows = df.count()
-    if rows * len(columns) > small_cells:
-        if not keys and weight is None and edges is None and rows:
-            found = _quantiles_by_brackets(df, columns, probs, rows)
-            if found is not None:
-                return found
-        return _quantiles_by_selection(df, columns, probs, keys, weight, rows, edges)
-    times = [F.col(weight)] if weight else []
-    aggs = [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in probs]), *times).alias(f"_q{i}")
-            for i, c in enumerate(columns)]
-    cells = [F.struct(F.lit(c).alias("column"), F.col(f"_q{i}").alias("q")) for i, c in enumerate(columns)]
-    return (df.groupBy(*keys).agg(*aggs).select(*keys, F.explode(F.array(*cells)).alias("c"))
-            .select(*keys, "c.*").where("q IS NOT NULL"))
+    found = None
+    if not keys and weight is None and edges is None and rows:
+        found = _quantiles_by_brackets(df, columns, probs, rows)
+    if found is None:
+        found = _quantiles_by_selection(df, columns, probs, [f"_k{i}" for i in range(len(keys))],
+                                        "_w" if weight else None, rows, edges)
+    return found.select(*shown, "column", "q")
 
 
 def with_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], names: Sequence[str],

@@ -230,6 +230,21 @@ def error_result(fn: Callable) -> Callable:
     return guarded
 
 
+def expectation_report(df: DataFrame, columns: Sequence[str] = (), numeric: Sequence[str] = (), min_rows: int = 5,
+                       name: str = "table") -> DataFrame:
+    """One row per check: check, subject, passed, message (null if it passed)."""
+    checks = [("rows", name, expect_table, ())]
+    checks += [("column", c, expect_columns, (c,)) for c in columns]
+    checks += [("numeric", c, expect_numeric, (c,)) for c in numeric]
+    checks += [("min_rows", str(min_rows), expect_min_rows, (min_rows,))]
+    rows = []
+    for check, subject, expect, arguments in checks:
+        found = error_result(expect)(df, *arguments, name)
+        message = found["error"] if isinstance(found, dict) else None
+        rows.append((check, subject, message is None, message))
+    return df.sparkSession.createDataFrame(rows, "check string, subject string, passed boolean, message string")
+
+
 def expectations(df: DataFrame, columns: Sequence[str] = (), numeric: Sequence[str] = (),
                  min_rows: int = 5, name: str = "table") -> DataFrame:
     """All checks; the table passes through unchanged."""

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tabulith.functions.columns import half_even, number, ratio
 from tabulith.functions.kinds import is_numeric, is_text, present, require_columns, require_numeric
 
-MAX_WIDE_VALUES = 1_000
 
 
 def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
@@ -94,31 +93,27 @@ def map_values(df: DataFrame, column: str, mapping: Mapping) -> DataFrame:
 
 
 def map_values_table(df: DataFrame, column: str, lookup: DataFrame) -> DataFrame:
-    """``map_values`` with the mapping in a table (from, to) of any size."""
-    new = lookup.select(F.col("from").alias(column), F.col("to").alias("_to")).dropDuplicates([column])
+    """``map_values`` with the mapping in a table (from, to) of any size; of several values for a key the smallest holds."""
+    new = lookup.groupBy(F.col("from").alias(column)).agg(F.min("to").alias("_to"))
     return (df.join(new, column, "left").withColumn(column, F.coalesce("_to", column))
             .select(*df.columns))
 
 
-def sorted_values(df: DataFrame, column: str, limit: int) -> list | None:
-    """The distinct non-null values in order, or None if there are more than ``limit``."""
-    rows = (df.select(column).where(F.col(column).isNotNull()).distinct()
-            .orderBy(column).limit(limit + 1).collect())
-    return None if len(rows) > limit else [r[0] for r in rows]
+def sorted_values(df: DataFrame, column: str) -> list:
+    """The distinct non-null values in order, for results with a column per value."""
+    return [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
 
 
-def one_hot(df: DataFrame, column: str, drop_original: bool = True,
-            max_values: int = MAX_WIDE_VALUES) -> DataFrame:
-    """One 0/1 column per value. A table cannot grow a column per value without bound, so beyond
-    ``max_values`` the same coding is kept sparse: a map column from the row's value to 1."""
+def one_hot(df: DataFrame, column: str, drop_original: bool = True, sparse: bool = False) -> DataFrame:
+    """One 0/1 column per value. ``sparse`` keeps the same coding in one map column, from the row's value to 1, which
+    holds for any number of values."""
     require_columns(df, column)
-    values = sorted_values(df, column, max_values)
-    if values is None:
-        sparse = F.when(F.col(column).isNotNull(), F.create_map(F.col(column), F.lit(1)))
-        out = df.withColumn(f"{column}_onehot", sparse)
+    if sparse:
+        out = df.withColumn(f"{column}_onehot", F.when(F.col(column).isNotNull(), F.create_map(F.col(column), F.lit(1))))
     else:
         out = df.withColumns({
-            f"{column}_{v}": F.coalesce(F.col(column) == F.lit(v), F.lit(False)).cast("int") for v in values})
+            f"{column}_{v}": F.coalesce(F.col(column) == F.lit(v), F.lit(False)).cast("int")
+            for v in sorted_values(df, column)})
     return out.drop(column) if drop_original else out
 
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.functions.kinds import datetime_columns, is_numeric, text_columns
 from tabulith.operators import cleaning as C
 from tabulith.operators.ordering import fill_both_ways, lay_out, number_rows
-from tabulith.operators.profiling import null_counts
 from tabulith.operators.sorting import first_rows
+from tabulith.session import lookup, written_once
 
 REPORT = "column string, metric string, value string"
 
@@ -28,30 +29,37 @@ class Cleaned:
     completeness_simple: float
 
 
-def clean_table(df: DataFrame, order_by: Sequence[str], sample_types: bool = False) -> Cleaned:
+def clean_table(df: DataFrame, order_by: Sequence[str]) -> Cleaned:
     """Clean a table whose row order is given by ``order_by`` (columns as they are named before
-    cleaning). ``sample_types`` decides types from the first 20 values instead of all.
+    cleaning; no two rows are equal in all of them).
 
-    The distinct rows are put in order and written once; types, gaps, fill values, row numbers and
-    the forward fill all read that layout.
+    The distinct rows are written once. One aggregate finds the types and gaps, and only the order columns and the
+    dates with gaps are put in order, for the row numbers of gaps and the forward fill.
     """
     width = len(df.columns)
     names = C.standard_names(df.columns)
     order = [names[df.columns.index(c)] for c in order_by]
     rows_before, markers = _markers(df)
 
-    marked = C.standardize_names(C.null_markers(df))
-    laid = lay_out(C.drop_duplicate_rows(marked), order)
-    kinds = C.inferred_kinds(laid.select(*names), order if sample_types else None)
-    typed = C.convert_kinds(laid, kinds)
-
-    found = null_counts(typed.select(*names)).collect()
-    rows = found[0]["rows"]
-    gaps = {r["column"]: r["missing"] for r in found if r["missing"]}
+    distinct = written_once(C.drop_duplicate_rows(C.standardize_names(C.null_markers(df))), "distinct")
+    rows, kinds, filled = _contents(distinct)
+    typed = C.convert_kinds(distinct, kinds)
+    gaps = {c: rows - n for c, n in filled.items() if n < rows}
     dates = [c for c in datetime_columns(typed) if c in gaps]
     numbers = [c for c in gaps if is_numeric(typed, c)]
     fills = C.numeric_fill_values(typed, numbers) if numbers else {}
-    out = fill_both_ways(typed, dates) if dates else typed
+    out, first = typed, {}
+    if gaps:
+        holes = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in gaps]))
+        keys = [f"_k{i}" for i in range(len(order))]
+        laid = lay_out(typed.select(*[F.col(c).alias(k) for c, k in zip(order, keys)], *dates, holes.alias("_holes")), keys)
+        first = _first_gaps(laid)
+        if dates:
+            carried = fill_both_ways(laid, dates).where(F.arrays_overlap("_holes", F.array(*[F.lit(c) for c in dates]))).select(
+                *keys, *[F.col(c).alias(f"_d{i}") for i, c in enumerate(dates)])
+            same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(order, keys)])
+            out = typed.join(lookup(carried), same, "left").withColumns(
+                {c: F.coalesce(c, f"_d{i}") for i, c in enumerate(dates)})
     out = C.fill_numeric(out.select(*names), fills)
     out = C.impute_categorical(out, [c for c in text_columns(out) if c in gaps])
 
@@ -65,7 +73,6 @@ def clean_table(df: DataFrame, order_by: Sequence[str], sample_types: bool = Fal
     facts += [(old, "renamed_to", new) for old, new in zip(df.columns, names) if old != new]
     facts += [(c, "markers_replaced", str(n)) for c, n in markers.items() if n]
     facts += [(c, "converted_to", k) for c, k in kinds.items() if k != "text"]
-    first = _first_gaps(typed, list(gaps)) if gaps else {}
     for c, n in gaps.items():
         facts.append((c, "missing_before", str(n)))
         facts.append((c, "missing_rows", ", ".join(map(str, first[c])) + ("..." if n > len(first[c]) else "")))
@@ -89,11 +96,23 @@ def _markers(df: DataFrame) -> tuple[int, dict[str, int]]:
     return row[0], dict(zip(texts, row[1:]))
 
 
-def _first_gaps(typed: DataFrame, columns: Sequence[str], n: int = 10) -> dict[str, list[int]]:
-    """The 1-based numbers of the first ``n`` rows without a value, per column."""
-    holes = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]))
-    rows = number_rows(typed, "_row").select("_row", F.explode(holes).alias("column"))
-    found: dict[str, list[int]] = {c: [] for c in columns}
+def _contents(df: DataFrame) -> tuple[int, dict[str, str], dict[str, int]]:
+    """Row count, the kind of every text column, and the values of every column once it is converted; in one pass."""
+    texts = text_columns(df)
+    row = df.agg(F.count(F.lit(1)), *[F.count(c) for c in df.columns], *[F.count(C.as_timestamp(F.col(c))) for c in texts],
+                 *[F.count(C.as_number(F.col(c))) for c in texts]).first()
+    n = dict(zip(df.columns, row[1:]))
+    dates = dict(zip(texts, row[1 + len(df.columns):]))
+    numbers = dict(zip(texts, row[1 + len(df.columns) + len(texts):]))
+    kinds = {c: C.kind_of(n[c], dates[c], numbers[c]) for c in texts}
+    left = {"datetime": dates, "numeric": numbers}
+    return row[0], kinds, {c: left.get(kinds.get(c, ""), n)[c] for c in df.columns}
+
+
+def _first_gaps(laid: DataFrame, n: int = 10) -> dict[str, list[int]]:
+    """The 1-based numbers of the first ``n`` rows without a value, per column with gaps."""
+    rows = number_rows(laid, "_row").select("_row", F.explode("_holes").alias("column"))
+    found: dict[str, list[int]] = {}
     for r in first_rows(rows, ["_row"], n, ["column"]).orderBy("_row").collect():
-        found[r["column"]].append(r["_row"] + 1)
+        found.setdefault(r["column"], []).append(r["_row"] + 1)
     return found

@@ -1,8 +1,8 @@
-"""The standard flows over a cleaned table: profile, analysis, insights, anomaly run, join."""
+"""Whole flows over one or two tables, built from the operators."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,78 +16,92 @@ from tabulith.plans.cleaning import Cleaned
 from tabulith.session import written_once
 from tabulith.sources.report import column_profile
 
+Tables = dict[str, DataFrame]
 
-def run_profiling(df: DataFrame) -> dict[str, DataFrame]:
-    profiling.expect_table(df, "cleaned data")
-    out = {"dataset": profiling.profile_dataset(df), "columns": column_profile(df),
-           "constants": profiling.constant_columns(df)}
-    if text_columns(df):
-        out["high_cardinality"] = profiling.high_cardinality(df)
-    return {k: v for k, v in out.items() if v is not None}
 
+def _made(parts: dict[str, tuple[bool, Callable[[], DataFrame | None]]]) -> Tables:
+    """The parts whose condition holds and that have a result."""
+    made = {name: build() for name, (wanted, build) in parts.items() if wanted}
+    return {name: table for name, table in made.items() if table is not None}
 
-def run_analysis(df: DataFrame, order_by: Sequence[str]) -> dict[str, DataFrame]:
-    profiling.expect_table(df, "cleaned data")
-    out = {"shape": aggregation.shape_info(df)}
-    if numeric_columns(df):
-        out["kpis"] = aggregation.kpis(df, order_by)
-        out["numeric_summary"] = aggregation.describe_numeric(df)
-    if text_columns(df):
-        out["categorical_summary"] = aggregation.describe_categorical(df)
-    return out
 
+def profile_flow(df: DataFrame) -> Tables:
+    profiling.expect_table(df, "table to profile")
+    return _made({
+        "columns": (True, lambda: column_profile(df)),
+        "constants": (True, lambda: profiling.constant_columns(df)),
+        "dataset": (True, lambda: profiling.profile_dataset(df)),
+        "high_cardinality": (bool(text_columns(df)), lambda: profiling.high_cardinality(df)),
+    })
 
-def run_insights(cleaned: Cleaned, order_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(findings, one-row summary) for a cleaned table and its report. The rules read the table many
+
+def analysis_flow(df: DataFrame, order_by: Sequence[str]) -> Tables:
+    profiling.expect_table(df, "table to analyse")
+    numbers, texts = bool(numeric_columns(df)), bool(text_columns(df))
+    return _made({
+        "categories": (texts, lambda: aggregation.describe_categorical(df)),
+        "kpis": (numbers, lambda: aggregation.kpis(df, order_by)),
+        "numbers": (numbers, lambda: aggregation.describe_numeric(df)),
+        "shape": (True, lambda: aggregation.shape_info(df)),
+    })
+
+
+def insight_flow(cleaned: Cleaned, order_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(findings, one-row summary) of a cleaned table and its report. The rules read the table many
     times, so the cleaning is done once and kept."""
     table = written_once(cleaned.table, "cleaned")
     found = insights.insights(table, order_by, cleaned.data_completeness, cleaned.duplicates_removed)
     return found, insights.insight_summary(table, order_by, found)
 
 
+def contamination_for(sensitivity: float) -> float:
+    """The default share of anomalies: 1 / sensitivity, kept between 0.01 and 0.3."""
+    return max(0.01, min(0.3, 1.0 / sensitivity))
+
+
 @dataclass
 class AnomalyRun:
-    """``rows`` is the scored table of a multivariate method, else None."""
+    """Column findings and their summary; a model's run has its scored rows and share of anomalies too."""
 
-    rows: DataFrame | None
     columns: DataFrame
     summary: DataFrame
-    contamination: float | None
+    rows: DataFrame | None = None
+    contamination: float | None = None
 
 
-def contamination_for(sensitivity: float) -> float:
-    """1 / sensitivity, kept between 0.01 and 0.3."""
-    return max(0.01, min(0.3, 1.0 / sensitivity))
+#: per method: the rule for single columns, and the model for whole rows
+METHODS: dict[str, tuple[str, Callable[..., DataFrame] | None]] = {
+    "zscore": ("zscore", None), "iqr": ("iqr", None), "isolation_forest": ("zscore", isolation_forest), "lof": ("zscore", lof)}
+
 
+def anomaly_flow(df: DataFrame, method: str = "zscore", sensitivity: float = 2.0, contamination: float | None = None
+                 ) -> AnomalyRun:
+    """One of ``METHODS``. ``sensitivity`` is the threshold of the column rule (the multiplier of "iqr");
+    ``contamination`` is the model's share of anomalies, by default ``contamination_for(sensitivity)``."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; use one of {', '.join(METHODS)}")
+    profiling.expect_table(df, "table to search")
+    rule, model = METHODS[method]
+    run = AnomalyRun(anomalies.outliers_all_columns(df, rule, sensitivity), anomalies.anomaly_summary(df, rule, sensitivity))
+    if model is not None:
+        run.contamination = contamination_for(sensitivity) if contamination is None else contamination
+        run.rows = model(df, contamination=run.contamination)
+    return run
 
-def ml_anomaly_summary(rows: DataFrame, method: str, columns: Sequence[str]) -> DataFrame:
+
+def flagged_summary(rows: DataFrame, method: str, columns: Sequence[str]) -> DataFrame:
+    """How many rows a model flagged, in one row with a sentence."""
     return rows.agg(F.count_if("is_anomaly").alias("count")).select(
         F.lit(method).alias("method"), F.lit(len(columns)).alias("columns_used"), "count",
         F.format_string("%s: %d unusual row(s) over %d column(s)", F.lit(method), "count",
                         F.lit(len(columns))).alias("summary"))
 
 
-def detect_run(df: DataFrame, method: str = "Z-Score", sensitivity: float = 2.0) -> AnomalyRun:
-    """Isolation Forest, Local Outlier Factor, Z-Score or IQR by name. The multivariate methods also
-    give the z-score results; for IQR the sensitivity is the multiplier."""
-    profiling.expect_table(df, "table")
-    if "ML" in method or "Forest" in method or "Outlier" in method:
-        share = contamination_for(sensitivity)
-        rows = isolation_forest(df, contamination=share) if "Forest" in method else lof(df, contamination=share)
-        return AnomalyRun(rows, anomalies.outliers_all_columns(df, "zscore", sensitivity),
-                          anomalies.anomaly_summary(df, "zscore", sensitivity), share)
-    rule = "zscore" if "Z-Score" in method else "iqr"
-    return AnomalyRun(None, anomalies.outliers_all_columns(df, rule, sensitivity),
-                      anomalies.anomaly_summary(df, rule, sensitivity), None)
-
-
-def run_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str = "left"
-             ) -> tuple[DataFrame, DataFrame, DataFrame]:
+def join_flow(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str = "left"
+              ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(joined rows, statistics, quality)."""
-    profiling.expect_table(left, "left table")
-    profiling.expect_table(right, "right table")
-    profiling.expect_columns(left, left_on, "left table")
-    profiling.expect_columns(right, right_on, "right table")
-    return (joins.smart_join(left, right, left_on, right_on, how),
-            joins.join_stats(left, right, left_on, right_on, how),
-            joins.join_quality(left, right, left_on, right_on))
+    for table, key, side in ((left, left_on, "left"), (right, right_on, "right")):
+        profiling.expect_table(table, f"{side} side")
+        profiling.expect_columns(table, key, f"{side} side")
+    arguments = (left, right, left_on, right_on)
+    return joins.smart_join(*arguments, how), joins.join_stats(*arguments, how), joins.join_quality(*arguments)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+#: a table up to this size may be sent to every executor
+BROADCAST_BYTES = 32 << 20
 
 
 def build_session(master: str | None = None, name: str = "tabulith", **conf: str) -> SparkSession:
@@ -30,23 +30,41 @@ def build_session(master: str | None = None, name: str = "tabulith", **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only a local session may fall back to /tmp."""
+    """The folder named by ``spark.checkpoint.dir``; a local session without one uses its warehouse folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="tabulith-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     sc.setCheckpointDir(named)
-    return named
+    return sc.getCheckpointDir()
+
+
+def _scratch_root(spark: SparkSession):
+    """The application's folder for written tables, as a path and its file system."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/written-{spark.sparkContext.applicationId}")
+    return root, root.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path for a written table, inside the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path for a written table, inside the shared folder. It is gone after the application, or after
+    ``discard_scratch``."""
+    root, files = _scratch_root(spark)
+    if not files.exists(root):
+        files.mkdirs(root)
+        files.deleteOnExit(root)
+    return f"{root.toString()}/{label}-{uuid.uuid4().hex}"
+
+
+def discard_scratch(spark: SparkSession) -> None:
+    """Delete the tables written so far, once their results have been read."""
+    root, files = _scratch_root(spark)
+    files.delete(root, True)
 
 
 def written_once(df: DataFrame, label: str) -> DataFrame:
@@ -57,6 +75,12 @@ def written_once(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def table_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows take in memory: 8 a column and 16 a row, and what texts hold."""
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    return df.agg(F.sum(sum(wide, F.lit(16 + 8 * len(df.columns))))).first()[0] or 0
+
+
 def lookup(df: DataFrame) -> DataFrame:
     """A reduced table to join a big one with: computed first, and broadcast if it turns out small.
 
@@ -64,7 +88,7 @@ def lookup(df: DataFrame) -> DataFrame:
     still unknown.
     """
     fixed = cut_lineage(df)
-    return F.broadcast(fixed) if fixed.count() <= BROADCAST_ROWS else fixed
+    return F.broadcast(fixed) if table_bytes(fixed) <= BROADCAST_BYTES else fixed
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

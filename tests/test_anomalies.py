@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tabulith.operators import anomalies as A
 from tabulith.operators import neighbours as N
 from tabulith.operators.forest import isolation_forest
-from tabulith.plans.overview import contamination_for, detect_run
+from tabulith.plans.overview import anomaly_flow, contamination_for
 
 
 def brute_force_lof(x, k):
@@ -62,6 +62,15 @@ def test_isolation_forest_finds_planted_rows(spark):
     assert isolation_forest(df.limit(5), list("abc")).count() == 0
 
 
+def test_isolation_forest_does_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(np.round(rng.normal(0, 1, (1500, 3)), 1), columns=list("abc")).assign(id=range(1500))
+    df = spark.createDataFrame(pd.concat([pdf, pdf.assign(a=1.0, b=1.0, c=1.0)]))  # half of all rows are equal
+    two, seven = (isolation_forest(df.repartition(n), list("abc")).toPandas().sort_values(["id", "a", "b", "c"]) for n in (2, 7))
+    assert np.allclose(two["anomaly_score"], seven["anomaly_score"])
+    assert (two["is_anomaly"].to_numpy() == seven["is_anomaly"].to_numpy()).all()
+
+
 def test_rules_on_flat_and_short_columns(spark):
     flat = spark.createDataFrame([(1.0,)] * 6, "x double")
     assert A.zscore_outliers(flat, "x").count() == 0
@@ -78,7 +87,7 @@ def test_iqr_uses_the_sensitivity_as_multiplier(spark):
     q1, q3 = np.quantile([*range(20), 38], [0.25, 0.75])
     for m in (0.5, 1.0, 2.0):
         want = sum(v < q1 - m * (q3 - q1) or v > q3 + m * (q3 - q1) for v in [*range(20), 38])
-        assert detect_run(df, "IQR", m).columns.agg(F.sum("count")).first()[0] in (want, None if want == 0 else want)
+        assert anomaly_flow(df, "iqr", m).columns.agg(F.sum("count")).first()[0] in (want, None if want == 0 else want)
 
 
 def test_anomalies_are_tagged_per_column(spark):

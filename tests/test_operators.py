@@ -18,7 +18,7 @@ from tabulith.operators import sorting as So
 from tabulith.operators import windows as X
 from tabulith.operators.insights import insights
 from tabulith.plans.cleaning import clean_table
-from tabulith.plans.overview import run_analysis, run_insights, run_join, run_profiling
+from tabulith.plans.overview import analysis_flow, insight_flow, join_flow, profile_flow
 from tabulith.sources import files, report
 
 
@@ -49,7 +49,6 @@ def test_numbers(spark, text, want):
 def test_types_from_all_rows_or_the_first(spark):
     df = spark.createDataFrame([(i, "2024-01-01" if i < 8 else "x", "5" if i < 20 else "x") for i in range(30)], "i int, d string, n string")
     assert C.inferred_kinds(df) == {"d": "text", "n": "text"}
-    assert C.inferred_kinds(df, ["i"], sample=10) == {"d": "datetime", "n": "numeric"}
     assert C.inferred_kinds(spark.createDataFrame([(None,)], "s string")) == {"s": "text"}
 
 
@@ -120,7 +119,7 @@ def test_mapping_and_one_hot(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "s string")
     assert [r[0] for r in S.map_values(df, "s", {"a": "z"}).collect()] == ["z", "b", None]
     assert [tuple(r) for r in S.one_hot(df, "s").collect()] == [(1, 0), (0, 1), (0, 0)]
-    sparse = S.one_hot(df, "s", max_values=1)
+    sparse = S.one_hot(df, "s", sparse=True)
     assert [r["s_onehot"] for r in sparse.collect()] == [{"a": 1}, {"b": 1}, None]
     assert S.rename_column(df, "s", "t").columns == ["t"] and S.rename_column(df, "x", "t").columns == ["s"]
 
@@ -300,11 +299,11 @@ def test_csv_and_report(spark, tmp_path):
 def test_flows(spark):
     df = spark.createDataFrame([(i, f"g{i % 3}", float(i)) for i in range(40)], "id int, g string, v double")
     done = clean_table(df, ["id"])
-    assert set(run_profiling(done.table)) == {"dataset", "columns", "constants", "high_cardinality"}
-    assert run_analysis(done.table, ["id"])["kpis"].count() == 2
-    found, summary = run_insights(done, ["id"])
+    assert set(profile_flow(done.table)) == {"dataset", "columns", "constants", "high_cardinality"}
+    assert analysis_flow(done.table, ["id"])["kpis"].count() == 2
+    found, summary = insight_flow(done, ["id"])
     assert found.count() == summary.first()["total_insights"]
-    joined, stats, quality = run_join(df, df.limit(5), "id", "id")
+    joined, stats, quality = join_flow(df, df.limit(5), "id", "id")
     assert joined.count() == 40 and stats.count() == 1 and quality.first()["quality_label"] == "Poor Match"
 
 

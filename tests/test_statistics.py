@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tabulith.functions import tails
 from tabulith.operators import hypothesis as H
@@ -29,12 +30,35 @@ def test_log_normal_cdf_is_smooth_in_the_tail():
     assert tails.log_normal_cdf(-1000.0) < -499_000
 
 
-def test_shapiro_known_samples():
-    w, p = H._shapiro(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236.0]))
-    assert w == pytest.approx(0.79, abs=0.005) and p == pytest.approx(0.0067, abs=0.0008)
+def test_log_normal_cdf_of_arrays():
+    z = np.array([-20.0, -6.0, -2.6, -2.4, -1.0, 0.0, 0.3, 2.4, 2.6, 4.0])
+    want = [math.log(0.5 * math.erfc(-v / math.sqrt(2.0))) for v in z]
+    assert tails.log_normal_cdf(z) == pytest.approx(want, rel=1e-12)
+
+
+def test_normal_quantile(spark):
+    from statistics import NormalDist
+    p = [1e-300, 1e-20, 1e-9, 0.01, 0.07, 0.3, 0.5, 0.6, 0.93, 0.999, 1 - 1e-12]
+    got = spark.createDataFrame([(v,) for v in p], "p double").select(tails.normal_quantile(F.col("p"))).collect()
+    assert [r[0] for r in got] == pytest.approx([NormalDist().inv_cdf(v) for v in p], rel=1e-12)
+
+
+def test_shapiro_known_samples(spark):
     rng = np.random.default_rng(0)
-    assert H._shapiro(rng.normal(size=2000))[1] > 0.05
-    assert H._shapiro(rng.exponential(size=200))[1] < 1e-6
+    samples = {"a": [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236.0], "b": rng.normal(size=2000),
+               "c": rng.exponential(size=200), "d": [1.0] * 9, "e": [1.0] * 7}
+    df = spark.createDataFrame([(k, float(v)) for k, x in samples.items() for v in x], "k string, x double")
+    got = {r["k"]: r for r in H.shapiro_wilk(df, "x", ["k"]).collect()}
+    assert got["a"]["statistic"] == pytest.approx(0.79, abs=0.005) and got["a"]["p_value"] == pytest.approx(0.0067, abs=0.0008)
+    assert got["b"]["p_value"] > 0.05 and got["c"]["p_value"] < 1e-6
+    assert got["d"]["statistic"] == 1.0 and "e" not in got
+
+
+def test_shapiro_without_a_cap(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "x": np.concatenate([rng.normal(size=5000), 8 + rng.normal(size=5000)])}))
+    row = H.shapiro_wilk(df, "x", ["k"]).first()
+    assert row["n"] == 10_000 and row["statistic"] < 0.9 and row["p_value"] is None and not row["p_valid"]
 
 
 def test_anderson_textbook(spark):
@@ -92,5 +116,5 @@ def test_linear_regression(spark):
 def test_normality_per_column(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"i": range(400), "n": rng.normal(size=400), "e": rng.exponential(size=400)})
-    got = {r["column"]: r["is_normal"] for r in H.normality_all(spark.createDataFrame(pdf), ["i"], ["n", "e"]).collect()}
+    got = {r["column"]: r["is_normal"] for r in H.normality_all(spark.createDataFrame(pdf), ["n", "e"]).collect()}
     assert got == {"n": True, "e": False}

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -15,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb  # noqa: E402
 
 from tabulith import catalog  # noqa: E402
-from tabulith.session import build_session  # noqa: E402
+from tabulith.session import build_session, discard_scratch  # noqa: E402
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -80,7 +81,7 @@ def compare(df, con, sql) -> str | None:
 def main() -> int:
     args = sys.argv[1:]
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
-    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g",
+    spark = build_session("local[8]", **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="oracle-"), "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g",
                                          "spark.ui.enabled": "false",
                                          "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
@@ -100,6 +101,7 @@ def main() -> int:
                 note = f"rows {df.count()}"
         except Exception as e:  # report and go on with the next query
             note = f"ERROR {type(e).__name__}: {str(e)[:1500]}"
+        discard_scratch(spark)
         failed += note.startswith(("DIFF", "ERROR"))
         print(f"{time.time() - start:6.2f}s {name}: {note}", flush=True)
     print(f"{len(wanted)} queries, {failed} failed")
