@@ -119,3 +119,15 @@ def _(spark, sf):
 def _(spark, sf):
     out = lof(table(spark, sf, "customer"), contamination=0.1, leaf_rows=250)
     return rounded(out.select("c_custkey", "lof_score", "is_anomaly"), "lof_score", digits=6)
+
+
+# many leaves, and more columns
+_PART_NUMBERS = ("p_partkey", "p_size", "p_retailprice", "worth", "cycle")
+_PARTS = "(SELECT *, p_size * p_retailprice AS worth, p_partkey % 97 AS cycle FROM part)"
+
+
+@query("lof_parts", lof_sql(_PARTS, "p_partkey", _PART_NUMBERS, 10, 0.05))
+def _(spark, sf):
+    parts = table(spark, sf, "part").selectExpr("*", "p_size * p_retailprice AS worth", "p_partkey % 97 AS cycle")
+    out = lof(parts, list(_PART_NUMBERS), n_neighbors=10, leaf_rows=60)
+    return rounded(out.select("p_partkey", "lof_score", "is_anomaly"), "lof_score", digits=6)

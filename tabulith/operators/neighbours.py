@@ -24,12 +24,13 @@ from tabulith.operators.moments import quantiles
 from tabulith.session import cut_lineage
 
 LEAF_ROWS = 2_000
-MAX_LEAVES = 16_384          # the tree is broadcast; beyond this the leaves grow instead
-_SAMPLE_PER_LEAF = 32
+MAX_LEAVES = 65_536          # of the tree that is broadcast; larger leaves have a tree of their own inside their tasks
+_SAMPLE_PER_LEAF = 16
 _QUERIES_PER_TASK = 50_000
 _BLOCK = 256
 
 _NEAR = "id long, other long, dist double, weight long"
+_EMPTY = pd.DataFrame({"id": np.empty(0, "int64"), "other": np.empty(0, "int64"), "dist": np.empty(0), "weight": np.empty(0, "int64")})
 
 
 def _leaf_tree(sample: np.ndarray, leaves: int) -> dict[str, np.ndarray]:
@@ -115,6 +116,36 @@ def _nearest(query: np.ndarray, query_id: np.ndarray, points: np.ndarray, point_
                             "weight": weight[cols[r, c]]})
 
 
+def _within(query: np.ndarray, query_id: np.ndarray, points: np.ndarray, point_id: np.ndarray, weight: np.ndarray, k: int,
+            leaf_rows: int, bound: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
+    """``_nearest`` in one leaf. A leaf of many points gets a tree of its own, so that the work does not grow with the
+    square of its size; without ``bound`` the queries are the points themselves."""
+    if len(points) <= 2 * leaf_rows:
+        yield from _nearest(query, query_id, points, point_id, weight, k, bound)
+        return
+    tree = _leaf_tree(points, math.ceil(len(points) / leaf_rows))
+    at = _leaf_of(tree, points)
+    order = np.argsort(at, kind="stable")
+    leaves, starts = np.unique(at[order], return_index=True)
+    members = dict(zip(leaves.tolist(), np.split(order, starts[1:])))
+    if bound is None:
+        # neighbours in the own small leaf bound the search of the others
+        bound = np.full(len(query), np.inf)
+        place = np.argsort(query_id)
+        for own in members.values():
+            for found in _nearest(query[own], query_id[own], points[own], point_id[own], weight[own], k):
+                far = found.groupby("id")["dist"].agg(["max", "count"])
+                rows = place[np.searchsorted(query_id, far.index.to_numpy(), sorter=place)]
+                bound[rows] = np.where(far["count"] >= k, far["max"], np.inf)
+    rows, found = _touched(tree, query, bound)
+    order = np.argsort(found, kind="stable")
+    leaves, starts = np.unique(found[order], return_index=True)
+    for leaf, group in zip(leaves.tolist(), np.split(rows[order], starts[1:])):
+        own = members.get(leaf)
+        if own is not None:
+            yield from _nearest(query[group], query_id[group], points[own], point_id[own], weight[own], k, bound[group])
+
+
 def _matrix(column: pd.Series, dims: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype("float64") if len(column) else np.zeros((0, dims))
 
@@ -137,7 +168,7 @@ def _neighbour_candidates(points: DataFrame, dims: int, k: int, leaf_rows: int)
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = _matrix(pdf["vec"], dims), pdf["id"].to_numpy()
-        return pd.concat(_nearest(x, ids, x, ids, pdf["m"].to_numpy(), k), ignore_index=True)
+        return pd.concat([_EMPTY, *_within(x, ids, x, ids, pdf["m"].to_numpy(), k, leaf_rows)], ignore_index=True)
 
     # small in bytes but heavy to compute: a fixed number of tasks keeps leaves from being merged
     own = placed.repartition(leaves, "leaf").groupBy("leaf").applyInPandas(inside, _NEAR)
@@ -177,8 +208,8 @@ def _neighbour_candidates(points: DataFrame, dims: int, k: int, leaf_rows: int)
     def across(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if q.empty or p.empty:
             return pd.DataFrame({"id": [], "other": [], "dist": [], "weight": []})
-        return pd.concat(_nearest(_matrix(q["vec"], dims), q["id"].to_numpy(), _matrix(p["vec"], dims),
-                                  p["id"].to_numpy(), p["m"].to_numpy(), k, q["radius"].to_numpy()), ignore_index=True)
+        return pd.concat([_EMPTY, *_within(_matrix(q["vec"], dims), q["id"].to_numpy(), _matrix(p["vec"], dims), p["id"].to_numpy(),
+                                           p["m"].to_numpy(), k, leaf_rows, q["radius"].to_numpy())], ignore_index=True)
 
     task = ["target", "part"]
     asked, answering = asked.repartition(leaves, *task), answering.repartition(leaves, *task)

@@ -40,6 +40,18 @@ def test_lof_counts_copies(spark, leaf_rows):
     assert np.allclose(out["lof_score"], brute_force_lof(x, 10), rtol=1e-6)
 
 
+def test_lof_with_leaves_that_have_trees(spark, monkeypatch):
+    """Two leaves at the top, each with a tree of its own inside its task."""
+    monkeypatch.setattr(N, "MAX_LEAVES", 2)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(0, 1, (500, 2)), rng.normal(6, 0.2, (300, 2)), [[30.0, 30.0]]])
+    out = N.lof(spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"])), n_neighbors=10, leaf_rows=40).toPandas()
+    keyed = out.set_index(["a", "b"])["lof_score"]
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    want = brute_force_lof(z, 10)
+    assert np.allclose([keyed[tuple(v)] for v in x], want, rtol=1e-6)
+
+
 def test_lof_gaps_and_small_tables(spark):
     df = spark.createDataFrame([(float(i), None if i == 3 else float(i * i % 17)) for i in range(40)], "a double, b double")
     out = N.lof(df, n_neighbors=5)

@@ -18,6 +18,7 @@ from tabulith.operators import sorting as So
 from tabulith.operators import windows as X
 from tabulith.operators.insights import insights
 from tabulith.plans.cleaning import clean_table
+from tabulith.operators import sorting as S_sorting
 from tabulith.plans.overview import analysis_flow, insight_flow, join_flow, profile_flow
 from tabulith.sources import files, report
 
@@ -333,3 +334,37 @@ def test_row_steps_run_on_a_stream(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(map(tuple, spark.table("steps").collect())) == sorted(map(tuple, steps(spark.read.parquet(src)).collect()))
+
+
+def test_a_hot_key_on_the_optional_side_is_split(spark):
+    from tabulith.operators import joins as J
+    left = spark.createDataFrame([(1 if i % 3 == 0 else 1000 + i, i) for i in range(300)], "k long, a int")
+    right = spark.createDataFrame([(1 if i % 3 == 0 else 1100 + i, i) for i in range(300)], "k long, b int")
+    for how in ("left", "right", "outer"):
+        auto = J.smart_join(left, right, "k", "k", how)
+        plain = J.smart_join(left, right, "k", "k", how, split_sides=False)
+        assert "LeftAnti" in auto._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" not in plain._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(auto.collect(), key=repr) == sorted(plain.collect(), key=repr)
+    even = spark.range(300).withColumnRenamed("id", "k")
+    assert "LeftAnti" not in J.smart_join(left, even, "k", "k")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_rows_of_any_number(spark):
+    df = spark.createDataFrame([(g, i, (i * 7919) % 5003) for g in ("a", None, "c") for i in range(5000 if g == "a" else 10)], "g string, i int, o int")
+    for n in (3, 2000):
+        got = S_sorting.first_rows(df, ["o", "i"], n, ["g"]).collect()
+        want = [r for g in ("a", None, "c") for r in sorted([r for r in df.collect() if r["g"] == g], key=lambda r: (r["o"], r["i"]))[:n]]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_written_tables_go(spark):
+    import os
+    from tabulith import session
+    table = session.written_once(spark.range(10), "t")
+    folder = session._scratch_root(spark)[0].toUri().getPath()
+    assert table.count() == 10 and os.listdir(folder) and folder.startswith(session.shared_dir(spark).replace("file:", ""))
+    session.discard_scratch(spark)
+    assert not os.path.exists(folder)
+    wide = spark.createDataFrame([("x" * 1000,)] * 50, "s string")
+    assert 50_000 < session.table_bytes(wide) < 60_000
