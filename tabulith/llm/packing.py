@@ -5,8 +5,10 @@ curve. Documents are range-sorted by that number, laid end to end, and the line
 ``length`` ids, so sequences hold neighbours along the curve and only the last one can need padding; a
 remainder is cut at powers of two, which need none. Offsets come from one row per partition.
 
-Tokens come from a public tokenizer file. It drops white space, so a text is cut at ASCII white space and the
-ids of each piece are kept in a dictionary per task; a piece's ids don't depend on its neighbours.
+Tokens come from a public tokenizer file. It drops white space and keeps letters apart from marks, so a text is cut into
+pieces at ASCII white space and between ASCII letters and marks, where a piece's ids don't depend on its neighbours. The
+ids of pieces seen before are kept by hash in each Python worker, and arrays of ids are put together from them. Texts that
+spell out a special token go through the tokenizer as a whole.
 
 Null or empty text is a document of the end id alone. Rows are packed one by one: repeated ``doc_id`` or null
 ids are rows of their own. An empty table gives no sequence.
@@ -14,7 +16,7 @@ ids are rows of their own. An empty table gives no sequence.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 from statistics import NormalDist
@@ -27,21 +29,23 @@ from pyspark.sql import functions as F
 
 from tabulith.session import cut_lineage
 
+from . import words as W
 from .registry import query, table
 
 LENGTH = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 DIMENSIONS, BITS = 4, 8
-#: entries of a task's dictionary before it starts anew, texts tokenized at once
-CACHE_ENTRIES = 1_000_000
-BLOCK_CHARS = 1 << 20
+#: pieces that a worker keeps (some 30 bytes each) before it starts anew, bytes of text tokenized at once
+CACHE_ENTRIES = 2_000_000
+BLOCK_BYTES = 1 << 19
 
 _random = np.random.default_rng(7)
 _BUCKETS = 256
 _PROJECTION = _random.standard_normal((_BUCKETS, DIMENSIONS))
 _GRID = np.array([NormalDist().inv_cdf(i / (1 << BITS)) for i in range(1, 1 << BITS)])
-_STEM = re.compile(rb"([A-Za-z]+)([.,])")
+_SPECIAL = b"<|"
+_JOINED, _CALL = 256, 16  # words put together, and groups of them encoded in one call
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -51,45 +55,99 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class PieceEncoder:
-    """Ids of texts as little-endian bytes, by white-space pieces."""
+    """Ids of whole texts, from the ids of their pieces."""
 
     def __init__(self, path: str, end_id: int | None = END_ID):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
-        self.known: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
-
-    def _encode(self, pieces: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
-
-    def _learn(self, pieces: set[bytes]) -> None:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        if len(self.stems) > CACHE_ENTRIES:
-            self.stems.clear()
-        parts = {p: (p.lower(),) if p.isalpha() else (m[1].lower(), m[2]) if (m := _STEM.fullmatch(p)) else (p,) for p in pieces}
-        new = list({s for x in parts.values() for s in x if s not in self.stems})
-        self.stems.update(zip(new, self._encode(new)))
-        self.known.update((p, b"".join([self.stems[s] for s in x])) for p, x in parts.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        get = self.known.get
-        out = [list(map(get, w)) for w in split]
-        gaps = [k for k, ids in enumerate(out) if None in ids]
-        if gaps:
-            self._learn({w for k in gaps for w, ids in zip(split[k], out[k]) if ids is None})
-            for k in gaps:
-                ids = list(map(self.known.get, split[k]))
-                if None in ids:  # the dictionary has just started anew
-                    self._learn(set(split[k]))
-                    ids = list(map(self.known.get, split[k]))
-                out[k] = ids
-        return [b"".join(ids) + self.end for ids in out]
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for every core already
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        # lower-case ASCII words need no normalizing, and only white space between them
+        self.plain = Tokenizer(self.whole.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        size = self.whole.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.end = np.array([] if end_id is None else [end_id], self.kind)
+        self.last = np.zeros(size, bool)  # ids that end a word
+        suffix = getattr(self.whole.model, "end_of_word_suffix", None)
+        if suffix:
+            self.last[[i for token, i in self.whole.get_vocab().items() if token.endswith(suffix)]] = True
+        self.joins = bool(suffix)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.first, self.ids = np.zeros(1, np.int64), np.empty(0, self.kind)
+
+    def _encoded(self, pieces: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(pieces)
+        words = [k for k, p in enumerate(pieces) if self.joins and p.isascii() and p.isalpha()]
+        groups = [words[i:i + _JOINED] for i in range(0, len(words), _JOINED)]
+        for i in range(0, len(groups), _CALL):  # the tokenizer's results are large
+            some = groups[i:i + _CALL]
+            texts = [" ".join([pieces[k].lower() for k in g]) for g in some]
+            for group, found in zip(some, self.plain.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(found.ids, self.kind)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                for k, lo, hi in zip(group, np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()):
+                    out[k] = ids[lo:hi]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, found in zip(rest, self.whole.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False)):
+            out[k] = np.array(found.ids, self.kind)
+        return out
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        new = self._encoded(pieces)
+        slots = len(self.first) - 1 + np.arange(len(new))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(x) for x in new])))
+        self.ids = np.concatenate((self.ids, *new))
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.slots = np.insert(self.hashes, place, hashes), np.insert(self.slots, place, slots)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, each with the end id, and their offsets by row."""
+        starts, ends, at = W.pieces(data, offsets)
+        hashes, where, back = np.unique(W.mix(W.span_hashes(data, starts, ends)), return_index=True, return_inverse=True)
+        known = self._find(hashes)
+        missing = np.flatnonzero(known < 0)
+        if len(self.hashes) + len(missing) > CACHE_ENTRIES:
+            self._forget()
+            missing = np.arange(len(hashes))
+        if len(missing):
+            self._learn(hashes[missing], [data[starts[w]:ends[w]].tobytes().decode() for w in where[missing]])
+            known = self._find(hashes)
+        slot = known[back]
+        sizes = self.first[slot + 1] - self.first[slot]
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        own = self.ids[np.repeat(self.first[slot] - total[:-1], sizes) + np.arange(total[-1])]
+        if not len(self.end):
+            return own, total[at]
+        out_at = total[at] + np.arange(len(at))
+        out = np.empty(total[-1] + len(at) - 1, self.kind)
+        is_end = np.zeros(len(out), bool)
+        is_end[out_at[1:] - 1] = True
+        out[is_end], out[~is_end] = self.end[0], own
+        return out, out_at
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slots of pieces, -1 where unknown."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[place] == hashes, self.slots[place], -1)
+
+    def encode_text(self, text: str) -> np.ndarray:
+        return np.concatenate((np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind), self.end))
+
+
+_encoders: dict[tuple, PieceEncoder] = {}
+
+
+def _encoder(path: str, end_id: int | None) -> PieceEncoder:
+    """One for all tasks of a Python worker."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = PieceEncoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -135,27 +193,22 @@ def _tokenized(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder, pack = PieceEncoder(path, end_id), zstandard.ZstdCompressor(level=1).compress
+        encoder, pack = _encoder(path, end_id), zstandard.ZstdCompressor(level=1).compress
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            keys, sizes, packed = [], [], []
-            texts, chars = [], 0
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                texts.append(text or "")
-                chars += len(texts[-1])
-                if chars < BLOCK_CHARS and k + 1 < batch.num_rows:
-                    continue
-                ids = encoder.encode(texts)
-                size = np.array([len(x) // encoder.kind.itemsize for x in ids])
-                keys.append(curve_keys(np.frombuffer(b"".join(ids), encoder.kind), np.concatenate(([0], np.cumsum(size)))))
-                sizes.append(size)
-                packed += [pack(x) for x in ids]
-                texts, chars = [], 0
-            rows = (part << 40) + np.arange(row, row + batch.num_rows)
-            row += batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), batch.column(0), *(pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (keys, sizes)),
-                 pa.array(packed, pa.binary())], names=["row", "doc_id", "curve", "tokens", "ids"])
+            for at, data, offsets in W.blocks(batch.column(1), BLOCK_BYTES):
+                ids, first = encoder.encode(data, offsets)
+                spelled = np.flatnonzero((data[:-1] == _SPECIAL[0]) & (data[1:] == _SPECIAL[1]))
+                rows = np.split(ids, first[1:-1])
+                for k in set((np.searchsorted(offsets, spelled, "right") - 1).tolist()):
+                    rows[k] = encoder.encode_text(data[offsets[k]:offsets[k + 1]].tobytes().decode())
+                if len(spelled):
+                    ids, first = np.concatenate(rows), np.concatenate(([0], np.cumsum([len(x) for x in rows])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((part << 40) + row + np.arange(len(rows)), pa.int64()), batch.column(0).slice(at, len(rows)),
+                     pa.array(curve_keys(ids, first), pa.int64()), pa.array(np.diff(first), pa.int64()),
+                     pa.array([pack(x) for x in rows], pa.binary())], names=["row", "doc_id", "curve", "tokens", "ids"])
+                row += len(rows)
     return run
 
 

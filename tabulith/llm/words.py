@@ -89,6 +89,24 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, bare: bool = False) -> tu
     return mix(span_hashes(data, starts, ends)), first
 
 
+_LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
+#: ASCII that is no letter, white space or apostrophe
+_MARK = _NOT_ALNUM & ~_SPACE | np.array([48 <= i < 58 for i in range(256)])
+_MARK[39] = False
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``spans``, with words also cut where an ASCII letter and another ASCII mark but the apostrophe meet."""
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    solid, letter, mark = ~_SPACE[data], _LETTER[data], _MARK[data]
+    cut = edge[1:n] | ~solid[:-1] | ~solid[1:] | letter[:-1] & mark[1:] | mark[:-1] & letter[1:] if n else edge[:0]
+    starts = np.flatnonzero(solid & np.concatenate((np.ones(min(n, 1), bool), cut)))
+    ends = np.flatnonzero(solid & np.concatenate((cut, np.ones(min(n, 1), bool)))) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
