@@ -39,7 +39,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     rows = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"),
         F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    lines = rows.withColumn("line", _form(F.col("raw"))).where("line <> ''")
+    lines = rows.where(F.trim("raw") != "").withColumn("line", _form(F.col("raw")))
     return lines.select("doc_id", "version", "line_no", "line", F.xxhash64("line").alias("h"),
                         F.xxhash64("line", F.lit("second")).alias("h2"))
 
@@ -51,7 +51,7 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     last = F.greatest(F.lit(0), (F.octet_length("wide") / 2).cast("int") - shingle)
     cut = F.col("wide").substr(F.col("i") * 2 + 1, F.lit(2 * shingle))
     shingles = wide.select("h", "h2", "wide", F.explode(F.sequence(F.lit(0), last)).alias("i")).select(
-        "h", "h2", "i", F.xxhash64(cut).alias("s"))
+        "h", "h2", "i", F.hash(cut).alias("s"))
     return shingles.groupBy("h", "h2").agg(
         F.count(F.when(F.col("i") == 0, 1)).alias("n"), *(F.min(F.hash("s", F.lit(j))).alias(f"m{j}") for j in range(HASHES)))
 
@@ -77,9 +77,10 @@ def candidates(lines: DataFrame) -> DataFrame:
 
 
 def _shingles(line: Column, shingle: int) -> Column:
-    """Distinct shingles; a shorter line is its only one."""
-    found = F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{shingle}}}))"), F.lit(1)))
-    return F.when(F.length(line) < shingle, F.array(line)).otherwise(found)
+    """Hashes of the distinct shingles; a shorter line is its only one."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{shingle}}}))"), F.lit(1))
+    hashes = F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
+    return F.when(F.length(line) < shingle, F.array(F.xxhash64(line))).otherwise(hashes)
 
 
 def confirmed(pairs: DataFrame, lines: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -88,8 +89,11 @@ def confirmed(pairs: DataFrame, lines: DataFrame, shingle: int = SHINGLE, percen
     texts = lines.select("h", "line").join(ids, "h", "left_semi").distinct()
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    sets = both.select("a", "b", _shingles(F.col("x"), shingle).alias("x"), _shingles(F.col("y"), shingle).alias("y"))
-    common = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
+    # a generator's input is computed once a row; a projection's would be again for each use
+    sets = both.select("a", "b", F.explode(F.array(F.struct(
+        _shingles(F.col("x"), shingle).alias("x"), _shingles(F.col("y"), shingle).alias("y")))).alias("s"))
+    common = sets.select("a", "b", F.explode(F.array(F.struct(
+        F.size(F.array_intersect("s.x", "s.y")).alias("n"), (F.size("s.x") + F.size("s.y")).alias("m")))).alias("c")).select("a", "b", "c.*")
     return common.where(F.col("n") * 100 >= (F.col("m") - F.col("n")) * percent).select("a", "b")
 
 
