@@ -76,7 +76,7 @@ def forest_report(spark, sf, name, search, contamination):
     to the whole table, all extreme rows are flagged, no row with a gap has a score, and the flagged share is right."""
     first, second, gap = FOREST_COLUMNS[name]
     rows = table(spark, sf, name).withColumn("_planted", F.lit("no"))
-    some = rows.orderBy(*rows.columns).limit(10)
+    some = spark.createDataFrame(rows.orderBy(*rows.columns).limit(10).collect(), rows.schema)
     far = some.withColumns({first: F.col(first) * 0 + 10 ** 7, second: F.col(second) * 0 + 10.0 ** 9, "_planted": F.lit("far")})
     gaps = some.withColumns({gap: F.lit(None).cast("double"), "_planted": F.lit("gap")})
     found = search(rows.unionByName(far).unionByName(gaps))

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text hashed at once: small enough for the CPU cache, whatever the Arrow batch holds
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 _SPACE = np.zeros(256, bool)

@@ -100,6 +100,7 @@ def test_a_large_bucket_makes_few_pairs(spark, documents, prose):
     assert dropped(L.deduplicated(documents(rows))) == {(i, 0) for i in range(1, 120)}
 
 
-def test_bands():
-    pairs = [frozenset(p) for band in L.BANDS for p in ((band[0], band[1]), (band[0], band[2]), (band[1], band[2]))]
-    assert len(set(pairs)) == len(pairs) == 24
+def test_any_five_equal_minima_share_a_band():
+    from itertools import combinations
+    assert len(L.BANDS) == 14
+    assert all(any(set(band) <= set(five) for band in L.BANDS) for five in combinations(range(L.HASHES), 5))
