@@ -2,13 +2,14 @@
 
 Lines are compared in lower case without outer white space, as sets of character shingles. One aggregate over all
 shingles of all lines gives every distinct line and its signature of ``HASHES`` minima; equal lines meet there, so a
-line that fills a third of the corpus is one row. Bands of four minima each propose candidates: all pairs of buckets with
-two or three lines, and in larger buckets a star to the smallest and one to the largest line, so no bucket makes more
-pairs than twice its lines. Candidates are confirmed by the exact Jaccard similarity
-of their shingle sets. Connected lines are one component, of which the first occurrence (by ``doc_id``, then line)
-stays; all others are dropped.
-
-The bands together miss a pair at similarity 0.8 in about one case of 20 and at 0.9 in one of 250; such pairs stay apart. Blank lines are never dropped. Null text has no lines. Rows without a ``doc_id``
+line that fills a third of the corpus is one row. Bands of four minima, or of four maxima, each propose candidates: all
+pairs of buckets with two or three lines, and in larger buckets a star to the smallest and one to the largest line.
+Candidates are confirmed by the exact Jaccard similarity of their shingle sets. The lines of larger buckets that the stars
+do not make one component are compared again by all pairs that share a rare shingle, which is exact (``overlaps``).
+Connected lines are one component, of which the first occurrence (by ``doc_id``, then line) stays; all others are dropped.
+
+Minima alone miss a pair at similarity 0.8 in about one case of 20 and at 0.9 in one of 250, and maxima again; a pair that
+both miss stays apart, about one of 400 at 0.8. Blank lines are never dropped. Null text has no lines. Rows without a ``doc_id``
 keep all lines and take no part; repeated rows are one document.
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from tabulith.session import cut_lineage
 
 from .components import components, sized
+from .overlaps import prefix_pairs, undecided
 from .registry import query, table
 
 SHINGLE, PERCENT = 8, 80
@@ -49,24 +51,27 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``h, h2, n, m0..`` of every distinct line: the number of occurrences and the minima."""
+    """``h, h2, n, m0.., x0..`` of every distinct line: the number of occurrences, the minima and the maxima."""
     # two bytes a character, so a shingle is cut out without walking the line
     wide = lines.select("h", "h2", F.encode("line", "UTF-16BE").alias("wide"))
     last = F.greatest(F.lit(0), (F.octet_length("wide") / 2).cast("int") - shingle)
     cut = F.col("wide").substr(F.col("i") * 2 + 1, F.lit(2 * shingle))
     shingles = wide.select("h", "h2", "wide", F.explode(F.sequence(F.lit(0), last)).alias("i")).select(
         "h", "h2", "i", F.hash(cut).alias("s"))
+    mixed = [F.hash(F.col("s").bitwiseXOR(F.lit(c))) for c in _FLIPS]
     return shingles.groupBy("h", "h2").agg(
-        F.count(F.when(F.col("i") == 0, 1)).alias("n"), *(F.min(F.hash(F.col("s").bitwiseXOR(F.lit(c)))).alias(f"m{j}") for j, c in enumerate(_FLIPS)))
+        F.count(F.when(F.col("i") == 0, 1)).alias("n"), *(F.min(x).alias(f"m{j}") for j, x in enumerate(mixed)),
+        *(F.max(x).alias(f"x{j}") for j, x in enumerate(mixed)))
 
 
 def _banded(lines: DataFrame) -> DataFrame:
-    keys = [F.xxhash64(F.lit(k), *(F.col(f"m{j}") for j in band)) for k, band in enumerate(BANDS)]
+    keys = [F.xxhash64(F.lit(f"{end}{k}"), *(F.col(f"{end}{j}") for j in band)) for end in "mx" for k, band in enumerate(BANDS)]
     return lines.select("h", F.explode(F.array(*keys)).alias("band"))
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of distinct lines that share a band."""
+def proposed(lines: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs ``a < b`` of distinct lines that share a band, and the members ``key, id`` of buckets of which these are not
+    all pairs, if there are any."""
     buckets = cut_lineage(_banded(lines).groupBy("band").agg(
         F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_xor("h").alias("x"), F.count("*").alias("n")).where("n > 1"))
     third = F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("x"))
@@ -74,10 +79,17 @@ def candidates(lines: DataFrame) -> DataFrame:
     three = buckets.where("n = 3").select("lo", third.alias("mid"), "hi")
     pairs = ends.union(three.select("lo", "mid")).union(three.select("mid", "hi"))
     large = buckets.where("n > 3").select("band", "lo", "hi")
+    members = None
     if not large.isEmpty():
-        members = _banded(lines).join(sized(large), "band")
+        members = cut_lineage(_banded(lines).join(sized(large), "band"))
         pairs = pairs.union(members.select("lo", "h")).union(members.select("h", "hi"))
-    return pairs.where("a <> b").distinct()
+        members = members.select(F.col("band").alias("key"), F.col("h").alias("id"))
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), members
+
+
+def candidates(lines: DataFrame) -> DataFrame:
+    """The first pairs to confirm."""
+    return proposed(lines)[0]
 
 
 def _shingles(line: Column, shingle: int) -> Column:
@@ -101,13 +113,29 @@ def confirmed(pairs: DataFrame, lines: DataFrame, shingle: int = SHINGLE, percen
     return common.where(F.col("n") * 100 >= (F.col("m") - F.col("n")) * percent).select("a", "b")
 
 
+def linked(lines: DataFrame, known: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``node, component`` of the distinct lines that are similar to others."""
+    pairs, members = proposed(known)
+    groups = components(confirmed(cut_lineage(pairs), lines, shingle, percent))
+    if members is None:
+        return groups
+    groups = cut_lineage(groups)
+    rest = undecided(members, groups)
+    if rest.isEmpty():
+        return groups
+    texts = lines.select(F.col("h").alias("id"), "line").join(sized(rest), "id").distinct()
+    pairs = cut_lineage(prefix_pairs(texts.select("id", "part", _shingles(F.col("line"), shingle).alias("items")), percent))
+    if pairs.isEmpty():
+        return groups
+    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(pairs, lines, shingle, percent)))
+
+
 def line_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, version, line_no, class, dropped`` of every occurrence of a line that occurs again, as it is or nearly;
     ``class`` is shared by all of them."""
     lines = occurrences(docs)
     known = cut_lineage(signatures(lines, shingle))
-    links = confirmed(cut_lineage(candidates(known)), lines, shingle, percent)
-    groups = components(links).withColumnRenamed("node", "h")
+    groups = linked(lines, known, shingle, percent).withColumnRenamed("node", "h")
     again = known.select("h", "h2", "n").join(groups, "h", "left").where("n > 1 or component is not null").select(
         "h", "h2", F.coalesce("component", "h").alias("class"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("class2"))
     found = cut_lineage(lines.join(sized(again), ["h", "h2"]).select("doc_id", "version", "line_no", "class", "class2"))

@@ -104,3 +104,15 @@ def test_any_five_equal_minima_share_a_band():
     from itertools import combinations
     assert len(L.BANDS) == 14
     assert all(any(set(band) <= set(five) for band in L.BANDS) for five in combinations(range(L.HASHES), 5))
+
+
+def test_similar_lines_in_a_crowded_bucket(spark, documents, prose):
+    """Lines of one template that are not similar to each other, and a near copy of each: the ends of a bucket are similar to few."""
+    rng = random.Random(5)
+    template, rows = " ".join(prose(1, 60)), []
+    for k in range(400):
+        line = template + " " + " ".join(prose(1000 + k, 14))
+        at = rng.randrange(len(line))
+        rows += [(2 * k, line), (2 * k + 1, line[:at] + "#" + line[at + 1:])]
+    want, got = brute_force(rows), dropped(L.deduplicated(documents(rows)))
+    assert len(want) < 800 and got == want
