@@ -5,7 +5,9 @@ tree is a sorted order of the labels. Neighbours in an order share the longest l
 over it walks the tree: where documents are sparse it reaches down to the shortest allowed prefix, where they
 are dense it stays among the deepest ones. Pairs in a window whose signatures agree enough are candidates, and
 links are confirmed on the full sets. Direct neighbours are confirmed first; of the other candidates only those
-between different components are left, so large groups of copies cost a few comparisons a document.
+between different components are left, so large groups of copies cost a few comparisons a document. Regions longer than
+the window that are not one component then are compared by all pairs that share a rare shingle (``overlaps``), which is
+exact: documents that share much text below the threshold do not hide their similar ones.
 
 Documents with equal sets are one node from the start, so exact copies, however many, are never paired.
 
@@ -27,6 +29,7 @@ from tabulith.session import cut_lineage
 
 from . import words as W
 from .components import components, sized
+from .overlaps import prefix_pairs, undecided
 from .registry import query, table
 
 TREES = 10
@@ -91,7 +94,7 @@ def _candidates(tree: np.ndarray, size: np.ndarray, marks: np.ndarray, new: int,
         low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         same = marks[i] == marks[j]
         fit = (100 * low >= percent * high) & (same.sum(axis=1) >= MIN_AGREEMENT * width)
-        if step > 2:  # leave pairs that an earlier order has in one region to that order
+        if step > 2:  # leave pairs that an earlier order has in one region to that order, or to the exact comparison of long regions
             heads = same.reshape(len(i), TREES, DEPTH)[:, :, :MIN_PREFIX].all(axis=2)
             fit &= heads.argmax(axis=1) == tree[i]
         yield i[fit], j[fit], step
@@ -168,6 +171,25 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
         F.min("step").alias("step"))
 
 
+def crowded(nodes: DataFrame) -> DataFrame:
+    """``key, id`` of the rows of regions that are longer than the window, so that it does not hold all their pairs."""
+    head = F.substring("signature", F.col("tree") * F.lit(2 * DEPTH) + F.lit(1), F.lit(2 * MIN_PREFIX))
+    rows = nodes.select(F.col("doc").alias("id"), "signature", F.explode(F.lit(list(range(TREES)))).alias("tree")).select(
+        F.xxhash64("tree", head).alias("key"), "id")
+    long_ = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > WINDOW + 1).select("key")
+    return rows.join(sized(long_), "key")
+
+
+def _set_items(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for row, rows, values, first in _sets(batch.column(1), shingle):
+                items = pa.ListArray.from_arrays(pa.array(first - first[0], pa.int32()), pa.array(values[first[0]:first[-1]].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.slice(row, rows), items], names=["id", "items"])
+    return run
+
+
 def _set_bytes(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +240,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
         rest = rest.join(known.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
     rest = cut_lineage(rest.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b"))
     more = confirmed(rest, docs, shingle, percent)
-    whole = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    whole = cut_lineage(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
+    open_ = undecided(crowded(nodes), whole)
+    if not open_.isEmpty():
+        sets = docs.join(sized(open_.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(
+            _set_items(shingle), "id long, items array<long>").where(F.size("items") > 0).distinct()
+        last = cut_lineage(prefix_pairs(sets.join(sized(open_), "id").select("id", "part", "items"), percent))
+        whole = components(whole.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(last, docs, shingle, percent)))
     members = nodes.select("set_key", "n", "doc").join(whole, F.col("doc") == F.col("node"), "left").select(
         "set_key", "n", F.coalesce("component", "doc").alias("found"))
     joined = signed.join(members, (signed.set_key == members.set_key) & (signed.n_shingles == members.n)

@@ -99,3 +99,18 @@ def test_broadcast_only_up_to_the_limit(spark):
     assert "broadcast" in small._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in large._jdf.queryExecution().logical().toString().lower()
     assert C.sized(rows.select(F.lit(1).alias("a"))).count() == 1
+
+
+def test_similar_documents_in_a_long_region(spark, documents, prose):
+    """Documents of one template that are not similar to each other, and a near copy of each: windows reach few of a region."""
+    rng = random.Random(3)
+    template, rows = prose(1, 120), []
+    for k in range(1000):
+        words = template + [f"own{k}_{i}" for i in range(20)]
+        rows.append((k, " ".join(words)))
+        for at in rng.sample(range(4, 116), 3):
+            words[at] = f"new{k}_{at}"
+        rows.append((5000 + (k * 7919) % 1000, " ".join(words)))
+    of = {5000 + (k * 7919) % 1000: k for k in range(1000)}
+    got = {r["doc_id"]: r["component_id"] for r in D.near_duplicates(documents(rows), 4, 80).collect()}
+    assert got == {i: of.get(i, i) for i in got} and len(got) == 2000
