@@ -75,6 +75,12 @@ LICENCES = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 )
+#: digests of longer published texts, as ``whole_digest`` gives them
+DIGESTS = (
+    ("Apache-2.0", "4f8caa9a32c00fbc0b82aa9c4bec85c3"), ("GPL-2.0", "bc956f44d1c84837504c207f245fa68b"),
+    ("GPL-3.0", "472144077ff4d35f29cc80d05d62b4af"), ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d"),
+    ("MPL-2.0", "0d0c617863ffeb16c5cb1f094c2d68b2"), ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48"),
+)
 #: fixed values: equivalent spellings, after punctuation has become space
 SPELLINGS = (
     ("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"),
@@ -85,13 +91,17 @@ SPELLINGS = (
 
 #: a line that starts like a copyright statement, with the line break before it
 _COPYRIGHT = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: the wrapped line of a licence that starts like one
+_WRAPPED = r"(^|\n)([ \t*#/;-]*)(copyright)(?=[ \t]+(notice|notices|holder|holders|owner|owners|law|laws|license|licence)\b)"
 #: ASCII that is no letter, digit or line break
 _MARKS = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
 def normalised(text: Column) -> Column:
     """The text's lines in canonical form, still apart."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, "$1"), _MARKS, " ")
+    # a mark before such a line's first word keeps it; it goes with the other marks
+    kept = F.regexp_replace(F.lower(text), _WRAPPED, "$1$2_$3")
+    out = F.regexp_replace(F.regexp_replace(kept, _COPYRIGHT, "$1"), _MARKS, " ")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
@@ -105,7 +115,10 @@ def whole_digest(lines: Column) -> Column:
 def known_digests(spark: SparkSession, licences=LICENCES) -> DataFrame:
     """``known_digest, name``: one row per digest."""
     rows = spark.createDataFrame(list(licences), "name string, text string")
-    return rows.select(whole_digest(normalised(F.col("text"))).alias("known_digest"), "name").where(
+    found = rows.select(whole_digest(normalised(F.col("text"))).alias("known_digest"), "name")
+    if licences is LICENCES:
+        found = found.union(spark.createDataFrame([(d, n) for n, d in DIGESTS], "known_digest string, name string"))
+    return found.where(
         "known_digest is not null").groupBy("known_digest").agg(F.min("name").alias("name"))
 
 

@@ -1,3 +1,6 @@
+from pathlib import Path
+
+import pytest
 from check_oracle import compare, duck
 
 from tabulith.llm import licences as L
@@ -42,3 +45,20 @@ def test_edge_rows(spark, documents):
 def test_own_texts(spark, documents):
     found = L.scan(documents([(1, "My terms, as they ARE")]), (("Own", "my terms as they are"),)).first()
     assert found["license"] == "Own"
+
+
+def test_a_wrapped_line_that_starts_with_copyright(spark, documents):
+    isc = dict(L.LICENCES)["ISC"]
+    rows = [(1, "Copyright 2020 Some One\nCopyright Some Author\n\n" + isc.replace("above copyright notice", "above\ncopyright notice")),
+            (2, isc.replace("above copyright notice", "above\n * copyright notice"))]
+    assert [x for x, _ in named(spark, documents(rows)).values()] == ["ISC", "ISC"]
+
+
+def test_full_texts_of_long_licences(spark, documents):
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not all((folder / f).exists() for f in files.values()):
+        pytest.skip("no licence texts here")
+    rows = [(i, (folder / f).read_text()) for i, f in enumerate(files.values())]
+    got = named(spark, documents(rows))
+    assert [got[i][0] for i in range(len(files))] == list(files)
