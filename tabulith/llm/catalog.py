@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("language", "forest", "decontam", "packing", "topk", "urls", "quality", "licences", "lines", "passages", "alignment", "chat")
+MODULES = ("language", "forest", "decontam", "packing", "topk", "urls", "quality", "licences", "lines", "passages", "alignment", "chat", "whitening")
 
 for _name in MODULES:
     import_module(f"{__package__}.{_name}")
