@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import number
-from tabulith.session import cut_lineage, lookup
+from tabulith.operators.ordering import lay_out, running_total
+from tabulith.session import BROADCAST_BYTES, cut_lineage, lookup, row_bytes
 
-ROWS_PER_BUCKET = 500_000  # values are cut into buckets of about this size at most
-MIN_EDGES = 50
-_SAMPLE_PER_EDGE = 100
-_BRACKET_SAMPLE = 50_000   # rows of a sample at least; it grows with the table, so that it tells the pieces of a bracket apart
-_ROWS_PER_SAMPLED = 50_000
+PER_OCTAVE = 64      # buckets between a number and its double in a first histogram
+STEPS = 4096         # parts that a bucket of too many values is cut into
+CELL_ROWS = 500_000  # values of a bucket that are looked at one by one
 
 
 def melt(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -28,19 +27,70 @@ def melt(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> Dat
     return wide.unpivot(list(keys), list(columns), "column", "value")
 
 
-def moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Long table: keys, column, n, nulls, total, mean, std, min, max, skew, kurt, zeros, negatives.
+_POWERS = ("rows", "n", "total", "s1", "s2", "s3", "s4", "zeros", "negatives")
 
-    Cells are melted first: one short aggregate per (keys, column) stays compiled however many
-    columns there are, and is combined before the shuffle.
-    """
+
+def _column_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, the sums of ``_POWERS``, min and max: each task adds its Arrow batches up per column, as powers of the distance
+    from one centre for all tasks, and Spark adds up one row per task and column."""
+    wide = df.select(*[number(c).alias(str(i)) for i, c in enumerate(columns)])
+    near = [m if m is not None and math.isfinite(m) else 0.0 for m in wide.agg(*[F.avg(c) for c in wide.columns]).first()]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(_POWERS), len(near)))
+        ends = np.tile([[np.inf], [-np.inf]], len(near))
+        for batch in batches:
+            for i, (cells, centre) in enumerate(zip(batch.columns, near)):
+                x = cells.drop_null().to_numpy()
+                d = x - centre
+                d2 = d * d
+                sums[:, i] += (len(cells), len(x), x.sum(), d.sum(), d2.sum(), (d2 * d).sum(), (d2 * d2).sum(), (x == 0).sum(), (x < 0).sum())
+                if len(x):
+                    ends[:, i] = min(ends[0, i], x.min()), max(ends[1, i], x.max())
+        if sums[0].any():
+            none = ends[0] > ends[1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(near)), pa.int32()), *[pa.array(r) for r in sums], *[pa.array(e, mask=none) for e in ends]],
+                names=["c", *_POWERS, "min", "max"])
+
+    parts = wide.mapInArrow(add_up, ", ".join(["c int", *[f"{p} double" for p in (*_POWERS, "min", "max")]]))
+    sums = parts.groupBy("c").agg(*[F.sum(p).alias(p) for p in _POWERS], F.min("min").alias("min"), F.max("max").alias("max"))
+    return sums.withColumn("column", F.get(F.array(*[F.lit(c) for c in columns]), "c"))
+
+
+def _column_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Moments of whole columns from their sums: column, n, nulls, total, mean, var, min, max, g1, g2, zeros, negatives."""
+    sums = _column_sums(df, columns)
+    n = F.nullif("n", F.lit(0.0))
+    mean, flat = F.col("s1") / n, F.col("min") == F.col("max")
+    m2 = F.col("s2") - mean * F.col("s1")
+    m3 = F.col("s3") - 3 * mean * F.col("s2") + 2 * n * mean * mean * mean
+    m4 = F.col("s4") - 4 * mean * F.col("s3") + 6 * mean * mean * F.col("s2") - 3 * n * mean * mean * mean * mean
+    # what rounding leaves of a constant column's variance is not variance
+    spread = F.when(~flat, F.greatest(m2 / n, F.lit(0.0)))
+    deviation = F.nullif(spread, F.lit(0.0))
+    var = F.when(F.col("n") > 1, F.when(flat, 0.0).otherwise(F.greatest(m2, F.lit(0.0)) / F.nullif(n - 1, F.lit(0.0))))
+    whole = [F.col(c).cast("long").alias(c) for c in ("zeros", "negatives")]
+    return sums.select("column", F.col("n").cast("long").alias("n"), (F.col("rows") - F.col("n")).cast("long").alias("nulls"), "total",
+                       (F.col("total") / n).alias("mean"), var.alias("var"), "min", "max",
+                       (m3 / n / (deviation * F.sqrt(deviation))).alias("g1"), (m4 / n / (deviation * deviation) - 3).alias("g2"), *whole)
+
+
+def _keyed_moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """The same per group. Cells are melted first: one short aggregate per (keys, column) stays compiled however many
+    columns there are, and is combined before the shuffle."""
     x = F.col("value")
-    raw = melt(df, columns, keys).groupBy(*keys, "column").agg(
+    return melt(df, columns, keys).groupBy(*keys, "column").agg(
         F.count(x).alias("n"), (F.count(F.lit(1)) - F.count(x)).alias("nulls"),
         F.coalesce(F.sum(x), F.lit(0.0)).alias("total"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"),
         F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
         F.count_if(x == 0).alias("zeros"), F.count_if(x < 0).alias("negatives"))
-    # Spark gives the population shape; reports use the bias-corrected sample shape
+
+
+def moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Long table: keys, column, n, nulls, total, mean, std, min, max, skew, kurt, zeros, negatives."""
+    raw = _keyed_moments(df, columns, keys) if keys else _column_moments(df, columns)
+    # these are the population shape; reports use the bias-corrected sample shape
     n, var = F.col("n").cast("double"), F.col("var")
     skew = F.when(n < 3, None).when(var == 0, 0.0).otherwise(
         F.col("g1") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
@@ -50,205 +100,93 @@ def moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
                       skew.alias("skew"), kurt.alias("kurt"), "zeros", "negatives")
 
 
-def edges_for(rows: int) -> int:
-    return max(MIN_EDGES, -(-rows // ROWS_PER_BUCKET))
+def _magnitude(x: Column) -> Column:
+    """A bucket number that rises with x: sign, power of two, and ``PER_OCTAVE`` steps between powers."""
+    far = 1080 * PER_OCTAVE
+    step = F.floor(F.greatest(F.lit(-far), F.least(F.log2(F.abs(x)) * PER_OCTAVE, F.lit(far)))) + (far + 1)
+    return F.when(x == 0, 0).otherwise(F.signum(x) * step).cast("int")
 
 
-def quantile_buckets(df: DataFrame, columns: Sequence[str], rows: int,
-                     edges: int | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """Adds one order-preserving bucket number per column, cut at the quantiles of a sample.
+def _part_of_cell(x: Column) -> Column:
+    """Which of ``STEPS`` equal parts of a cell's range x lies in."""
+    return F.least(F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * STEPS), F.lit(STEPS - 1)).cast("int")
+
+
+def _ranks(prob: float, n: Column) -> tuple[Column, Column, Column]:
+    """The two ranks whose values a quantile lies between, and how far it is from the first."""
+    h = F.lit(float(prob)) * (n - 1)
+    return F.floor(h), F.ceil(h), h - F.floor(h)
 
-    The cut points only balance the work; results that use the buckets stay exact.
-    """
-    edges = edges or edges_for(rows)
-    probs = [i / edges for i in range(1, edges)]
-    share = min(1.0, _SAMPLE_PER_EDGE * edges / max(rows, 1))
-    sample = df if share >= 1.0 else df.sample(share, seed=7)
-    row = sample.agg(*[F.percentile_approx(c, probs, 10 * edges).alias(f"_e{i}")
-                       for i, c in enumerate(columns)]).first()
-    inner = [sorted({float(v) for v in (row[i] or [])}) or [0.0] for i in range(len(columns))]
-    splits = [[float("-inf"), *points, float("inf")] for points in inner]
-    names = {c: f"_bucket{i}" for i, c in enumerate(columns)}
-    cutter = Bucketizer(splitsArray=splits, inputCols=list(columns),
-                        outputCols=list(names.values()), handleInvalid="keep")
-    return cutter.transform(df), names
-
-
-def _melt_buckets(df: DataFrame, keys: Sequence[str], columns: Sequence[str], weight: str | None,
-                  buckets: dict[str, str]) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), F.col(buckets[c]).alias("bucket"))
-             for c in columns]
-    extra = [weight] if weight else []
-    return (df.select(*keys, *extra, F.explode(F.array(*cells)).alias("c"))
-            .select(*keys, *extra, "c.*").where("value IS NOT NULL"))
-
-
-def _weighted_count(weight: str | None) -> Column:
-    return F.sum(weight) if weight else F.count(F.lit(1))
-
-
-def _bucket_totals(long: DataFrame, group: Sequence[str], weight: str | None) -> DataFrame:
-    """Per group and bucket: how many values lie before it, and in the whole group."""
-    counts = long.groupBy(*group, "bucket").agg(_weighted_count(weight).alias("cnt"))
-    ahead = W.partitionBy(*group).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    return (counts.withColumn("before", F.coalesce(F.sum("cnt").over(ahead), F.lit(0)))
-            .withColumn("n", F.sum("cnt").over(W.partitionBy(*group))))
-
-
-def _quantiles_by_selection(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                            keys: Sequence[str], weight: str | None, rows: int, edges: int | None) -> DataFrame:
-    bucketed, names = quantile_buckets(df, columns, rows, edges)
-    long = _melt_buckets(bucketed, keys, columns, weight, names)
-    group = [*keys, "column"]
-    totals = _bucket_totals(long, group, weight)
-
-    spots = []
-    for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (F.col("n") - 1)
-        for side, rank in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            spots.append(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank.alias("rank"),
-                                  (h - F.floor(h)).alias("frac")))
-    wanted = (totals.withColumn("spot", F.explode(F.array(*spots)))
-              .select(*group, "bucket", "before", "spot.*", "cnt")
-              .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("cnt")))
-              .select(*group, "bucket", "i", "side", "frac", (F.col("rank") - F.col("before")).alias("skip")))
-    wanted = lookup(wanted)
-    cell = [*group, "bucket"]
-    cells = lookup(wanted.select(*cell).distinct())
-
-    values = (long.join(cells, cell, "left_semi")
-              .groupBy(*cell, "value").agg(_weighted_count(weight).alias("cnt")))
-    reached = F.sum("cnt").over(W.partitionBy(*cell).orderBy("value"))
-    values = values.withColumn("end", reached).withColumn("start", F.col("end") - F.col("cnt"))
-    hits = (values.join(wanted, cell)
-            .where((F.col("skip") >= F.col("start")) & (F.col("skip") < F.col("end"))))
-    at = lambda side: F.max(F.when(F.col("side") == side, F.col("value")))
-    each = hits.groupBy(*group, "i").agg(at("lo").alias("lo"), at("hi").alias("hi"),
-                                         F.max("frac").alias("frac"))
-    each = each.withColumn("v", F.col("lo") + F.col("frac") * (F.col("hi") - F.col("lo")))
-    picks = [F.max(F.when(F.col("i") == i, F.col("v"))) for i in range(len(probs))]
-    return each.groupBy(*group).agg(F.array(*picks).alias("q"))
-
-
-def _bracket_edges(sample: DataFrame, columns: Sequence[str], probs: Sequence[float], rows: int,
-                   size: int) -> dict[str, tuple[list[float], list[bool]]]:
-    """Per column the cut points around the wanted quantiles, and which of the regions between
-    them lie inside a bracket. Brackets reach six standard errors of a sample rank to each side."""
-    grids = []
-    for p in probs:
-        reach = 6.0 * math.sqrt(p * (1.0 - p) / size) + 3.0 / size + 4e-4
-        pieces = max(1, math.ceil(2 * reach * rows / ROWS_PER_BUCKET))
-        grids.append([p - reach + 2 * reach * i / pieces for i in range(pieces + 1)])
-    flat = [min(1.0, max(0.0, q)) for grid in grids for q in grid]
-    row = sample.agg(*[F.percentile_approx(c, flat, max(5_000, 10 * len(flat))).alias(f"_e{i}") for i, c in enumerate(columns)]).first()
-    out = {}
-    for i, c in enumerate(columns):
-        values = iter([float(v) for v in row[i]] if row[i] else [0.0] * len(flat))
-        spans, cuts = [], set()
-        for grid in grids:
-            points = [next(values) for _ in grid]
-            # a value equal to the upper end belongs to the bracket
-            points[-1] = math.nextafter(points[-1], math.inf)
-            low = -math.inf if grid[0] <= 0.0 else points[0]
-            high = math.inf if grid[-1] >= 1.0 else points[-1]
-            spans.append((low, high))
-            cuts.update(points)
-        edges = sorted(cuts)
-        ends = [-math.inf, *edges, math.inf]
-        inner = [any(low <= a and b <= high for low, high in spans) for a, b in zip(ends, ends[1:])]
-        out[c] = (edges, inner)
-    return out
-
-
-def _quantiles_by_brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                           rows: int) -> DataFrame | None:
-    """One pass for whole columns: values inside the brackets are counted one by one, all others
-    only by region. None if a wanted rank fell outside its bracket."""
-    size = min(rows, max(_BRACKET_SAMPLE, rows // _ROWS_PER_SAMPLED))
-    sample = df if size == rows else df.sample(size / rows, seed=7)
-    brackets = _bracket_edges(sample, columns, probs, rows, size)
-    edges = [np.array(brackets[c][0]) for c in columns]
-    inner = [np.array(brackets[c][1]) for c in columns]
-
-    def count_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(c: int, region: np.ndarray, value: pa.Array, cnt: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(cnt), c, dtype="int32")), pa.array(region.astype("int32")), value,
-                 pa.array(cnt.astype("int64"))], ["c", "region", "value", "cnt"])
-
-        outside = [np.zeros(len(e) + 1, dtype="int64") for e in edges]
-        for batch in batches:
-            for c, cells in enumerate(batch.columns):
-                x = cells.to_numpy(zero_copy_only=False)
-                x = x[~np.isnan(x)]
-                region = np.searchsorted(edges[c], x, side="right")
-                near = inner[c][region]
-                outside[c] += np.bincount(region[~near], minlength=len(edges[c]) + 1)
-                if near.any():
-                    value, cnt = np.unique(x[near], return_counts=True)
-                    yield rows(c, np.searchsorted(edges[c], value, side="right"), pa.array(value), cnt)
-        for c, cnt in enumerate(outside):
-            region = np.flatnonzero(cnt)
-            yield rows(c, region, pa.nulls(len(region), pa.float64()), cnt[region])
-
-    counts = (df.select(*columns).mapInArrow(count_regions, "c int, region int, value double, cnt long")
-              .groupBy("c", "region", "value").agg(F.sum("cnt").alias("cnt")))
-    counts = cut_lineage(counts)
-
-    # a few regions per column
-    totals = counts.groupBy("c", "region").agg(F.sum("cnt").alias("cnt")).orderBy("c", "region").collect()
-    wanted = []
-    for i, c in enumerate(columns):
-        mine = [(r["region"], r["cnt"]) for r in totals if r["c"] == i]
-        n = sum(k for _, k in mine)
-        for j, p in enumerate(probs if n else ()):
-            h = p * (n - 1)
-            for rank in {math.floor(h), math.ceil(h)}:
-                before = 0
-                for at, k in mine:
-                    if rank < before + k:
-                        break
-                    before += k
-                if not brackets[c][1][at]:
-                    return None
-                wanted.append((i, at, j, rank - before, h - math.floor(h)))
-    spark = df.sparkSession
-    if not wanted:
-        return spark.createDataFrame([], "column string, q array<double>")
-    spots = F.broadcast(spark.createDataFrame(wanted, "c int, region int, i int, skip long, frac double"))
-    reached = F.sum("cnt").over(W.partitionBy("c", "region").orderBy("value"))
-    cells_wanted = spots.select("c", "region").distinct()
-    values = counts.join(F.broadcast(cells_wanted), ["c", "region"], "left_semi").withColumn("end", reached)
-    hits = (values.join(spots, ["c", "region"])
-            .where((F.col("skip") < F.col("end")) & (F.col("skip") >= F.col("end") - F.col("cnt"))))
-    each = hits.groupBy("c", "i").agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
-                                      F.max("frac").alias("frac"))
-    each = each.withColumn("v", F.col("lo") + F.col("frac") * (F.col("hi") - F.col("lo")))
-    picks = [F.max(F.when(F.col("i") == j, F.col("v"))) for j in range(len(probs))]
-    names = F.array(*[F.lit(c) for c in columns])
-    return each.groupBy("c").agg(F.array(*picks).alias("q")).select(F.get(names, F.col("c")).alias("column"), "q")
+
+def _cells_with_ranks(counts: DataFrame, cell: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Of a cell's parts (``bucket, part_lo, part_hi, part_cnt``) those that hold a wanted rank of their group, as cells."""
+    upto = F.sum("part_cnt").over(W.partitionBy(*cell).orderBy("bucket"))
+    placed = counts.withColumn("end", F.col("start") + upto).withColumn("start", F.col("end") - F.col("part_cnt"))
+    holds = [(r >= F.col("start")) & (r < F.col("end")) for p in probs for r in _ranks(p, F.col("n"))[:2]]
+    return placed.where(functools.reduce(Column.__or__, holds)).select(
+        *[c for c in cell if c not in ("n", "start", "lo", "hi")], "n", "start", F.col("part_lo").alias("lo"), F.col("part_hi").alias("hi"),
+        F.col("part_cnt").alias("cnt"))
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (),
-              weight: str | None = None, edges: int | None = None) -> DataFrame:
+              weight: str | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles: keys, column, ``q`` (array in the order of ``probs``).
 
-    Whole columns are counted around the quantiles of a sample, and groups in quantile buckets of
-    which only those with a wanted rank are looked into; so no task ever holds one group's values.
-    The number of rows only sets how many buckets there are. ``weight`` counts a row that many times.
+    Selection in rounds: a group's values are counted in a histogram of fixed size, and of its buckets only those that
+    hold a wanted rank are looked at again. A bucket of more than ``CELL_ROWS`` values is cut into ``STEPS`` parts between its
+    least and largest value in the next round, as often as needed; then its distinct values are counted. Nothing is
+    sampled, no cut points pass through the driver, and no task holds a group's values. ``weight`` counts a row that many times.
     """
     shown = [F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]
-    extra = [F.col(weight).alias("_w")] if weight else []
-    df = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *extra,
-                   *[number(c).alias(c) for c in columns])
-    rows = df.count()
-    found = None
-    if not keys and weight is None and edges is None and rows:
-        found = _quantiles_by_brackets(df, columns, probs, rows)
-    if found is None:
-        found = _quantiles_by_selection(df, columns, probs, [f"_k{i}" for i in range(len(keys))],
-                                        "_w" if weight else None, rows, edges)
-    return found.select(*shown, "column", "q")
+    wide = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col(weight) if weight else F.lit(1)).alias("w"),
+                     *[number(c).alias(str(i)) for i, c in enumerate(columns)])
+    group = [*[f"_k{i}" for i in range(len(keys))], "c"]
+    if len(columns) == 1:
+        long = wide.withColumnRenamed("0", "value").withColumn("c", F.lit("0"))
+    else:
+        long = wide.unpivot([*group[:-1], "w"], [str(i) for i in range(len(columns))], "c", "value")
+    long = long.where("value IS NOT NULL")
+    part = [F.sum("w").alias("part_cnt"), F.min("value").alias("part_lo"), F.max("value").alias("part_hi")]
+
+    counts = long.groupBy(*group, _magnitude(F.col("value")).alias("bucket")).agg(*part)
+    counts = counts.withColumns({"n": F.sum("part_cnt").over(W.partitionBy(*group)), "start": F.lit(0).cast("long")})
+    cells = _cells_with_ranks(counts, group, probs)
+    while True:
+        open_, full = F.col("lo") < F.col("hi"), (F.col("lo") < F.col("hi")) & (F.col("cnt") > CELL_ROWS)
+        seen = Observation()
+        cells = cut_lineage(cells.observe(seen, F.sum(row_bytes(cells)).alias("size"), F.count_if(open_).alias("open"),
+                                          F.count_if(full).alias("full")))
+        size, n_open, n_full = (seen.get[c] or 0 for c in ("size", "open", "full"))
+        hint = F.broadcast if size <= BROADCAST_BYTES else (lambda rows: rows)
+
+        def inside(which: Column) -> DataFrame:
+            """Values with the cell they lie in; a group has at most two cells per quantile."""
+            some = hint(cells.where(which)).alias("cell")
+            same = functools.reduce(Column.__and__, [F.col(f"l.{g}") == F.col(f"cell.{g}") for g in group])
+            return long.alias("l").join(some, same & F.col("value").between(F.col("lo"), F.col("hi"))).select(
+                *[F.col(f"cell.{g}") for g in group], "n", "start", "lo", "hi", "value", "w")
+
+        if not n_full:
+            break
+        cell = [*group, "n", "start", "lo", "hi"]
+        counts = inside(full).groupBy(*cell, _part_of_cell(F.col("value")).alias("bucket")).agg(*part)
+        cells = cells.where(~full).unionByName(_cells_with_ranks(counts, cell, probs))
+
+    # cells of one value are known without another look
+    values = cells.where(~open_).select(*group, "n", "start", F.col("lo").alias("value"), "cnt")
+    if n_open:
+        values = values.unionByName(inside(open_).groupBy(*group, "n", "start", "value").agg(F.sum("w").alias("cnt")))
+    upto = F.sum("cnt").over(W.partitionBy(*group, "start").orderBy("value"))
+    values = values.withColumn("end", F.col("start") + upto).withColumn("begin", F.col("end") - F.col("cnt"))
+    at = lambda r: F.max(F.when((r >= F.col("begin")) & (r < F.col("end")), F.col("value")))
+    picks = []
+    for p in probs:
+        low, high, share = _ranks(p, F.col("n"))
+        picks.append(F.struct(at(low).alias("lo"), at(high).alias("hi"), F.max(share).alias("f")))
+    found = values.groupBy(*group).agg(F.array(*picks).alias("q"))
+    names = F.array(*[F.lit(c) for c in columns])
+    q = F.transform("q", lambda x: F.when(x.lo == x.hi, x.lo).otherwise(x.lo + x.f * (x.hi - x.lo)))
+    return found.select(*shown, F.get(names, F.col("c").cast("int")).alias("column"), q.alias("q"))
 
 
 def with_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], names: Sequence[str],
@@ -258,24 +196,21 @@ def with_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
         *keys, "column", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
-def value_positions(df: DataFrame, column: str, keys: Sequence[str] = (), edges: int | None = None) -> DataFrame:
+def value_positions(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct values with their count and rank: keys, value, cnt, before, n.
 
-    ``before`` counts the smaller values of the group and ``n`` all of them. Copies of a value are
-    counted before the shuffle and every window stays inside one quantile bucket.
+    ``before`` counts the smaller values of the group and ``n`` all of them. Copies of a value are counted before the
+    shuffle; the distinct values are laid out in order and counted along the partitions.
     """
-    shown = [F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]
     plain = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], number(column).alias("value"))
-    plain = plain.where("value IS NOT NULL")
-    keys = [f"_k{i}" for i in range(len(keys))]
-    bucketed, names = quantile_buckets(plain, ["value"], plain.count(), edges)
-    bucketed = bucketed.withColumnRenamed(names["value"], "bucket")
-    values = bucketed.groupBy(*keys, "bucket", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    counts = values.groupBy(*keys, "bucket").agg(F.sum("cnt").alias("bucket_cnt"))
-    ahead = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = (counts.withColumn("skipped", F.coalesce(F.sum("bucket_cnt").over(ahead), F.lit(0)))
-              .withColumn("n", F.sum("bucket_cnt").over(W.partitionBy(*keys))).drop("bucket_cnt"))
-    inside = F.sum("cnt").over(W.partitionBy(*keys, "bucket").orderBy("value"))
-    return (values.withColumn("inside", inside).join(totals, [*keys, "bucket"])
-            .select(*shown, "value", "cnt",
-                    (F.col("skipped") + F.col("inside") - F.col("cnt")).alias("before"), "n"))
+    group = [f"_k{i}" for i in range(len(keys))]
+    values = plain.where("value IS NOT NULL").groupBy(*group, "value").agg(F.count(F.lit(1)).alias("cnt"))
+    laid = running_total(lay_out(values, [*group, "value"]), "cnt", "upto")
+    if keys:
+        totals = laid.groupBy(*group).agg(F.min(F.col("upto") - F.col("cnt")).alias("base"), F.sum("cnt").alias("n"))
+        laid = laid.join(lookup(totals), group)
+    else:
+        n = laid.agg(F.sum("cnt")).first()[0] or 0
+        laid = laid.withColumns({"base": F.lit(0).cast("long"), "n": F.lit(n).cast("long")})
+    return laid.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "value", "cnt",
+                       (F.col("upto") - F.col("cnt") - F.col("base")).alias("before"), "n")

@@ -3,18 +3,23 @@
 ``lay_out`` range-partitions and sorts the rows once and writes them to the shared folder, so
 that each row has a fixed partition ``_part`` and a fixed position ``_pos`` inside it. Everything
 that needs global order (ordinals, running totals, carried values, neighbouring rows) is then a
-per-partition step plus a tiny table with one row per partition. The order columns must form a
+walk along each written partition in its own order, begun with what a tiny table of one row per
+partition carries into it; the rows are not shuffled or sorted again. The order columns must form a
 total order; range partitioning on the whole tuple also splits a hot leading value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulith.session import cut_lineage
 
@@ -29,10 +34,6 @@ def _before_part() -> WindowSpec:
     return W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
 
 
-def _in_part() -> WindowSpec:
-    return W.partitionBy("_part").orderBy("_pos")
-
-
 def sorted_rows(df: DataFrame, *order: str | Column) -> DataFrame:
     """The whole table sorted; rows that tie are told apart by a hash, so that a hot value does not
     end up in one partition."""
@@ -67,22 +68,66 @@ def with_ordinal(df: DataFrame, order_by: Order, name: str = "ordinal") -> DataF
     return number_rows(lay_out(df, order_by), name).drop("_part", "_pos")
 
 
+#: what a step keeps of a written partition between its batches: fills new columns from old ones and the state
+_Step = Callable[[list[pa.Array], list], tuple[list[pa.Array], list]]
+
+
+def _walk(laid: DataFrame, carried: DataFrame, carry: Sequence[str], reads: Sequence[str], adds: dict[str, T.DataType],
+          step: _Step) -> DataFrame:
+    """``laid`` with the columns ``adds``, which ``step`` makes of the columns ``reads`` of a run of rows and of the state
+    before them. At the start of each partition the state is its row of ``carried``."""
+    names = laid.columns
+    joined = with_parts(laid, carried)
+    kept = [c for c in names if c not in adds]
+    schema = T.StructType([*[laid.schema[c] for c in kept], *[T.StructField(c, t) for c, t in adds.items()]])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, state = None, []
+        for batch in batches:
+            at = {c: i for i, c in enumerate(batch.schema.names)}
+            parts = batch.column(at["_part"]).to_numpy()
+            ends = [*(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)] if len(parts) else []
+            pieces, start = [], 0
+            for end in ends:
+                rows = batch.slice(start, end - start)
+                if parts[start] != part:
+                    part, state = parts[start], [rows.column(at[c])[0] for c in carry]
+                made, state = step([rows.column(at[c]) for c in reads], state)
+                pieces.append(made)
+                start = end
+            if pieces:
+                made = [pa.concat_arrays(column) for column in zip(*pieces)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(at[c]) for c in kept], *made], names=[*kept, *adds])
+
+    return joined.mapInArrow(walk, schema).select(*names, *[c for c in adds if c not in names])
+
+
 def running_total(laid: DataFrame, value: str, name: str) -> DataFrame:
-    """Inclusive running sum of ``value`` in global order."""
+    """Inclusive running sum of ``value`` in global order; nulls add nothing."""
     sums = laid.groupBy("_part").agg(F.sum(value).alias("_sum"))
     carried = sums.select(
         "_part", F.coalesce(F.sum("_sum").over(_before_part()), F.lit(0)).alias("_carry"))
-    inside = F.coalesce(F.sum(value).over(_in_part().rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
-    return with_parts(laid, carried).withColumn(name, F.col("_carry") + inside).drop("_carry")
+    kind = carried.schema["_carry"].dataType
+
+    def step(columns: list[pa.Array], state: list) -> tuple[list[pa.Array], list]:
+        x = pc.fill_null(columns[0], 0).cast(state[0].type)
+        upto = pc.cumulative_sum_checked(x, start=state[0])
+        return [upto], [upto[-1]]
+
+    return _walk(laid, carried, ["_carry"], [value], {name: kind}, step)
 
 
 def previous_value(laid: DataFrame, value: str, name: str) -> DataFrame:
     """``value`` of the row before, across partition borders."""
     ends = laid.groupBy("_part").agg(F.max_by(F.struct(value), "_pos").alias("_end"))
-    carried = ends.select("_part", F.lag("_end").over(W.orderBy("_part")).alias("_carry"))
-    inside = F.lag(F.struct(value)).over(_in_part())
-    return (with_parts(laid, carried)
-            .withColumn(name, F.coalesce(inside, F.col("_carry")).getField(value)).drop("_carry"))
+    carried = ends.select("_part", F.lag("_end").over(W.orderBy("_part")).getField(value).alias("_carry"))
+
+    def step(columns: list[pa.Array], state: list) -> tuple[list[pa.Array], list]:
+        x = columns[0]
+        first = pa.array([state[0].as_py()], x.type) if state[0].is_valid else pa.nulls(1, x.type)
+        return [pa.concat_arrays([first, x.slice(0, len(x) - 1)])], [x[-1]]
+
+    return _walk(laid, carried, ["_carry"], [value], {name: laid.schema[value].dataType}, step)
 
 
 def fill_both_ways(laid: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -92,16 +137,22 @@ def fill_both_ways(laid: DataFrame, columns: Sequence[str]) -> DataFrame:
         for i, c in enumerate(columns) for side, pick in (("last", "max_by"), ("first", "min_by"))
     ])
     everything = W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    # before the first value of all, rows take that one
     carried = ends.select("_part", *[
-        col for i in range(len(columns)) for col in (
-            F.last(f"_last{i}", ignorenulls=True).over(_before_part()).alias(f"_carry{i}"),
-            F.first(f"_first{i}", ignorenulls=True).over(everything).alias(f"_start{i}"))
-    ])
-    upto = _in_part().rowsBetween(W.unboundedPreceding, 0)
-    joined = with_parts(laid, carried)
-    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_carry{i}"),
-                            F.col(f"_start{i}")) for i, c in enumerate(columns)}
-    return joined.withColumns(filled).select(*laid.columns)
+        F.coalesce(F.last(f"_last{i}", ignorenulls=True).over(_before_part()),
+                   F.first(f"_first{i}", ignorenulls=True).over(everything)).alias(f"_carry{i}") for i in range(len(columns))])
+
+    def step(cells: list[pa.Array], state: list) -> tuple[list[pa.Array], list]:
+        made = []
+        for x, last in zip(cells, state):
+            if x.null_count:
+                first = pa.array([last.as_py()], x.type) if last.is_valid else pa.nulls(1, x.type)
+                x = pc.fill_null_forward(pa.concat_arrays([first, x])).slice(1)
+            made.append(x)
+        return made, [x[-1] for x in made]
+
+    return _walk(laid, carried, [f"_carry{i}" for i in range(len(columns))], list(columns),
+                 {c: laid.schema[c].dataType for c in columns}, step)
 
 
 def head_tail_means(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], divisor: int) -> DataFrame:

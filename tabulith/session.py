@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: a table up to this size may be sent to every executor
@@ -75,10 +75,14 @@ def written_once(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def table_bytes(df: DataFrame) -> int:
-    """About how many bytes the rows take in memory: 8 a column and 16 a row, and what texts hold."""
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes in memory: 8 a column and 16 a row, and what texts hold."""
     wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
-    return df.agg(F.sum(sum(wide, F.lit(16 + 8 * len(df.columns))))).first()[0] or 0
+    return sum(wide, F.lit(16 + 8 * len(df.columns)))
+
+
+def table_bytes(df: DataFrame) -> int:
+    return df.agg(F.sum(row_bytes(df))).first()[0] or 0
 
 
 def lookup(df: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Row order, quantiles and ranks, with hot values, hot groups and many partitions."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -65,6 +67,37 @@ def test_fill_both_ways(spark, skewed, many_partitions):
     assert np.array_equal(got["v"].to_numpy(), holes["v"].ffill().bfill().to_numpy())
 
 
+def test_steps_along_a_layout_shuffle_nothing_again(spark, skewed):
+    """Of the written rows only one row per partition is exchanged."""
+    laid = O.lay_out(spread(spark, skewed), ["t", "id"])
+    for out in (O.running_total(laid, "v", "s"), O.previous_value(laid, "v", "p"), O.fill_both_ways(laid, ["v"])):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        # the windows stand above the aggregate that has one row per partition
+        assert windows and "MapInArrow" in plan and all("_pos" not in w for w in windows)
+        physical = out._jdf.queryExecution().executedPlan().toString()
+        main = physical[:physical.index("BroadcastExchange")]
+        assert "Exchange hashpartitioning" not in main and "Sort [" not in main
+
+
+def test_steps_in_tiny_batches(spark, skewed):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        part = skewed.head(2000).copy()
+        part.loc[part.id % 3 > 0, "v"] = np.nan
+        df = spread(spark, part).withColumn("v", F.nanvl("v", F.lit(None)))
+        want = part.sort_values(["t", "id"])["v"]
+        laid = O.lay_out(df, ["t", "id"])
+        for out, expected in ((O.running_total(laid, "v", "x"), want.fillna(0).cumsum()), (O.previous_value(laid, "v", "x"), want.shift()),
+                              (O.fill_both_ways(laid.withColumn("x", F.col("v")), ["x"]), want.ffill().bfill())):
+            got = out.toPandas().sort_values(["t", "id"])["x"].to_numpy(dtype=float)
+            assert np.allclose(got, expected.to_numpy(), equal_nan=True)
+        none = O.lay_out(df.limit(0), ["t", "id"])
+        assert O.running_total(none, "v", "x").count() == O.fill_both_ways(none, ["v"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("divisor", [5, 10, 1])
 def test_head_and_tail_means(spark, skewed, many_partitions, divisor):
     data = skewed.copy()
@@ -81,36 +114,45 @@ def test_head_and_tail_means(spark, skewed, many_partitions, divisor):
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 
 
-@pytest.mark.parametrize("how", [{}, {"edges": 50}])
-def test_quantiles_of_columns(spark, skewed, how):
-    got = {r["column"]: r["q"] for r in M.quantiles(spread(spark, skewed), ["v", "t"], PROBS, **how).collect()}
+@pytest.fixture(params=[None, 5])
+def rounds(request, monkeypatch):
+    """With few steps and small cells every bucket is cut again, several times over."""
+    if request.param:
+        monkeypatch.setattr(M, "CELL_ROWS", 20)
+        monkeypatch.setattr(M, "STEPS", request.param)
+
+
+def test_quantiles_of_columns(spark, skewed, rounds):
+    got = {r["column"]: r["q"] for r in M.quantiles(spread(spark, skewed), ["v", "t"], PROBS).collect()}
     for c in ("v", "t"):
-        assert np.allclose(got[c], np.quantile(skewed[c], PROBS))
+        assert np.allclose(got[c], np.quantile(skewed[c], PROBS), rtol=1e-12)
 
 
-@pytest.mark.parametrize("edges", [None, 300])
-def test_quantiles_of_groups(spark, skewed, edges):
-    got = M.quantiles(spread(spark, skewed), ["v"], PROBS, ["k"], edges=edges).collect()
+def test_quantiles_of_groups(spark, skewed, rounds):
+    got = M.quantiles(spread(spark, skewed), ["v"], PROBS, ["k"]).collect()
     assert {r["k"] for r in got} == set(skewed["k"])
     for r in got:
-        assert np.allclose(r["q"], np.quantile(skewed.loc[skewed.k == r["k"], "v"], PROBS))
-
-
-def test_brackets_from_a_small_sample(spark, skewed, monkeypatch):
-    """Few sampled rows and many pieces per bracket; and a sample that misleads ends in the other
-    method, not in a wrong value."""
-    monkeypatch.setattr(M, "_BRACKET_SAMPLE", 2_000)
-    monkeypatch.setattr(M, "ROWS_PER_BUCKET", 500)
-    df = spread(spark, skewed).select("v", F.when(F.col("id") % 3 > 0, F.col("t")).alias("t"))
-    want = {"v": np.quantile(skewed["v"], PROBS), "t": np.quantile(skewed.loc[skewed.id % 3 > 0, "t"], PROBS)}
-    assert M._quantiles_by_brackets(df, ["v", "t"], PROBS, len(skewed)) is not None
-    for r in M.quantiles(df, ["v", "t"], PROBS).collect():
-        assert np.allclose(r["q"], want[r["column"]])
-    edges = M._bracket_edges
-    monkeypatch.setattr(M, "_bracket_edges", lambda sample, *a: edges(sample.select(*[(F.col(c) - 500).alias(c) for c in sample.columns]), *a))
-    assert M._quantiles_by_brackets(df, ["v", "t"], [0.5], len(skewed)) is None
-    for r in M.quantiles(df, ["v", "t"], [0.5]).collect():
-        assert r["q"] == [pytest.approx(want[r["column"]][3])]
+        assert np.allclose(r["q"], np.quantile(skewed.loc[skewed.k == r["k"], "v"], PROBS), rtol=1e-12)
+
+
+def test_quantiles_take_rounds_not_cut_points(spark, skewed, monkeypatch):
+    """A second and third look at the rows of full buckets, and none at others."""
+    looks = []
+    monkeypatch.setattr(M, "CELL_ROWS", 50)
+    monkeypatch.setattr(M, "STEPS", 8)
+    cut = M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df: looks.append(1) or cut(df))
+    df = spread(spark, skewed.assign(v=100 + skewed["id"] / 1e4))
+    got = M.quantiles(df, ["v"], [0.3]).first()["q"][0]
+    assert got == pytest.approx(100 + 0.3 * 19_999 / 1e4, rel=1e-14) and len(looks) >= 3
+
+
+def test_quantiles_of_far_values(spark, rounds):
+    x = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, 1.0, math.nextafter(1.0, 2.0), -3.0, 2.0 ** 52, 2.0 ** 52 + 1] * 9
+    df = spark.createDataFrame([(v,) for v in [*x, float("inf"), float("-inf"), float("nan"), None]], "x double").repartition(5)
+    want = sorted([*x, float("inf"), float("-inf")])
+    probs = [i / (len(want) - 1) for i in range(len(want))]
+    assert M.quantiles(df, ["x"], probs).first()["q"] == want
 
 
 def test_weighted_quantiles(spark):
@@ -127,7 +169,7 @@ def test_quantiles_of_edge_tables(spark):
 
 
 def test_value_positions(spark, skewed):
-    got = M.value_positions(spread(spark, skewed), "v", ["k"], edges=20).toPandas()
+    got = M.value_positions(spread(spark, skewed), "v", ["k"]).toPandas()
     for k, part in skewed.groupby("k"):
         mine = got[got.k == k].sort_values("value")
         counts = part["v"].value_counts().sort_index()
