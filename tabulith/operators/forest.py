@@ -7,13 +7,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import number
 from tabulith.functions.kinds import numeric_columns, present, require_numeric
 from tabulith.operators.moments import quantiles
-from tabulith.session import cut_lineage, lookup
+from tabulith.session import cut_lineage, lookup, written_once
 
 TREES = 100
 SUBSAMPLE = 256
@@ -82,8 +82,9 @@ def fit_forest(data: DataFrame, columns: Sequence[str], n: int, trees: int = TRE
     pool by a hash, so only a few hundred rows per tree are shuffled.
     """
     size = min(SUBSAMPLE, n)
-    pool = cut_lineage(_pool(data, columns, min(1.0, 1.2 * trees * SUBSAMPLE / n), seed))
-    wanted = min(1.0, 1.5 * size / max(pool.count(), 1))
+    seen = Observation()
+    pool = cut_lineage(_pool(data, columns, min(1.0, 1.2 * trees * SUBSAMPLE / n), seed).observe(seen, F.count(F.lit(1)).alias("n")))
+    wanted = min(1.0, 1.5 * size / max(seen.get["n"], 1))
     slots = 1 << 31
     draws = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
              .withColumn("_draw", F.pmod(F.xxhash64("_id", "tree", F.lit(seed)), F.lit(slots)))
@@ -165,8 +166,9 @@ def isolation_forest(df: DataFrame, columns: Sequence[str] | None = None, contam
     if busy < cores:
         complete = complete.repartition(cores)
     found = complete.withColumn("_s", score(F.struct(*cells.values())))
-    # only the scores are kept for the cut point; the rows are scored again where they are read
-    cut = quantiles(cut_lineage(found.select("_s")), ["_s"], [contamination]).first()["q"][0]
+    # a row goes through the trees once; the cut point is counted from the written scores
+    found = written_once(found.select(*df.columns, "_s"), "scored")
+    cut = quantiles(found, ["_s"], [contamination]).first()["q"][0]
     out = found.withColumn("anomaly_score", F.col("_s") - F.lit(cut)).withColumn(
         "is_anomaly", F.col("anomaly_score") < 0).select(*df.columns, "anomaly_score", "is_anomaly")
     gaps = wide.where(" OR ".join(f"{c} IS NULL" for c in cells.values())).select(
