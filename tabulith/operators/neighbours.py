@@ -1,14 +1,16 @@
 """Local outlier factor (Breunig et al. 2000), exact, without comparing all pairs.
 
-Equal points are counted together. A coarse kd-tree, cut from a sample, sends every point to one
-leaf; the neighbours inside the leaf bound the distance to the k-th neighbour, and only leaves
-that this ball touches are searched as well. Leaves that many balls touch are searched in
-several tasks.
+Equal points are counted together. A kd-tree in two levels sends every point to one leaf: the upper tree is cut on the
+driver from a sample of constant size; an upper leaf that holds too many points gets a sub-tree, cut from a sample of its own points
+in a task of its own and kept as a row of a table, and (leaf, sub-leaf) is the key from there on. The neighbours inside a leaf
+bound the distance to the k-th neighbour, and only leaves that this ball touches are searched as well. Points of a large upper
+leaf are placed, and leaves that many balls touch searched, in several tasks.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -21,12 +23,14 @@ from pyspark.sql import functions as F
 from tabulith.functions.columns import number
 from tabulith.functions.kinds import numeric_columns, require_numeric
 from tabulith.operators.moments import quantiles
-from tabulith.session import cut_lineage
+from tabulith.session import cut_lineage, lookup
 
 LEAF_ROWS = 2_000
-MAX_LEAVES = 65_536          # of the tree that is broadcast; larger leaves have a tree of their own inside their tasks
+UPPER_LEAVES = 4_096         # of the tree that is broadcast, cut from 16 sampled points each
+_SPLIT = 4                   # an upper leaf of more than so many times LEAF_ROWS gets a sub-tree
 _SAMPLE_PER_LEAF = 16
 _QUERIES_PER_TASK = 50_000
+_MOST_TASKS = 10_000         # of one search; a task takes several leaves then
 _BLOCK = 256
 
 _NEAR = "id long, other long, dist double, weight long"
@@ -150,11 +154,59 @@ def _matrix(column: pd.Series, dims: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype("float64") if len(column) else np.zeros((0, dims))
 
 
+def _dealt(rows: DataFrame, keys: Sequence[str], other: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with a ``part``: the rows of a key are dealt over as many parts as its ``_QUERIES_PER_TASK`` rows fill, and the
+    rows of ``other`` go to every part of their key. Keys without rows are left out."""
+    loads = lookup(rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / _QUERIES_PER_TASK).alias("tasks")))
+    dealt = rows.join(loads, list(keys)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("tasks"))).drop("tasks")
+    copied = (other.join(loads, list(keys))
+              .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1))).drop("tasks"))
+    return dealt, copied
+
+
+def _sub_trees(placed: DataFrame, full: DataFrame, dims: int, leaf_rows: int) -> DataFrame:
+    """leaf, tree: a sub-tree for every upper leaf in ``full`` (leaf, n), each from a sample of its points, in parallel."""
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = _leaf_tree(_matrix(pdf["vec"], dims), math.ceil(int(pdf["n"].iloc[0]) / leaf_rows))
+        return pd.DataFrame({"leaf": [key[0]], "tree": [pickle.dumps(tree)]})
+
+    share = min(1.0, _SAMPLE_PER_LEAF / leaf_rows)
+    sample = placed.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return cut_lineage(sample.join(lookup(full), "leaf").select("leaf", "vec", "n").groupBy("leaf").applyInPandas(build, "leaf long, tree binary"))
+
+
+def _with_sub_leaves(points: DataFrame, trees: DataFrame, dims: int) -> DataFrame:
+    """(id, leaf, cell) of the points in upper leaves that have a sub-tree."""
+    def place(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        sub = _leaf_of(pickle.loads(t["tree"].iloc[0]), _matrix(p["vec"], dims)) if len(p) else np.empty(0, np.int64)
+        return pd.DataFrame({"id": p["id"], "cell": (p["leaf"].to_numpy() << 32) | sub})
+
+    asked, trees = _dealt(points, ["leaf"], trees)
+    key = ["leaf", "part"]
+    return asked.groupBy(*key).cogroup(trees.groupBy(*key)).applyInPandas(place, "id long, cell long")
+
+
+def _touched_sub_leaves(visits: DataFrame, trees: DataFrame, dims: int) -> DataFrame:
+    """(id, vec, radius, cell) for every sub-leaf that a ball touches in an upper leaf that has a sub-tree."""
+    def touch(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        out = [q.iloc[:0].assign(cell=np.empty(0, np.int64))]
+        tree = pickle.loads(t["tree"].iloc[0]) if len(q) else None
+        for start in range(0, len(q), _BLOCK):
+            block = q.iloc[start:start + _BLOCK]
+            rows, sub = _touched(tree, _matrix(block["vec"], dims), block["radius"].to_numpy())
+            out.append(block.iloc[rows].assign(cell=(block["leaf"].to_numpy()[rows] << 32) | sub))
+        return pd.concat(out)[["id", "vec", "radius", "cell"]]
+
+    asked, trees = _dealt(visits, ["leaf"], trees)
+    key = ["leaf", "part"]
+    return asked.groupBy(*key).cogroup(trees.groupBy(*key)).applyInPandas(touch, "id long, vec array<double>, radius double, cell long")
+
+
 def _neighbour_candidates(points: DataFrame, dims: int, k: int, leaf_rows: int) -> DataFrame:
     """Per point at least its k nearest other points: id, other, dist, weight."""
     spark = points.sparkSession
     n = points.count()
-    leaves = max(1, min(MAX_LEAVES, math.ceil(n / leaf_rows)))
+    leaves = max(1, min(UPPER_LEAVES, math.ceil(n / leaf_rows)))
     share = min(1.0, _SAMPLE_PER_LEAF * leaves / n)
     sample = points.select("vec") if share >= 1.0 else points.select("vec").sample(share, seed=1)
     tree = spark.sparkContext.broadcast(_leaf_tree(_matrix(sample.toPandas()["vec"], dims), leaves))
@@ -163,16 +215,26 @@ def _neighbour_candidates(points: DataFrame, dims: int, k: int, leaf_rows: int)
     def leaf(vec: pd.Series) -> pd.Series:
         return pd.Series(_leaf_of(tree.value, _matrix(vec, dims)))
 
-    placed = points.withColumn("leaf", leaf("vec"))
-    placed = cut_lineage(placed)
+    placed = cut_lineage(points.withColumn("leaf", leaf("vec")))
+    full = cut_lineage(placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _SPLIT * leaf_rows))
+    deep = not full.isEmpty()
+    plain = F.shiftleft("leaf", 32)
+    if deep:
+        trees = _sub_trees(placed, full, dims, leaf_rows)
+        split = lookup(trees.select("leaf"))
+        below = _with_sub_leaves(placed.join(split, "leaf", "left_semi"), trees, dims)
+        placed = cut_lineage(placed.join(below, "id", "left").withColumn("cell", F.coalesce("cell", plain)).drop("leaf"))
+    else:
+        placed = placed.withColumn("cell", plain).drop("leaf")
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = _matrix(pdf["vec"], dims), pdf["id"].to_numpy()
         return pd.concat([_EMPTY, *_within(x, ids, x, ids, pdf["m"].to_numpy(), k, leaf_rows)], ignore_index=True)
 
     # small in bytes but heavy to compute: a fixed number of tasks keeps leaves from being merged
-    own = placed.repartition(leaves, "leaf").groupBy("leaf").applyInPandas(inside, _NEAR)
-    if leaves == 1:
+    tasks = max(leaves, min(_MOST_TASKS, math.ceil(n / leaf_rows)))
+    own = placed.repartition(tasks, "cell").groupBy("cell").applyInPandas(inside, _NEAR)
+    if leaves == 1 and not deep:
         return own
     own = cut_lineage(own)
 
@@ -180,30 +242,28 @@ def _neighbour_candidates(points: DataFrame, dims: int, k: int, leaf_rows: int)
     ahead = W.partitionBy("id").orderBy("dist", "other").rowsBetween(W.unboundedPreceding, 0)
     reach = (own.withColumn("upto", F.sum("weight").over(ahead)).join(placed.select("id", "m"), "id")
              .where(F.col("upto") + F.col("m") - 1 >= k).groupBy("id").agg(F.min("dist").alias("reach")))
-    full = placed.join(reach, "id", "left")
+    searching = placed.join(reach, "id", "left")
     # copies alone fill all places: nothing further is needed
     radius = F.when(F.col("m") > k, 0.0).otherwise(F.coalesce("reach", F.lit(float("inf"))))
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if pdf.empty:
-                continue
             for start in range(0, len(pdf), _BLOCK):
                 part = pdf.iloc[start:start + _BLOCK]
                 rows, found = _touched(tree.value, _matrix(part["vec"], dims), part["radius"].to_numpy())
-                hit = part.iloc[rows].assign(target=found)
-                yield hit[hit["target"] != hit["leaf"]][["id", "vec", "radius", "target"]]
-
-    queries = (full.select("id", "vec", "leaf", radius.alias("radius")).where("radius > 0")
-               .mapInPandas(visits, "id long, vec array<double>, radius double, target long"))
-    queries = cut_lineage(queries)
-    loads = queries.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / _QUERIES_PER_TASK).alias("tasks"))
-    loads = F.broadcast(loads)  # one row per leaf
-    asked = (queries.join(loads, "target")
-             .withColumn("part", F.pmod(F.xxhash64("id"), F.col("tasks"))).drop("tasks"))
-    answering = (placed.withColumnRenamed("leaf", "target").join(loads, "target")
-                 .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)))
-                 .select("id", "vec", "m", "target", "part"))
+                yield part.iloc[rows].assign(leaf=found)[["id", "vec", "radius", "own", "leaf"]]
+
+    touched = (searching.select("id", "vec", radius.alias("radius"), F.col("cell").alias("own")).where("radius > 0")
+               .mapInPandas(visits, "id long, vec array<double>, radius double, own long, leaf long"))
+    if deep:
+        touched = cut_lineage(touched)
+        below = _touched_sub_leaves(touched.join(split, "leaf", "left_semi").select("id", "vec", "radius", "leaf"), trees, dims)
+        above = touched.join(split, "leaf", "left_anti").select("id", "vec", "radius", plain.alias("cell"))
+        mine = placed.select("id", F.col("cell").alias("own"))
+        queries = above.unionByName(below).join(mine, "id").where("cell <> own").drop("own")
+    else:
+        queries = touched.withColumn("cell", plain).where("cell <> own").select("id", "vec", "radius", "cell")
+    asked, answering = _dealt(cut_lineage(queries), ["cell"], placed.select("id", "vec", "m", "cell"))
 
     def across(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if q.empty or p.empty:
@@ -211,8 +271,8 @@ def _neighbour_candidates(points: DataFrame, dims: int, k: int, leaf_rows: int)
         return pd.concat([_EMPTY, *_within(_matrix(q["vec"], dims), q["id"].to_numpy(), _matrix(p["vec"], dims), p["id"].to_numpy(),
                                            p["m"].to_numpy(), k, leaf_rows, q["radius"].to_numpy())], ignore_index=True)
 
-    task = ["target", "part"]
-    asked, answering = asked.repartition(leaves, *task), answering.repartition(leaves, *task)
+    task = ["cell", "part"]
+    asked, answering = asked.repartition(tasks, *task), answering.repartition(tasks, *task)
     other = asked.groupBy(*task).cogroup(answering.groupBy(*task)).applyInPandas(across, _NEAR)
     return own.unionByName(other)
 

@@ -40,9 +40,13 @@ def test_lof_counts_copies(spark, leaf_rows):
     assert np.allclose(out["lof_score"], brute_force_lof(x, 10), rtol=1e-6)
 
 
-def test_lof_with_leaves_that_have_trees(spark, monkeypatch):
-    """Two leaves at the top, each with a tree of its own inside its task."""
-    monkeypatch.setattr(N, "MAX_LEAVES", 2)
+@pytest.mark.parametrize("queries_per_task", [50_000, 60])
+def test_lof_in_two_levels(spark, monkeypatch, queries_per_task):
+    """Two leaves at the top, both overfull: each gets a sub-tree, and its points are placed and searched in several tasks."""
+    monkeypatch.setattr(N, "UPPER_LEAVES", 2)
+    monkeypatch.setattr(N, "_QUERIES_PER_TASK", queries_per_task)
+    built, sub_trees = [], N._sub_trees
+    monkeypatch.setattr(N, "_sub_trees", lambda *a: built.append(sub_trees(*a)) or built[-1])
     rng = np.random.default_rng(11)
     x = np.concatenate([rng.normal(0, 1, (500, 2)), rng.normal(6, 0.2, (300, 2)), [[30.0, 30.0]]])
     out = N.lof(spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"])), n_neighbors=10, leaf_rows=40).toPandas()
@@ -50,6 +54,7 @@ def test_lof_with_leaves_that_have_trees(spark, monkeypatch):
     z = (x - x.mean(axis=0)) / x.std(axis=0)
     want = brute_force_lof(z, 10)
     assert np.allclose([keyed[tuple(v)] for v in x], want, rtol=1e-6)
+    assert built[0].count() == 2
 
 
 def test_lof_gaps_and_small_tables(spark):
