@@ -148,6 +148,16 @@ def _(spark, sf):
 _GAPS = ("price_text", "priority_text", "order_ts", "skewed", "price")
 
 
+_MISSING = " + ".join(f"(count(*) FILTER ({c} IS NULL))" for c in _GAPS)
+
+
+_COMPLETENESS = f"""WITH t AS ({_TYPED}), m AS (SELECT {_MISSING} AS missing FROM t),
+ k AS (SELECT count(*) FILTER ({stripped('price_text')} IN ({_MARKERS})) + count(*) FILTER ({stripped('priority_text')} IN ({_MARKERS})) AS markers,
+  count(*) * 7 AS cells FROM ({MESSY_SQL}))
+ SELECT round_even((1 - (missing + markers)::DOUBLE / cells) * 100, 1) AS data_completeness,
+  round_even((1 - missing::DOUBLE / cells) * 100, 1) AS completeness_simple FROM m, k"""
+
+
 def _report_sql() -> str:
     rows = [f"SELECT NULL AS \"column\", 'original_rows' AS metric, count(*)::VARCHAR AS value FROM ({MESSY_SQL})",
             "SELECT NULL, 'cleaned_rows', count(*)::VARCHAR FROM t",
@@ -159,31 +169,24 @@ def _report_sql() -> str:
              f"(SELECT i, row_number() OVER (ORDER BY i) AS k FROM (SELECT {c}, row_number() OVER (ORDER BY o_orderkey) AS i FROM t) WHERE {c} IS NULL)"
              for c in _GAPS]
     rows += ["SELECT NULL, 'original_columns', '7'", "SELECT NULL, 'cleaned_columns', '7'", "SELECT 'price_text', 'converted_to', 'numeric'"]
-    rows += [f"SELECT '{c}', 'action', 'filled ' || (count(*) - count({c})) || CASE WHEN abs(skewness({c})) > 1 THEN ' with median' ELSE ' with mean' END FROM t"
+    rows += [f"SELECT '{c}', 'action', 'filled ' || (count(*) - count({c})) || CASE WHEN abs(skewness({c})) > 1 "
+             f"THEN ' with median ' || round_even(quantile_cont({c}::DOUBLE, 0.5), 2)::VARCHAR ELSE ' with mean ' || round_even(avg({c}), 2)::VARCHAR END FROM t"
              for c in ("price_text", "skewed", "price")]
+    rows += [f"SELECT NULL, 'rows_removed', ((SELECT count(*) FROM ({MESSY_SQL})) - count(*))::VARCHAR FROM t"]
+    rows += [f"SELECT NULL, '{name}', {value}::VARCHAR FROM ({_COMPLETENESS})"
+             for name, value in (("data_completeness", "data_completeness"), ("completeness_simple", "completeness_simple"))]
     rows += ["SELECT 'order_ts', 'action', 'filled ' || (count(*) - count(order_ts)) || ' forward, then backward' FROM t",
              "SELECT 'priority_text', 'action', 'filled ' || (count(*) - count(priority_text)) || ' with ' || chr(39) || 'Unknown' || chr(39) FROM t"]
     return f"WITH t AS ({_TYPED}) " + " UNION ALL ".join(rows)
 
 
-@query("cleaning_report", _report_sql())
-def _(spark, sf):
-    from pyspark.sql import functions as F
-    report = clean_table(messy_orders(spark, sf), ["o_orderkey"]).report
-    # data_completeness has a query of its own; rows_removed repeats duplicates_removed; fill values are those of clean_table
-    report = report.where(~report["metric"].isin("rows_removed", "data_completeness", "completeness_simple"))
-    return report.withColumn("value", F.regexp_replace("value", "( with (mean|median)) .*", "$1"))
-
-
-_MISSING = " + ".join(f"(count(*) FILTER ({c} IS NULL))" for c in _GAPS)
-
-
-@query("data_completeness", f"""WITH t AS ({_TYPED}), m AS (SELECT {_MISSING} AS missing FROM t),
- k AS (SELECT count(*) FILTER ({stripped('price_text')} IN ({_MARKERS})) + count(*) FILTER ({stripped('priority_text')} IN ({_MARKERS})) AS markers,
-  count(*) * 7 AS cells FROM ({MESSY_SQL}))
- SELECT round_even((1 - (missing + markers)::DOUBLE / cells) * 100, 1) AS data_completeness,
-  round_even((1 - missing::DOUBLE / cells) * 100, 1) AS completeness_simple FROM m, k""")
+@query("data_completeness", _COMPLETENESS)
 def _(spark, sf):
     done = clean_table(messy_orders(spark, sf), ["o_orderkey"])
     return spark.createDataFrame([(done.data_completeness, done.completeness_simple)],
                                  "data_completeness double, completeness_simple double")
+
+
+@query("cleaning_report", _report_sql())
+def _(spark, sf):
+    return clean_table(messy_orders(spark, sf), ["o_orderkey"]).report

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tabulith.functions.columns import number
 from tabulith.functions.kinds import datetime_columns, is_numeric, text_columns
 from tabulith.operators import cleaning as C
+from tabulith.operators.moments import with_quantiles
 from tabulith.operators.ordering import fill_both_ways, lay_out, number_rows
 from tabulith.operators.sorting import first_rows
 from tabulith.session import lookup, written_once
@@ -33,21 +36,26 @@ def clean_table(df: DataFrame, order_by: Sequence[str]) -> Cleaned:
     """Clean a table whose row order is given by ``order_by`` (columns as they are named before
     cleaning; no two rows are equal in all of them).
 
-    The distinct rows are written once. One aggregate finds the types and gaps, and only the order columns and the
-    dates with gaps are put in order, for the row numbers of gaps and the forward fill.
+    The rows are read once: while the distinct ones are written, the same job counts markers, and gathers of every column
+    its values, what they can be read as, and their moments. These decide types, gaps and fill values; only medians read the written
+    rows again. The order columns and the dates with gaps are put in order, for the row numbers of gaps and the forward fill.
     """
     width = len(df.columns)
     names = C.standard_names(df.columns)
     order = [names[df.columns.index(c)] for c in order_by]
-    rows_before, markers = _markers(df)
-
-    distinct = written_once(C.drop_duplicate_rows(C.standardize_names(C.null_markers(df))), "distinct")
-    rows, kinds, filled = _contents(distinct)
+    texts = text_columns(df)
+    before, after = Observation(), Observation()
+    marked = C.null_markers(df.observe(before, F.count(F.lit(1)).alias("rows"), *[
+        F.count_if(C.is_marker(F.col(c))).alias(f"markers{i}") for i, c in enumerate(texts)]))
+    distinct = written_once(_gathered(C.drop_duplicate_rows(C.standardize_names(marked)), after), "distinct")
+    rows_before, markers = before.get["rows"], {c: before.get[f"markers{i}"] for i, c in enumerate(texts)}
+    state = after.get
+    rows, kinds, filled = _contents(distinct, state)
     typed = C.convert_kinds(distinct, kinds)
     gaps = {c: rows - n for c, n in filled.items() if n < rows}
     dates = [c for c in datetime_columns(typed) if c in gaps]
     numbers = [c for c in gaps if is_numeric(typed, c)]
-    fills = C.numeric_fill_values(typed, numbers) if numbers else {}
+    fills = _fill_values(typed, numbers, state)
     out, first = typed, {}
     if gaps:
         holes = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in gaps]))
@@ -89,24 +97,48 @@ def clean_table(df: DataFrame, order_by: Sequence[str]) -> Cleaned:
     return Cleaned(out, report, rows_before - rows, full, simple)
 
 
-def _markers(df: DataFrame) -> tuple[int, dict[str, int]]:
-    """Row count and markers per text column, in one pass."""
-    texts = text_columns(df)
-    row = df.agg(F.count(F.lit(1)), *[F.count_if(C.is_marker(F.col(c))) for c in texts]).first()
-    return row[0], dict(zip(texts, row[1:]))
-
-
-def _contents(df: DataFrame) -> tuple[int, dict[str, str], dict[str, int]]:
-    """Row count, the kind of every text column, and the values of every column once it is converted; in one pass."""
-    texts = text_columns(df)
-    row = df.agg(F.count(F.lit(1)), *[F.count(c) for c in df.columns], *[F.count(C.as_timestamp(F.col(c))) for c in texts],
-                 *[F.count(C.as_number(F.col(c))) for c in texts]).first()
-    n = dict(zip(df.columns, row[1:]))
-    dates = dict(zip(texts, row[1 + len(df.columns):]))
-    numbers = dict(zip(texts, row[1 + len(df.columns) + len(texts):]))
-    kinds = {c: C.kind_of(n[c], dates[c], numbers[c]) for c in texts}
-    left = {"datetime": dates, "numeric": numbers}
-    return row[0], kinds, {c: left.get(kinds.get(c, ""), n)[c] for c in df.columns}
+def _gathered(df: DataFrame, seen: Observation) -> DataFrame:
+    """The rows unchanged; ``seen`` gets their number and, per column, the values, those that read as dates and as numbers, and the
+    mean and skewness of the numbers."""
+    texts, parsed, wanted = text_columns(df), {}, [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(df.columns):
+        wanted.append(F.count(F.col(c)).alias(f"n{i}"))
+        if c in texts:
+            parsed |= {f"_date{i}": C.as_timestamp(F.col(c)), f"_number{i}": C.as_number(F.col(c))}
+            wanted.append(F.count(f"_date{i}").alias(f"dates{i}"))
+        elif is_numeric(df, c):
+            parsed[f"_number{i}"] = number(c)
+        if f"_number{i}" in parsed:
+            x = F.col(f"_number{i}")
+            wanted += [F.count(x).alias(f"numbers{i}"), F.avg(x).alias(f"mean{i}"), F.skewness(x).alias(f"skew{i}")]
+    return df.withColumns(parsed).observe(seen, *wanted).drop(*parsed) if parsed else df.observe(seen, *wanted)
+
+
+def _contents(df: DataFrame, state: dict) -> tuple[int, dict[str, str], dict[str, int]]:
+    """Row count, the kind of every text column, and the values of every column once it is converted."""
+    kinds, filled = {}, {}
+    for i, c in enumerate(df.columns):
+        filled[c] = state[f"n{i}"]
+        if f"dates{i}" in state:
+            kinds[c] = C.kind_of(state[f"n{i}"], state[f"dates{i}"], state[f"numbers{i}"])
+            filled[c] = {"datetime": state[f"dates{i}"], "numeric": state[f"numbers{i}"]}.get(kinds[c], filled[c])
+    return state["rows"], kinds, filled
+
+
+def _fill_values(typed: DataFrame, columns: Sequence[str], state: dict) -> dict[str, tuple[str, float]]:
+    """``numeric_fill_values`` from the gathered moments."""
+    means, skewed = {}, []
+    for c in columns:
+        i = typed.columns.index(c)
+        n, mean, g1 = state[f"numbers{i}"], state[f"mean{i}"], state[f"skew{i}"]
+        if n:
+            means[c] = ("mean", mean)
+            if n >= 3 and g1 is not None and abs(g1) * math.sqrt(n * (n - 1)) / (n - 2) > 1:
+                skewed.append(c)
+    if skewed:
+        for r in with_quantiles(typed, skewed, [0.5], ["median"]).collect():
+            means[r["column"]] = ("median", r["median"])
+    return {c: (how, round(v, 2)) for c, (how, v) in means.items()}
 
 
 def _first_gaps(laid: DataFrame, n: int = 10) -> dict[str, list[int]]:
