@@ -1,9 +1,12 @@
 """Profile and quality queries."""
 
+from pyspark.sql import functions as F
+
 from tabulith.catalog import query, table
 from tabulith.catalog.aggregation import each, modes
 from tabulith.catalog.cleaning import MESSY_SQL, messy_orders
 from tabulith.operators import profiling as P
+from tabulith.session import scratch_path
 
 _LINE_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                  "l_discount", "l_tax")
@@ -127,10 +130,18 @@ def _(spark, sf):
     return orders.groupBy("o_orderstatus").agg({"*": "count"}).withColumnRenamed("count(1)", "n")
 
 
-@query("expectation_report", """SELECT * FROM (VALUES ('rows', 'nations', true, NULL), ('column', 'n_name', true, NULL),
- ('column', 'n_code', false, 'nations: missing column(s) [''n_code'']'), ('numeric', 'n_regionkey', true, NULL),
- ('numeric', 'n_name', false, 'nations: not numeric: [''n_name'']')) v("check", subject, passed, message)
- UNION ALL SELECT 'min_rows', '30', n >= 30, CASE WHEN n < 30 THEN 'nations: ' || n || ' row(s), at least 30 needed' END
- FROM (SELECT count(*) AS n FROM nation)""")
+_RULES = {"a price": "o_totalprice > 0", "a key": "o_orderkey IS NOT NULL", "no large order": "o_totalprice < 300000",
+          "a known state": "o_orderstatus IN ('F', 'O')"}
+
+
+@query("expectation_report", """SELECT * FROM (VALUES ('rows', 'orders', true, NULL), ('column', 'o_orderkey', true, NULL),
+ ('column', 'o_orderstatus', true, NULL), ('numeric', 'o_totalprice', true, NULL),
+ ('numeric', 'o_orderstatus', false, 'orders: not numeric: [''o_orderstatus'']')) v("check", subject, passed, message)
+ UNION ALL SELECT 'min_rows', '1000000000', n >= 1000000000, 'orders: ' || n || ' row(s), at least 1000000000 needed'
+ FROM (SELECT count(*) AS n FROM orders)""" + "".join(f"""
+ UNION ALL SELECT 'rule', '{name}', b = 0, CASE WHEN b > 0 THEN 'orders: ' || b || ' of ' || n || ' row(s) break ''{name}''' END
+ FROM (SELECT count(*) AS n, count(*) FILTER (NOT coalesce({rule}, false)) AS b FROM orders)""" for name, rule in _RULES.items()))
 def _(spark, sf):
-    return P.expectation_report(table(spark, sf, "nation"), ["n_name", "n_code"], ["n_regionkey", "n_name"], 30, "nations")
+    gate = P.Gate(["o_orderkey", "o_orderstatus"], ["o_totalprice", "o_orderstatus"], 10 ** 9,
+                  {name: F.expr(rule) for name, rule in _RULES.items()}, "orders")
+    return P.gated_write(table(spark, sf, "orders"), scratch_path(spark, "gated"), gate)

@@ -180,7 +180,7 @@ def pivot_table(df: DataFrame, index: str, value: str, func: str = "mean", colum
     if long:
         return rows.groupBy(index, columns).agg(agg.alias(value))
     if pivot_values is None:
-        pivot_values = sorted_values(df, columns)
+        pivot_values = sorted_values(df, columns, "long=True")
     return rows.groupBy(index).pivot(columns, list(pivot_values)).agg(agg).na.fill(0)
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce, wraps
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,7 @@ from tabulith.functions.kinds import (
     columns_by_kind, datetime_columns, is_numeric, numeric_columns, text_columns)
 from tabulith.operators.aggregation import mode_summary, pair_correlations, value_frequencies
 from tabulith.operators.moments import moments, with_quantiles
+from tabulith.session import lookup
 
 
 class ExpectationError(ValueError):
@@ -65,22 +66,40 @@ def null_counts(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*cells).alias("a")).select(F.explode("a").alias("c")).select("c.*")
 
 
+def fingerprint(columns: Sequence[str]) -> list[Column]:
+    """A row's 128 bits as two hashes. Which cells are null is hashed too, since hashes pass over nulls."""
+    nulls = F.array(*[F.col(c).isNull() for c in columns])
+    return [F.xxhash64(F.lit(seed), nulls, *columns) for seed in (1, 2)]
+
+
 def profile_dataset(df: DataFrame) -> DataFrame:
-    """Rows, cells, missing cells, duplicate rows and columns per kind, in one row."""
+    """Rows, cells, missing cells, duplicate rows and columns per kind, in one row.
+
+    Duplicates are found by a fingerprint of each row. Whole rows are compared only where a fingerprint repeats, so a
+    clash of fingerprints makes no duplicate.
+    """
     kinds = columns_by_kind(df)
     width = len(df.columns)
-    copies = df.withColumn("_gaps", sum((_gap(df, c).cast("int") for c in df.columns), F.lit(0)))
-    # equal rows are counted together, before the shuffle, so copies do not pile up in one task
-    distinct = copies.groupBy(*copies.columns).agg(F.count(F.lit(1)).alias("_n"))
-    one = distinct.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("_gaps") * F.col("_n")), F.lit(0)).alias("total_missing"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("total_duplicates"))
-    cells = F.col("rows") * width
+    first, second = fingerprint(df.columns)
+    gaps = sum((_gap(df, c).cast("int") for c in df.columns), F.lit(0))
+    seen = Observation()
+    # equal rows are counted together before the shuffle, so copies do not pile up in one task
+    prints = (df.select(first.alias("_f1"), second.alias("_f2"), gaps.alias("_gaps")).groupBy("_f1", "_f2")
+              .agg(F.count(F.lit(1)).alias("_n"), F.sum("_gaps").alias("_gaps"))
+              .observe(seen, F.sum("_n").alias("rows"), F.sum("_gaps").alias("missing"), F.count_if(F.col("_n") > 1).alias("repeated")))
+    repeated = lookup(prints.where("_n > 1").select("_f1", "_f2"))
+    rows, missing = seen.get["rows"] or 0, seen.get["missing"] or 0
+    if seen.get["repeated"]:
+        same = df.withColumns({"_f1": first, "_f2": second}).join(repeated, ["_f1", "_f2"], "left_semi")
+        one = same.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).agg(
+            F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("total_duplicates"))
+    else:
+        one = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("total_duplicates"))
+    count = lambda n: F.lit(n).cast("long")
     return one.select(
-        "rows", F.lit(width).alias("columns"), cells.alias("total_cells"), "total_missing",
-        percent(F.col("total_missing"), cells).alias("missing_pct"), "total_duplicates",
-        percent(F.col("total_duplicates"), F.col("rows")).alias("duplicate_pct"),
+        count(rows).alias("rows"), F.lit(width).alias("columns"), count(rows * width).alias("total_cells"),
+        count(missing).alias("total_missing"), percent(count(missing), count(rows * width)).alias("missing_pct"), "total_duplicates",
+        percent(F.col("total_duplicates"), count(rows)).alias("duplicate_pct"),
         *[F.lit(len(kinds[k])).alias(f"{k}_columns") for k in ("numeric", "categorical", "datetime", "boolean")])
 
 
@@ -245,6 +264,52 @@ def expectation_report(df: DataFrame, columns: Sequence[str] = (), numeric: Sequ
     return df.sparkSession.createDataFrame(rows, "check string, subject string, passed boolean, message string")
 
 
+class Gate:
+    """Expectations that are counted while a table passes through to its destination, at no scan of its own.
+
+    ``rules`` are named conditions that every row must meet; a condition that is null counts as not met.
+    """
+
+    def __init__(self, columns: Sequence[str] = (), numeric: Sequence[str] = (), min_rows: int = 5,
+                 rules: Mapping[str, Column] | None = None, name: str = "table"):
+        self.columns, self.numeric, self.min_rows, self.rules, self.name = columns, numeric, min_rows, dict(rules or {}), name
+        self._seen = Observation()
+        self._df: DataFrame | None = None
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        """The table, unchanged; the checks are complete once it has been written or read in full."""
+        expect_columns(df, list(self.columns), self.name)
+        self._df = df
+        broken = [F.count_if(~F.coalesce(rule, F.lit(False))).alias(f"broken{i}") for i, rule in enumerate(self.rules.values())]
+        return df.observe(self._seen, F.count(F.lit(1)).alias("rows"), *broken)
+
+    def results(self) -> list[tuple[str, str, bool, str | None]]:
+        """(check, subject, passed, message) of all checks, after the table has gone through."""
+        rows = self._seen.get["rows"]
+        found = [("rows", self.name, rows > 0, f"{self.name}: the table has no rows")]
+        found += [("column", c, True, None) for c in self.columns]
+        found += [("numeric", c, is_numeric(self._df, c), f"{self.name}: not numeric: {[c]}") for c in self.numeric]
+        found += [("min_rows", str(self.min_rows), rows >= self.min_rows, f"{self.name}: {rows} row(s), at least {self.min_rows} needed")]
+        for i, rule in enumerate(self.rules):
+            broken = self._seen.get[f"broken{i}"]
+            found.append(("rule", rule, broken == 0, f"{self.name}: {broken} of {rows} row(s) break {rule!r}"))
+        return [(check, subject, passed, None if passed else message) for check, subject, passed, message in found]
+
+    def report(self) -> DataFrame:
+        return self._df.sparkSession.createDataFrame(self.results(), "check string, subject string, passed boolean, message string")
+
+    def check(self) -> None:
+        failed = [message for _, _, passed, message in self.results() if not passed]
+        if failed:
+            raise ExpectationError("; ".join(failed), {"failed": failed})
+
+
+def gated_write(df: DataFrame, path: str, gate: Gate) -> DataFrame:
+    """Write the table as Parquet and count the gate's checks on the way; the report of the checks."""
+    gate.watch(df).write.parquet(path)
+    return gate.report()
+
+
 def expectations(df: DataFrame, columns: Sequence[str] = (), numeric: Sequence[str] = (),
                  min_rows: int = 5, name: str = "table") -> DataFrame:
     """All checks; the table passes through unchanged."""

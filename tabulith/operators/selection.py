@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tabulith.functions.columns import half_even, number, ratio
 from tabulith.functions.kinds import is_numeric, is_text, present, require_columns, require_numeric
 
+WIDEST = 5_000  # columns that one-hot coding or a pivot may add to a table
+
 
 
 def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
@@ -99,9 +101,13 @@ def map_values_table(df: DataFrame, column: str, lookup: DataFrame) -> DataFrame
             .select(*df.columns))
 
 
-def sorted_values(df: DataFrame, column: str) -> list:
-    """The distinct non-null values in order, for results with a column per value."""
-    return [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+def sorted_values(df: DataFrame, column: str, other_form: str) -> list:
+    """The distinct non-null values in order, for results with a column per value: at most ``WIDEST``, which bounds what
+    comes to the driver and the schema. For more, the error names the form that has rows in place of columns."""
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(WIDEST + 1).collect()
+    if len(found) > WIDEST:
+        raise ValueError(f"{column!r} has more than {WIDEST} values, too many for a column each; use {other_form}")
+    return sorted(r[0] for r in found)
 
 
 def one_hot(df: DataFrame, column: str, drop_original: bool = True, sparse: bool = False) -> DataFrame:
@@ -113,7 +119,7 @@ def one_hot(df: DataFrame, column: str, drop_original: bool = True, sparse: bool
     else:
         out = df.withColumns({
             f"{column}_{v}": F.coalesce(F.col(column) == F.lit(v), F.lit(False)).cast("int")
-            for v in sorted_values(df, column)})
+            for v in sorted_values(df, column, "sparse=True")})
     return out.drop(column) if drop_original else out
 
 

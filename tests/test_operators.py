@@ -368,3 +368,44 @@ def test_written_tables_go(spark):
     assert not os.path.exists(folder)
     wide = spark.createDataFrame([("x" * 1000,)] * 50, "s string")
     assert 50_000 < session.table_bytes(wide) < 60_000
+
+
+def test_duplicates_despite_clashing_fingerprints(spark, rows, monkeypatch):
+    data = [(1, "a", None), (1, None, "a"), (1, "a", None), (2, "b", "b"), (2, "b", "b"), (2, "b", "b"), (3, None, None)]
+    df = spark.createDataFrame(data, "k int, x string, y string")
+    want = [(7, 3, 21, 5, 3)]
+    shown = ("rows", "columns", "total_cells", "total_missing", "total_duplicates")
+    assert rows(P.profile_dataset(df).select(*shown)) == want
+    monkeypatch.setattr(P, "fingerprint", lambda columns: [F.lit(1), F.col("k") % 2])
+    assert rows(P.profile_dataset(df).select(*shown)) == want
+    empty = P.profile_dataset(df.limit(0)).first()
+    assert (empty["rows"], empty["total_duplicates"], empty["total_missing"]) == (0, 0, 0)
+
+
+def test_gate_counts_while_writing(spark, tmp_path):
+    df = spark.createDataFrame([(i, float(i) if i % 4 else None, "x") for i in range(20)], "id int, v double, s string")
+    gate = P.Gate(["id"], ["v", "s"], 30, {"v over 2": F.col("v") > 2, "an id": F.col("id").isNotNull()}, "t")
+    found = {(r["check"], r["subject"]): (r["passed"], r["message"]) for r in P.gated_write(df, str(tmp_path / "out"), gate).collect()}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
+    assert found["rows", "t"] == found["column", "id"] == found["numeric", "v"] == found["rule", "an id"] == (True, None)
+    assert found["min_rows", "30"] == (False, "t: 20 row(s), at least 30 needed") and not found["numeric", "s"][0]
+    assert found["rule", "v over 2"] == (False, "t: 7 of 20 row(s) break 'v over 2'")
+    with pytest.raises(P.ExpectationError):
+        gate.check()
+    with pytest.raises(P.ExpectationError):
+        P.Gate(["nope"]).watch(df)
+    clean = P.Gate(min_rows=1)
+    clean.watch(df).write.format("noop").mode("overwrite").save()
+    clean.check()
+
+
+def test_columns_per_value_are_bounded(spark, monkeypatch):
+    from tabulith.operators import selection
+    monkeypatch.setattr(selection, "WIDEST", 3)
+    df = spark.createDataFrame([(i, str(i), 1.0) for i in range(4)], "k int, c string, v double")
+    with pytest.raises(ValueError, match="sparse=True"):
+        selection.one_hot(df, "c")
+    with pytest.raises(ValueError, match="long=True"):
+        A.pivot_table(df, "k", "v", "sum", "c")
+    assert selection.one_hot(df.where("k < 3"), "c").columns == ["k", "v", "c_0", "c_1", "c_2"]
+    assert selection.one_hot(df, "c", sparse=True).count() == A.pivot_table(df, "k", "v", "sum", "c", long=True).count() == 4
