@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,53 +26,76 @@ def melt(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> Dat
     return wide.unpivot(list(keys), list(columns), "column", "value")
 
 
-_POWERS = ("rows", "n", "total", "s1", "s2", "s3", "s4", "zeros", "negatives")
+_STATE = ("n", "nulls", "total", "mean", "m2", "m3", "m4", "min", "max", "zeros", "negatives")
 
 
-def _column_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, the sums of ``_POWERS``, min and max: each task adds its Arrow batches up per column, as powers of the distance
-    from one centre for all tasks, and Spark adds up one row per task and column."""
-    wide = df.select(*[number(c).alias(str(i)) for i, c in enumerate(columns)])
-    near = [m if m is not None and math.isfinite(m) else 0.0 for m in wide.agg(*[F.avg(c) for c in wide.columns]).first()]
+def _column_states(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per task and column: ``c`` and what the task's values add up to, with central moments around their own mean."""
+    wide = df.select(*[number(c) for c in columns])
+
+    def moments_of(x: np.ndarray) -> np.ndarray:
+        mean = x.mean()
+        d = x - mean
+        d2 = d * d
+        return np.array([len(x), 0, x.sum(), mean, d2.sum(), (d2 * d).sum(), (d2 * d2).sum(), x.min(), x.max(), (x == 0).sum(), (x < 0).sum()])
+
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = a[0] + b[0]
+        mean = (a[0] * a[3] + b[0] * b[3]) / n
+        out = a + b
+        out[3], out[7], out[8] = mean, min(a[7], b[7]), max(a[8], b[8])
+        out[4:7] = 0.0
+        for part in (a, b):
+            d = part[3] - mean
+            out[4] += part[4] + part[0] * d * d
+            out[5] += part[5] + 3 * d * part[4] + part[0] * d ** 3
+            out[6] += part[6] + 4 * d * part[5] + 6 * d * d * part[4] + part[0] * d ** 4
+        return out
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(_POWERS), len(near)))
-        ends = np.tile([[np.inf], [-np.inf]], len(near))
+        states: list[np.ndarray | None] = [None] * len(columns)
+        rows, nulls = 0, np.zeros(len(columns))
         for batch in batches:
-            for i, (cells, centre) in enumerate(zip(batch.columns, near)):
+            rows += batch.num_rows
+            for i, cells in enumerate(batch.columns):
+                nulls[i] += cells.null_count
                 x = cells.drop_null().to_numpy()
-                d = x - centre
-                d2 = d * d
-                sums[:, i] += (len(cells), len(x), x.sum(), d.sum(), d2.sum(), (d2 * d).sum(), (d2 * d2).sum(), (x == 0).sum(), (x < 0).sum())
                 if len(x):
-                    ends[:, i] = min(ends[0, i], x.min()), max(ends[1, i], x.max())
-        if sums[0].any():
-            none = ends[0] > ends[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(near)), pa.int32()), *[pa.array(r) for r in sums], *[pa.array(e, mask=none) for e in ends]],
-                names=["c", *_POWERS, "min", "max"])
+                    with np.errstate(all="ignore"):  # infinite values have no moments
+                        one = moments_of(x)
+                        states[i] = one if states[i] is None else merge(states[i], one)
+        if rows:
+            found = np.array([np.zeros(len(_STATE)) if s is None else s for s in states]).T
+            found[1] = nulls
+            none = np.array([s is None for s in states])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(columns)), pa.int32()), *[
+                pa.array(values, mask=none if name in ("mean", "min", "max") else None) for name, values in zip(_STATE, found)]], names=["c", *_STATE])
 
-    parts = wide.mapInArrow(add_up, ", ".join(["c int", *[f"{p} double" for p in (*_POWERS, "min", "max")]]))
-    sums = parts.groupBy("c").agg(*[F.sum(p).alias(p) for p in _POWERS], F.min("min").alias("min"), F.max("max").alias("max"))
-    return sums.withColumn("column", F.get(F.array(*[F.lit(c) for c in columns]), "c"))
+    return wide.mapInArrow(add_up, ", ".join(["c int", *[f"{name} double" for name in _STATE]]))
 
 
 def _column_moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Moments of whole columns from their sums: column, n, nulls, total, mean, var, min, max, g1, g2, zeros, negatives."""
-    sums = _column_sums(df, columns)
-    n = F.nullif("n", F.lit(0.0))
-    mean, flat = F.col("s1") / n, F.col("min") == F.col("max")
-    m2 = F.col("s2") - mean * F.col("s1")
-    m3 = F.col("s3") - 3 * mean * F.col("s2") + 2 * n * mean * mean * mean
-    m4 = F.col("s4") - 4 * mean * F.col("s3") + 6 * mean * mean * F.col("s2") - 3 * n * mean * mean * mean * mean
+    """Moments of whole columns in one pass over Arrow batches; Spark merges the tasks' states. Columns: column, n, nulls, total,
+    mean, var, min, max, g1, g2, zeros, negatives."""
+    states = _column_states(df, columns)
+    all_tasks = W.partitionBy("c")  # a row per task
+    mean = F.sum(F.col("n") * F.col("mean")).over(all_tasks) / F.nullif(F.sum("n").over(all_tasks), F.lit(0.0))
+    n, d = F.col("n"), F.col("d")
+    states = states.withColumn("centre", mean).withColumn("d", F.col("mean") - F.col("centre"))
+    sums = states.groupBy("c").agg(
+        F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.sum("total").alias("total"), F.max("centre").alias("mean"),
+        F.sum(F.col("m2") + n * d * d).alias("m2"), F.sum(F.col("m3") + 3 * d * F.col("m2") + n * d * d * d).alias("m3"),
+        F.sum(F.col("m4") + 4 * d * F.col("m3") + 6 * d * d * F.col("m2") + n * d * d * d * d).alias("m4"),
+        F.min("min").alias("min"), F.max("max").alias("max"), F.sum("zeros").alias("zeros"), F.sum("negatives").alias("negatives"))
+    count, flat = F.nullif("n", F.lit(0.0)), F.col("min") == F.col("max")
     # what rounding leaves of a constant column's variance is not variance
-    spread = F.when(~flat, F.greatest(m2 / n, F.lit(0.0)))
-    deviation = F.nullif(spread, F.lit(0.0))
-    var = F.when(F.col("n") > 1, F.when(flat, 0.0).otherwise(F.greatest(m2, F.lit(0.0)) / F.nullif(n - 1, F.lit(0.0))))
-    whole = [F.col(c).cast("long").alias(c) for c in ("zeros", "negatives")]
-    return sums.select("column", F.col("n").cast("long").alias("n"), (F.col("rows") - F.col("n")).cast("long").alias("nulls"), "total",
-                       (F.col("total") / n).alias("mean"), var.alias("var"), "min", "max",
-                       (m3 / n / (deviation * F.sqrt(deviation))).alias("g1"), (m4 / n / (deviation * deviation) - 3).alias("g2"), *whole)
+    spread = F.nullif(F.when(~flat, F.col("m2") / count), F.lit(0.0))
+    var = F.when(F.col("n") > 1, F.when(flat, 0.0).otherwise(F.col("m2") / F.nullif(F.col("n") - 1, F.lit(0.0))))
+    return sums.select(
+        F.get(F.array(*[F.lit(c) for c in columns]), "c").alias("column"), F.col("n").cast("long").alias("n"), F.col("nulls").cast("long").alias("nulls"),
+        "total", F.when(flat, F.col("min")).otherwise(F.col("mean")).alias("mean"), var.alias("var"), "min", "max",
+        (F.col("m3") / count / (spread * F.sqrt(spread))).alias("g1"), (F.col("m4") / count / (spread * spread) - 3).alias("g2"),
+        *[F.col(c).cast("long").alias(c) for c in ("zeros", "negatives")])
 
 
 def _keyed_moments(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -138,7 +160,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], key
     sampled, no cut points pass through the driver, and no task holds a group's values. ``weight`` counts a row that many times.
     """
     shown = [F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]
-    wide = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col(weight) if weight else F.lit(1)).alias("w"),
+    wide = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"),
                      *[number(c).alias(str(i)) for i, c in enumerate(columns)])
     group = [*[f"_k{i}" for i in range(len(keys))], "c"]
     if len(columns) == 1:
