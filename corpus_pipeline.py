@@ -13,6 +13,8 @@ The first stage drops null texts. Rows without a ``doc_id`` pass the stages that
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,17 +23,28 @@ from tabulith.llm.components import sized
 from tabulith.session import written_once
 
 
+def _with_own_names(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stage keeps of ``docs``, whose columns other than those a stage works on go under private names meanwhile: none
+    can be taken for a column that the stage adds."""
+    used = ("doc_id", "text", "lang", "n_chars")
+    private = [c if c in used else f"__own{i}" for i, c in enumerate(docs.columns)]
+    return stage(docs.toDF(*private)).select(private).toDF(*docs.columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.identify(docs, language.learn(docs)).where("accepted").select(docs.columns)
+    return _with_own_names(docs, lambda rows: language.identify(rows, language.learn(rows)).where("accepted"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = lines.deduplicated(docs)
-    changed = F.size("dropped_lines") > 0
-    found = found.where(~changed | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(docs.columns)
+    def stage(rows: DataFrame) -> DataFrame:
+        found = lines.deduplicated(rows)
+        changed = F.size("dropped_lines") > 0
+        found = found.where(~changed | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+        if "n_chars" in rows.columns:
+            found = found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        return found
+
+    return _with_own_names(docs, stage)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

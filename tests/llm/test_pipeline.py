@@ -84,3 +84,20 @@ def test_stages_take_edge_rows(spark, sf, documents, prose):
     assert 6 not in {r["doc_id"] for r in left.collect()} and left.count() == 7
     near = [r["doc_id"] for r in C.near_dedup(spark, docs, sf).collect()]
     assert near.count(3) == 2 and 4 not in near and None in near and {1, 2, 5, 6} <= set(near)
+
+
+def test_stages_leave_clashing_columns_alone(spark, sf, prose):
+    """Columns named like what a stage adds keep their types and values."""
+    texts = [" ".join(prose(k, 60)) + "\nthe same line in every one of these documents" for k in range(5)]
+    schema = ("doc_id long, text string, lang string, score int, lang_pred array<string>, margin_bytes string, accepted string, "
+              "dropped_lines string, component_id string, kept string, n_chars long, __mask int, version string")
+    docs = spark.createDataFrame([(i, t, "en", -7, ["mine"], "mine", "mine", f"d{i}", "c", "k", len(t), i, "v") for i, t in enumerate(texts)], schema)
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.dtypes == docs.dtypes
+        found = rows(out)
+        assert len(found) == 5 if name != "decontaminate" else len(found) >= 4
+        for i, r in found.items():
+            assert (r.score, r.lang_pred, r.margin_bytes, r.accepted, r.dropped_lines) == (-7, ["mine"], "mine", "mine", f"d{i}")
+            assert (r.component_id, r.kept, r["__mask"], r.version) == ("c", "k", i, "v")
+        assert name != "line_dedup" or sum("same line" in r.text for r in found.values()) == 1
