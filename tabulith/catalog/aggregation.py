@@ -1,5 +1,7 @@
 """Grouping and description queries."""
 
+from pyspark.sql import functions as F
+
 from tabulith.catalog import query, table
 from tabulith.operators import aggregation as A
 
@@ -183,11 +185,18 @@ def _(spark, sf):
     return A.correlation_matrix(table(spark, sf, "lineitem"))
 
 
-@query("correlation_pairs", f"""WITH p AS ({_PAIRS}) SELECT col1, col2, round_even(r, 3) AS correlation,
+# columns that go with others: strongly, against them, and in part
+_RELATED = {"worth": "l_extendedprice * 2 + l_quantity", "mirror": "0.0D - l_partkey",
+            "partly": "CASE WHEN l_linenumber > 2 THEN l_suppkey ELSE 0 END"}
+_RELATED_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS col1, '{b}' AS col2, corr({a}, {b}) AS r FROM v" for a, b in pairs((*_LINE_NUMBERS, *_RELATED)))
+
+
+@query("correlation_pairs", f"""WITH v AS (SELECT *, {', '.join(f"{x.replace('0.0D', '0.0::DOUBLE')} AS {c}" for c, x in _RELATED.items())} FROM lineitem),
+ p AS ({_RELATED_PAIRS}) SELECT col1, col2, round_even(r, 3) AS correlation,
  CASE WHEN abs(r) > 0.8 THEN 'Strong' ELSE 'Moderate' END AS strength,
  CASE WHEN r > 0 THEN 'Positive' ELSE 'Negative' END AS direction FROM p WHERE abs(r) >= 0.5""")
 def _(spark, sf):
-    return A.correlation_pairs(table(spark, sf, "lineitem"))
+    return A.correlation_pairs(table(spark, sf, "lineitem").withColumns({c: F.expr(x) for c, x in _RELATED.items()}))
 
 
 @query("correlates_with", " UNION ALL ".join(

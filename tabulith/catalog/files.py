@@ -49,10 +49,18 @@ def _(spark, sf):
     return anomalies_combined(table(spark, sf, "orders"), "zscore", 1.7)
 
 
-@query("anomalies_combined_lines", hits_sql(_LINE_NUMBERS, "lineitem", 1.9, _ZHITS))
+# the prices and quantities of the first orders are planted as extremes: no value of the table itself is that far out
+_PLANTED = {"l_extendedprice": "CASE WHEN l_orderkey < 40 THEN l_extendedprice * 30 ELSE l_extendedprice END",
+            "l_quantity": "CASE WHEN l_orderkey < 20 THEN l_quantity * 50 ELSE l_quantity END"}
+_PLANTED_LINES = f"(SELECT * REPLACE ({', '.join(f'{x} AS {c}' for c, x in _PLANTED.items())}) FROM lineitem)"
+
+
+@query("anomalies_combined_lines", hits_sql(_LINE_NUMBERS, _PLANTED_LINES, 1.9, _ZHITS))
 def _(spark, sf):
+    from pyspark.sql import functions as F
     from tabulith.operators.anomalies import anomalies_combined
-    return anomalies_combined(table(spark, sf, "lineitem"), "zscore", 1.9)
+    lines = table(spark, sf, "lineitem").withColumns({c: F.expr(x) for c, x in _PLANTED.items()})
+    return anomalies_combined(lines, "zscore", 1.9)
 
 
 @query("report_sink", hits_sql(("o_orderkey", "o_custkey", "o_totalprice"), "orders", 1.7, _ZHITS))

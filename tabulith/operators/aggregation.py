@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -61,19 +61,12 @@ def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def mode_summary(frequencies: DataFrame) -> DataFrame:
     """Per column: non-null rows, distinct values, most and least common value. Equal counts go to
     the smaller value for the most common, the larger for the least common."""
-    tops = frequencies.groupBy("column").agg(
-        F.sum("cnt").alias("rows"),
-        F.count(F.lit(1)).alias("unique_values"),
-        F.max("cnt").alias("most_common_count"),
-        F.min("cnt").alias("least_common_count"),
-        F.min(F.struct(-F.col("cnt"), F.col("value"))).alias("_top"),
-    )
-    least = (frequencies.join(F.broadcast(tops.select("column", "least_common_count")), "column")
-             .where(F.col("cnt") == F.col("least_common_count"))
-             .groupBy("column").agg(F.max("value").alias("least_common")))
-    return (tops.join(F.broadcast(least), "column")
-            .select("column", "rows", "unique_values", F.col("_top.value").alias("most_common"),
-                    "most_common_count", "least_common", "least_common_count"))
+    by_count = F.struct(-F.col("cnt"), F.col("value"))
+    return frequencies.groupBy("column").agg(
+        F.sum("cnt").alias("rows"), F.count(F.lit(1)).alias("unique_values"), F.max("cnt").alias("most_common_count"),
+        F.min("cnt").alias("least_common_count"), F.min(by_count).alias("_top"), F.max(by_count).alias("_low"),
+    ).select("column", "rows", "unique_values", F.col("_top.value").alias("most_common"), "most_common_count",
+             F.col("_low.value").alias("least_common"), "least_common_count")
 
 
 def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -216,8 +209,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
             .orderBy(F.col("count").desc(), column))
 
 
-def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson r over the rows where both columns are present: col1, col2, r; null for a constant.
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], means: Mapping[str, float | None] | None = None) -> DataFrame:
+    """Pearson r over the rows where both columns are present: col1, col2, r; null for a constant. ``means`` of the columns,
+    where they are known already, save a scan; they need not be exact.
 
     All pairs together would make an aggregate too large to compile, so each partition reduces its
     Arrow batches to the cross products of the centred columns (a few matrix products), and Spark
@@ -227,7 +221,8 @@ def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
     at = {c: i for i, c in enumerate(names)}
     first, second = [at[a] for a, _ in pairs], [at[b] for _, b in pairs]
     wide = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(names)])
-    centre = [m or 0.0 for m in wide.agg(*[F.avg(c) for c in wide.columns]).first()]
+    known = [means[c] for c in names] if means is not None else wide.agg(*[F.avg(c) for c in wide.columns]).first()
+    centre = [m or 0.0 for m in known]
     fields = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
     def cross_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

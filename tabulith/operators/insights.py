@@ -7,6 +7,7 @@ Every number comes from a Spark aggregate whose result is bounded by the number
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -43,9 +44,34 @@ def _quality(out: _Findings, completeness: float, duplicates: int) -> None:
         out.note("Data Quality", "duplicates", "info", duplicates, f"{duplicates} duplicate row(s) removed")
 
 
-def _numeric_rules(out: _Findings, df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> dict:
-    """The rules of each numeric column; returns the column statistics for the later rules."""
-    stats = {r["column"]: r for r in moments(df, columns).collect()}
+@dataclass
+class _Measures:
+    """What several rules need, gathered once: row count, missing cells, moments of numbers and modes of texts."""
+    rows: int
+    missing: dict[str, int]
+    stats: dict
+    modes: dict
+
+
+def _measures(df: DataFrame, numbers: Sequence[str], texts: Sequence[str]) -> _Measures:
+    """One pass over the numbers and one over the texts; cells of other columns are counted with the rows only if there are any."""
+    stats = {r["column"]: r for r in moments(df, numbers).collect()} if numbers else {}
+    modes = {r["column"]: r for r in mode_summary(value_frequencies(df, texts)).collect()} if texts else {}
+    others = df.select(*[c for c in df.columns if c not in stats and c not in texts])
+    if stats and not others.columns:
+        one = next(iter(stats.values()))
+        rows, missing = one["n"] + one["nulls"], {}
+    else:
+        found = null_counts(others).collect() if others.columns else []
+        rows = found[0]["rows"] if found else df.count()
+        missing = {r["column"]: r["missing"] for r in found}
+    missing |= {c: r["nulls"] for c, r in stats.items()}
+    missing |= {c: rows - (modes[c]["rows"] if c in modes else 0) for c in texts}
+    return _Measures(rows, missing, stats, modes)
+
+
+def _numeric_rules(out: _Findings, df: DataFrame, columns: Sequence[str], order_by: Sequence[str], stats: dict) -> None:
+    """The rules of each numeric column."""
     quart = {r["column"]: r for r in with_quantiles(df, columns, (0.25, 0.75), ("q1", "q3")).collect()}
     change = {r["column"]: r["change_pct"] for r in head_tail_change(df, order_by, columns).collect()}
     far = []
@@ -56,8 +82,8 @@ def _numeric_rules(out: _Findings, df: DataFrame, columns: Sequence[str], order_
             far.append(F.count_if((x < q1 - reach) | (x > q3 + reach)).alias(c))
     extremes = df.agg(*far).first().asDict() if far else {}
     for c in columns:
-        s = stats[c]
-        if s["n"] < 3:
+        s = stats.get(c)
+        if s is None or s["n"] < 3:
             continue
         cv = s["std"] / abs(s["mean"]) * 100 if abs(s["mean"]) > 1e-10 else 0.0
         if cv > 80:
@@ -76,7 +102,6 @@ def _numeric_rules(out: _Findings, df: DataFrame, columns: Sequence[str], order_
         if extremes.get(c, 0) > 0:
             out.note("Extreme Values", c, "warning", extremes[c],
                      f"{c} has {extremes[c]} value(s) beyond 3 interquartile ranges")
-    return stats
 
 
 def _category_rules(out: _Findings, modes: dict, columns: Sequence[str], rows: int) -> None:
@@ -143,18 +168,16 @@ def insights(df: DataFrame, order_by: Sequence[str], completeness: float | None
     if completeness is not None:
         _quality(out, completeness, duplicates)
     numbers, texts = list(numbers or numeric_columns(df)), list(texts or text_columns(df))
-    gaps = null_counts(df).collect()
-    rows = gaps[0]["rows"]
-    stats = _numeric_rules(out, df, numbers, order_by) if numbers else {}
-
-    modes = {r["column"]: r for r in mode_summary(value_frequencies(df, texts)).collect()} \
-        if texts else {}
+    measures = _measures(df, numbers, texts)
+    rows, stats, modes = measures.rows, measures.stats, measures.modes
+    if numbers:
+        _numeric_rules(out, df, numbers, order_by, stats)
     _category_rules(out, modes, texts, max(rows, 1))
 
     if len(numbers) >= 2:
         pairs = list(combinations(numbers, 2))
         strong = {(r["col1"], r["col2"]): r["r"] for r in
-                  pair_correlations(df, pairs).where(F.abs("r") > 0.8).collect()}
+                  pair_correlations(df, pairs, {c: stats[c]["mean"] if c in stats else None for c in numbers}).where(F.abs("r") > 0.8).collect()}
         for a, b in [p for p in pairs if p in strong]:
             r = strong[a, b]
             out.note("Correlation", f"{a} & {b}", "info", r,
@@ -171,10 +194,11 @@ def insights(df: DataFrame, order_by: Sequence[str], completeness: float | None
     if out.warnings() > 3:
         out.note("Recommendation", "warnings", "info", out.warnings(), f"{out.warnings()} areas need attention")
 
-    holes = [r["column"] for r in gaps if r["missing"] > 0]
+    holes = [c for c in df.columns if measures.missing[c] > 0]
     if len(holes) > 1:
         order = {c: i for i, c in enumerate(df.columns)}
-        found = sorted(((r["col1"], r["col2"]) for r in missing_correlation(df.select(*holes)).collect()),
+        found = sorted(((r["col1"], r["col2"]) for r in missing_correlation(
+            df.select(*holes), shares={c: measures.missing[c] / rows for c in holes}).collect()),
                        key=lambda p: (order[p[0]], order[p[1]]))
         if found:
             shown = ", ".join(f"{a} & {b}" for a, b in found)

@@ -191,11 +191,11 @@ def zero_variance(df: DataFrame) -> DataFrame:
     return _two_values(df.select(*numeric_columns(df))).where("same").select("column")
 
 
-def missing_correlation(df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Pairs of columns whose gaps fall on the same rows (|r| > ``threshold``)."""
+def missing_correlation(df: DataFrame, threshold: float = 0.5, shares: Mapping[str, float] | None = None) -> DataFrame:
+    """Pairs of columns whose gaps fall on the same rows (|r| > ``threshold``); ``shares`` of missing cells, where known, save a scan."""
     marks = missing_matrix(df)
     marks = marks.select(*[F.col(c).cast("double").alias(c) for c in marks.columns])
-    return pair_correlations(marks, list(combinations(marks.columns, 2))).where(F.abs("r") > threshold)
+    return pair_correlations(marks, list(combinations(marks.columns, 2)), shares).where(F.abs("r") > threshold)
 
 
 def expect_table(df: DataFrame | None, name: str = "table") -> DataFrame:
