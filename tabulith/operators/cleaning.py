@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tabulith.functions.columns import strip
 from tabulith.functions.kinds import datetime_columns, numeric_columns, text_columns
 from tabulith.operators.moments import moments, with_quantiles
 from tabulith.operators.ordering import fill_both_ways, lay_out
+from tabulith.session import lookup
 
 # Texts that mean "missing", compared after stripping, case matters.
 MARKERS = (
@@ -177,8 +179,22 @@ def fill_numeric(df: DataFrame, fills: Mapping[str, tuple[str, float]]) -> DataF
         for c, (_, v) in fills.items()})
 
 
+def carried_dates(laid: DataFrame, keys: Sequence[str], dates: Sequence[str]) -> DataFrame:
+    """``keys`` and ``_d0.._dn``: what the rows with a gap in one of ``dates`` have once these are filled in the order of ``laid``."""
+    gap = reduce(Column.__or__, [F.col(c).isNull() for c in dates])
+    filled = fill_both_ways(laid.select(*keys, *dates, "_part", "_pos", gap.alias("_gap")), dates).where("_gap")
+    return filled.groupBy(*keys).agg(*[F.max(c).alias(f"_d{i}") for i, c in enumerate(dates)])
+
+
+def with_carried_dates(df: DataFrame, order: Sequence[str], carried: DataFrame, keys: Sequence[str], dates: Sequence[str]) -> DataFrame:
+    """The gaps of ``df`` filled from ``carried_dates``, matched by the order columns."""
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(order, keys)])
+    return df.join(lookup(carried), same, "left").withColumns({c: F.coalesce(c, f"_d{i}") for i, c in enumerate(dates)}).select(*df.columns)
+
+
 def impute_datetime(df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Forward then backward fill in the given order; tables without gaps are left alone."""
+    """Forward then backward fill in the given order; tables without gaps are left alone. Only the order columns and the
+    columns with gaps are put in order, and rows without a gap are not touched."""
     names = datetime_columns(df) if columns is None else list(columns)
     if not names:
         return df
@@ -186,7 +202,9 @@ def impute_datetime(df: DataFrame, order_by: Sequence[str], columns: Sequence[st
     names = [c for c in names if holes[c]]
     if not names:
         return df
-    return fill_both_ways(lay_out(df, order_by), names).select(*df.columns)
+    keys = [f"_k{i}" for i in range(len(order_by))]
+    laid = lay_out(df.select(*[F.col(c).alias(k) for c, k in zip(order_by, keys)], *names), keys)
+    return with_carried_dates(df, order_by, carried_dates(laid, keys, names), keys, names)
 
 
 def impute_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

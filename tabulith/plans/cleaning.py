@@ -5,18 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import number
 from tabulith.functions.kinds import datetime_columns, is_numeric, text_columns
 from tabulith.operators import cleaning as C
 from tabulith.operators.moments import with_quantiles
-from tabulith.operators.ordering import fill_both_ways, lay_out, number_rows
+from tabulith.operators.ordering import lay_out, number_rows
 from tabulith.operators.sorting import first_rows
-from tabulith.session import lookup, written_once
+from tabulith.session import written_once
 
 REPORT = "column string, metric string, value string"
 
@@ -63,11 +62,7 @@ def clean_table(df: DataFrame, order_by: Sequence[str]) -> Cleaned:
         laid = lay_out(typed.select(*[F.col(c).alias(k) for c, k in zip(order, keys)], *dates, holes.alias("_holes")), keys)
         first = _first_gaps(laid)
         if dates:
-            carried = fill_both_ways(laid, dates).where(F.arrays_overlap("_holes", F.array(*[F.lit(c) for c in dates]))).select(
-                *keys, *[F.col(c).alias(f"_d{i}") for i, c in enumerate(dates)])
-            same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(order, keys)])
-            out = typed.join(lookup(carried), same, "left").withColumns(
-                {c: F.coalesce(c, f"_d{i}") for i, c in enumerate(dates)})
+            out = C.with_carried_dates(typed, order, C.carried_dates(laid, keys, dates), keys, dates)
     out = C.fill_numeric(out.select(*names), fills)
     out = C.impute_categorical(out, [c for c in text_columns(out) if c in gaps])
 

@@ -409,3 +409,15 @@ def test_columns_per_value_are_bounded(spark, monkeypatch):
         A.pivot_table(df, "k", "v", "sum", "c")
     assert selection.one_hot(df.where("k < 3"), "c").columns == ["k", "v", "c_0", "c_1", "c_2"]
     assert selection.one_hot(df, "c", sparse=True).count() == A.pivot_table(df, "k", "v", "sum", "c", long=True).count() == 4
+
+
+def test_dates_are_filled_by_their_keys_alone(spark, rows):
+    """Wide rows, repeated and null order keys, and two date columns with different gaps."""
+    day = lambda d: datetime(2024, 1, d)
+    data = [(1, day(1), None, "a"), (2, None, day(5), "b"), (None, None, None, "c"), (3, day(3), None, "d"), (3, day(3), None, "d"), (4, None, None, "e")]
+    df = spark.createDataFrame(data, "k int, x timestamp, y timestamp, wide string").repartition(3)
+    got = rows(C.impute_datetime(df, ["k"]).select("k", F.day("x").alias("x"), F.day("y").alias("y"), "wide"))
+    want = [(None, 1, 5, "c"), (1, 1, 5, "a"), (2, 1, 5, "b"), (3, 3, 5, "d"), (3, 3, 5, "d"), (4, 3, 5, "e")]
+    assert got == sorted(want, key=repr)
+    full = df.where("k = 1").drop("y")
+    assert C.impute_datetime(full, ["k"]) is full
