@@ -47,20 +47,22 @@ def clean_table(df: DataFrame, order_by: Sequence[str]) -> Cleaned:
     marked = C.null_markers(df.observe(before, F.count(F.lit(1)).alias("rows"), *[
         F.count_if(C.is_marker(F.col(c))).alias(f"markers{i}") for i, c in enumerate(texts)]))
     distinct = written_once(_gathered(C.drop_duplicate_rows(C.standardize_names(marked)), after), "distinct")
-    rows_before, markers = before.get["rows"], {c: before.get[f"markers{i}"] for i, c in enumerate(texts)}
     state = after.get
+    # without any row the part of the plan that counts them is dropped
+    first = before.get if state["rows"] else {}
+    rows_before, markers = first.get("rows", 0), {c: first.get(f"markers{i}", 0) for i, c in enumerate(texts)}
     rows, kinds, filled = _contents(distinct, state)
     typed = C.convert_kinds(distinct, kinds)
     gaps = {c: rows - n for c, n in filled.items() if n < rows}
     dates = [c for c in datetime_columns(typed) if c in gaps]
     numbers = [c for c in gaps if is_numeric(typed, c)]
     fills = _fill_values(typed, numbers, state)
-    out, first = typed, {}
+    out, where = typed, {}
     if gaps:
         holes = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in gaps]))
         keys = [f"_k{i}" for i in range(len(order))]
         laid = lay_out(typed.select(*[F.col(c).alias(k) for c, k in zip(order, keys)], *dates, holes.alias("_holes")), keys)
-        first = _first_gaps(laid)
+        where = _first_gaps(laid)
         if dates:
             out = C.with_carried_dates(typed, order, C.carried_dates(laid, keys, dates), keys, dates)
     out = C.fill_numeric(out.select(*names), fills)
@@ -78,7 +80,7 @@ def clean_table(df: DataFrame, order_by: Sequence[str]) -> Cleaned:
     facts += [(c, "converted_to", k) for c, k in kinds.items() if k != "text"]
     for c, n in gaps.items():
         facts.append((c, "missing_before", str(n)))
-        facts.append((c, "missing_rows", ", ".join(map(str, first[c])) + ("..." if n > len(first[c]) else "")))
+        facts.append((c, "missing_rows", ", ".join(map(str, where[c])) + ("..." if n > len(where[c]) else "")))
         if c in fills:
             action = f"filled {n} with {fills[c][0]} {fills[c][1]}"
         elif c in dates:

@@ -421,3 +421,17 @@ def test_dates_are_filled_by_their_keys_alone(spark, rows):
     assert got == sorted(want, key=repr)
     full = df.where("k = 1").drop("y")
     assert C.impute_datetime(full, ["k"]) is full
+
+
+def test_tables_without_rows(spark):
+    """Counts taken on the way are zeros, not errors, where no row comes by."""
+    for df in (spark.createDataFrame([], "k string, x double, d timestamp"),
+               spark.range(5).selectExpr("cast(id AS string) AS k", "cast(id AS double) AS x", "current_timestamp() AS d").where("k = 'none'")):
+        done = clean_table(df, ["k"])
+        assert done.table.count() == 0 and done.duplicates_removed == 0
+        assert done.report.where("metric = 'original_rows'").first()["value"] == "0"
+        assert P.profile_dataset(df).first()["rows"] == 0
+        assert A.group_agg(df, "k", "x", "median").count() == A.describe_numeric(df).count() == 0
+        gate = P.Gate(["k"], ["x"], 1)
+        gate.watch(df).write.format("noop").mode("overwrite").save()
+        assert [r["passed"] for r in gate.report().orderBy("check").collect()] == [True, False, True, False]
