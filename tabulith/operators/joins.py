@@ -13,13 +13,15 @@ from tabulith.functions.columns import half_even, strip
 from tabulith.functions.kinds import is_numeric, is_text, require_columns
 from tabulith.operators.profiling import distinct_counts, null_counts
 from tabulith.operators.sorting import first_rows
-from tabulith.session import cut_lineage
+from tabulith.session import BROADCAST_BYTES, cut_lineage, row_bytes
 
 # Name parts that mark a key column; the first hit is reported.
 KEY_WORDS = ("id", "key", "code", "number", "no", "num", "pk", "uuid", "ref", "reference", "index", "identifier")
 JOIN_TYPES = ("left", "right", "inner", "outer")
 MIN_NAME_SIMILARITY = 0.3
 HOT_PERCENT = 5  # of a side's rows, from which a key is hot
+PAIRS_PER_TASK = 2_000_000  # of rows whose missing keys match each other
+_MOST_TASKS = 10_000
 _BITS = 62  # columns per mask
 
 
@@ -43,11 +45,29 @@ def _has_hot_key(df: DataFrame, key: str) -> bool:
     return bool(rows) and most * 100 > rows * HOT_PERCENT
 
 
+def _size(df: DataFrame) -> tuple[int, int]:
+    """Rows and about how many bytes they take."""
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
+    return rows, size or 0
+
+
+def _missing_pairs(a: DataFrame, b: DataFrame, rows_a: int, size_b: tuple[int, int]) -> DataFrame:
+    """All pairs of two sides' rows: a one-key join would make them in one task. ``a`` is dealt over tasks by the number of pairs,
+    ``b`` sent to all of them, or dealt as well if it is large."""
+    rows_b, bytes_b = size_b
+    tasks = min(_MOST_TASKS, -(-rows_a * rows_b // PAIRS_PER_TASK))
+    if bytes_b <= BROADCAST_BYTES:
+        return a.repartition(min(rows_a, tasks)).crossJoin(F.broadcast(b))
+    parts = -(-bytes_b // BROADCAST_BYTES)
+    return a.repartition(max(1, min(rows_a, tasks // parts))).crossJoin(b.repartition(parts))
+
+
 def smart_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str = "left",
                null_match: bool = False, split_sides: bool | None = None) -> DataFrame:
     """Equi-join keeping both key columns; names the right side shares get ``_joined``.
 
-    ``null_match`` lets missing keys match each other. Hot keys are split by the adaptive skew
+    ``null_match`` lets missing keys match each other: where both sides have some, their pairs are made apart from the join
+    of the other rows, in as many tasks as their number asks for. Hot keys are split by the adaptive skew
     join, which cannot split the optional side of an outer join. So joins that keep a side are built as an inner
     join and an anti join (``split_sides``), by default where one key has more than ``HOT_PERCENT`` of the optional side's
     rows, which a count of that side's keys tells. A plain join reads both sides once, so ``split_sides=False`` is cheaper
@@ -57,8 +77,18 @@ def smart_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, h
     a = left.withColumn("_lk", join_key(left, left_on))
     names = {c: f"{c}_joined" if c in left.columns else c for c in right.columns}
     b = right.select(*[F.col(c).alias(n) for c, n in names.items()], join_key(right, right_on).alias("_rk"))
-    same = F.col("_lk").eqNullSafe(F.col("_rk")) if null_match else F.col("_lk") == F.col("_rk")
+    same = F.col("_lk") == F.col("_rk")
     columns = [*left.columns, *names.values()]
+    if null_match:
+        gaps_a, gaps_b = a.where(F.col("_lk").isNull()), b.where(F.col("_rk").isNull())
+        size_a, size_b = _size(gaps_a), _size(gaps_b)
+        if size_a[0] and size_b[0]:
+            # every row without a key has a partner, so no kind of join adds rows to these pairs
+            pairs = (_missing_pairs(gaps_a, gaps_b, size_a[0], size_b) if size_a[0] >= size_b[0] else
+                     _missing_pairs(gaps_b, gaps_a, size_b[0], size_a)).select(*columns)
+            present = smart_join(left.where(join_key(left, left_on).isNotNull()), right.where(join_key(right, right_on).isNotNull()),
+                                 left_on, right_on, how, split_sides=split_sides)
+            return present.unionByName(pairs)
 
     def without(rows: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
         # only distinct keys of the other side matter

@@ -435,3 +435,15 @@ def test_tables_without_rows(spark):
         gate = P.Gate(["k"], ["x"], 1)
         gate.watch(df).write.format("noop").mode("overwrite").save()
         assert [r["passed"] for r in gate.report().orderBy("check").collect()] == [True, False, True, False]
+
+
+def test_pairs_of_missing_keys_are_made_in_several_tasks(spark):
+    left = spark.range(3100).selectExpr("if(id < 3000, null, id) AS k", "id AS a")
+    right = spark.range(3050).selectExpr("if(id < 2000, null, id + 1050) AS k", "id AS b")
+    for how, alone in (("inner", 0), ("left", 50), ("right", 1000), ("outer", 1050)):
+        joined = J.smart_join(left, right, "k", "k", how, null_match=True)
+        tasks = joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.expr("count_if(k IS NULL AND a IS NOT NULL AND b IS NOT NULL) AS pairs"),
+                                                           F.expr("count_if(a IS NULL OR b IS NULL) AS alone")).collect()
+        assert sum(t["pairs"] for t in tasks) == 3000 * 2000
+        assert sum(t["alone"] for t in tasks) == alone
+        assert max(t["pairs"] for t in tasks) <= 3000 * 2000 / 2, how
