@@ -231,8 +231,9 @@ def _neighbour_candidates(points: DataFrame, dims: int, k: int, leaf_rows: int)
         x, ids = _matrix(pdf["vec"], dims), pdf["id"].to_numpy()
         return pd.concat([_EMPTY, *_within(x, ids, x, ids, pdf["m"].to_numpy(), k, leaf_rows)], ignore_index=True)
 
-    # small in bytes but heavy to compute: a fixed number of tasks keeps leaves from being merged
-    tasks = max(leaves, min(_MOST_TASKS, math.ceil(n / leaf_rows)))
+    # small in bytes but heavy to compute: a fixed number of tasks keeps leaves from being merged into a few; a task takes the
+    # rows of a leaf of full size, so small leaves share one, and starting tasks does not outweigh their work
+    tasks = min(_MOST_TASKS, math.ceil(n / max(leaf_rows, LEAF_ROWS)))
     own = placed.repartition(tasks, "cell").groupBy("cell").applyInPandas(inside, _NEAR)
     if leaves == 1 and not deep:
         return own

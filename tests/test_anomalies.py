@@ -115,3 +115,10 @@ def test_anomalies_are_tagged_per_column(spark):
 
 def test_contamination_clamp():
     assert [contamination_for(s) for s in (2.0, 10.0, 1000.0)] == [0.3, 0.1, 0.01]
+
+
+def test_small_leaves_share_a_task(spark):
+    points = spark.range(1000).selectExpr("id", "array(double(id % 37), double(id div 37)) AS vec", "1L AS m")
+    near = N._neighbour_candidates(points, 2, 5, 40)
+    assert near.rdd.getNumPartitions() <= 4  # 25 leaves, searched twice
+    assert near.select("id").distinct().count() == 1000
