@@ -6,7 +6,7 @@ import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulith.functions.columns import strip
@@ -50,6 +50,11 @@ def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> D
     return raw.withColumns({c: F.when(~F.col(c).isin(*CSV_NULLS), F.col(c)) for c in raw.columns})
 
 
+def _bare(col: Column) -> Column:
+    """``strip`` for values to be cast, without a regular expression."""
+    return F.trim(col, F.lit(" \t\n\x0b\f\r"))
+
+
 def typed_text(df: DataFrame) -> DataFrame:
     """Text columns whose every value is a whole number, a number or a boolean get that type; one
     aggregate over the table decides for all of them."""
@@ -58,10 +63,14 @@ def typed_text(df: DataFrame) -> DataFrame:
         return df
     aggs = []
     for i, c in enumerate(names):
-        v = strip(F.col(c))
-        aggs += [F.count(F.col(c)).alias(f"n{i}"),
-                 F.count_if(v.rlike(r"^[+-]?\d+$") & v.try_cast("bigint").isNotNull()).alias(f"l{i}"),
-                 F.count_if(v.try_cast("double").isNotNull() & ~v.rlike("[0-9.][dDfF]$")).alias(f"d{i}"),
+        v = _bare(F.col(c))
+        whole = v.rlike(r"^[+-]?\d+$") & v.try_cast("bigint").isNotNull()
+        # a failed cast to double is an exception, some hundred times the work of a cast that works: texts and dates that
+        # cannot be numbers are not tried
+        likely = v.rlike(r"^[\x00-\x20]*[+-]?([0-9.]|[iI][nN][fF]|[nN][aA][nN])") & ~v.rlike("[0-9]-")
+        real = likely & v.try_cast("double").isNotNull() & ~v.rlike("[0-9.][dDfF]$")
+        aggs += [F.count(F.col(c)).alias(f"n{i}"), F.count_if(whole).alias(f"l{i}"),
+                 F.count_if(F.when(whole, True).otherwise(real)).alias(f"d{i}"),
                  F.count_if(F.lower(F.col(c)).isin("true", "false")).alias(f"b{i}")]
     row = df.agg(*aggs).first()
     casts = {}
@@ -69,7 +78,7 @@ def typed_text(df: DataFrame) -> DataFrame:
         n = row[f"n{i}"]
         kind = next((t for t, k in (("bigint", "l"), ("double", "d"), ("boolean", "b")) if n and row[f"{k}{i}"] == n), None)
         if kind:
-            casts[c] = strip(F.col(c)).try_cast(kind)
+            casts[c] = _bare(F.col(c)).try_cast(kind)
     return df.withColumns(casts) if casts else df
 
 

@@ -447,3 +447,19 @@ def test_pairs_of_missing_keys_are_made_in_several_tasks(spark):
         assert sum(t["pairs"] for t in tasks) == 3000 * 2000
         assert sum(t["alone"] for t in tasks) == alone
         assert max(t["pairs"] for t in tasks) <= 3000 * 2000 / 2, how
+
+
+def test_csv_kinds_of_odd_values_and_no_regular_expression_in_casts(spark, tmp_path):
+    columns = {"whole": ["1", " -2", "+3\t"], "real": ["1e-5", ".5", "-Infinity"], "words": [" inf", "NaN1", "nAn"], "hexed": ["0x1p-3", "2.", "7"],
+               "suffix": ["1.5d", "2", "3"], "day": ["1996-01-02", "1996-01-03", "1996-01-04"], "flag": ["N", "I", "F"], "yes": ["true", "FALSE", "True"],
+               "far": ["99999999999999999999", "1", "2"], "signs": ["1-", "2", "3"], "infinite": ["inf", "+INF", "-infinity"], "minus": ["-", "1", "2"]}
+    path = str(tmp_path / "odd.csv")
+    with open(path, "w") as f:
+        f.write("\n".join(",".join(row) for row in [list(columns), *zip(*columns.values())]) + "\n")
+    out = files.scan_csv(spark, path).table
+    kinds = dict(out.dtypes)
+    assert {c for c, k in kinds.items() if k == "bigint"} == {"whole"}
+    assert {c for c, k in kinds.items() if k == "double"} == {"real", "hexed", "far", "infinite"}
+    assert {c for c, k in kinds.items() if k == "boolean"} == {"yes"}
+    assert [r["whole"] for r in out.collect()] == [1, -2, 3]
+    assert "regexp_replace" not in out._jdf.queryExecution().optimizedPlan().toString()
