@@ -2,7 +2,8 @@
 
 Items are ordered from rare to frequent. Two sets whose common part must be ``o`` items large have their first common
 item among the first ``size - o + 1`` of each, so only these are joined: what all members of a crowded group share comes
-last in their orders and is not joined, and no pair that is similar enough is missed.
+last in their orders and is not joined, and no pair that is similar enough is missed. Of what meets, pairs are left out whose
+sketches, the parities of the items in each of ``64 * WORDS`` slots, differ in more slots than two such sets have items of only one.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from tabulith.session import cut_lineage
 
 from .components import sized
 
+#: words of 64 bits of a sketch
+WORDS = 12
+
 
 def undecided(members: DataFrame, groups: DataFrame) -> DataFrame:
     """``id, part`` of the members (``key, id``) of keys that are not within one component of ``groups`` yet."""
@@ -26,19 +30,31 @@ def undecided(members: DataFrame, groups: DataFrame) -> DataFrame:
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a < b`` of ids in different parts, among them all whose Jaccard similarity is at least ``percent``, of rows
     ``id, part, items``; ``items`` are distinct."""
-    items = cut_lineage(sets.select("id", "part", F.xxhash64("items").alias("key"), F.size("items").alias("n"), F.explode("items").alias("item")))
+    # what is exploded and shuffled is two numbers an item
+    fixed = cut_lineage(sets.select(F.xxhash64("id", "items").alias("row"), "id", "part", F.size("items").alias("n"), "items"))
+    items = fixed.select("row", F.explode("items").alias("item"))
     counts = cut_lineage(items.groupBy("item").agg(F.count("*").alias("rows")).where("rows > 1"))
     # items of one set only are its rarest, and make no pair: their number is enough
-    shared = items.join(counts, "item").groupBy("id", "part", "key", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "item"))).alias("found"))
+    slot = F.pmod(F.xxhash64("item"), F.lit(64 * WORDS)).cast("int")
+    parities = [F.bit_xor(F.when(F.floor(F.col("slot") / 64) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot") % 64)).otherwise(
+        F.lit(0).cast("long"))) for w in range(WORDS)]
+    found = items.join(counts, "item").withColumn("slot", slot).groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("rows", "item"))).alias("found"), F.array(*parities).alias("sketch"))
+    shared = fixed.select("row", "id", "part", "n").distinct().join(found, "row")
     probe = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     alone = F.col("n") - F.size("found")
-    heads = shared.where(probe > alone).select("id", "part", "n", alone.alias("alone"), F.posexplode(F.slice("found", 1, probe - alone)).alias("i", "head"))
-    heads = cut_lineage(heads.select("id", "part", "n", (F.col("alone") + F.col("i") + 1).alias("at"), F.col("head.item").alias("item")))
+    heads = shared.where(probe > alone).select("id", "part", "n", "sketch", alone.alias("alone"), F.posexplode(F.slice("found", 1, probe - alone)).alias("i", "head"))
+    heads = cut_lineage(heads.select(
+        "id", "part", "n", "alone", "sketch", (F.col("alone") + F.col("i") + 1).alias("at"), F.col("head.item").alias("item")))
     # the smaller set of a pair needs a common part of more than ``percent`` of itself, so a shorter prefix
     short = heads.where((F.col("n") - F.col("at") + 1) * (100 + percent) >= F.col("n") * 2 * percent)
-    x, y = (side.select("item", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "part", "n", "at"))) for k, side in (("x", short), ("y", heads)))
+    x, y = (side.select("item", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "part", "n", "at", "alone", "sketch"))) for k, side in (("x", short), ("y", heads)))
     reach = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) + 1
+    # items of one set only that two sets with that common part may have, by the sizes alone
+    spare = F.col("n_x") + F.col("n_y") - 2 * F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent))
+    differ = sum((F.bit_count(F.col("sketch_x")[w].bitwiseXOR(F.col("sketch_y")[w])) for w in range(WORDS)), F.col("alone_x") + F.col("alone_y"))
     both = x.join(y, (x["item"] == y["item"]) & (F.col("part_x") != F.col("part_y")) & (F.col("id_x") != F.col("id_y"))
                   & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") < F.col("id_y"))))
-                  & (F.col("n_x") * 100 >= F.col("n_y") * percent) & (reach * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent))
+                  & (F.col("n_x") * 100 >= F.col("n_y") * percent) & (reach * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent)
+                  & (differ <= spare))
     return both.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()

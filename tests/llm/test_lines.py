@@ -116,3 +116,21 @@ def test_similar_lines_in_a_crowded_bucket(spark, documents, prose):
         rows += [(2 * k, line), (2 * k + 1, line[:at] + "#" + line[at + 1:])]
     want, got = brute_force(rows), dropped(L.deduplicated(documents(rows)))
     assert len(want) < 800 and got == want
+
+
+def test_sets_that_are_alike_make_few_pairs(spark):
+    """Sets of a group are alike, but only copies with few changes are similar enough."""
+    from tabulith.llm import overlaps as O
+    rng = random.Random(3)
+    new = lambda n: [rng.getrandbits(62) for _ in range(n)]
+    sets, frame = {}, new(300)
+    variants = [new(40) for _ in range(12)]
+    for k in range(200):
+        sets[2 * k] = set(frame) | {x for v in rng.sample(variants, 4) for x in v}
+        own = list(sets[2 * k])
+        sets[2 * k + 1] = set(own[:rng.randint(len(own) - 40, len(own) - 20)]) | set(new(8))
+    sets |= {1000: {1}, 1001: {1, 2}, 1002: {1}}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    rows = [(i, i, list(s)) for i, s in sets.items()]
+    got = {(r["a"], r["b"]) for r in O.prefix_pairs(spark.createDataFrame(rows, "id long, part long, items array<long>"), 80).collect()}
+    assert want <= got and len(got) < 5 * len(want) and (1000, 1002) in got
