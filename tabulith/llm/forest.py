@@ -29,7 +29,7 @@ from tabulith.session import cut_lineage
 
 from . import words as W
 from .components import components, sized
-from .overlaps import prefix_pairs, undecided
+from .overlaps import prefix_links, undecided
 from .registry import query, table
 
 TREES = 10
@@ -245,8 +245,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     if not open_.isEmpty():
         sets = docs.join(sized(open_.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(
             _set_items(shingle), "id long, items array<long>").where(F.size("items") > 0).distinct()
-        last = cut_lineage(prefix_pairs(sets.join(sized(open_), "id").select("id", "part", "items"), percent))
-        whole = components(whole.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(last, docs, shingle, percent)))
+        last = cut_lineage(prefix_links(sets.join(sized(open_), "id").select("id", "part", "items"), percent,
+                                        lambda pairs: confirmed(pairs, docs, shingle, percent)))
+        if not last.isEmpty():
+            whole = components(whole.select(F.col("node").alias("a"), F.col("component").alias("b")).union(last))
     members = nodes.select("set_key", "n", "doc").join(whole, F.col("doc") == F.col("node"), "left").select(
         "set_key", "n", F.coalesce("component", "doc").alias("found"))
     joined = signed.join(members, (signed.set_key == members.set_key) & (signed.n_shingles == members.n)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tabulith.session import cut_lineage
 
 from .components import components, sized
-from .overlaps import prefix_pairs, undecided
+from .overlaps import prefix_links, undecided
 from .registry import query, table
 
 SHINGLE, PERCENT = 8, 80
@@ -72,7 +72,8 @@ def _banded(lines: DataFrame) -> DataFrame:
 def proposed(lines: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Pairs ``a < b`` of distinct lines that share a band, and the members ``key, id`` of buckets of which these are not
     all pairs, if there are any."""
-    buckets = cut_lineage(_banded(lines).groupBy("band").agg(
+    # almost every band is of one line, so counting before the shuffle would only widen its rows
+    buckets = cut_lineage(_banded(lines).repartition("band").groupBy("band").agg(
         F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_xor("h").alias("x"), F.count("*").alias("n")).where("n > 1"))
     third = F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("x"))
     ends = buckets.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
@@ -124,10 +125,11 @@ def linked(lines: DataFrame, known: DataFrame, shingle: int = SHINGLE, percent:
     if rest.isEmpty():
         return groups
     texts = lines.select(F.col("h").alias("id"), "line").join(sized(rest), "id").distinct()
-    pairs = cut_lineage(prefix_pairs(texts.select("id", "part", _shingles(F.col("line"), shingle).alias("items")), percent))
-    if pairs.isEmpty():
+    links = cut_lineage(prefix_links(texts.select("id", "part", _shingles(F.col("line"), shingle).alias("items")), percent,
+                                     lambda pairs: confirmed(pairs, lines, shingle, percent)))
+    if links.isEmpty():
         return groups
-    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(confirmed(pairs, lines, shingle, percent)))
+    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
 
 def line_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -4,19 +4,26 @@ Items are ordered from rare to frequent. Two sets whose common part must be ``o`
 item among the first ``size - o + 1`` of each, so only these are joined: what all members of a crowded group share comes
 last in their orders and is not joined, and no pair that is similar enough is missed. Of what meets, pairs are left out whose
 sketches, the parities of the items in each of ``64 * WORDS`` slots, differ in more slots than two such sets have items of only one.
+
+Where many sets share an item, each is compared first with one of them alone, drawn anew for every item. What is confirmed of that makes
+parts one, so that a set that is similar to all members of a large part is not met with each of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.session import cut_lineage
 
-from .components import sized
+from .components import components, sized
 
 #: words of 64 bits of a sketch
 WORDS = 12
+#: pairs that are met at once, without making parts one first: in proportion to the rows of the prefixes, and in any case
+ALL_PAIRS, FEW = 8, 10_000_000
 
 
 def undecided(members: DataFrame, groups: DataFrame) -> DataFrame:
@@ -27,9 +34,8 @@ def undecided(members: DataFrame, groups: DataFrame) -> DataFrame:
     return cut_lineage(parts.join(sized(open_), "key").select("id", "part").distinct())
 
 
-def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a < b`` of ids in different parts, among them all whose Jaccard similarity is at least ``percent``, of rows
-    ``id, part, items``; ``items`` are distinct."""
+def _heads(sets: DataFrame, percent: int) -> DataFrame:
+    """``id, part, n, alone, sketch, at, item``: the prefixes of the sets, without the items of one set only."""
     # what is exploded and shuffled is two numbers an item
     fixed = cut_lineage(sets.select(F.xxhash64("id", "items").alias("row"), "id", "part", F.size("items").alias("n"), "items"))
     items = fixed.select("row", F.explode("items").alias("item"))
@@ -44,17 +50,64 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     probe = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     alone = F.col("n") - F.size("found")
     heads = shared.where(probe > alone).select("id", "part", "n", "sketch", alone.alias("alone"), F.posexplode(F.slice("found", 1, probe - alone)).alias("i", "head"))
-    heads = cut_lineage(heads.select(
+    return cut_lineage(heads.select(
         "id", "part", "n", "alone", "sketch", (F.col("alone") + F.col("i") + 1).alias("at"), F.col("head.item").alias("item")))
-    # the smaller set of a pair needs a common part of more than ``percent`` of itself, so a shorter prefix
-    short = heads.where((F.col("n") - F.col("at") + 1) * (100 + percent) >= F.col("n") * 2 * percent)
-    x, y = (side.select("item", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "part", "n", "at", "alone", "sketch"))) for k, side in (("x", short), ("y", heads)))
-    reach = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) + 1
+
+
+def _side(heads: DataFrame, k: str) -> DataFrame:
+    return heads.select("item", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "part", "n", "at", "alone", "sketch")))
+
+
+def _alike(percent: int) -> Column:
+    """Whether two rows of a join on an item, of different parts, can be of sets with that similarity by sizes and sketches."""
+    low, high = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
     # items of one set only that two sets with that common part may have, by the sizes alone
     spare = F.col("n_x") + F.col("n_y") - 2 * F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent))
     differ = sum((F.bit_count(F.col("sketch_x")[w].bitwiseXOR(F.col("sketch_y")[w])) for w in range(WORDS)), F.col("alone_x") + F.col("alone_y"))
-    both = x.join(y, (x["item"] == y["item"]) & (F.col("part_x") != F.col("part_y")) & (F.col("id_x") != F.col("id_y"))
-                  & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") < F.col("id_y"))))
-                  & (F.col("n_x") * 100 >= F.col("n_y") * percent) & (reach * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent)
-                  & (differ <= spare))
-    return both.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    return (F.col("part_x") != F.col("part_y")) & (F.col("id_x") != F.col("id_y")) & (low * 100 >= high * percent) & (differ <= spare)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
+def _all_pairs(heads: DataFrame, percent: int) -> DataFrame:
+    # the smaller set of a pair needs a common part of more than ``percent`` of itself, so a shorter prefix
+    short = heads.where((F.col("n") - F.col("at") + 1) * (100 + percent) >= F.col("n") * 2 * percent)
+    x, y = _side(short, "x"), _side(heads, "y")
+    reach = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) + 1
+    return _pairs(x.join(y, (x["item"] == y["item"]) & _alike(percent)
+                         & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") < F.col("id_y"))))
+                         & (reach * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent)))
+
+
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a < b`` of ids in different parts, among them all whose Jaccard similarity is at least ``percent``, of rows
+    ``id, part, items``; ``items`` are distinct."""
+    return _all_pairs(_heads(sets, percent), percent)
+
+
+def _drawn_pairs(heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a < b`` of every set and one set of each of its items, which a hash of both draws: a row of ``heads`` makes one at most."""
+    draw = F.xxhash64("id", "item")
+    drawn = heads.groupBy("item").agg(F.count("*").alias("sets"), F.min(draw).alias("draw")).where("sets > 3").select("item", "draw")
+    one = heads.join(drawn, "item").where(draw == F.col("draw")).dropDuplicates(["item"])
+    x, y = _side(one, "x"), _side(heads, "y")
+    return _pairs(x.join(y, (x["item"] == y["item"]) & _alike(percent)))
+
+
+def prefix_links(sets: DataFrame, percent: int, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs ``a, b`` that ``confirm`` keeps, of rows as for ``prefix_pairs``: they connect all parts that are connected by similar pairs,
+    but are not all of these."""
+    heads = _heads(sets, percent)
+    met = heads.groupBy("item", "part").agg(F.count("*").cast("double").alias("n")).groupBy("item").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).agg(
+        F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
+    if (met[0] or 0) <= max(ALL_PAIRS * (met[1] or 0), FEW):
+        return confirm(cut_lineage(_all_pairs(heads, percent)))
+    first = cut_lineage(confirm(cut_lineage(_drawn_pairs(heads, percent))))
+    own = sized(heads.select("id", "part").distinct())
+    links = first.join(own.toDF("a", "u"), "a").join(own.toDF("b", "v"), "b").select("u", "v")
+    now = sized(components(links, "u", "v").toDF("part", "component"))
+    merged = heads.join(now, "part", "left").withColumn("part", F.coalesce("component", "part")).select(heads.columns)
+    return first.union(confirm(cut_lineage(_all_pairs(merged, percent))))

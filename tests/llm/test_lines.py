@@ -134,3 +134,29 @@ def test_sets_that_are_alike_make_few_pairs(spark):
     rows = [(i, i, list(s)) for i, s in sets.items()]
     got = {(r["a"], r["b"]) for r in O.prefix_pairs(spark.createDataFrame(rows, "id long, part long, items array<long>"), 80).collect()}
     assert want <= got and len(got) < 5 * len(want) and (1000, 1002) in got
+
+
+def test_sets_similar_to_a_whole_part_are_not_met_with_each_of_its_members(spark, monkeypatch):
+    from tabulith.llm import components as C
+    from tabulith.llm import overlaps as O
+
+    monkeypatch.setattr(O, "FEW", 0)
+    rng = random.Random(7)
+    base = list(range(100))
+    # every set has six of the base's items replaced by some that others have as well
+    sets = {i: frozenset(rng.sample(base, 94) + rng.sample(range(1000, 1040), 6)) for i in range(340)}
+    rows = [(i, 0 if i < 300 else i, list(s)) for i, s in sets.items()]
+    seen = []
+
+    def confirm(pairs):
+        found = [(r["a"], r["b"]) for r in pairs.collect()]
+        seen.extend(found)
+        similar = [(a, b) for a, b in found if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        return spark.createDataFrame(similar, "a long, b long")
+    links = O.prefix_links(spark.createDataFrame(rows, "id long, part long, items array<long>"), 80, confirm)
+    edges = [(r["a"], r["b"]) for r in links.collect()] + [(0, i) for i in range(300)]
+    got = {r["node"]: r["component"] for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    every = [(a, b) for a in sets for b in sets if a < b and rows[a][1] != rows[b][1]
+             and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = {r["node"]: r["component"] for r in C.components(spark.createDataFrame(every + [(0, i) for i in range(300)], "a long, b long")).collect()}
+    assert got == want and len(every) > 4000 and len(seen) < len(every) / 4
