@@ -5,7 +5,8 @@ shingles of all lines gives every distinct line and its signature of ``HASHES``
 line that fills a third of the corpus is one row. Bands of four minima, or of four maxima, each propose candidates: all
 pairs of buckets with two or three lines, and in larger buckets a star to the smallest and one to the largest line.
 Candidates are confirmed by the exact Jaccard similarity of their shingle sets. The lines of larger buckets that the stars
-do not make one component are compared again by all pairs that share a rare shingle, which is exact (``overlaps``).
+do not make one component are compared again: by sketches of all pairs of a bucket, or, where a bucket is crowded, by all pairs
+that share a rare shingle. Both are exact (``overlaps``).
 Connected lines are one component, of which the first occurrence (by ``doc_id``, then line) stays; all others are dropped.
 
 Minima alone miss a pair at similarity 0.8 in about one case of 20 and at 0.9 in one of 250, and maxima again; a pair that
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tabulith.session import cut_lineage
 
 from .components import components, sized
-from .overlaps import prefix_links, undecided
+from .overlaps import group_pairs, near_pairs, prefix_links, sketched, undecided_keys
 from .registry import query, table
 
 SHINGLE, PERCENT = 8, 80
@@ -51,7 +52,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``h, h2, n, m0.., x0..`` of every distinct line: the number of occurrences, the minima and the maxima."""
+    """``id, h, h2, n, m0.., x0..`` of every distinct line: the number of occurrences, the minima and the maxima. An ``id`` is a small
+    number, which costs a shuffle less than a hash; it holds for rows that are kept."""
     # two bytes a character, so a shingle is cut out without walking the line
     wide = lines.select("h", "h2", F.encode("line", "UTF-16BE").alias("wide"))
     last = F.greatest(F.lit(0), (F.octet_length("wide") / 2).cast("int") - shingle)
@@ -61,19 +63,21 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     mixed = [F.hash(F.col("s").bitwiseXOR(F.lit(c))) for c in _FLIPS]
     return shingles.groupBy("h", "h2").agg(
         F.count(F.when(F.col("i") == 0, 1)).alias("n"), *(F.min(x).alias(f"m{j}") for j, x in enumerate(mixed)),
-        *(F.max(x).alias(f"x{j}") for j, x in enumerate(mixed)))
+        *(F.max(x).alias(f"x{j}") for j, x in enumerate(mixed))).withColumn("id", F.monotonically_increasing_id())
 
 
-def _banded(lines: DataFrame) -> DataFrame:
+def _banded(known: DataFrame) -> DataFrame:
     keys = [F.xxhash64(F.lit(f"{end}{k}"), *(F.col(f"{end}{j}") for j in band)) for end in "mx" for k, band in enumerate(BANDS)]
-    return lines.select("h", F.explode(F.array(*keys)).alias("band"))
+    # 48 bits tell bands apart well enough: what meets by chance is not confirmed
+    return known.select("id", F.explode(F.array(*(k.bitwiseAND(F.lit(-1 << 16)) for k in keys))).alias("band"))
 
 
-def proposed(lines: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def proposed(known: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Pairs ``a < b`` of distinct lines that share a band, and the members ``key, id`` of buckets of which these are not
     all pairs, if there are any."""
-    buckets = cut_lineage(_banded(lines).groupBy("band").agg(
-        F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_xor("h").alias("x"), F.count("*").alias("n")).where("n > 1"))
+    # nearly all bands are of one line, so counting them before the shuffle would only make its rows longer
+    buckets = cut_lineage(_banded(known).repartition("band").groupBy("band").agg(
+        F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor("id").alias("x"), F.count("*").alias("n")).where("n > 1"))
     third = F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("x"))
     ends = buckets.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     three = buckets.where("n = 3").select("lo", third.alias("mid"), "hi")
@@ -81,15 +85,15 @@ def proposed(lines: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     large = buckets.where("n > 3").select("band", "lo", "hi")
     members = None
     if not large.isEmpty():
-        members = cut_lineage(_banded(lines).join(sized(large), "band"))
-        pairs = pairs.union(members.select("lo", "h")).union(members.select("h", "hi"))
-        members = members.select(F.col("band").alias("key"), F.col("h").alias("id"))
+        members = cut_lineage(_banded(known).join(sized(large), "band"))
+        pairs = pairs.union(members.select("lo", "id")).union(members.select("id", "hi"))
+        members = members.select(F.col("band").alias("key"), "id")
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), members
 
 
-def candidates(lines: DataFrame) -> DataFrame:
+def candidates(known: DataFrame) -> DataFrame:
     """The first pairs to confirm."""
-    return proposed(lines)[0]
+    return proposed(known)[0]
 
 
 def _shingles(line: Column, shingle: int) -> Column:
@@ -99,12 +103,10 @@ def _shingles(line: Column, shingle: int) -> Column:
     return F.when(F.length(line) < shingle, F.array(F.xxhash64(line))).otherwise(hashes)
 
 
-def confirmed(pairs: DataFrame, lines: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose exact Jaccard similarity is at least ``percent``."""
-    ids = sized(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
-    texts = lines.select("h", "line").join(ids, "h", "left_semi").distinct()
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(
-        texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose exact Jaccard similarity is at least ``percent``, by the lines ``id, line``."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     # a generator's input is computed once a row; a projection's would be again for each use
     sets = both.select("a", "b", F.explode(F.array(F.struct(
         _shingles(F.col("x"), shingle).alias("x"), _shingles(F.col("y"), shingle).alias("y")))).alias("s"))
@@ -114,18 +116,25 @@ def confirmed(pairs: DataFrame, lines: DataFrame, shingle: int = SHINGLE, percen
 
 
 def linked(lines: DataFrame, known: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``node, component`` of the distinct lines that are similar to others."""
+    """``node, component`` of the ``id`` of distinct lines that are similar to others."""
     pairs, members = proposed(known)
-    groups = components(confirmed(cut_lineage(pairs), lines, shingle, percent))
+    pairs = cut_lineage(pairs)
+    # every line compared is in one of these pairs; it is looked up once
+    ids = known.select("id", "h", "h2").join(sized(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id")
+    texts = cut_lineage(lines.select("h", "h2", "line").join(sized(ids), ["h", "h2"]).select("id", "line").distinct())
+    similar = lambda pairs: confirmed(pairs, texts, shingle, percent)
+    # as above: an array exploded is computed once
+    sets = lambda rows: rows.select(
+        *(c for c in rows.columns if c != "line"), F.explode(F.array(_shingles(F.col("line"), shingle))).alias("items"))
+    sketches = sketched(sets(texts))
+    groups = components(similar(cut_lineage(near_pairs(pairs, sketches, percent))))
     if members is None:
         return groups
     groups = cut_lineage(groups)
-    rest = undecided(members, groups)
-    if rest.isEmpty():
-        return groups
-    texts = lines.select(F.col("h").alias("id"), "line").join(sized(rest), "id").distinct()
-    links = cut_lineage(prefix_links(texts.select("id", "part", _shingles(F.col("line"), shingle).alias("items")), percent,
-                                     lambda pairs: confirmed(pairs, lines, shingle, percent)))
+    few, many = undecided_keys(members, groups)
+    links = cut_lineage(similar(cut_lineage(group_pairs(few, sketches, percent))))
+    if not many.isEmpty():
+        links = links.union(cut_lineage(prefix_links(sets(texts.join(sized(many), "id")), percent, similar)))
     if links.isEmpty():
         return groups
     return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
@@ -136,16 +145,16 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     ``class`` is shared by all of them."""
     lines = occurrences(docs)
     known = cut_lineage(signatures(lines, shingle))
-    groups = linked(lines, known, shingle, percent).withColumnRenamed("node", "h")
-    again = known.select("h", "h2", "n").join(groups, "h", "left").where("n > 1 or component is not null").select(
-        "h", "h2", F.coalesce("component", "h").alias("class"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("class2"))
-    found = cut_lineage(lines.join(sized(again), ["h", "h2"]).select("doc_id", "version", "line_no", "class", "class2"))
+    groups = linked(lines, known, shingle, percent).withColumnRenamed("node", "id")
+    again = known.select("id", "h", "h2", "n").join(sized(groups), "id", "left").where("n > 1 or component is not null").select(
+        "h", "h2", F.coalesce("component", "id").alias("class"))
+    found = cut_lineage(lines.join(sized(again), ["h", "h2"]).select("doc_id", "version", "line_no", "class"))
     # the smallest document first, by a plain minimum; then the first line in it
-    smallest = sized(found.groupBy("class", "class2").agg(F.min("doc_id").alias("doc_id")))
-    first = found.join(smallest, ["class", "class2", "doc_id"]).groupBy("class", "class2").agg(
+    smallest = sized(found.groupBy("class").agg(F.min("doc_id").alias("doc_id")))
+    first = found.join(smallest, ["class", "doc_id"]).groupBy("class").agg(
         F.min(F.struct("doc_id", "version", "line_no")).alias("first"))
     here = F.struct("doc_id", "version", "line_no")
-    return found.join(sized(first), ["class", "class2"]).select(
+    return found.join(sized(first), "class").select(
         "doc_id", "version", "line_no", "class", (here != F.col("first")).alias("dropped"))
 
 

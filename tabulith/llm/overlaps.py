@@ -5,6 +5,8 @@ item among the first ``size - o + 1`` of each, so only these are joined: what al
 last in their orders and is not joined, and no pair that is similar enough is missed. Of what meets, pairs are left out whose
 sketches, the parities of the items in each of ``64 * WORDS`` slots, differ in more slots than two such sets have items of only one.
 
+In groups of up to ``GROUP`` sets no items are joined or shuffled: all pairs are compared by sketches of all their items (``group_pairs``).
+
 Where many sets share an item, each is compared first with one of them alone, drawn anew for every item. What is confirmed of that makes
 parts one, so that a set that is similar to all members of a large part is not met with each of them.
 """
@@ -24,14 +26,61 @@ from .components import components, sized
 WORDS = 12
 #: pairs that are met at once, without making parts one first: in proportion to the rows of the prefixes, and in any case
 ALL_PAIRS, FEW = 8, 10_000_000
+#: members of a key of which all pairs of sketches are compared
+GROUP = 256
 
 
-def undecided(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """``id, part`` of the members (``key, id``) of keys that are not within one component of ``groups`` yet."""
+def _open(members: DataFrame, groups: DataFrame) -> DataFrame:
     parts = cut_lineage(members.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("part")))
-    open_ = parts.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    return cut_lineage(parts.join(sized(open_), "key").select("id", "part").distinct())
+    open_ = parts.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+    return parts.join(sized(open_.select("key", "members")), "key")
+
+
+def undecided(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """``id, part`` of the members (``key, id``) of keys that are not within one component of ``groups`` yet."""
+    return cut_lineage(_open(members, groups).select("id", "part").distinct())
+
+
+def undecided_keys(members: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same, apart: ``key, id, part`` of keys with up to ``GROUP`` members, and ``id, part`` of those with more."""
+    open_ = cut_lineage(_open(members, groups))
+    few = F.col("members") <= GROUP
+    return open_.where(few).select("key", "id", "part"), open_.where(~few).select("id", "part").distinct()
+
+
+def _parities() -> Column:
+    """The sketch of a group's rows of ``item``."""
+    slot = F.pmod(F.xxhash64("item"), F.lit(64 * WORDS)).cast("int")
+    return F.array(*(F.bit_xor(F.when(F.floor(slot / 64) == w, F.call_function("shiftleft", F.lit(1).cast("long"), slot % 64)).otherwise(
+        F.lit(0).cast("long"))) for w in range(WORDS)))
+
+
+def sketched(sets: DataFrame) -> DataFrame:
+    """``id, n, sketch`` of rows ``id, items``: their number and a sketch of all of them."""
+    rows = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item")).groupBy("id", "n").agg(_parities().alias("sketch"))
+    return sized(rows, F.lit(8 * WORDS))
+
+
+def _near(percent: int) -> Column:
+    """Whether rows ``x`` and ``y`` of ``sketched`` can be of sets with that similarity."""
+    differ = sum((F.bit_count(F.col("sketch_x")[w].bitwiseXOR(F.col("sketch_y")[w])) for w in range(WORDS)), F.lit(0))
+    return (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (
+        differ * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent))
+
+
+def near_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that can have that similarity, by their sketches."""
+    x, y = (sketches.toDF(id_, f"n_{k}", f"sketch_{k}") for id_, k in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").where(_near(percent)).select("a", "b")
+
+
+def group_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a < b`` of ids in different parts that share a key, among them all whose Jaccard similarity is at least ``percent``, of
+    members ``key, id, part``."""
+    rows = members.join(sketches, "id")
+    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "part", "n", "sketch"))) for k in "xy")
+    return _pairs(x.join(y, (x["key"] == y["key"]) & (x["id_x"] < y["id_y"]) & (x["part_x"] != y["part_y"]) & _near(percent)))
 
 
 def _heads(sets: DataFrame, percent: int) -> DataFrame:
@@ -41,11 +90,8 @@ def _heads(sets: DataFrame, percent: int) -> DataFrame:
     items = fixed.select("row", F.explode("items").alias("item"))
     counts = cut_lineage(items.groupBy("item").agg(F.count("*").alias("rows")).where("rows > 1"))
     # items of one set only are its rarest, and make no pair: their number is enough
-    slot = F.pmod(F.xxhash64("item"), F.lit(64 * WORDS)).cast("int")
-    parities = [F.bit_xor(F.when(F.floor(F.col("slot") / 64) == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot") % 64)).otherwise(
-        F.lit(0).cast("long"))) for w in range(WORDS)]
-    found = items.join(counts, "item").withColumn("slot", slot).groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("rows", "item"))).alias("found"), F.array(*parities).alias("sketch"))
+    found = items.join(counts, "item").groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("rows", "item"))).alias("found"), _parities().alias("sketch"))
     shared = fixed.select("row", "id", "part", "n").distinct().join(found, "row")
     probe = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     alone = F.col("n") - F.size("found")

@@ -160,3 +160,35 @@ def test_sets_similar_to_a_whole_part_are_not_met_with_each_of_its_members(spark
              and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = {r["node"]: r["component"] for r in C.components(spark.createDataFrame(every + [(0, i) for i in range(300)], "a long, b long")).collect()}
     assert got == want and len(every) > 4000 and len(seen) < len(every) / 4
+
+
+@pytest.mark.parametrize("group", [256, 2])
+def test_buckets_of_some_members_are_compared_without_their_items(spark, documents, prose, monkeypatch, group):
+    """Only buckets of more than ``GROUP`` lines are compared by joined items; what is dropped is the same."""
+    from tabulith.llm import overlaps as O
+
+    calls, by_items = [], L.prefix_links
+    monkeypatch.setattr(O, "GROUP", group)
+    monkeypatch.setattr(L, "prefix_links", lambda *a: calls.append(1) or by_items(*a))
+    template, rows = " ".join(prose(1, 60)), []
+    for k in range(40):
+        line = template + " " + " ".join(prose(1000 + k, 14))
+        rows += [(2 * k, line), (2 * k + 1, line[:40 + k] + "#" + line[41 + k:])]
+    want, got = brute_force(rows), dropped(L.deduplicated(documents(rows)))
+    assert len(want) < 80 and got == want and bool(calls) == (group == 2)
+
+
+def test_pairs_of_sketches_miss_none(spark):
+    from tabulith.llm import overlaps as O
+    rng = random.Random(11)
+    base = [rng.getrandbits(62) for _ in range(60)]
+    sets = {i: set(rng.sample(base, rng.randint(44, 60))) | {rng.getrandbits(62) for _ in range(rng.randint(0, 6))} for i in range(60)}
+    sketches = O.sketched(spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "id long, items array<long>"))
+    members = spark.createDataFrame([(i % 2, i, i % 7) for i in sets], "key long, id long, part long")
+    similar = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    want = {(a, b) for a in sets for b in sets if a < b and (b - a) % 2 == 0 and a % 7 != b % 7 and similar(a, b)}
+    got = {(r["a"], r["b"]) for r in O.group_pairs(members, sketches, 80).collect()}
+    every = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a long, b long")
+    near = {(r["a"], r["b"]) for r in O.near_pairs(every, sketches, 80).collect()}
+    assert want and want <= got and got <= near and len(near) < every.count()
+    assert {(a, b) for a in sets for b in sets if a < b and similar(a, b)} <= near
