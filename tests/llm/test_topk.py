@@ -45,6 +45,24 @@ def test_small_blocks_and_many_rings(spark, monkeypatch):
     assert sorted(tuple(r) for r in T.top_k(df, lambda v: v % 7 == 0).collect()) == brute_force(rows, 7, 5, 256.0)
 
 
+def test_nothing_that_grows_is_sent_to_the_driver(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 16)).astype(np.float32))]
+    found = T.top_k(spark.createDataFrame([(i, v, 0, 1.0, "r") for i, v in rows], SCHEMA), lambda v: v % 10 == 0)
+    assert sorted(tuple(r) for r in found.collect()) == brute_force(rows, 10, 5, 256.0)
+    # queries times the rings that they visit
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("scale", [1.0, 256.0, 1e6, 1e9])
+def test_all_widths_of_integers(spark, scale):
+    x = np.random.default_rng(6).normal(size=(60, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate((2.5 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32))]
+    rows += [(60, rows[0][1]), (61, rows[1][1][:2]), (62, [])]
+    df = spark.createDataFrame([(i, v, 0, 1.0, "r") for i, v in rows], SCHEMA)
+    assert sorted(tuple(r) for r in T.top_k(df, lambda v: v % 20 == 0, 3, scale).collect()) == brute_force(rows, 20, 3, scale)
+
+
 def test_edge_rows(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [0.5]), (2, None), (3, [None, 1.0]),
             (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (None, [1.0, 1.0]), (6, [2.0, 9.0]), (7, []), (150, [0.0, 0.0])]
