@@ -13,7 +13,7 @@ from tabulith.functions.columns import half_even, strip
 from tabulith.functions.kinds import is_numeric, is_text, require_columns
 from tabulith.operators.profiling import distinct_counts, null_counts
 from tabulith.operators.sorting import first_rows
-from tabulith.session import BROADCAST_BYTES, cut_lineage, row_bytes
+from tabulith.session import cut_lineage
 
 # Name parts that mark a key column; the first hit is reported.
 KEY_WORDS = ("id", "key", "code", "number", "no", "num", "pk", "uuid", "ref", "reference", "index", "identifier")
@@ -21,6 +21,7 @@ JOIN_TYPES = ("left", "right", "inner", "outer")
 MIN_NAME_SIMILARITY = 0.3
 HOT_PERCENT = 5  # of a side's rows, from which a key is hot
 PAIRS_PER_TASK = 2_000_000  # of rows whose missing keys match each other
+PIECE_ROWS = 256  # of the smaller side, whose rows come again and again: a column file keeps their values in codes of a byte at most
 _MOST_TASKS = 10_000
 _BITS = 62  # columns per mask
 
@@ -45,21 +46,15 @@ def _has_hot_key(df: DataFrame, key: str) -> bool:
     return bool(rows) and most * 100 > rows * HOT_PERCENT
 
 
-def _size(df: DataFrame) -> tuple[int, int]:
-    """Rows and about how many bytes they take."""
-    rows, size = df.agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
-    return rows, size or 0
-
-
-def _missing_pairs(a: DataFrame, b: DataFrame, rows_a: int, size_b: tuple[int, int]) -> DataFrame:
-    """All pairs of two sides' rows: a one-key join would make them in one task. ``a`` is dealt over tasks by the number of pairs,
-    ``b`` sent to all of them, or dealt as well if it is large."""
-    rows_b, bytes_b = size_b
+def _missing_pairs(a: DataFrame, b: DataFrame, rows_a: int, rows_b: int) -> DataFrame:
+    """All pairs of two sides' rows: a one-key join would make them in one task. Both sides are dealt once, into parts that every
+    part of the other side is met with in a task of its own; nothing is broadcast or copied on disk. A task goes through a small piece of
+    ``b`` for each row of its part of ``a``: written, ``a``'s columns are runs and ``b``'s repeat within a compressed page, where all of
+    ``b`` in every task fills dictionaries and repeats too far apart to be compressed."""
     tasks = min(_MOST_TASKS, -(-rows_a * rows_b // PAIRS_PER_TASK))
-    if bytes_b <= BROADCAST_BYTES:
-        return a.repartition(min(rows_a, tasks)).crossJoin(F.broadcast(b))
-    parts = -(-bytes_b // BROADCAST_BYTES)
-    return a.repartition(max(1, min(rows_a, tasks // parts))).crossJoin(b.repartition(parts))
+    pieces = min(_MOST_TASKS, -(-rows_b // PIECE_ROWS))
+    parts = max(1, min(rows_a, tasks // pieces))
+    return a.repartition(parts).crossJoin(b.repartition(pieces).hint("shuffle_replicate_nl"))
 
 
 def smart_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str = "left",
@@ -81,11 +76,11 @@ def smart_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, h
     columns = [*left.columns, *names.values()]
     if null_match:
         gaps_a, gaps_b = a.where(F.col("_lk").isNull()), b.where(F.col("_rk").isNull())
-        size_a, size_b = _size(gaps_a), _size(gaps_b)
-        if size_a[0] and size_b[0]:
+        rows_a, rows_b = gaps_a.count(), gaps_b.count()
+        if rows_a and rows_b:
             # every row without a key has a partner, so no kind of join adds rows to these pairs
-            pairs = (_missing_pairs(gaps_a, gaps_b, size_a[0], size_b) if size_a[0] >= size_b[0] else
-                     _missing_pairs(gaps_b, gaps_a, size_b[0], size_a)).select(*columns)
+            pairs = (_missing_pairs(gaps_a, gaps_b, rows_a, rows_b) if rows_a >= rows_b else
+                     _missing_pairs(gaps_b, gaps_a, rows_b, rows_a)).select(*columns)
             present = smart_join(left.where(join_key(left, left_on).isNotNull()), right.where(join_key(right, right_on).isNotNull()),
                                  left_on, right_on, how, split_sides=split_sides)
             return present.unionByName(pairs)

@@ -449,6 +449,16 @@ def test_pairs_of_missing_keys_are_made_in_several_tasks(spark):
         assert max(t["pairs"] for t in tasks) <= 3000 * 2000 / 2, how
 
 
+def test_pairs_of_missing_keys_take_little_disk(spark, tmp_path):
+    left = spark.range(100).selectExpr("cast(null AS long) AS k", "id AS a")
+    right = spark.range(20_000).selectExpr("cast(null AS long) AS k", "sha2(cast(id AS string), 256) AS name")
+    path = tmp_path / "pairs"
+    J.smart_join(left, right, "k", "k", "outer", null_match=True).write.parquet(str(path))
+    found = spark.read.parquet(str(path))
+    assert found.distinct().count() == found.count() == 100 * 20_000
+    assert sum(f.stat().st_size for f in path.glob("*.parquet")) < 4 * 100 * 20_000  # a name has 64 bytes
+
+
 def test_csv_kinds_of_odd_values_and_no_regular_expression_in_casts(spark, tmp_path):
     columns = {"whole": ["1", " -2", "+3\t"], "real": ["1e-5", ".5", "-Infinity"], "words": [" inf", "NaN1", "nAn"], "hexed": ["0x1p-3", "2.", "7"],
                "suffix": ["1.5d", "2", "3"], "day": ["1996-01-02", "1996-01-03", "1996-01-04"], "flag": ["N", "I", "F"], "yes": ["true", "FALSE", "True"],
